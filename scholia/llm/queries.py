@@ -5,17 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licence_scan, mixing
+from . import bpe, class_lm, embedding_dedup, exact_dedup, html_extract, language_id, licence_scan, mixing, ngram_join, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    base = "filter(secrets, s -> s.kind <> 'token')"
+    written = "array_join(transform({0}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    kinds = [F.expr(f"size(filter(secrets, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select("doc_id", *kinds, F.sha2(F.expr(written.format(base)).cast("binary"), 256).alias("base_sha256"), F.expr(written.format("secrets")).alias("spans"))
+
+
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))
+    model = language_id.fit(docs, where=~held)
+    return language_id.identify(docs.select("doc_id", held.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -25,13 +65,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 OP9_SQL = f"""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op6_license_scan, op8_mixing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_class_lm, op4_language_id, op5_main_text, op6_license_scan, op7_ngram_join, op8_mixing, op9_exact_dedup, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
