@@ -192,4 +192,4 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     about = about.join(least, "component").select(F.col("vector").alias("_vector"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "least")
     out = rows.withColumn("_key", F.when(F.col("id").isNotNull(), F.col("vector"))).join(about, F.col("_key") == F.col("_vector"), "left")
     component = F.coalesce("least", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component) .alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id").isNotNull() & F.col("id").eqNullSafe(component)).alias("kept"))

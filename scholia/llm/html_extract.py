@@ -233,4 +233,5 @@ def extract(pages: DataFrame, id_cols: list[str] | None = None, html_col: str =
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*kept, "text", "n_chars"])
 
     schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
-    return pages.select(*kept, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, schema)
+    chosen = pages.select(*kept, F.col(html_col).cast("string"))
+    return chosen.toDF(*[f"c{k}" for k in range(len(chosen.columns))]).mapInArrow(run, schema)

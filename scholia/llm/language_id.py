@@ -329,4 +329,5 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str] | None = None, te
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*kept, "lang_pred", "score", "lang_accepted"])
 
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("lang_accepted", "boolean")
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_scored")).mapInArrow(run, schema)
+    chosen = docs.select(*kept, F.col(text_col).cast("string"))
+    return chosen.toDF(*[f"c{k}" for k in range(len(chosen.columns))]).mapInArrow(run, schema)

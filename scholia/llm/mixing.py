@@ -84,4 +84,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     rates = plan.keep(targets(sizes, weights, share, most, plan).select(F.col("source").alias("_source"), F.col("rate").alias("_rate")), "rates")
     joined = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]))
     n = copies_of(F.col("_rate"), docs[id_col]).cast("int")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), n)).alias("_copy")).drop("_copy")
+    out = joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), n)).alias("_copy"))
+    out = out.toDF(*[f"c{k}" for k in range(len(out.columns))])  # by number: a column may have any name
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
