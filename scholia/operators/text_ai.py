@@ -74,3 +74,18 @@ def parse_answer(raw: Column) -> Column:
     seen = lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == e["key"]), acc).otherwise(F.concat(acc, F.array(e)))
     kept = F.aggregate(pairs, F.expr("cast(array() as array<struct<key:string,value:string>>)"), seen)
     return F.when(F.size(F.map_keys(found)) > 0, kept).otherwise(F.array(F.struct(F.lit("raw").alias("key"), raw.alias("value"))))
+
+
+def academic_prompt(text: Column) -> Column:
+    """A request to rewrite a text, with a hint for each colloquial word that it contains."""
+    hints = F.array(*[F.struct(F.lit(w).alias("w"), F.lit("、".join(better)).alias("b")) for w, better in POLISH.items()])
+    found = F.transform(F.filter(hints, lambda h: F.contains(text, h["w"])), lambda h: F.concat(F.lit("- "), h["w"], F.lit(" -> "), h["b"]))
+    head = F.lit("Rewrite the text below in an academic style; keep its logic and avoid subjective wording.")
+    return F.array_join(F.concat(F.array(head), found, F.array(F.lit(""), text)), "\n")
+
+
+def assemble_messages(turns: DataFrame, by: str = "conv_id") -> DataFrame:
+    """(by, turns, messages): the turns of a conversation in order, a line of role and text each."""
+    rows = turns.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))  # one conversation's own turns
+    line = F.transform("t", lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit(": "), F.coalesce(x["text"], F.lit(""))))
+    return rows.select(by, F.size("t").cast("long").alias("turns"), F.array_join(line, "\n").alias("messages"))

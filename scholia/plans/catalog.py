@@ -394,6 +394,12 @@ def rolling_usage_5h(spark: SparkSession, d: str) -> DataFrame:
     return quota.rolling_count(quota.usage_rows(_events(spark, d)), fixed.PREMIUM_WINDOW, inclusive=False)
 
 
+@query(f"WITH {_EV} SELECT event_id, ip AS key, ts, count(*) OVER (PARTITION BY ip ORDER BY ts RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) <= 5 AS allowed FROM ev")
+def waitlist_limit(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d).select("event_id", F.col("ip").alias("key"), "ts")
+    return quota.rolling_count(rows, 3600, inclusive=False).select("event_id", "key", "ts", (F.col("used") <= 5).alias("allowed"))
+
+
 @query(f"""WITH {_USE}, b AS (SELECT event_id, key, count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY key, ts) AS n FROM use),
  w AS (SELECT event_id, coalesce(max(n) FILTER (key = 'global'), 0) AS g, coalesce(max(n) FILTER (key LIKE 'vid:%'), 0) AS v, coalesce(max(n) FILTER (key LIKE 'ip:%'), 0) AS i FROM b GROUP BY event_id),
  r AS (SELECT *, CASE WHEN g >= 2000 THEN 'global' WHEN v >= 5 THEN 'visitor' WHEN i >= 20 THEN 'ip' ELSE 'ok' END AS reason FROM w)
@@ -477,6 +483,20 @@ def weak_words(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", F.array_join(text_ai.weak_words(F.col("text")), ",").alias("words"))
 
 
+_HINTS = ", ".join(f"CASE WHEN contains(x, {s.q(w)}) THEN {s.q('- ' + w + ' -> ' + '、'.join(b))} END" for w, b in fixed.POLISH.items())
+
+
+@query(f"SELECT p_partkey, 'Rewrite the text below in an academic style; keep its logic and avoid subjective wording.' || chr(10) || coalesce(array_to_string(list_filter([{_HINTS}], lambda h: h IS NOT NULL), chr(10)) || chr(10), '') || chr(10) || x AS prompt FROM (SELECT p_partkey, {_COLLOQUIAL} AS x FROM part)")
+def academic_prompt(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{_COLLOQUIAL} AS text")
+    return rows.select("p_partkey", text_ai.academic_prompt(F.col("text")).alias("prompt"))
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS messages FROM conversations GROUP BY conv_id")
+def assemble_messages(spark: SparkSession, d: str) -> DataFrame:
+    return text_ai.assemble_messages(table(spark, d, "conversations"))
+
+
 _ZH = "SELECT doc_id, replace(text, '. ', '。') AS text FROM documents"
 
 
@@ -566,6 +586,19 @@ def label_distribution(spark: SparkSession, d: str) -> DataFrame:
     return dataset.label_distribution(_weak(spark, d))
 
 
+_SAYS = "CASE WHEN p_partkey % 3 = 0 THEN 'We propose ' || p_name || '.' ELSE 'The dataset holds ' || p_name || '.' END"
+
+
+@query(f"""WITH g AS (SELECT p_type AS paper, list(DISTINCT s) FILTER (k = 0) AS core, list(DISTINCT s) AS candidates FROM (SELECT p_type, p_partkey % 3 AS k, {_SAYS} AS s FROM part WHERE p_partkey < 20) GROUP BY p_type),
+ c AS (SELECT DISTINCT paper, unnest(core) AS s FROM g), o AS (SELECT DISTINCT paper, unnest(candidates) AS s FROM g)
+ SELECT 'is_core' AS instruction, s AS input, '是' AS output, paper AS _paper FROM c UNION ALL SELECT 'is_core', s, '否', paper FROM o WHERE (paper, s) NOT IN (SELECT paper, s FROM c)
+ UNION ALL SELECT 'pick_core', array_to_string(list_sort(candidates), chr(10)), list_sort(core)[1], paper FROM g WHERE len(candidates) BETWEEN 2 AND 12 AND len(core) > 0""")
+def gold_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").where("p_partkey < 20").selectExpr("p_type AS paper", "p_partkey % 3 AS k", f"{_SAYS} AS s")
+    gold = rows.groupBy("paper").agg(F.array_sort(F.collect_set(F.when(F.col("k") == 0, F.col("s")))).alias("core"), F.array_sort(F.collect_set("s")).alias("candidates"))  # a paper's own sentences
+    return dataset.gold_labels(gold)
+
+
 _OUTPUT = "CASE WHEN p_partkey % 5 = 0 THEN '不是' WHEN p_partkey % 5 = 1 THEN '是的，核心' WHEN p_partkey % 5 = 2 THEN '该句属于方法部分，不是实验' WHEN p_partkey % 5 = 3 THEN 'Yes' ELSE p_name END"
 _GOLD = "CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN CASE WHEN p_size % 2 = 0 THEN '是' ELSE '否' END WHEN p_partkey % 5 = 2 THEN '方法' ELSE p_name END"
 
