@@ -1,5 +1,5 @@
 import pytest
-from conftest import same
+from parity import same
 
 from scholia.plans import catalog
 
