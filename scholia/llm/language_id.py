@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, SAMPLE_TEXTS, SAMPLE_CHARS, REJECT = 4, 400, 2000, 1.25
+ORDER, SAMPLE_TEXTS, SAMPLE_CHARS, REJECT = 4, 400, 2000, 2.9
 #: Words whose scores a worker remembers, and the longest of them.
 REMEMBER, LONGEST = 1 << 17, 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
