@@ -55,7 +55,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
 def copies_of(rate: Column, doc_id: Column) -> Column:
     """floor(rate) plus a Bernoulli copy drawn from a hash of the id (null ids share one draw)."""
-    draw = F.shiftrightunsigned(F.xxhash64(doc_id.cast("string"), F.lit(SEED)), 11) / F.lit(float(2**53))
+    digest = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(16**13))  # 52 bits
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 

@@ -75,8 +75,43 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+#: Components of the table links (a < b) of nodes (id), by walking all links.
+REACH = """sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+walk(id, least) AS (SELECT id, id FROM nodes UNION SELECT l.b, w.least FROM walk w JOIN sym l ON l.a = w.id),
+component AS (SELECT id, min(least) AS component_id FROM walk GROUP BY id)"""
+
+OP7_SQL = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+nodes AS (SELECT doc_id AS id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+links AS (SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM shingles p JOIN shingles q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY ALL) x JOIN nodes m ON m.id = x.a JOIN nodes n ON n.id = x.b WHERE 100 * c >= 80 * (m.n + n.n - c)),
+{REACH}
+SELECT id AS doc_id, n AS n_shingles, component_id FROM nodes JOIN component USING (id)
+"""
+
+OP8_SQL = rf"""
+WITH rows_ AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows_ GROUP BY source),
+weighed AS (SELECT *, 2.0::DOUBLE * source_size AS cap, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight FROM sizes),
+-- With the k sources of the smallest cap per weight stopped, the others share the rest; the first k whose level stops no more is right.
+stopped AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM weighed),
+level AS (SELECT (1.5::DOUBLE * (SELECT sum(size) FROM rows_) - caps) / free AS level FROM stopped WHERE (1.5::DOUBLE * (SELECT sum(size) FROM rows_) - caps) / free <= cap / weight ORDER BY cap / weight, source LIMIT 1),
+targets AS (SELECT source, source_size, least(cap, weight * level) AS target FROM weighed, level),
+rated AS (SELECT r.doc_id, r.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate, ('0x' || substring(md5('7:' || coalesce(r.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM rows_ r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
+counted AS (SELECT *, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM rated)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+near AS (SELECT a.id AS a, b.id AS b FROM nodes a JOIN nodes b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.9::DOUBLE),
+links AS (SELECT a, b FROM near WHERE a < b), counts AS (SELECT a AS id, count(*) AS n FROM near GROUP BY a),
+{REACH}
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM component LEFT JOIN counts USING (id)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_class_lm, op4_language_id, op5_main_text, op6_license_scan, op7_ngram_join, op8_mixing, op9_exact_dedup, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licence_scan.scan_sql(), "op9_exact_dedup": OP9_SQL}
+    return {"op6_license_scan": licence_scan.scan_sql(), "op7_ngram_join": OP7_SQL, "op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_embedding_dedup": OP10_SQL}
