@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -31,6 +32,8 @@ PIECES, PIECE_BYTES, CHUNK_BYTES = 1 << 18, 64, 1 << 23
 #: Pieces encoded in one call, and bytes of text held while they are gathered.
 STEP = 1 << 20
 SPACE = b" \t\n\r\x0b\x0c"
+#: Marks that are tokens of their own after a run of letters.
+MARKS = ",.;:!?"
 _GEAR = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64)
 
 
@@ -54,6 +57,11 @@ def cuts(text: bytes) -> list[int]:
     return [*out, n]
 
 
+def _slices(items: list, size: int = 4096) -> Iterator[list]:
+    for at in range(0, len(items), size):
+        yield items[at : at + size]
+
+
 class ChunkCoder:
     """Encodes and decodes as the tokenizer in a file does, without special tokens added."""
 
@@ -68,6 +76,7 @@ class ChunkCoder:
             raise ValueError("this tokenizer's words are not separated by white space")
         self.pieces: dict[bytes, tuple[int, ...]] = {}
         self.older: dict[bytes, tuple[int, ...]] = {}
+        self.marks: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[bytes, list[tuple[int, ...]]] = {}
         self.held = 0
         self.reused = self.encoded = self.repaired = 0
@@ -78,31 +87,54 @@ class ChunkCoder:
     def learn(self, wanted: Iterable[bytes]) -> None:
         """Encode pieces that aren't remembered, many in one call."""
         pieces, older = self.pieces, self.older
-        new = []
-        for p in wanted:
-            if p not in pieces:
-                if p in older:
-                    pieces[p] = older[p]
-                else:
-                    new.append(p)
+        runs: dict[bytes, str] = {}  # pieces of letters only
+        ended: list[tuple[bytes, bytes, str]] = []  # letters and a mark at the end, encoded one by one
         together, alone = [], []
-        for p in new:
+        for p in wanted:
+            if p in pieces:
+                continue
+            if p in older:
+                pieces[p] = older[p]
+                continue
             text = p.decode("utf-8", "replace")
             # Offsets are exact where normalisation changes no lengths and no special token may occur.
             exact = "<|" not in text and (text.isascii() or is_normalized("NFC", text) and len(text.lower()) == len(text))
-            (together if exact else alone).append((p, text))
-        for at in range(0, len(together), 4096):
-            some = together[at : at + 4096]
+            if not exact:
+                alone.append((p, text))
+            elif text.isalpha():
+                runs[p] = text
+            elif text[-1] in MARKS and text[:-1].isalpha():
+                core = p[:-1]
+                ended.append((p, core, text[-1]))
+                if core in older:
+                    pieces[core] = older[core]
+                elif core not in pieces:
+                    runs[core] = text[:-1]
+            else:
+                together.append((p, text))
+        for some in _slices(list(runs.items())):
+            encoding = self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False)
+            numbers = encoding.word_ids
+            if not numbers or numbers[-1] != len(some) - 1:  # not a word each
+                together += some
+                continue
+            self._deal(some, encoding.ids, np.searchsorted(numbers, np.arange(len(some)), side="right").tolist())
+        for some in _slices(together):
             encoding = self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False)
             begin = np.array([b for b, _ in encoding.offsets], np.int64)
-            lengths = np.array([len(t) + 1 for _, t in some])
-            ends = np.searchsorted(begin, np.cumsum(lengths)).tolist()
-            ids, last = encoding.ids, 0
-            for (p, _), end in zip(some, ends, strict=True):
-                pieces[p] = tuple(ids[last:end])
-                last = end
+            self._deal(some, encoding.ids, np.searchsorted(begin, np.cumsum([len(t) + 1 for _, t in some])).tolist())
         for p, text in alone:
             pieces[p] = tuple(self._plain(text))
+        for p, core, mark in ended:
+            if mark not in self.marks:
+                self.marks[mark] = tuple(self._plain(mark))
+            pieces[p] = pieces[core] + self.marks[mark]
+
+    def _deal(self, some: list[tuple[bytes, str]], ids: list[int], ends: list[int]) -> None:
+        last = 0
+        for (p, _), end in zip(some, ends, strict=True):
+            self.pieces[p] = tuple(ids[last:end])
+            last = end
 
     def forget(self) -> None:
         """Keep to the bounds: what was used since the last time outlives what was not."""
@@ -124,7 +156,10 @@ class ChunkCoder:
             self.reused += 1
             return found
         self.encoded += 1
-        found = [self.piece(p) for p in text.split()]
+        parts = text.split()
+        found = list(map(self.pieces.get, parts))
+        if None in found:
+            found = list(map(self.piece, parts))
         if self.held > CHUNK_BYTES:
             self.chunks, self.held = {}, 0
         self.chunks[text] = found
@@ -154,7 +189,7 @@ class ChunkCoder:
             elif part:
                 raw = []
             last = end
-        return [i for w in words for i in w]
+        return list(chain.from_iterable(words))
 
     def _repair(self, raw: list[bytes], words: list[tuple[int, ...]], joined: bytes, pieces: list[bytes], found: list[tuple[int, ...]]) -> tuple[int, ...]:
         """Ids of the piece that a cut went through."""
@@ -204,6 +239,11 @@ def encode_texts(path: str, texts: pa.Array) -> Iterator[list[int]]:
             yield own.encode(text)
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Columns by number, so that no name occurs twice."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with a column ``out`` array<int>: the ids of each whole text.
 
@@ -220,7 +260,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*kept, out])
 
     schema = docs.select(*kept).schema.add(out, T.ArrayType(T.IntegerType()))
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_encoded")).mapInArrow(run, schema)
+    return _numbered(docs.select(*kept, F.col(text_col).cast("string"))).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -236,7 +276,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, out])
 
     schema = docs.select(*kept).schema.add(out, "string")
-    return docs.select(*kept, F.col(ids_col).alias("_ids")).mapInArrow(run, schema)
+    return _numbered(docs.select(*kept, F.col(ids_col))).mapInArrow(run, schema)
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
