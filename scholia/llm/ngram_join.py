@@ -5,8 +5,9 @@ and sizes a <= b satisfy b <= 1.25 a and differ in at most (a + b) / 9 elements.
 
 * Sketch.  Per size band the shingle hashes are dealt to P words and XORed there.  An element that
   only one set has changes one word, so the number of differing words (the Hamming distance of the
-  sketches, word by word) never exceeds the symmetric difference.  A second sketch of 256 single bits
-  serves as a filter: its Hamming distance is a lower bound in the same way.
+  sketches, word by word) never exceeds the symmetric difference.  A second sketch of single bits, 6
+  to 12 a shingle, is the filter of candidate pairs: its Hamming distance is a lower bound in the same
+  way, and XORing its halves gives the sketch of half the length.
 * Pigeonhole join.  A band's largest allowed difference is D; with P = D + 1 + T words at least T + 1
   words of two similar sets agree.  Every word that some shingle reached becomes a join key.  Only
   documents with more than T unreached words could agree in unreached words alone; they also emit the
@@ -17,9 +18,9 @@ and sizes a <= b satisfy b <= 1.25 a and differ in at most (a + b) / 9 elements.
 
 Equal sets are one node (named by a 64-bit digest of the set; two of 10**9 different sets share a
 name with a chance of 3 %, and a task that meets the same node again does not repeat its keys).
-Pairs are not listed within a group of near copies: first each key's nodes are paired with one of
-them only (the one with the smallest scrambled name, which is mostly the same one for all keys of a
-group); those links give components.  Then, for keys whose nodes still lie in different components,
+Pairs are not listed within a group of near copies: first each key's nodes are paired with ``CENTERS``
+of them only (those whose names come first under as many scramblings, which are mostly the same ones
+for all keys of a group); those links give components.  Then, for keys whose nodes still lie in different components,
 every pair across components is a candidate.  Pairs that are never verified lie in one component
 already.
 
@@ -48,7 +49,8 @@ RATIO = 1.35
 FLUSH, SEEN = 1 << 19, 1 << 18
 #: Slots of the filter that keeps texts without a candidate pair from being shuffled (its size bound).
 SLOTS = 1 << 18
-BITS = 4
+#: Bits of the shortest sketch; nodes that each key's others are paired with at first.
+BITS, CENTERS = 256, 3
 #: Tells the texts of rows that repeat an id apart.
 VERSION = "xxhash64(text)"
 
@@ -90,17 +92,18 @@ def describe(hashes: np.ndarray) -> tuple[int, list[int]]:
     """Name of a set (signed 64 bits) and the words of its sketch of single bits."""
     n = len(hashes)
     name = scramble(np.array([scramble(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))
-    place = (hashes & np.uint64(64 * BITS - 1)).astype(np.int64)
-    odd = (np.bincount(place, minlength=64 * BITS) & 1).astype(np.uint8)
+    bits = max(BITS, 1 << (6 * n - 1).bit_length())
+    place = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=bits) & 1).astype(np.uint8)
     return int(name.view(np.int64)[0]), np.packbits(odd, bitorder="little").view(np.int64).tolist()
 
 
 def _describe_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(len(h), *describe(h)) if len(h) else (0, None, [None] * BITS) for h in shingle_sets(batch.column(1), SIZE)]
+        rows = [(len(h), *describe(h)) if len(h) else (0, None, None) for h in shingle_sets(batch.column(1), SIZE)]
         columns = [batch.column(0), batch.column(2), *[pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)]]
-        columns += [pa.array([r[2][k] for r in rows], pa.int64()) for k in range(BITS)]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "n", "node", *[f"s{k}" for k in range(BITS)]])
+        columns.append(pa.array([r[2] for r in rows], pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "n", "node", "sketch"])
 
 
 def _key_batches(buckets: int):
@@ -150,27 +153,29 @@ def _key_batches(buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One bucket: kind 0, a candidate pair with a key's first node; kind 1, (key, node) of a shared key."""
+    """One bucket: kind 0, a candidate pair with one of a key's first nodes; kind 1, (key, node) of a shared key."""
     keys, nodes = [], []
     for k, i, n in zip(*[table.column(c).to_pylist() for c in ("keys", "owners", "nodes")], strict=True):
         keys.append(np.frombuffer(k, np.uint64))
         nodes.append(np.frombuffer(n, np.int64)[np.frombuffer(i, np.uint16)])
     key, node = np.concatenate(keys), np.concatenate(nodes)
     del keys, nodes
-    rank = scramble(node.view(np.uint64))
-    order = np.lexsort((rank, key))
+    order = np.lexsort((node, key))
     key, node = key[order], node[order]
     again = np.r_[False, (key[1:] == key[:-1]) & (node[1:] == node[:-1])]
     key, node = key[~again], node[~again]
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    many = np.diff(np.r_[begin, len(key)])
+    many = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
     shared = np.repeat(many > 1, many)
-    head = np.repeat(node[begin], many)
-    rest = shared.copy()
-    rest[begin] = False
-    pairs = np.unique(np.stack([head[rest], node[rest]]), axis=1) if rest.any() else np.zeros((2, 0), np.int64)
-    kind = np.r_[np.zeros(pairs.shape[1], np.int32), np.ones(int(shared.sum()), np.int32)]
-    return pa.table({"kind": kind, "x": np.r_[pairs[0], key[shared].view(np.int64)], "y": np.r_[pairs[1], node[shared]]})
+    key, node, many = key[shared], node[shared], many[many > 1]
+    found = [np.zeros((2, 0), np.int64)]
+    begin = np.cumsum(many) - many
+    for k in range(CENTERS if len(key) else 0):
+        first = np.lexsort((scramble(node.view(np.uint64) + np.uint64(k)), key))[begin]
+        head = np.repeat(node[first], many)
+        found.append(np.stack([np.minimum(head, node), np.maximum(head, node)])[:, head != node])
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    kind = np.r_[np.zeros(pairs.shape[1], np.int32), np.ones(len(key), np.int32)]
+    return pa.table({"kind": kind, "x": np.r_[pairs[0], key.view(np.int64)], "y": np.r_[pairs[1], node]})
 
 
 def _verify_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +188,14 @@ def _verify_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _may_link(a: str, b: str) -> str:
-    """SQL: sizes and bit sketches of two nodes allow the similarity."""
-    differ = " + ".join(f"bit_count({a}.s{k} ^ {b}.s{k})" for k in range(BITS))
+    """SQL: sizes and bit sketches of two nodes allow the similarity.
+
+    Sizes that do are at most a factor of 1.25 apart, so one sketch is at most twice as long.
+    """
+    fold = "IF(size({0}.sketch) = 2 * size({1}.sketch), zip_with(slice({0}.sketch, 1, size({1}.sketch)), slice({0}.sketch, size({1}.sketch) + 1, size({1}.sketch)), (x, y) -> x ^ y), {0}.sketch)"
+    differ = f"aggregate(zip_with({fold.format(a, b)}, {fold.format(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (t, c) -> t + c)"
     sizes = f"greatest({a}.n, {b}.n) * {PERCENT} <= least({a}.n, {b}.n) * 100"
-    return f"{sizes} AND ({differ}) * {100 + PERCENT} <= ({a}.n + {b}.n) * {100 - PERCENT}"
+    return f"CASE WHEN {sizes} THEN {differ} * {100 + PERCENT} <= ({a}.n + {b}.n) * {100 - PERCENT} ELSE FALSE END"
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -217,16 +226,15 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bits = [f"s{k}" for k in range(BITS)]
     versions = rows.withColumn("version", F.expr(VERSION))
-    sets = versions.mapInArrow(_describe_batches, f"id long, version long, n long, node long, {', '.join(f'{b} long' for b in bits)}")
+    sets = versions.mapInArrow(_describe_batches, "id long, version long, n long, node long, sketch array<long>")
     sets = scratch.keep(sets, "sets")
     known = sets.where("id is not null and node is not null")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.where("id is not null").select("text").mapInArrow(_key_batches(buckets), "bucket int, keys binary, owners binary, nodes binary")
     met = scratch.keep(packed.groupBy("bucket").applyInArrow(_meet, "kind int, x long, y long"), "met")
     shared = met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node"))
-    about = known.groupBy("node").agg(F.min("n").alias("n"), *[F.min(b).alias(b) for b in bits])
+    about = known.groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     about = scratch.keep(about.join(shared.select("node").distinct(), "node", "left_semi"), "about")
 
     pairs = met.where("kind = 0").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
