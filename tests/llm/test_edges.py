@@ -108,6 +108,24 @@ def test_exchange_finds_classes():
     assert len(set(own[:10])) == 1 and len(set(own[10:20])) == 1 and own[0] != own[10]
 
 
+def test_classes_reach_every_repeated_word(spark):
+    """Words of two sets alternate: those outside of the TOP know their set too."""
+    rng = np.random.default_rng(5)
+    names = ["".join("abcdefghij"[int(d)] for d in str(100000 + k)) for k in rng.permutation(9000)]
+    sets, common = (names[:4500], names[4500:]), 2100
+    weight = np.r_[np.full(common, 8.0), np.ones(4500 - common)]
+    drawn = [rng.choice(4500, (3000, 20), p=weight / weight.sum()) for _ in sets]
+    texts = [" ".join(f"{sets[0][a]} {sets[1][b]}" for a, b in zip(x, y, strict=True)) for x, y in zip(*drawn, strict=True)]
+    rare = [words[common : common + 40] for words in sets]
+    probes = [" ".join(f"{a} {b}" for a, b in zip(*rare, strict=True)), " ".join(rare[0] + rare[1])]
+    rows = spark.createDataFrame([(k, t, k >= len(texts)) for k, t in enumerate(texts + probes)], "doc_id long, text string, out boolean")
+    got = {r.doc_id: r for r in class_lm.score_texts(rows, held=F.col("out")).where("held_out").collect()}
+    in_turn, apart = got[len(texts)], got[len(texts) + 1]
+    assert in_turn.base_score == pytest.approx(apart.base_score)
+    assert in_turn.score - apart.score > 40
+    assert class_lm.class_count(10**8) > class_lm.class_count(10**7) > class_lm.class_count(10) == class_lm.CLASSES
+
+
 # 4
 
 
