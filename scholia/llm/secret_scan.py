@@ -2,10 +2,12 @@
 
 Three patterns find assignments, access keys and long hexadecimal strings.  Beyond them every run of
 key characters is tested: text that a tiktoken vocabulary was made for takes few tokens, random
-strings take many.  A run is a secret (kind ``token``) if it has at least ``LEAST`` characters, mixes
-letters and digits, its characters per token are at most ``RATIO``, and it is neither a known digest
+strings take many.  A run is a secret (kind ``token``) if it has at least ``LEAST`` characters and a
+letter, its characters per token are at most ``RATIO``, and it is neither a known digest
 (a hexadecimal string of a usual digest's length) nor an identifier (a UUID, a number with a unit, a
-name of words and short numbers).
+name of words and short numbers).  Of a run that passes as a whole, every stretch of tokens of at least
+``LEAST`` characters and all that is between two separators is tested alike, so plain words joined to a
+random string don't hide it: stretches that overlap are one secret, up to the next separators and without the words before and after it that a separator parts from it.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -48,7 +51,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Maximal runs, so a least length in the pattern drops the same matches as a test afterwards.
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
+#: Inside a run: UUIDs, hexadecimal strings between separators, what is between separators, and plain words at either end.
+_UUID_IN = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
+_HEX_IN = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+_WORD_FIRST = re.compile(r"([A-Z]?[a-z]*|[A-Z]*)[_/=+-]+")
+_WORD_LAST = re.compile(r"[_/=+-]+([A-Z]?[a-z]*|[A-Z]*)$")
 
 
 class Efficiency:
@@ -61,22 +70,77 @@ class Efficiency:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def sizes(self, run: str) -> list[int]:
+        """Characters of each token of a run of ASCII characters."""
+        return [len(self.encoding.decode_single_token_bytes(t)) for t in self.encoding.encode_ordinary(run)]
+
     def __call__(self, run: str) -> float:
         return len(run) / len(self.encoding.encode_ordinary(run))
 
 
+def is_secret(run: str, efficiency: Efficiency) -> bool:
+    if len(run) < LEAST or not _LETTER.search(run) or UUID.fullmatch(run) or NAME.fullmatch(run):
+        return False
+    if len(run) in DIGESTS and HEX.fullmatch(run.lower()):
+        return False
+    return efficiency(run) <= RATIO
+
+
+def inner_spans(run: str, efficiency: Efficiency) -> list[tuple[int, int]]:
+    """Stretches of tokens of a run that are secrets, without plain words at their ends."""
+    taken = [m.span() for m in _UUID_IN.finditer(run)]
+    taken += [m.span() for m in _HEX_IN.finditer(run) if m.end() - m.start() in DIGESTS]
+    taken.sort()  # none overlap
+    taken_ends = [b for _, b in taken]
+    stops = [0]
+    for size in efficiency.sizes(run):
+        stops.append(stops[-1] + size)
+    pieces = [m.span() for m in _PIECE.finditer(run)]
+    starts, ends = [a for a, _ in pieces], [b for _, b in pieces]
+    found = [(a, b) for a, b in pieces if is_secret(run[a:b], efficiency)]
+    to = 0
+    for at, start in enumerate(stops):
+        while to < len(stops) and stops[to] - start < LEAST:
+            to += 1
+        if to == len(stops):
+            break
+        end = stops[to]
+        if end - start <= RATIO * (to - at) and _LETTER.search(run, start, end) and not NAME.fullmatch(run, start, end):
+            found.append((start, end))
+    joined: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if (k := bisect_right(taken_ends, start)) < len(taken) and taken[k][0] < end:
+            continue
+        if joined and start < joined[-1][1]:
+            joined[-1] = joined[-1][0], max(end, joined[-1][1])
+        else:
+            joined.append((start, end))
+    out: list[tuple[int, int]] = []
+    for start, end in joined:
+        first, last = bisect_right(ends, start), bisect_left(starts, end) - 1
+        wide = min(start, starts[first]), max(end, ends[last])
+        start, end = wide if is_secret(run[slice(*wide)], efficiency) else (start, end)
+        while (m := _WORD_FIRST.match(run, start, end)) and is_secret(run[m.end() : end], efficiency):
+            start = m.end()
+        while (m := _WORD_LAST.search(run[start:end])) and is_secret(run[start : start + m.start()], efficiency):
+            end = start + m.start()
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
 def token_spans(text: str, efficiency: Efficiency) -> list[tuple[int, int, int]]:
     out = []
     for m in RUN.finditer(text):
         run = m.group()
-        if not _DIGIT.search(run) or not any(c.isalpha() for c in run):
-            continue
-        if UUID.fullmatch(run) or NAME.fullmatch(run):
-            continue
-        if len(run) in DIGESTS and HEX.fullmatch(run.lower()):
+        if UUID.fullmatch(run) or NAME.fullmatch(run) or len(run) in DIGESTS and HEX.fullmatch(run.lower()):
             continue
-        if efficiency(run) <= RATIO:
+        if is_secret(run, efficiency):
             out.append((m.start(), 3, m.end()))
+        else:
+            out += [(m.start() + a, 3, m.start() + b) for a, b in inner_spans(run, efficiency)]
     return out
 
 

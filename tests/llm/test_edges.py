@@ -84,6 +84,27 @@ def test_secrets(spark, odd, none):
     assert secret_scan.redact("a b c d", [(2, 3), (2, 5)]) == "a <secret> d"
 
 
+def test_secrets_joined_to_words():
+    """Plain words before a random string don't hide it, nor does a lack of digits; names, digests and UUIDs in paths stay."""
+    import string
+
+    public = pytest.importorskip("public_tokenizers")
+    efficiency = secret_scan.Efficiency(queries.vocabulary("byte_bpe_50k.tiktoken"), public.PATTERN)
+    rng = random.Random(11)
+    for before in ("", "authorization_header=", "callback/session/identifier/", "github_personal_access=ghp_"):
+        for size in (16, 20, 24):
+            found = 0
+            for _ in range(200):
+                text = before + "".join(rng.choices(string.ascii_letters + string.digits, k=size))
+                spans = secret_scan.token_spans(text, efficiency)
+                found += any(b <= len(before) and e == len(text) for b, _, e in spans)
+            assert found >= 196, (before, size, found)
+    for before in ("", "authorization_header="):
+        assert secret_scan.token_spans(before + "xKqVzQmZwPLjRtYnBhGc", efficiency)
+    plain = ["path/to/some_module-name/with_parts", "InternationalizationConfiguration", "some/long/path/of/plain/documentation/words/international/123e4567-e89b-12d3-a456-426614174000", "some/long/path/of/plain/documentation/words/international/checksum=d41d8cd98f00b204e9800998ecf8427e", "releases/2024-01-15/build_12"]
+    assert [secret_scan.token_spans(x, efficiency) for x in plain] == [[]] * len(plain)
+
+
 # 3
 
 
