@@ -1,4 +1,9 @@
-"""Public licence texts whose canonical digests are known, as {id: [variants]}."""
+"""Public licence texts whose canonical digests are known, as {id: [variants]}.
+
+The long ones are files of the folder ``licences``, named by id.
+"""
+
+from importlib import resources
 
 MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -118,6 +123,26 @@ NOTICES = {
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
 }
 
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def variants(text: str) -> list[str]:
+    """A full text as it is published, and without the appendix that says how to apply it.
+
+    The Apache licence's appendix names an owner, which copies fill in or put in other brackets.
+    """
+    out = [text]
+    if _END in text:
+        terms = text[: text.index(_END)]
+        out += [terms, terms + _END]
+        owner = "Copyright [yyyy] [name of copyright owner]"
+        if owner in text:
+            out += [text.replace(owner, other) for other in ("", "Copyright {yyyy} {name of copyright owner}")]
+    return out
+
+
+FULL = {f.name.removesuffix(".txt"): variants(f.read_text("utf-8")) for f in sorted(resources.files(__package__).joinpath("licences").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
 KNOWN = {
     "MIT": [MIT_BODY, "MIT License\n" + MIT_BODY, "The MIT License (MIT)\n" + MIT_BODY, "The MIT License\n" + MIT_BODY, *NOTICES["MIT"]],
     "ISC": [ISC_BODY, "ISC License\n" + ISC_BODY],
@@ -126,6 +151,7 @@ KNOWN = {
     "BSD-3-Clause": [t + BSD_CONDITIONS + BSD_THIRD + BSD_DISCLAIMER for t in ("", "BSD 3-Clause License\n")],
     "Unlicense": [UNLICENSE],
     "Zlib": [ZLIB_BODY, "zlib License\n" + ZLIB_BODY],
-    "Apache-2.0": NOTICES["Apache-2.0"],
-    "GPL-3.0": NOTICES["GPL-3.0"],
+    **FULL,
+    "Apache-2.0": [*FULL["Apache-2.0"], *NOTICES["Apache-2.0"]],
+    "GPL-3.0": [*FULL["GPL-3.0"], *NOTICES["GPL-3.0"]],
 }

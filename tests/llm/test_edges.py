@@ -225,6 +225,19 @@ def test_licences(spark, odd, none):
     assert licence_scan.licence_scan(odd).count() == odd.count() and licence_scan.licence_scan(none).count() == 0
 
 
+def test_full_licences(spark):
+    """A document that is a long licence in full is found, with or without its appendix and with an owner filled in."""
+    from importlib import resources
+
+    folder = resources.files("scholia.llm").joinpath("licences")
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"]
+    texts = [(n, folder.joinpath(f"{n}.txt").read_text("utf-8")) for n in names]
+    apache = texts[0][1]
+    texts += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2031 Somebody")), ("Apache-2.0", apache[: apache.index("APPENDIX")]), ("GPL-3.0", texts[2][1].upper().replace("\n", "\r\n")), (None, apache + "\nand more")]
+    got = licence_scan.licence_scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string"))
+    assert [r.license_id for r in got.orderBy("doc_id").collect()] == [n for n, _ in texts]
+
+
 # 7
 
 
