@@ -14,13 +14,17 @@ Scoring.  A text's cross-entropy under a language is the sum over its words divi
 scored characters; the lowest wins.  A batch scores each distinct word once.
 
 Calibration.  The margin between the two best languages becomes a score in [0, 1] by a logistic curve
-whose slope comes from the calibration texts.  A text is rejected if it has no letter or if its
-cross-entropy is above ``REJECT`` times the language's ceiling, the highest cross-entropy of a calibration text.
+whose slope comes from the calibration texts.  A text is rejected if it has no letter or if no learned
+language explains its words: if their cross-entropy, each word under the language that explains it best
+(so texts of several languages stay), is above the limit of the text's language.  A limit lies ``WAY`` of the way from the
+``QUANTILE`` of that figure of the language's calibration texts to its median when their letters are shuffled
+(a short text with a key or a number in letters lies higher than any calibration text).
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, SAMPLE_TEXTS, SAMPLE_CHARS, REJECT = 4, 400, 2000, 2.9
+ORDER, SAMPLE_TEXTS, SAMPLE_CHARS, QUANTILE, WAY = 4, 400, 2000, 0.95, 2 / 3
 #: Words whose scores a worker remembers, and the longest of them.
 REMEMBER, LONGEST = 1 << 17, 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -46,6 +50,15 @@ def _tokens(text: str) -> list[str]:
 _ASCII = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
+def _shuffled(text: str, seed: int) -> str:
+    """The words' lengths and all letters of a text, the letters in any order."""
+    words = _tokens(text)
+    letters = list("".join(words))
+    random.Random(seed).shuffle(letters)
+    drawn = iter(letters)
+    return " ".join("".join(next(drawn) for _ in w) for w in words)
+
+
 def _grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Per scored character: the word's number and hashes of its contexts' n-grams of each order.
 
@@ -130,7 +143,7 @@ class Model:
         context_hashes = _gram_hashes(names)
         order = np.argsort(context_hashes)
         self.context_hashes, self.backoff = context_hashes[order], backoff[order]
-        self.ceiling, self.slope = np.full(n, np.inf), 10.0
+        self.limit, self.slope = np.full(n, np.inf), 10.0
 
     def _rows(self, table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
@@ -150,17 +163,22 @@ class Model:
         return np.add.reduceat(-np.log(p), np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), axis=0)
 
     def calibrate(self, texts: list[tuple[str, str]]) -> None:
-        """Ceilings and slope from labelled texts that were not counted."""
-        highest = np.zeros(len(self.languages))
+        """Limits and slope from labelled texts that were not counted."""
+        clean: list[list[float]] = [[] for _ in self.languages]
+        junk: list[list[float]] = [[] for _ in self.languages]
         margins = []
-        for lang, text in texts:
+        for seed, (lang, text) in enumerate(texts):
             entropy = Scorer(self).entropies([text])[0]
             if entropy is not None and lang in self.languages:
                 k = self.languages.index(lang)
-                highest[k] = max(highest[k], entropy[k])
+                entropy, best = entropy[:-1], entropy[-1]
+                clean[k].append(float(best))
+                junk[k].append(float(Scorer(self).entropies([_shuffled(text, seed)])[0][-1]))
                 others = np.delete(entropy, k)
                 margins.append(float(others.min() - entropy[k]) if len(others) else 1.0)
-        self.ceiling = np.where(highest > 0, highest, np.inf)
+        for k, (own, shuffled) in enumerate(zip(clean, junk, strict=True)):
+            if own and np.median(shuffled) > (high := np.quantile(own, QUANTILE)):
+                self.limit[k] = high + WAY * (np.median(shuffled) - high)
         if margins:
             best, least = 10.0, math.inf
             for slope in np.geomspace(1, 200, 40):
@@ -214,7 +232,7 @@ class Scorer:
         self.known: dict[str, np.ndarray] = {}
 
     def entropies(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Cross-entropy per character under each language; None without a letter."""
+        """Cross-entropy per character under each language, and with each word under its best; None without a letter."""
         counted = []
         for text in texts:
             seen: dict[str, int] = {}
@@ -231,7 +249,8 @@ class Scorer:
             while to < len(new) and (to == at or size < 1 << 15):
                 size += len(new[to]) + 2
                 to += 1
-            for w, row in zip(new[at:to], self.model.word_scores(new[at:to]), strict=True):
+            scores = self.model.word_scores(new[at:to])
+            for w, row in zip(new[at:to], np.column_stack([scores, scores.min(1)]), strict=True):
                 (self.known if len(w) <= LONGEST else extra)[w] = row
             at = to
         out = []
@@ -319,12 +338,13 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str] | None = None, te
                         scores.append(0.0)
                         accepted.append(False)
                         continue
+                    entropy, best = entropy[:-1], entropy[-1]
                     k = int(entropy.argmin())
                     others = np.delete(entropy, k)
                     margin = float(others.min() - entropy[k]) if len(others) else 1.0
                     names.append(own.languages[k])
                     scores.append(1 / (1 + math.exp(-min(700.0, own.slope * margin))))
-                    accepted.append(bool(entropy[k] <= REJECT * own.ceiling[k]))
+                    accepted.append(bool(best <= own.limit[k]))
                 new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*kept, "lang_pred", "score", "lang_accepted"])
 

@@ -4,7 +4,7 @@ import pytest
 from brute import components, lower, shingles, similar
 
 import corpus_pipeline
-from scholia.llm import mixing
+from scholia.llm import language_id, mixing
 from scholia.llm.queries import vocabulary
 from scholia.llm.scratch import Scratch
 
@@ -28,6 +28,29 @@ def test_language_keeps_clean_documents(steps):
     assert {r.doc_id for r in steps[1].collect()} == {r.doc_id for r in steps[0].where("text rlike '[A-Za-z]'").collect()}
 
 
+def test_language_rejects_what_no_language_explains(spark, small):
+    """Texts of several learned languages and of marks stay; unlearned languages, markup and random letters go."""
+    import random
+
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    long = [r for r in docs.where("length(text) > 300").orderBy("doc_id").collect()]
+    first = {lang: next(r.text[:300] for r in long if r.lang == lang) for lang in sorted({r.lang for r in long if r.lang})}
+    stay = [" ".join(w for pair in zip(first[a].split(), first[b].split()) for w in pair) for a in first for b in first if a < b]
+    stay += [" | ".join(first["en"].split()), first["en"].upper().replace(" ", "!! ")]
+    draw = lambda letters, size, n: " ".join("".join(rng.choices(letters, k=size)) for _ in range(n))
+    go = [
+        "Pemerintah kota akan membangun jalan baru yang menghubungkan pelabuhan dengan pusat perdagangan agar barang dapat dikirim lebih cepat",
+        "Hallitus aikoo rakentaa uuden tien joka yhdistää sataman kaupungin keskustaan jotta tavarat voidaan kuljettaa nopeammin kaikkialle",
+        '<div class="row"><span id=nav><a href=index.html>x</a></span><table><tr><td>y</td></tr></table><br/></div>' * 5,
+        "Правительство планирует построить новую дорогу", draw("0123456789abcdef", 32, 10), draw("abcdefghijklmnopqrstuvwxyz", 7, 40),
+    ]
+    model = language_id.fit(docs)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(stay + go)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_accepted for r in language_id.identify(rows, model).collect()}
+    assert [got[k] for k in range(len(got))] == [True] * len(stay) + [False] * len(go)
+
+
 def test_exact(steps):
     best = {}
     for r in steps[1].collect():
