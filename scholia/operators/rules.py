@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import DENSITY_WORDS
 from ..functions.rowwise import fields, map_rows
 from ..functions.rule_table import RULES
+from .clean import clean_snippet
 
 #: Java flags under which patterns find what Python's re.IGNORECASE does: Unicode case and classes, \n ends lines.
 FLAGS = "(?iUd)"
@@ -92,47 +94,47 @@ def _compiled() -> list[tuple[str, str, re.Pattern]]:
     return [(r.name, r.action, re.compile(r.pattern, re.I)) for r in RULES]
 
 
-def _ends_sentence(text: str, at: int) -> bool:
-    """Whether a sentence ends just before ``at``: a line break alone doesn't end one, a blank line does."""
-    if at <= 0 or text[at - 1] in "。！？":
-        return True
-    if text[at - 1] in ".!?":
-        return at >= len(text) or text[at].isspace()
-    return text[at - 1] == "\n" and text[at - 2 : at - 1] == "\n"
+#: What ends a sentence: a full-width mark, a mark before white space or the text's end, a blank line.
+_END = re.compile(r"[。！？]|[.!?](?=\s|\Z)|(?<=\n)\n")
 
 
-def sentence_window(text: str, start: int, end: int, reach: int = WINDOW) -> tuple[int, int]:
-    """The span grown to sentence ends on both sides, at most ``reach`` characters each."""
-    left = next((k for k in range(start, max(0, start - reach), -1) if _ends_sentence(text, k)), max(0, start - reach))
-    limit = min(len(text), end + reach)
-    right = next((k for k in range(end, limit) if _ends_sentence(text, k)), limit)
-    if right < len(text) and not _ends_sentence(text, right):
-        blank = text.rfind(" ", end, right)
-        right = blank if blank > end else right
-    return left, right
+class Sentences:
+    """Where the sentences of a text end, found once, and the windows of hits between those places."""
 
+    def __init__(self, text: str):
+        self.text = text
+        self.ends = [0, *(m.end() for m in _END.finditer(text))]
 
-def snippet_of(text: str) -> str:
-    text = re.sub(r"([A-Za-z])-\s*\n\s*([a-z])", r"\1\2", text)
-    return re.sub(r"[ \t]{2,}", " ", re.sub(r"\s*\n\s*", " ", text)).strip()
+    def window(self, start: int, end: int, reach: int = WINDOW) -> tuple[int, int]:
+        """The span grown to sentence ends on both sides, at most ``reach`` characters each; a right side without one ends at a blank."""
+        floor, ceiling = max(0, start - reach), min(len(self.text), end + reach)
+        before, after = bisect_right(self.ends, start), bisect_left(self.ends, end)
+        left = max(floor, self.ends[before - 1])
+        if after < len(self.ends) and self.ends[after] <= ceiling:
+            return left, self.ends[after]
+        blank = self.text.rfind(" ", end + 1, ceiling) if ceiling < len(self.text) else -1
+        return left, ceiling if blank < 0 else blank
 
 
 def find_matches(text: str | None) -> list[tuple]:
-    """(ord, rule, action, start, end, hit, snippet, snip_start, snip_end) in rule order, then position."""
+    """(ord, rule, action, start, end, hit, window, snip_start, snip_end) in rule order, then position."""
+    text = text or ""
+    sentences = Sentences(text)
     out = []
     for i, (name, action, pattern) in enumerate(_compiled()):
-        for m in pattern.finditer(text or ""):
-            left, right = sentence_window(text, m.start(), m.end())
-            out.append((i, name, action, m.start(), m.end(), m.group(), snippet_of(text[left:right]), left, right))
+        for m in pattern.finditer(text):
+            left, right = sentences.window(*m.span())
+            out.append((i, name, action, *m.span(), m.group(), text[left:right], left, right))
     return out
 
 
-MATCH = "ord:int rule:string action:string start:int end:int hit:string snippet:string snip_start:int snip_end:int"
+MATCH = "ord:int rule:string action:string start:int end:int hit:string window:string snip_start:int snip_end:int"
 
 
 def rule_matches(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """All matches with code-point offsets and sentence snippets (offsets need Python: Spark's count UTF-16 units)."""
-    return map_rows(docs, [id_col], ["text"], fields(MATCH), find_matches)
+    found = map_rows(docs, [id_col], ["text"], fields(MATCH), find_matches)
+    return found.withColumn("window", clean_snippet(F.col("window"))).withColumnRenamed("window", "snippet")
 
 
 def marked_up(text: str | None, mode: str, compat: bool = False) -> str | None:

@@ -1,5 +1,7 @@
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scholia.functions.rule_table import RULES
@@ -30,15 +32,31 @@ def test_offsets_and_snippets(spark):
     for r in rules.rule_matches(frame(spark)).collect():
         text = TEXTS[r.doc_id]
         assert text[r.start : r.end] == r.hit
-        assert r.snip_start <= r.start and r.snippet in rules.snippet_of(text)
+        window = re.sub(r"([A-Za-z])-\s*\n\s*([a-z])", r"\1\2", text[r.snip_start : r.snip_end])
+        assert r.snip_start <= r.start and r.snippet == re.sub(r"[ \t]{2,}", " ", re.sub(r"\s*\n\s*", " ", window)).strip()
 
 
 def test_window_limits():
     text = "a" * 400 + " hit " + "b" * 100 + " " + "c" * 400
-    left, right = rules.sentence_window(text, 401, 404)
+    left, right = rules.Sentences(text).window(401, 404)
     assert left == 401 - 320 and text[left:right].endswith("b" * 100)
-    assert rules.sentence_window("One. two hit three. Four", 9, 12) == (4, 19)
-    assert rules.sentence_window("3.14 is pi\nand hit", 15, 18) == (0, 18)
+    assert rules.Sentences("One. two hit three. Four").window(9, 12) == (4, 19)
+    assert rules.Sentences("3.14 is pi\nand hit").window(15, 18) == (0, 18)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab .!?。\n", max_size=40), st.integers(0, 40), st.integers(0, 10), st.integers(1, 30))
+def test_window_equals_a_walk(text, start, size, reach):
+    """Left: the last sentence end in reach, right: the first; without one the reach itself, on the right cut at a blank."""
+    start, end = min(start, len(text)), min(start + size, len(text))
+    ends = {0, *(k for k in range(1, len(text) + 1) if text[k - 1] in "。！？" or text[k - 1] in ".!?" and (k == len(text) or text[k].isspace()) or text[max(0, k - 2) : k] == "\n\n")}
+    floor, ceiling = max(0, start - reach), min(len(text), end + reach)
+    left = max([k for k in ends if floor < k <= start], default=floor)
+    right = min([k for k in ends if end <= k <= ceiling], default=None)
+    if right is None:
+        blanks = [k for k in range(end + 1, ceiling) if text[k] == " "] if ceiling < len(text) else []
+        right = max(blanks, default=ceiling)
+    assert rules.Sentences(text).window(start, end, reach) == (left, right)
 
 
 def test_stats_and_fallback(spark):
