@@ -1,23 +1,29 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the last ``WINDOW`` bytes cuts a text wherever its low bits vanish, so equal
-passages of different documents are cut at equal places and give equal chunks.  A worker keeps the
-encodings of chunks and of white-space-separated pieces it met lately (within fixed bounds) and encodes a chunk that
-documents share once.  A cut may fall inside a word; then the join is repaired: the pieces around the
-cut are put together and encoded again, with a piece more on either side each time, until the outer
-pieces' ids agree with those that the chunks gave them.  ASCII white space separates pieces in the
-tokenizer as well (no merge, normalisation or pattern reaches over it), so agreement is exact.
-
-Chunks are not shuffled: sending every chunk to one place and its ids back costs more disk and time
-than encoding it.  A chunk is encoded once per Python worker (as long as it is remembered), not once
-per cluster.
+passages of different documents are cut at equal places and give equal chunks, which 128-bit digests
+name.
+
+* Shared chunks.  A first job counts the digests of all chunks (a row of 24 bytes per distinct chunk and
+  task is shuffled, no text).  The ``SHARED`` chunks that occur most often, twice at least, are encoded
+  once per cluster and their ids broadcast: ``SHARED`` times a chunk's ids, whatever the input
+  (``MOST`` bytes of text at most for each).
+* Other chunks.  A worker remembers chunks it met lately (within fixed bounds) and encodes the rest,
+  with a memo of white-space-separated pieces.
+* Joins.  A cut may fall inside a piece; then the parts on either side of the cut (of several cuts, if
+  a piece is longer than a chunk) are put together and encoded again with the whole pieces beside them,
+  until these agree with the ids that the chunks gave them.  ASCII white space separates pieces in the
+  tokenizer as well (no merge, normalisation or pattern reaches over it), so agreement is exact.
+
+Every piece is encoded in one join at most, and is a neighbour in two, so time is linear in a text's
+length whatever it holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from typing import NamedTuple
 from unicodedata import is_normalized
 
 import numpy as np
@@ -26,10 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import Scratch, quoted
+
 WINDOW, MASK, LEAST = 16, (1 << 9) - 1, 64
+#: Chunks that are encoded for all, and the most bytes of one; distinct digests a task holds before it sends them off.
+SHARED, MOST, FLUSH = 1 << 15, 1 << 13, 1 << 17
 #: Bounds of what a worker remembers: pieces, their longest length, and bytes of chunks.
-PIECES, PIECE_BYTES, CHUNK_BYTES = 1 << 18, 64, 1 << 23
-#: Pieces encoded in one call, and bytes of text held while they are gathered.
+PIECES, PIECE_BYTES, CHUNK_BYTES = 3 << 16, 64, 1 << 23
+#: Bytes of text that are cut and encoded together; a longer text is taken alone.
 STEP = 1 << 20
 SPACE = b" \t\n\r\x0b\x0c"
 #: Marks that are tokens of their own after a run of letters.
@@ -42,10 +52,10 @@ def cuts(text: bytes) -> list[int]:
     n = len(text)
     if n <= LEAST + WINDOW:
         return [n]
-    codes = _GEAR[np.frombuffer(text, np.uint8)]
-    rolling = np.zeros(n - WINDOW + 1, np.uint64)
-    for k in range(WINDOW):
-        rolling = (rolling << np.uint64(1)) + codes[k : n - WINDOW + 1 + k]
+    rolling, width = _GEAR[np.frombuffer(text, np.uint8)], 1
+    while width < WINDOW:  # windows of twice the width
+        rolling = (rolling[:-width] << np.uint64(width)) + rolling[width:]
+        width *= 2
     high = rolling >> np.uint64(8)  # bits that all bytes of the window reach
     out, last = [], 0
     for end in (np.flatnonzero((high & np.uint64(MASK)) == 0) + WINDOW).tolist():
@@ -57,15 +67,77 @@ def cuts(text: bytes) -> list[int]:
     return [*out, n]
 
 
+def chunks_of(text: bytes) -> list[bytes]:
+    """The chunks of a text in order; none of an empty one."""
+    ends = cuts(text)
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False) if a < b]
+
+
+def chunk_name(chunk: bytes) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(chunk)
+
+
+class Part(NamedTuple):
+    """A chunk's ids, and its first and last piece where a cut went through them (else empty): their ids don't count."""
+
+    ids: bytes
+    head: bytes
+    tail: bytes
+
+
+class Seam(NamedTuple):
+    """A piece that cuts went through, and a piece on either side of it (empty where there is none at hand)."""
+
+    before: bytes
+    joined: bytes
+    after: bytes
+
+
+def parts_of(chunks: list[bytes], ids: list[bytes]) -> list[Part | Seam]:
+    """What a text's ids are put together from, given those of its chunks."""
+    out: list[Part | Seam] = []
+    rope: list[bytes] = []  # what the chunks so far hold of a piece that goes on
+    before = b""
+    for k, (chunk, own) in enumerate(zip(chunks, ids, strict=True)):
+        goes_on = k + 1 < len(chunks) and chunk[-1] not in SPACE and chunks[k + 1][0] not in SPACE
+        head = tail = b""
+        if rope:
+            first = chunk.split(None, 2)[:2]
+            rope.append(first[0])
+            if len(first) == 1 and goes_on:
+                continue
+            out.append(Seam(before, b"".join(rope), first[1] if len(first) == 2 else b""))
+            rope = []
+            if len(first) == 1:
+                continue
+            head = first[0]
+        if goes_on:
+            last = chunk.rsplit(None, 2)[-2:]
+            before, tail = last[0] if len(last) == 2 else b"", last[-1]
+            rope = [tail]
+        out.append(Part(own, head, tail))
+    return out
+
+
 def _slices(items: list, size: int = 4096) -> Iterator[list]:
     for at in range(0, len(items), size):
         yield items[at : at + size]
 
 
+def _offsets_hold(text: str) -> bool:
+    """Whether normalisation changes no lengths and no special token may occur, so that offsets tell whose a token is."""
+    return "<|" not in text and (text.isascii() or is_normalized("NFC", text) and len(text.lower()) == len(text))
+
+
 class ChunkCoder:
-    """Encodes and decodes as the tokenizer in a file does, without special tokens added."""
+    """Encodes and decodes as the tokenizer in a file does, without special tokens added.
+
+    Ids are kept as the bytes of 32-bit integers.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, shared: dict[bytes, bytes] | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,15 +146,22 @@ class ChunkCoder:
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         if self.tokenizer.decoder is not None or self.tokenizer.pre_tokenizer is None:
             raise ValueError("this tokenizer's words are not separated by white space")
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
-        self.marks: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[bytes, list[tuple[int, ...]]] = {}
+        self.pieces: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.shared = shared or {}
+        self.chunks: dict[bytes, bytes] = {}
         self.held = 0
         self.reused = self.encoded = self.repaired = 0
 
-    def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of each of some pieces (whose offsets hold), from one call."""
+        encoding = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begin = np.array([b for b, _ in encoding.offsets], np.int64)
+        return _dealt(encoding.ids, np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts])).tolist())
 
     def learn(self, wanted: Iterable[bytes]) -> None:
         """Encode pieces that aren't remembered, many in one call."""
@@ -97,9 +176,9 @@ class ChunkCoder:
                 pieces[p] = older[p]
                 continue
             text = p.decode("utf-8", "replace")
-            # Offsets are exact where normalisation changes no lengths and no special token may occur.
-            exact = "<|" not in text and (text.isascii() or is_normalized("NFC", text) and len(text.lower()) == len(text))
-            if not exact:
+            if text.isalpha() and text.isascii():
+                runs[p] = text
+            elif not _offsets_hold(text):
                 alone.append((p, text))
             elif text.isalpha():
                 runs[p] = text
@@ -118,125 +197,195 @@ class ChunkCoder:
             if not numbers or numbers[-1] != len(some) - 1:  # not a word each
                 together += some
                 continue
-            self._deal(some, encoding.ids, np.searchsorted(numbers, np.arange(len(some)), side="right").tolist())
+            found = _dealt(encoding.ids, np.searchsorted(numbers, np.arange(len(some)), side="right").tolist())
+            pieces.update(zip((p for p, _ in some), found, strict=True))
         for some in _slices(together):
-            encoding = self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False)
-            begin = np.array([b for b, _ in encoding.offsets], np.int64)
-            self._deal(some, encoding.ids, np.searchsorted(begin, np.cumsum([len(t) + 1 for _, t in some])).tolist())
+            pieces.update(zip((p for p, _ in some), self._together([t for _, t in some]), strict=True))
         for p, text in alone:
-            pieces[p] = tuple(self._plain(text))
+            pieces[p] = self._plain(text)
         for p, core, mark in ended:
             if mark not in self.marks:
-                self.marks[mark] = tuple(self._plain(mark))
+                self.marks[mark] = self._plain(mark)
             pieces[p] = pieces[core] + self.marks[mark]
 
-    def _deal(self, some: list[tuple[bytes, str]], ids: list[int], ends: list[int]) -> None:
-        last = 0
-        for (p, _), end in zip(some, ends, strict=True):
-            self.pieces[p] = tuple(ids[last:end])
-            last = end
+    def repair(self, seams: Iterable[Seam]) -> None:
+        """Encode joined pieces together with those beside them, which must come out as their chunks have them.
+
+        Joined pieces that are remembered did so before.
+        """
+        new = {}
+        for seam in seams:
+            if seam.joined in self.older:
+                self.pieces[seam.joined] = self.older[seam.joined]
+            elif seam.joined not in self.pieces:
+                new[seam.joined] = seam
+        self.repaired += len(new)
+        for some in _slices(list(new.values()), 1024):
+            texts = [[p.decode("utf-8", "replace") for p in seam if p] for seam in some]
+            bulk = [_offsets_hold("".join(own)) for own in texts]
+            dealt = iter(self._together([t for own, b in zip(texts, bulk, strict=True) if b for t in own]))
+            for seam, own, b in zip(some, texts, bulk, strict=True):
+                ids = b"".join([next(dealt) for _ in own]) if b else self._plain(" ".join(own))
+                head, tail = self.pieces[seam.before], self.pieces[seam.after]
+                if not (ids.startswith(head) and ids.endswith(tail) and len(head) + len(tail) <= len(ids)):
+                    raise ValueError("the tokenizer merges across white space")
+                self.pieces[seam.joined] = ids[len(head) : len(ids) - len(tail)]
 
     def forget(self) -> None:
         """Keep to the bounds: what was used since the last time outlives what was not."""
         if len(self.pieces) > PIECES:
-            self.older = {k: v for k, v in self.pieces.items() if len(k) <= PIECE_BYTES}
-            self.pieces = {}
-
-    def piece(self, p: bytes) -> tuple[int, ...]:
-        found = self.pieces.get(p)
-        if found is None:
-            self.learn([p])
-            found = self.pieces[p]
-        return found
-
-    def chunk(self, text: bytes) -> list[tuple[int, ...]]:
-        """Ids of each piece of a chunk."""
-        found = self.chunks.get(text)
-        if found is not None:
-            self.reused += 1
-            return found
-        self.encoded += 1
-        parts = text.split()
-        found = list(map(self.pieces.get, parts))
-        if None in found:
-            found = list(map(self.piece, parts))
+            for p in [p for p in self.pieces if len(p) > PIECE_BYTES]:
+                del self.pieces[p]
+            self.older, self.pieces = self.pieces, {b"": b""}
         if self.held > CHUNK_BYTES:
             self.chunks, self.held = {}, 0
-        self.chunks[text] = found
-        self.held += len(text)
-        return found
+
+    def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk on its own: shared, remembered, or encoded now."""
+        names = [chunk_name(c) for c in chunks]
+        new = {n: c for n, c in zip(names, chunks, strict=True) if n not in self.shared and n not in self.chunks}
+        self.encoded += len(new)
+        self.reused += len(names) - len(new)
+        words = {n: c.split() for n, c in new.items()}
+        self.learn({p for own in words.values() for p in own})
+        for n, own in words.items():
+            self.chunks[n] = b"".join(map(self.pieces.__getitem__, own))
+            self.held += len(self.chunks[n]) + 150
+        return [self.shared[n] if n in self.shared else self.chunks[n] for n in names]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each whole text."""
+        self.forget()
+        cut = [chunks_of(t) for t in texts]
+        ids = iter(self.chunk_ids([c for own in cut for c in own]))
+        parts = [parts_of(own, [next(ids) for _ in own]) for own in cut]
+        seams = [x for own in parts for x in own if isinstance(x, Seam)]
+        self.learn({p for own in parts for x in own for p in ((x.before, x.after) if isinstance(x, Seam) else (x.head, x.tail))})
+        self.repair(seams)
+        found = self.pieces
+        out = [b"".join([found[x.joined] if isinstance(x, Seam) else x.ids[len(found[x.head]) : len(x.ids) - len(found[x.tail])] for x in own]) for own in parts]
+        for p in [p for seam in seams for p in seam if len(p) > PIECE_BYTES]:
+            found.pop(p, None)
+        return out
 
     def encode(self, text: bytes) -> list[int]:
-        """The ids of a whole text."""
-        words: list[tuple[int, ...]] = []
-        raw: list[bytes] = []  # the pieces whose ids are in words since the last join, for repairs
-        last = 0
-        for end in cuts(text):
-            part = text[last:end]
-            found = self.chunk(part)
-            if found:
-                pieces = part.split()
-                inside = raw and last and text[last - 1] not in SPACE and text[last] not in SPACE
-                if not inside:
-                    words += found
-                    raw = pieces
-                else:
-                    joined = raw[-1] + pieces[0]
-                    seam = self._repair(raw, words, joined, pieces, found)
-                    words[-1:] = [seam]
-                    words += found[1:]
-                    raw = [joined, *pieces[1:]]
-            elif part:
-                raw = []
-            last = end
-        return list(chain.from_iterable(words))
-
-    def _repair(self, raw: list[bytes], words: list[tuple[int, ...]], joined: bytes, pieces: list[bytes], found: list[tuple[int, ...]]) -> tuple[int, ...]:
-        """Ids of the piece that a cut went through."""
-        self.repaired += 1
-        reach = 1
-        while True:
-            left, right = min(reach, len(raw) - 1, len(words) - 1), min(reach, len(pieces) - 1)
-            before, after = raw[len(raw) - 1 - left : len(raw) - 1], pieces[1 : 1 + right]
-            ids = tuple(self._plain(b" ".join([*before, joined, *after]).decode("utf-8", "replace")))
-            head = tuple(i for w in words[len(words) - 1 - left : len(words) - 1] for i in w)
-            tail = tuple(i for w in found[1 : 1 + right] for i in w)
-            if ids[: len(head)] == head and ids[len(ids) - len(tail) :] == tail and len(head) + len(tail) <= len(ids):
-                return ids[len(head) : len(ids) - len(tail)]
-            if left < reach and right < reach:
-                raise ValueError("the tokenizer merges across white space")
-            reach *= 2
+        """The ids of one whole text."""
+        return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokenizer's decode(ids, skip_special_tokens=False): without a decoder, tokens joined by spaces."""
         return " ".join(map(self.names.__getitem__, ids))
 
 
+def _dealt(ids: list[int], ends: list[int]) -> list[bytes]:
+    every = np.array(ids, np.int32).tobytes()
+    return [every[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 _coders: dict[str, ChunkCoder] = {}
 
 
-def coder(path: str) -> ChunkCoder:
-    """This worker's coder; it outlives tasks."""
+def coder(path: str, shared: dict[bytes, bytes] | None = None) -> ChunkCoder:
+    """This worker's coder; it outlives tasks, with the shared chunks of the last."""
     if path not in _coders:
         _coders[path] = ChunkCoder(path)
+    if shared is not None:
+        _coders[path].shared = shared
     return _coders[path]
 
 
-def encode_texts(path: str, texts: pa.Array) -> Iterator[list[int]]:
-    """Ids of each text; null counts as empty."""
-    own = coder(path)
-    texts = texts.cast(pa.large_binary())
-    at, n = 0, len(texts)
+def _texts(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a column, null as empty, about STEP bytes at a time."""
+    column = column.cast(pa.large_binary())
+    at, n = 0, len(column)
     while at < n:
         some, size = [], 0
         while at < n and (not some or size < STEP):
-            some.append(texts[at].as_py() or b"")
+            some.append(column[at].as_py() or b"")
             size += len(some[-1])
             at += 1
-        own.forget()
-        own.learn({p for text in some for p in text.split()})
-        for text in some:
-            yield own.encode(text)
+        yield some
+
+
+def _arrays(path: str, texts: pa.Array, shared: dict[bytes, bytes] | None = None) -> Iterator[np.ndarray]:
+    own = coder(path, shared)
+    for some in _texts(texts):
+        for ids in own.encode_all(some):
+            yield np.frombuffer(ids, np.int32)
+
+
+def encode_texts(path: str, texts: pa.Array, shared: dict[bytes, bytes] | None = None) -> Iterator[list[int]]:
+    """Ids of each text; null counts as empty."""
+    return (ids.tolist() for ids in _arrays(path, texts, shared))
+
+
+def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of chunks and how often a task met them, summed up as far as FLUSH of them go."""
+    counts: dict[bytes, int] = {}
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["chunk", "n"])
+
+    for batch in batches:
+        for some in _texts(batch.column(0)):
+            for text in some:
+                for chunk in chunks_of(text):
+                    if len(chunk) <= MOST:
+                        name = chunk_name(chunk)
+                        counts[name] = counts.get(name, 0) + 1
+            if len(counts) >= FLUSH:
+                yield flush()
+                counts = {}
+    if counts:
+        yield flush()
+
+
+def shared_chunks(docs: DataFrame, path: str, text_col: str = "text", most: int = SHARED) -> dict[bytes, bytes]:
+    """Ids of the chunks of ``docs`` that occur most often, twice at least, by digest.
+
+    A histogram of counts (eight steps to a power of two) tells how often a chunk must occur so that
+    ``most`` at most do.  Bounded by ``most`` times the ids of ``MOST`` bytes, whatever the input.
+    """
+    scratch = Scratch(docs.sparkSession, "chunks")
+    texts = docs.select(F.col(quoted(text_col)).cast("string").alias("text"))
+    counted = texts.mapInArrow(_count_batches, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = scratch.keep(counted.select("chunk", F.floor(F.log2("n") * 8).cast("int").alias("step")), "counted")
+    level, total = None, 0
+    for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # 8 rows for each power of two
+        total += r["count"]
+        if total > most:
+            break
+        level = r["step"]
+    wanted = {bytes(r["chunk"]) for r in counted.where(F.col("step") >= level).collect()} if level is not None else set()
+    scratch.end()
+    if not wanted:
+        return {}
+    known = docs.sparkSession.sparkContext.broadcast(wanted)  # ``most`` digests at most
+
+    def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each wanted chunk that a task meets, once."""
+        left = set(known.value)
+        for batch in batches:
+            for some in _texts(batch.column(0)):
+                found = {}
+                for text in some:
+                    for chunk in chunks_of(text):
+                        name = chunk_name(chunk)
+                        if name in left:
+                            left.discard(name)
+                            found[name] = chunk
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["chunk", "text"])
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path, {})
+        for batch in batches:
+            ids = own.chunk_ids(batch.column(1).to_pylist())
+            own.forget()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["chunk", "ids"])
+
+    found = texts.mapInArrow(fetch, "chunk binary, text binary").groupBy("chunk").agg(F.first("text").alias("text"))
+    return {bytes(r["chunk"]): bytes(r["ids"]) for r in found.mapInArrow(encode, "chunk binary, ids binary").collect()}
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -244,23 +393,35 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with a column ``out`` array<int>: the ids of each whole text.
+def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) and ``out`` array<int>: the ids of each whole text.
 
     Null and empty texts and those of white space give empty arrays.  A column named ``out`` is
     replaced; all others pass through, rows that repeat included.  An empty table stays empty.
     """
-    kept = [c for c in docs.columns if c != out]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != out]
+    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text_col))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(batch: pa.RecordBatch, ids: list[np.ndarray]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*kept, out])
+
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids = pa.array(list(encode_texts(path, batch.column(len(kept)))), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*kept, out])
+            begin, waiting, size = 0, [], 0
+            for at, ids in enumerate(_arrays(path, whole.column(len(kept)), shared.value)):
+                waiting.append(ids)
+                size += len(ids)
+                if size >= STEP // 4:
+                    yield packed(whole.slice(begin, at + 1 - begin), waiting)
+                    begin, waiting, size = at + 1, [], 0
+            if waiting:
+                yield packed(whole.slice(begin), waiting)
 
-    schema = docs.select(*kept).schema.add(out, T.ArrayType(T.IntegerType()))
-    return _numbered(docs.select(*kept, F.col(text_col).cast("string"))).mapInArrow(run, schema)
+    chosen = docs.select(*map(quoted, kept))
+    schema = chosen.schema.add(out, T.ArrayType(T.IntegerType()))
+    return _numbered(docs.select(*map(quoted, kept), F.col(quoted(text_col)).cast("string"))).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -272,11 +433,11 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = [own.decode(x or ()) for x in batch.column(len(kept)).to_pylist()]
+                texts = [own.decode(x.as_py() or ()) for x in batch.column(len(kept))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, out])
 
-    schema = docs.select(*kept).schema.add(out, "string")
-    return _numbered(docs.select(*kept, F.col(ids_col))).mapInArrow(run, schema)
+    schema = docs.select(*map(quoted, kept)).schema.add(out, "string")
+    return _numbered(docs.select(*map(quoted, kept), quoted(ids_col))).mapInArrow(run, schema)
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,13 +446,14 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     Ids and decoded texts stay in the worker.  Null counts as empty; other columns are ignored; an
     empty table gives no rows.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text_col))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         numbers = [str(i) for i in range(len(own.names))]
         for batch in batches:
             counts, ids_digests, decoded_digests = [], [], []
-            for ids in encode_texts(path, batch.column(1)):
+            for ids in encode_texts(path, batch.column(1), shared.value):
                 counts.append(len(ids))
                 ids_digests.append(hashlib.sha256(" ".join(map(numbers.__getitem__, ids)).encode()).hexdigest())
                 decoded_digests.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
@@ -300,5 +462,5 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    chosen = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_encoded"))
-    return chosen.mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    chosen = docs.select(F.col(quoted(id_col)).cast("long").alias(id_col), F.col(quoted(text_col)).cast("string").alias("_encoded"))
+    return chosen.mapInArrow(run, f"{quoted(id_col)} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
