@@ -45,4 +45,36 @@ RULES = [
     Rule("tautology_verbose", "review", 0.36, "同义反复 / 啰嗦", r"(换言之|换句话说|也就是说|亦即|换个角度(说|看)|从某种(意义|程度)上(说|讲)?|严格(来说|地说)|准确地?说|in other words|that is to say|to put it (differently|another way)|strictly speaking|more precisely,)[^\n。！？]{0,}?(。|！|？|\n)"),
 ]
 
+# What each rule's hits tell a reader.
+NOTES = {
+    "problem_motivation": "点明论文要解决的问题，是全文的出发点，删了就看不懂为什么做。",
+    "definition_notation": "形式化定义或符号约定，是读懂后文公式与方法的前提。",
+    "method_extract": "核心方法 / 技术路线所在，论文最该保留的部分之一。",
+    "system_architecture": "系统或模型的整体结构，理解全文的骨架。",
+    "algorithm_extract": "算法流程或优化目标，方法可复现的关键细节。",
+    "innovation_extract": "作者自述的创新与贡献，答辩、审稿最关注的地方。",
+    "experiment_setup": "实验怎么做的（数据集 / 指标 / 设置），决定结果可不可信。",
+    "experiment_result": "实验得到的关键结果与数据，论文的事实依据。",
+    "performance_gain": "量化的性能提升 / 对比优势，最硬的证据，务必保留。",
+    "metric_indicator": "吞吐、延迟、能耗等工科度量的实测值（须带数字，光提指标名不计入）。",
+    "figure_table_ref": "指向图 / 表的句子，通常承载关键数据或结论，是结果的索引。",
+    "formula_extract": "公式 / 数学表达，方法的形式化核心。",
+    "theorem_proof": "理论结果（定理 / 证明 / 假设），论文的理论支撑。",
+    "implementation": "实现与运行环境（平台 / 硬件 / 框架），关乎可复现性。",
+    "conclusion_extract": "结论性论断，全文要点的收口。",
+    "limitation_future": "作者承认的局限与后续方向，体现研究的严谨与边界。",
+    "generic_background": "开头的背景铺垫，与核心结论关系弱。这类「近年来 / 随着…发展」的套话通常可删，或压成一句。",
+    "importance_cliche": "「具有重要意义 / 广泛应用」是泛化论断、缺具体支撑，审稿常视为注水。建议删，或换成具体数据。",
+    "common_definition": "对常识概念的泛泛解释（「所谓…是指」「通常指…」），多为铺垫，对核心贡献无增量，可删。",
+    "redundant_transition": "纯过渡或章节预告（「首先 / 其次」「本文组织如下」），信息量低，精简后不影响阅读。",
+    "filler_hedge": "「值得注意的是 / 在一定程度上」等填充与模糊限定词，删掉不损信息，句子更紧。",
+    "vague_prospect": "「提供了新思路 / 应用前景广阔 / 有望」类空泛展望，缺落地依据，建议删或换成具体方向。",
+    "acknowledgment_funding": "致谢 / 基金属正文外信息，提取论文核心内容时一般可剔除。",
+    "statistical_significance": "统计显著性（p 值 / 置信区间 / 显著性检验），结果可信度的硬证据。",
+    "hyperparameter_setting": "学习率、batch、轮数等超参与训练设置，决定结果能否复现。",
+    "comparison_baseline": "与基线 / 现有方法的对比，是衡量贡献大小的参照系。",
+    "exaggeration": "「大大 / 极大 / 完美 / 前所未有」类无数据支撑的夸大，审稿易反感，建议删或换成具体数字。",
+    "tautology_verbose": "「换言之 / 也就是说 / 亦即」等重复表述，前句已说清，删之更紧凑。",
+}
+
 KEEP = [r.name for r in RULES if r.action == "keep"]

@@ -67,12 +67,20 @@ def cap_per_class(rows: DataFrame, cap: int = 90) -> DataFrame:
 
 
 def split_by_paper(rows: DataFrame, share: float = 0.1) -> DataFrame:
-    """``rows`` with ``split``: whole papers go to val, in the order of a hash, until ``share`` of the rows is there."""
-    sizes = rows.where("_paper <> '_synthetic'").groupBy("_paper").agg(F.count(F.lit(1)).alias("n"))
+    """``rows`` with ``split``: whole papers go to val, in the order of a hash, until ``share`` of the rows is there.
+
+    Papers are summed up in slices of the hash; only the sums of slices (4096 rows at most) meet in one
+    window, and papers are put in order within their slice.
+    """
+    own = rows.where("_paper <> '_synthetic'").groupBy("_paper").agg(F.count(F.lit(1)).alias("n")).withColumn("_h", F.md5("_paper"))
+    sizes = own.withColumn("_slice", F.substring("_h", 1, 3))
     total = rows.agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("target"))
-    before = Window.orderBy(F.md5("_paper"), "_paper").rowsBetween(Window.unboundedPreceding, -1)  # one row per paper
-    chosen = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).crossJoin(F.broadcast(total)).where("before < target")
-    marked = rows.join(chosen.select("_paper", F.lit(True).alias("_val")), "_paper", "left")
+    ahead = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = sizes.groupBy("_slice").agg(F.sum("n").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    slices = slices.crossJoin(F.broadcast(total)).where("_ahead < target")  # total: a single row
+    before = Window.partitionBy("_slice").orderBy("_h", "_paper").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.join(F.broadcast(slices), "_slice").withColumn("_before", F.col("_ahead") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+    marked = rows.join(placed.where("_before < target").select("_paper", F.lit(True).alias("_val")), "_paper", "left")
     return marked.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import DENSITY_WORDS
 from ..functions.rowwise import fields, map_rows
-from ..functions.rule_table import RULES
+from ..functions.rule_table import NOTES, RULES
 from .clean import clean_snippet
 
 #: Java flags under which patterns find what Python's re.IGNORECASE does: Unicode case and classes, \n ends lines.
@@ -20,9 +20,9 @@ WINDOW = 320
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    """The rules as a table: ord, name, action, prior, description."""
-    rows = [(i, r.name, r.action, r.prior, r.description) for i, r in enumerate(RULES)]
-    return spark.createDataFrame(rows, "ord int, name string, action string, prior double, description string")
+    """The rules as a table: ord, name, action, prior, description, note, pattern."""
+    rows = [(i, r.name, r.action, r.prior, r.description, NOTES[r.name], r.pattern) for i, r in enumerate(RULES)]
+    return spark.createDataFrame(rows, "ord int, name string, action string, prior double, description string, note string, pattern string")
 
 
 def all_hits(text: Column) -> Column:
@@ -35,12 +35,23 @@ def all_hits(text: Column) -> Column:
 
 
 def rule_hits(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per hit: id, ord, rule, action, prior, n (the hit's number within its rule), hit.
+    """One row per hit: id, ord, rule, action, prior, note, n (the hit's number within its rule), hit.
 
     Null and empty texts have none.  No shuffle, no join: the rules are literals.
     """
-    rows = docs.select(id_col, F.explode(F.filter(all_hits(F.coalesce(F.col("text"), F.lit(""))), lambda r: F.size(r["hits"]) > 0)).alias("r"))
-    return rows.select(id_col, "r.ord", "r.rule", "r.action", "r.prior", F.posexplode("r.hits").alias("n", "hit"))
+    return exploded(docs.select(id_col, found_hits(F.col("text")).alias("hits")), id_col)
+
+
+def found_hits(text: Column) -> Column:
+    """``all_hits`` of the rules that find something."""
+    return F.filter(all_hits(F.coalesce(text, F.lit(""))), lambda r: F.size(r["hits"]) > 0)
+
+
+def exploded(rows: DataFrame, *along: str) -> DataFrame:
+    """The hits of a column ``hits`` as rows, with the columns ``along``."""
+    notes = F.create_map(*[F.lit(x) for r in RULES for x in (r.name, NOTES[r.name])])
+    each = rows.select(*along, F.explode("hits").alias("r"))
+    return each.select(*along, "r.ord", "r.rule", "r.action", "r.prior", F.element_at(notes, F.col("r.rule")).alias("note"), F.posexplode("r.hits").alias("n", "hit"))
 
 
 def match_stats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

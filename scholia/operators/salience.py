@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CEILING, FLOOR, FULL_LENGTH, STOPWORDS, TOP_TERMS, UNKNOWN_WORD, WEIGHTS
-from .rules import rule_hits
+from .rules import exploded, found_hits
 
 #: Tokens: pairs of Han characters, or runs of other letters and digits, lower-cased.
 TOKEN = r"[\x{4e00}-\x{9fff}]{1,2}|[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+"
@@ -44,14 +44,17 @@ def tfidf(docs: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id") -> Data
 
 
 def salience(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per hit: id, ord, rule, action, n, hit, the four factors and salience."""
-    weights = tfidf(docs, id_col=id_col)
-    peak = weights.groupBy(id_col).agg(F.max("w").alias("peak"))
-    relative = weights.join(peak, id_col).select(id_col, "term", (F.col("w") / F.col("peak")).alias("share"))
-    hits = rule_hits(docs, id_col).withColumn("t", tokens(F.col("hit"))).withColumn("c", content(F.col("t")))
-    words = hits.select(id_col, "ord", "n", F.explode("c").alias("term")).join(relative, [id_col, "term"], "left")
-    means = words.groupBy(id_col, "ord", "n").agg(F.avg(F.coalesce("share", F.lit(UNKNOWN_WORD))).alias("mean"))
-    rows = hits.join(means, [id_col, "ord", "n"], "left")
+    """One row per hit: id, ord, rule, action, n, hit, the four factors and salience.
+
+    The rules run once.  A document's term weights are one map (of ``TOP_TERMS`` entries at most) that
+    meets its hits in one join by id; a hit's mean weight is taken inside its row.
+    """
+    weights = tfidf(docs, id_col=id_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.max("w").alias("peak"))
+    found = docs.select(id_col, found_hits(F.col("text")).alias("hits")).where(F.size("hits") > 0).join(weights, id_col, "left")
+    rows = exploded(found, id_col, "weights", "peak").withColumn("t", tokens(F.col("hit"))).withColumn("c", content(F.col("t")))
+    share = lambda term: F.coalesce(F.try_element_at(F.col("weights"), term) / F.col("peak"), F.lit(UNKNOWN_WORD))
+    total = F.aggregate("c", F.lit(0.0), lambda sum_, term: sum_ + share(term))
+    rows = rows.withColumn("mean", F.when(F.size("c") > 0, total / F.size("c")))
     rows = rows.withColumn("f_rule", F.col("prior")).withColumn("f_tfidf", F.round(F.least(F.lit(1.0), F.coalesce("mean", F.lit(0.0))), 6))
     rows = rows.withColumn("f_density", F.round(F.size("c") / F.greatest(F.lit(1), F.size("t")), 6))
     rows = rows.withColumn("f_length", F.round(F.least(F.lit(1.0), F.length("hit") / F.lit(FULL_LENGTH)), 6))

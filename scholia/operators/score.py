@@ -13,20 +13,12 @@ DIMENSIONS = ["structure", "innovation", "data_support", "method"]
 FULL_AT = {"expr": 6, "conc": 3, "cross": 2}
 
 
-def contained(low: Column, words: list[str]) -> Column:
-    """How many of the keywords a lower-cased text contains, by a filter over one literal array."""
-    words = lists.distinct(words)
-    if not words:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
-
-
 def covered_flag(low: Column, words: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(low, w)) if words else F.lit(False)
 
 
-def saturate(n: Column, rate: float) -> Column:
-    return F.when(n > 0, 1 - F.pow(F.lit(1.0 - rate), n)).otherwise(F.lit(0.0))
+def saturate(n: Column, rate: Column) -> Column:
+    return F.when(n > 0, 1 - F.pow(1 - rate, n)).otherwise(F.lit(0.0))
 
 
 def structure(cols: dict[str, Column] | None = None) -> Column:
@@ -38,25 +30,20 @@ def numbers(text: Column, strict: bool) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?Ud)" + (NUMBER_STRICT if strict else NUMBER)), F.lit(0)))
 
 
-def graded(n: Column, full: int, most: int) -> Column:
-    return F.least(F.lit(float(most)), F.lit(float(most)) * n / full)
+def _measured(docs: DataFrame, grades: list[tuple[str, str]], words: dict, teacher_cap: int, semantic: dict[str, str] | None, id_col: str) -> DataFrame:
+    """A row per document and (mode, subject) of ``grades``: what the text has, and what the profile asks for.
 
-
-def score_all(docs: DataFrame, mode: str = "teacher", subject: str = "general", lexicon: dict | None = None, teacher_cap: int = 85, semantic: dict[str, str] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """One row per document with every part of the score; no shuffle.
-
-    An unknown mode counts as teacher, an unknown subject as general.  ``semantic`` names columns with
-    numbers of semantic hits for innovation and method (none: 0).  Null texts count as empty.
+    Sections, numbers and the keywords that occur are found once per document; each grade then reads
+    only the short list of keywords.
     """
-    words = lexicon or lists.load()
-    mode = mode if mode in PROFILES else "teacher"
-    subject = subject if subject in words["rubrics"] else "general"
-    p, rubric = PROFILES[mode], words["rubrics"][subject]
     extra = {k: F.col(semantic[k]) if semantic and k in semantic else F.lit(0) for k in ("innovation", "method")}
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = with_sections(docs.withColumn("text", text))
-    low = F.lower("text")
+    rows = with_sections(docs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))))
+    innovation = {m: words["innovation"][m] for m, _ in grades}
+    method = {(m, s): [*words["method"][m], *[w for ws in words["rubrics"][s].values() for w in ws]] for m, s in grades}
+    both = F.concat(F.lower(F.coalesce("abstract", F.lit(""))), F.lit(" "), F.lower("text"))
+    there = lambda text, lists_: F.filter(F.array(*[F.lit(w) for w in lists.distinct([w for ws in lists_ for w in ws])]), lambda w: F.contains(text, w))
     conclusion = F.coalesce(F.nullif("conclusion", F.lit("")), F.col("text"))
+    strict = sorted({PROFILES[m]["strict"] for m, _ in grades})
     rows = rows.select(
         id_col,
         F.length("text").alias("text_length"),
@@ -64,28 +51,41 @@ def score_all(docs: DataFrame, mode: str = "teacher", subject: str = "general",
         (F.lit(5) - sum((F.col(n).isNotNull().cast("int") for n in STRUCTURE_POINTS), F.lit(0))).alias("missing"),
         F.col("keywords").isNull().alias("no_keywords"),
         # The abstract is part of the text, but may end in a keyword that the text's next character breaks.
-        contained(F.concat(F.lower(F.coalesce("abstract", F.lit(""))), F.lit(" "), low), words["innovation"][mode]).alias("innovation_words"),
-        numbers(conclusion, p["strict"]).alias("c"),
-        numbers(F.col("text"), p["strict"]).alias("e"),
-        F.array(*[covered_flag(low, w) for w in rubric.values()]).alias("flags"),
-        contained(low, [*words["method"][mode], *[w for ws in rubric.values() for w in ws]]).alias("method_words"),
+        there(both, innovation.values()).alias("new_words"),
+        there(F.lower("text"), method.values()).alias("words"),
+        *[numbers(t, k).alias(f"{n}_{int(k)}") for k in strict for n, t in (("c", conclusion), ("e", F.col("text")))],
         *[extra[k].cast("int").alias(f"semantic_{k}") for k in extra],
     )
-    rows = rows.withColumn("n_conc", F.size("c")).withColumn("n_expr", F.size("e")).withColumn("n_cross", F.size(F.array_intersect("c", "e")))
-    rows = rows.withColumn("covered", F.size(F.filter("flags", lambda x: x)))
+    among = lambda column, ws: F.size(F.filter(column, lambda w: w.isin(*lists.distinct(ws)))) if ws else F.lit(0)
+
+    def grade(mode: str, subject: str) -> Column:
+        p, rubric, k = PROFILES[mode], words["rubrics"][subject], int(PROFILES[mode]["strict"])
+        covered = sum((F.when(among("words", ws) > 0, 1).otherwise(0) for ws in rubric.values()), F.lit(0))
+        cap = max(70, min(100, teacher_cap)) if mode == "teacher" else p["cap"]
+        parts = {
+            "mode": F.lit(mode), "subject": F.lit(subject), "categories": F.lit(len(rubric)), "cap": F.lit(cap), "rate": F.lit(float(p["rate"])), "depth": F.lit(float(p["depth"])),
+            **{f"full_{n}": F.lit(float(p[n])) for n in FULL_AT}, "innovation_words": among("new_words", innovation[mode]), "method_words": among("words", method[mode, subject]),
+            "covered": covered, "n_conc": F.size(f"c_{k}"), "n_expr": F.size(f"e_{k}"), "n_cross": F.size(F.array_intersect(f"c_{k}", f"e_{k}")),
+        }
+        return F.struct(*[v.alias(n) for n, v in parts.items()])
+
+    return rows.select(id_col, "text_length", "structure", "missing", "no_keywords", "semantic_innovation", "semantic_method", F.inline(F.array(*[grade(m, s) for m, s in grades])))
+
+
+def _graded(rows: DataFrame) -> DataFrame:
+    """Points, total and confidence of what ``_measured`` found."""
     rows = rows.withColumn("innovation_hits", F.expr("innovation_words + semantic_innovation")).withColumn("method_hits", F.expr("method_words + semantic_method"))
-    data = sum((graded(F.col(f"n_{k}"), FULL_AT[k], p[k]) for k in FULL_AT), F.lit(0.0))
-    share = F.lit(0.6) * F.col("covered") / len(rubric) + F.lit(0.4) * saturate(F.col("method_hits"), p["depth"])
-    rows = rows.withColumn("innovation", F.bround(F.round(25 * saturate(F.col("innovation_hits"), p["rate"]), 9)).cast("int"))
+    data = sum((F.least(F.col(f"full_{k}"), F.col(f"full_{k}") * F.col(f"n_{k}") / full) for k, full in FULL_AT.items()), F.lit(0.0))
+    share = F.lit(0.6) * F.col("covered") / F.col("categories") + F.lit(0.4) * saturate(F.col("method_hits"), F.col("depth"))
+    rows = rows.withColumn("innovation", F.bround(F.round(25 * saturate(F.col("innovation_hits"), F.col("rate")), 9)).cast("int"))
     rows = rows.withColumn("data_support", F.least(F.lit(25), F.bround(F.round(data, 9)).cast("int")))
     rows = rows.withColumn("method", F.bround(F.round(25 * share, 9)).cast("int"))
-    cap = max(70, min(100, teacher_cap)) if mode == "teacher" else p["cap"]
-    rows = rows.withColumn("total", F.least(F.lit(cap), sum((F.col(d) for d in DIMENSIONS), F.lit(0)))).withColumn("cap", F.lit(cap))
+    rows = rows.withColumn("total", F.least(F.col("cap"), sum((F.col(d) for d in DIMENSIONS), F.lit(0))))
     reasons = {
         "short text": (F.col("text_length") < 800, 0.35),
         "hits in one category": ((F.col("method_hits") >= 8) & (F.col("covered") <= 1), 0.30),
         "few hits": ((F.col("innovation_hits") == 0) & (F.col("method_hits") <= 1), 0.30),
-        "little coverage": ((F.col("covered") <= 1) & F.lit(subject != "general"), 0.15),
+        "little coverage": ((F.col("covered") <= 1) & (F.col("subject") != "general"), 0.15),
     }
     conf = F.lit(1.0)
     for when, less in reasons.values():
@@ -93,7 +93,19 @@ def score_all(docs: DataFrame, mode: str = "teacher", subject: str = "general",
     conf = F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 9), 2)
     rows = rows.withColumn("conf_score", conf).withColumn("reasons", F.array_compact(F.array(*[F.when(w, F.lit(r)) for r, (w, _) in reasons.items()])))
     rows = rows.withColumn("conf_level", F.when(F.col("conf_score") >= 0.75, "高").when(F.col("conf_score") >= 0.45, "中").otherwise("低"))
-    return rows.withColumn("mode", F.lit(mode)).withColumn("subject", F.lit(subject)).withColumn("categories", F.lit(len(rubric)))
+    return rows.drop("rate", "depth", *[f"full_{k}" for k in FULL_AT])
+
+
+def score_all(docs: DataFrame, mode: str = "teacher", subject: str = "general", lexicon: dict | None = None, teacher_cap: int = 85, semantic: dict[str, str] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """One row per document with every part of the score; no shuffle.
+
+    An unknown mode counts as teacher, an unknown subject as general.  ``semantic`` names columns with
+    numbers of semantic hits for innovation and method (none: 0).  Null texts count as empty.
+    """
+    words = lexicon or lists.load()
+    mode = mode if mode in PROFILES else "teacher"
+    subject = subject if subject in words["rubrics"] else "general"
+    return _graded(_measured(docs, [(mode, subject)], words, teacher_cap, semantic, id_col))
 
 
 #: First suggestion of each dimension, as a condition and a text.
@@ -119,13 +131,10 @@ def suggestions(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def matrix(docs: DataFrame, lexicon: dict | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Totals of each document under every profile and subject."""
+    """Totals of each document under every profile and subject, from one scan."""
     words = lexicon or lists.load()
-    parts = [score_all(docs, m, s, words, id_col=id_col).select(id_col, "mode", "subject", *DIMENSIONS, "total") for m in PROFILES for s in words["rubrics"]]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = _graded(_measured(docs, [(m, s) for m in PROFILES for s in words["rubrics"]], words, 85, None, id_col))
+    return rows.select(id_col, "mode", "subject", *DIMENSIONS, "total")
 
 
 def level(total: Column) -> Column:

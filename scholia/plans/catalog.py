@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, lexicon
-from ..functions.rule_table import RULES
+from ..functions.rule_table import NOTES, RULES
 from ..operators import clean, dataset, quota, rollup, rules, salience, score, sections, semantic, text_ai
 from ..sources import papers as sources
 from ..streaming import usage as streams
@@ -62,11 +62,11 @@ def text_quality_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"SELECT doc_id, coalesce(CASE WHEN {_QUALITY.replace('(x', '(a').replace(' x', ' a').replace('(a,', '(a,')} THEN a END, CASE WHEN {_QUALITY.replace('(x', '(b').replace(' x', ' b')} THEN b END, '') AS text "
-    "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat('(cid:12) ', 50) ELSE substring(text, 1, 80) END AS a, substring(text, 1, 40) AS b FROM documents)"
+    "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat('(cid:12) ', 50) ELSE text END AS a, reverse(text) AS b FROM documents)"
 )
 def extract_coalesce(spark: SparkSession, d: str) -> DataFrame:
-    first = F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("(cid:12) "), 50)).otherwise(F.substring("text", 1, 80))
-    return documents(spark, d).select("doc_id", clean.first_good(first, F.substring("text", 1, 40)).alias("text"))
+    first = F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("(cid:12) "), 50)).otherwise(F.col("text"))
+    return documents(spark, d).select("doc_id", clean.first_good(first, F.reverse("text")).alias("text"))
 
 
 _LINES = "array_to_string([p_brand, 'Journal of Tests', p_name, 'Journal of Tests', CAST(p_partkey AS STRING), p_type, 'download here', p_name || ' two', p_brand || ' three', CASE WHEN p_partkey % 2 = 0 THEN 'Journal of Tests' ELSE 'x' END, 'Journal of Tests', 'download here', 'a', 'b', 'c', 'd', 'e', 'f', 'g'], chr(10))"
@@ -151,7 +151,7 @@ def ocr_reading_order(spark: SparkSession, d: str) -> DataFrame:
 # Rules and salience.
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {s.q(r.name)}, {s.q(r.action)}, {r.prior}::DOUBLE, {s.q(r.description)})" for i, r in enumerate(RULES)) + ") t(ord, name, action, prior, description)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {s.q(r.name)}, {s.q(r.action)}, {r.prior}::DOUBLE, {s.q(r.description)}, {s.q(NOTES[r.name])}, {s.q(r.pattern)})" for i, r in enumerate(RULES)) + ") t(ord, name, action, prior, description, note, pattern)")
 def rules_catalog(spark: SparkSession, d: str) -> DataFrame:
     return rules.catalog(spark)
 
@@ -356,9 +356,9 @@ def doc_library(spark: SparkSession, d: str) -> DataFrame:
     return rollup.doc_library(files, names, analyses)
 
 
-@query("WITH old AS (SELECT c_custkey % 100 AS k, min(c_custkey) AS v FROM customer WHERE c_custkey % 100 < 50 GROUP BY 1), new AS (SELECT s_suppkey AS k, s_suppkey + 100000 AS v FROM supplier UNION ALL SELECT s_suppkey, s_suppkey + 200000 FROM supplier) SELECT k, v FROM old UNION ALL SELECT k, min(v) FROM new WHERE k NOT IN (SELECT k FROM old) GROUP BY k")
+@query("WITH old AS (SELECT c_custkey * 2 AS k, min(c_custkey) AS v FROM customer GROUP BY 1), new AS (SELECT s_suppkey AS k, s_suppkey + 100000 AS v FROM supplier UNION ALL SELECT s_suppkey, s_suppkey + 200000 FROM supplier) SELECT k, v FROM old UNION ALL SELECT k, min(v) FROM new WHERE k NOT IN (SELECT k FROM old) GROUP BY k")
 def upsert_ignore(spark: SparkSession, d: str) -> DataFrame:
-    old = table(spark, d, "customer").selectExpr("c_custkey % 100 AS k", "c_custkey AS v").where("k < 50").groupBy("k").agg(F.min("v").alias("v"))
+    old = table(spark, d, "customer").selectExpr("c_custkey * 2 AS k", "c_custkey AS v").groupBy("k").agg(F.min("v").alias("v"))
     suppliers = table(spark, d, "supplier")
     new = suppliers.selectExpr("s_suppkey AS k", "s_suppkey + 100000 AS v").unionByName(suppliers.selectExpr("s_suppkey AS k", "s_suppkey + 200000 AS v"))
     return rollup.insert_or_ignore(old, new, "k", ["v"])
@@ -516,7 +516,7 @@ def keywords_topk(spark: SparkSession, d: str) -> DataFrame:
     return text_ai.keywords_topk(documents(spark, d))
 
 
-_THOUGHT = "CASE WHEN conv_id % 2 = 0 THEN '<think>' || role || '</think> ' || substring(text, 1, 60) ELSE substring(text, 1, 60) END"
+_THOUGHT = "CASE WHEN conv_id % 2 = 0 THEN '<think>' || role || '</think> ' || text ELSE text END"
 
 
 @query(f"SELECT conv_id, turn, {s.strip(f"regexp_replace(CASE WHEN contains(x, '</think>') THEN list_last(string_split(x, '</think>')) ELSE x END, '<think>.*?</think>', '', 'gs')")} AS answer FROM (SELECT conv_id, turn, {_THOUGHT} AS x FROM conversations)")
@@ -589,12 +589,12 @@ def label_distribution(spark: SparkSession, d: str) -> DataFrame:
 _SAYS = "CASE WHEN p_partkey % 3 = 0 THEN 'We propose ' || p_name || '.' ELSE 'The dataset holds ' || p_name || '.' END"
 
 
-@query(f"""WITH g AS (SELECT p_type AS paper, list(DISTINCT s) FILTER (k = 0) AS core, list(DISTINCT s) AS candidates FROM (SELECT p_type, p_partkey % 3 AS k, {_SAYS} AS s FROM part WHERE p_partkey < 20) GROUP BY p_type),
+@query(f"""WITH g AS (SELECT paper, list(DISTINCT s) FILTER (k = 0) AS core, list(DISTINCT s) AS candidates FROM (SELECT CAST(p_partkey // 8 AS STRING) AS paper, p_partkey % 3 AS k, {_SAYS} AS s FROM part) GROUP BY paper),
  c AS (SELECT DISTINCT paper, unnest(core) AS s FROM g), o AS (SELECT DISTINCT paper, unnest(candidates) AS s FROM g)
  SELECT 'is_core' AS instruction, s AS input, '是' AS output, paper AS _paper FROM c UNION ALL SELECT 'is_core', s, '否', paper FROM o WHERE (paper, s) NOT IN (SELECT paper, s FROM c)
  UNION ALL SELECT 'pick_core', array_to_string(list_sort(candidates), chr(10)), list_sort(core)[1], paper FROM g WHERE len(candidates) BETWEEN 2 AND 12 AND len(core) > 0""")
 def gold_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").where("p_partkey < 20").selectExpr("p_type AS paper", "p_partkey % 3 AS k", f"{_SAYS} AS s")
+    rows = table(spark, d, "part").selectExpr("CAST(p_partkey div 8 AS STRING) AS paper", "p_partkey % 3 AS k", f"{_SAYS} AS s")
     gold = rows.groupBy("paper").agg(F.array_sort(F.collect_set(F.when(F.col("k") == 0, F.col("s")))).alias("core"), F.array_sort(F.collect_set("s")).alias("candidates"))  # a paper's own sentences
     return dataset.gold_labels(gold)
 

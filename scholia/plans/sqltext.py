@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import fixed, lexicon
-from ..functions.rule_table import RULES
+from ..functions.rule_table import NOTES, RULES
 from ..operators import clean, sections
 from ..sources.papers import PAPER_TEXT
 
@@ -32,9 +32,9 @@ def covered(low: str, rubric: dict[str, list[str]]) -> str:
 
 
 HITS = "hits AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, {i} AS ord, {q(r.name)} AS rule, {q(r.action)} AS action, {r.prior}::DOUBLE AS prior, regexp_extract_all(text, {q(r.pattern)}, 0, 'i') AS found FROM papers"
+    f"SELECT doc_id, {i} AS ord, {q(r.name)} AS rule, {q(r.action)} AS action, {r.prior}::DOUBLE AS prior, {q(NOTES[r.name])} AS note, regexp_extract_all(text, {q(r.pattern)}, 0, 'i') AS found FROM papers"
     for i, r in enumerate(RULES)
-) + "), each_hit AS (SELECT doc_id, ord, rule, action, prior, k.n::INT AS n, found[k.n + 1] AS hit FROM hits, LATERAL (SELECT unnest(range(len(found))) AS n) k)"
+) + "), each_hit AS (SELECT doc_id, ord, rule, action, prior, note, k.n::INT AS n, found[k.n + 1] AS hit FROM hits, LATERAL (SELECT unnest(range(len(found))) AS n) k)"
 
 _LETTERS = r"[^\x{4e00}-\x{9fff}A-Za-z]"
 _SENTENCE = strip("s")

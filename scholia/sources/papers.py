@@ -17,9 +17,19 @@ ELSE 'Abstract' || chr(10) || 'We propose a novel ' || lower(p_type) || ' scheme
 END"""
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in a partition for each core, if a small input has fewer splits than that.
+
+    Costly expressions follow; a large input has splits enough and isn't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): a paper for each part."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.expr(PAPER_TEXT).alias("text"))
+    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"))
+    return parts.select(F.col("p_partkey").alias("doc_id"), F.expr(PAPER_TEXT).alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
