@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packing import expand, squeeze
 from .scratch import Scratch
 
 BLOCK, PART, TOP, CLASSES, TAILS, ROUNDS = 1 << 21, 1 << 17, 4096, 64, 32, 6
@@ -66,21 +67,6 @@ _TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.in
 _NAMES = ["block", "ids", "held", "lengths", "tokens", "hashes", "counts"]
 
 
-def _squeeze(numbers: np.ndarray) -> bytes:
-    """Integers as zstd of their byte planes (the high ones are mostly zero)."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes())
-
-
-def _expand(packed: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
-
-
 def word_hash(word: bytes) -> int:
     """59 bits of a hash of the word above 5 bits of its tail class, signed."""
     import xxhash
@@ -106,7 +92,7 @@ def _number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.bincount(tokens[np.repeat(~np.array(held, bool), lengths)], minlength=len(numbers))[order].astype(np.int32)
         words = list(numbers)
         hashes = np.fromiter((word_hash(words[k]) for k in order.tolist()), np.int64, len(order))
-        whole = [[(task << 24) + count], [ids], [held], [lengths], [_squeeze(rank[tokens])], [hashes.tobytes()], [_squeeze(n)]]
+        whole = [[(task << 24) + count], [ids], [held], [lengths], [squeeze(rank[tokens])], [hashes.tobytes()], [squeeze(n)]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(whole, _TYPES, strict=True)], names=_NAMES)
 
     for batch in batches:
@@ -143,10 +129,10 @@ def _ask(buckets: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hashes, n = np.frombuffer(row["hashes"], np.int64), _expand(row["counts"], np.int32)
+                hashes, n = np.frombuffer(row["hashes"], np.int64), expand(row["counts"], np.int32)
                 order, cuts = _bucketed(hashes, buckets)
                 parts = [(k, order[cuts[k] : cuts[k + 1]]) for k in range(buckets) if cuts[k] < cuts[k + 1]]
-                rows = [(row["block"], k, hashes[at].tobytes(), _squeeze(n[at])) for k, at in parts]
+                rows = [(row["block"], k, hashes[at].tobytes(), squeeze(n[at])) for k, at in parts]
                 yield _rows(rows, ["owner", "bucket", "hashes", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
@@ -160,7 +146,7 @@ _ANSWER_NAMES = ["owner", "bucket", "counts", "places", "top", "tails", "cluster
 def _count_bucket(rows: pa.Table) -> pa.Table:
     """To each block the corpus counts of its words, and the places in the bucket of those to cluster; a row without owner sums up."""
     hashes = [np.frombuffer(x, np.int64) for x in rows.column("hashes").to_pylist()]
-    n = np.concatenate([_expand(x, np.int32) for x in rows.column("counts").to_pylist()])
+    n = np.concatenate([expand(x, np.int32) for x in rows.column("counts").to_pylist()])
     every, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     c = np.bincount(inverse, weights=n, minlength=len(every)).astype(np.int64)
     place = np.cumsum(c >= LEAST) - 1
@@ -169,7 +155,7 @@ def _count_bucket(rows: pa.Table) -> pa.Table:
         mine = inverse[at : at + len(own)]
         at += len(own)
         places = place[mine][c[mine] >= LEAST]
-        out.append((owner, bucket, _squeeze(c[mine]), _squeeze(np.diff(places, prepend=0).astype(np.uint32)), None, None, None, None))
+        out.append((owner, bucket, squeeze(c[mine]), squeeze(np.diff(places, prepend=0).astype(np.uint32)), None, None, None, None))
     best = np.lexsort((every, -c))[:TOP]
     top = [{"c": int(c[k]), "h": int(every[k])} for k in best if c[k] >= LEAST]
     single = (c > 0) & (c < LEAST)
@@ -192,9 +178,9 @@ def _join_block(tops: np.ndarray, buckets: int) -> Callable:
         order, cuts = _bucketed(hashes, buckets)
         by = np.argsort(answers.column("bucket").to_numpy()).tolist()
         counts, places = answers.column("counts").to_pylist(), answers.column("places").to_pylist()
-        found = np.concatenate([np.zeros(0, np.int64), *(_expand(counts[k], np.int64) for k in by)])
+        found = np.concatenate([np.zeros(0, np.int64), *(expand(counts[k], np.int64) for k in by)])
         place = np.full(len(order), -1, np.int64)
-        place[found >= LEAST] = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_expand(places[k], np.uint32), dtype=np.int64) for k in by)])
+        place[found >= LEAST] = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(expand(places[k], np.uint32), dtype=np.int64) for k in by)])
         c = np.empty(len(order), np.int64)
         c[order] = found
         word = TOP + (hashes & 31)
@@ -204,7 +190,7 @@ def _join_block(tops: np.ndarray, buckets: int) -> Callable:
         moves = np.flatnonzero((place >= 0) & (word[order] >= TOP))
         packed = [c, word.astype(np.uint16), order[moves].astype(np.uint32), place[moves].astype(np.uint32), np.searchsorted(moves, cuts).astype(np.uint32)]
         for name, x in zip(("counts", "words", "movers", "places", "cuts"), packed, strict=True):
-            out = out.append_column(name, pa.array([_squeeze(x)], pa.binary()))
+            out = out.append_column(name, pa.array([squeeze(x)], pa.binary()))
         return out.append_column("moved", pa.array([None], pa.binary()))
 
     return run
@@ -212,9 +198,9 @@ def _join_block(tops: np.ndarray, buckets: int) -> Callable:
 
 def _classes(row: dict, own: np.ndarray) -> np.ndarray:
     """Class of each word of a block."""
-    out = own[_expand(row["words"], np.uint16)]
+    out = own[expand(row["words"], np.uint16)]
     if row["moved"] is not None:
-        out[_expand(row["movers"], np.uint32)] = _expand(row["moved"], np.uint16)
+        out[expand(row["movers"], np.uint32)] = expand(row["moved"], np.uint16)
     return out
 
 
@@ -223,7 +209,7 @@ def _sequences(row: dict) -> Iterator[tuple]:
 
     A part has about PART tokens, or one longer document.
     """
-    raw = _expand(row["tokens"], np.uint32)
+    raw = expand(row["tokens"], np.uint32)
     lengths = np.array(row["lengths"], np.int64)
     stops = np.cumsum(lengths)
     at = 0
@@ -248,7 +234,7 @@ def _pairs(size: int, own: np.ndarray | None = None) -> Callable:
         waiting: list[np.ndarray] = []
         held_back = 0
         for row in (r for batch in batches for r in batch.to_pylist()):
-            words = np.append(_expand(row["words"], np.uint16) if own is None else _classes(row, own), size - 1).astype(np.int64)
+            words = np.append(expand(row["words"], np.uint16) if own is None else _classes(row, own), size - 1).astype(np.int64)
             for _, held, numbers, starts in _sequences(row):
                 word = words[numbers]
                 before = np.roll(word, 1)
@@ -274,8 +260,8 @@ def _pairs(size: int, own: np.ndarray | None = None) -> Callable:
 def _collected(blocks: DataFrame, size: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the pairs of ``_pairs`` in order, and their counts; at most size squared."""
     merged = blocks.mapInArrow(_pairs(size, own), "bucket int, codes binary, counts binary").groupBy("bucket").applyInArrow(_merge_bucket, "codes binary, counts binary").collect()
-    code = np.concatenate([_expand(r["codes"], np.uint32) for r in merged] or [np.zeros(0, np.uint32)])
-    n = np.concatenate([_expand(r["counts"], np.int64) for r in merged] or [np.zeros(0, np.int64)]).astype(np.float64)
+    code = np.concatenate([expand(r["codes"], np.uint32) for r in merged] or [np.zeros(0, np.uint32)])
+    n = np.concatenate([expand(r["counts"], np.int64) for r in merged] or [np.zeros(0, np.int64)]).astype(np.float64)
     order = np.argsort(code)  # buckets come in any order
     return code[order], n[order]
 
@@ -285,7 +271,7 @@ def _contexts(own: np.ndarray, every: int) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
-            movers, places, cuts = _expand(row["movers"], np.uint32), _expand(row["places"], np.uint32), _expand(row["cuts"], np.uint32)
+            movers, places, cuts = expand(row["movers"], np.uint32), expand(row["places"], np.uint32), expand(row["cuts"], np.uint32)
             cls = np.append(_classes(row, own), every - 1).astype(np.int64)
             mover = np.full(len(cls), -1, np.int64)
             mover[movers] = np.arange(len(movers))
@@ -304,7 +290,7 @@ def _contexts(own: np.ndarray, every: int) -> Callable:
                 a, b = stops[k], stops[k + 1]
                 packed = [places[cuts[k] : cuts[k + 1]], np.diff(m[a:b], prepend=cuts[k]).astype(np.uint32), (code[a:b] % (2 * every)).astype(np.uint16), n[a:b].astype(np.uint32)]
                 packed[0] = np.diff(packed[0], prepend=np.uint32(0))
-                rows.append((row["block"], k, *map(_squeeze, packed)))
+                rows.append((row["block"], k, *map(squeeze, packed)))
             yield _rows(rows, ["owner", "bucket", "places", "movers", "contexts", "counts"], [pa.int64(), pa.int32(), *[pa.binary()] * 4])
 
     return run
@@ -345,13 +331,13 @@ def _move_bucket(gains: np.ndarray) -> Callable:
     def run(rows: pa.Table) -> pa.Table:
         asked, place, context, n = [], [], [], []
         for r in rows.to_pylist():
-            places = np.cumsum(_expand(r["places"], np.uint32), dtype=np.int64)
+            places = np.cumsum(expand(r["places"], np.uint32), dtype=np.int64)
             asked.append(places)
-            place.append(places[np.cumsum(_expand(r["movers"], np.uint32), dtype=np.int64)])
-            context.append(_expand(r["contexts"], np.uint16).astype(np.int64))
-            n.append(_expand(r["counts"], np.uint32))
+            place.append(places[np.cumsum(expand(r["movers"], np.uint32), dtype=np.int64)])
+            context.append(expand(r["contexts"], np.uint16).astype(np.int64))
+            n.append(expand(r["counts"], np.uint32))
         best = choose(np.concatenate(place), np.concatenate(context), np.concatenate(n), gains)
-        return pa.table({"owner": rows.column("owner"), "bucket": rows.column("bucket"), "moved": pa.array([_squeeze(best[x]) for x in asked], pa.binary())})
+        return pa.table({"owner": rows.column("owner"), "bucket": rows.column("bucket"), "moved": pa.array([squeeze(best[x]) for x in asked], pa.binary())})
 
     return run
 
@@ -359,8 +345,8 @@ def _move_bucket(gains: np.ndarray) -> Callable:
 def _move_block(answers: pa.Table, whole: pa.Table) -> pa.Table:
     by = np.argsort(answers.column("bucket").to_numpy()).tolist()
     moved = answers.column("moved").to_pylist()
-    classes = np.concatenate([np.zeros(0, np.uint16), *(_expand(moved[k], np.uint16) for k in by)])
-    return whole.drop_columns(["moved"]).append_column("moved", pa.array([_squeeze(classes)], pa.binary()))
+    classes = np.concatenate([np.zeros(0, np.uint16), *(expand(moved[k], np.uint16) for k in by)])
+    return whole.drop_columns(["moved"]).append_column("moved", pa.array([squeeze(classes)], pa.binary()))
 
 
 def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -374,7 +360,7 @@ def _merge_bucket(rows: pa.Table) -> pa.Table:
     codes, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     for c, n in zip(rows.column("codes").to_pylist(), rows.column("counts").to_pylist(), strict=True):
         codes, counts = _merged(np.r_[codes, np.frombuffer(c, np.uint32)], np.r_[counts, np.frombuffer(n, np.int64)])
-    return pa.table({"codes": pa.array([_squeeze(codes)], pa.binary()), "counts": pa.array([_squeeze(counts)], pa.binary())})
+    return pa.table({"codes": pa.array([squeeze(codes)], pa.binary()), "counts": pa.array([squeeze(counts)], pa.binary())})
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -491,7 +477,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, move, class_n, tail_n, tail_v, tokens, types, ends = model.value
         for row in (r for batch in batches for r in batch.to_pylist()):
-            counts, words = np.append(_expand(row["counts"], np.int64), ends), np.append(_expand(row["words"], np.uint16), END)
+            counts, words = np.append(expand(row["counts"], np.int64), ends), np.append(expand(row["words"], np.uint16), END)
             classes = np.append(_classes(row, own), own[END])
             base = np.log10((counts + 1) / (tokens + types + 1))
             emit = np.zeros(len(words))
