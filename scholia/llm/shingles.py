@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once; a longer text is hashed alone.
-STEP = 1 << 20
+STEP = 1 << 18
 _rng = np.random.default_rng(20240229)
 CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CODES[65:91] = CODES[97:123]
