@@ -1,11 +1,11 @@
-"""Row-local functions of a text over Arrow batches, for folds that no built-in expression covers."""
+"""Row-local functions of a text over Arrow batches, for folds that no built-in expression covers, and arrays as rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,6 +38,16 @@ def map_rows(df: DataFrame, keep: list[str], use: list[str], fields: T.StructTyp
     return df.select(*keep, *[F.col(c).alias(f"_use_{k}") for k, c in enumerate(use)]).mapInArrow(run, schema)
 
 
+def unnested(df: DataFrame, keep: list[str], found: Column, *names: str) -> DataFrame:
+    """``keep`` and an element of the array ``found`` (with its position, if two names are given) a row; none for empty arrays.
+
+    For arrays that cost much: a plain explode makes Spark infer a filter on the array's size, and push
+    it down, so that the array would be made twice.  Elements must not be null.
+    """
+    each = F.posexplode_outer(found) if len(names) == 2 else F.explode_outer(found)
+    return df.select(*keep, each.alias(*names)).where(F.col(names[-1]).isNotNull())
+
+
 def fields(ddl: str) -> T.StructType:
     """'a:int b:string' as a struct; types: int, long, double, string, boolean."""
     kinds = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}

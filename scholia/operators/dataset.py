@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import NEGATIVE, POSITIVE, SECTION_OF
+from ..functions.rowwise import unnested
 from .clean import sentence_like, sentences
 from .rules import first_rule
 
@@ -18,7 +19,7 @@ def weak_labels(papers: DataFrame, per_paper: int = 60, denoise: bool = False, i
 
     A paper's sentences are taken once each, in order; the first ``per_paper`` with a rule count.
     """
-    said = papers.select(id_col, F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("pos", "s")).where(sentence_like(F.col("s"), terminal=True))
+    said = unnested(papers, [id_col], sentences(F.coalesce("text", F.lit(""))), "pos", "s").where(sentence_like(F.col("s"), terminal=True))
     once = said.groupBy(id_col, "s").agg(F.min("pos").alias("pos")).withColumn("r", first_rule(F.col("s"))).where("r is not null")
     kept = once.withColumn("k", F.row_number().over(Window.partitionBy(id_col).orderBy("pos"))).where(F.col("k") <= per_paper)
     rule = F.col("r.rule")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DENSITY_WORDS
-from ..functions.rowwise import fields, map_rows
+from ..functions.rowwise import fields, map_rows, unnested
 from ..functions.rule_table import NOTES, RULES
 from .clean import clean_snippet
 
@@ -50,7 +50,7 @@ def found_hits(text: Column) -> Column:
 def exploded(rows: DataFrame, *along: str) -> DataFrame:
     """The hits of a column ``hits`` as rows, with the columns ``along``."""
     notes = F.create_map(*[F.lit(x) for r in RULES for x in (r.name, NOTES[r.name])])
-    each = rows.select(*along, F.explode("hits").alias("r"))
+    each = unnested(rows, list(along), F.col("hits"), "r")
     return each.select(*along, "r.ord", "r.rule", "r.action", "r.prior", F.element_at(notes, F.col("r.rule")).alias("note"), F.posexplode("r.hits").alias("n", "hit"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CEILING, FLOOR, FULL_LENGTH, STOPWORDS, TOP_TERMS, UNKNOWN_WORD, WEIGHTS
+from ..functions.rowwise import unnested
 from .rules import exploded, found_hits
 
 #: Tokens: pairs of Han characters, or runs of other letters and digits, lower-cased.
@@ -34,7 +35,7 @@ def tfidf(docs: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id") -> Data
     by term.
     """
     n = docs.select(F.count(F.lit(1)).alias("n_docs"))
-    terms = docs.select(id_col, F.explode(content(tokens(F.col("text")))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = unnested(docs, [id_col], content(tokens(F.col("text"))), "term").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # n: a single row
     df = df.select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     total = F.sum("tf").over(Window.partitionBy(id_col))
@@ -50,7 +51,7 @@ def salience(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     meets its hits in one join by id; a hit's mean weight is taken inside its row.
     """
     weights = tfidf(docs, id_col=id_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.max("w").alias("peak"))
-    found = docs.select(id_col, found_hits(F.col("text")).alias("hits")).where(F.size("hits") > 0).join(weights, id_col, "left")
+    found = docs.select(id_col, found_hits(F.col("text")).alias("hits")).join(weights, id_col, "left")
     rows = exploded(found, id_col, "weights", "peak").withColumn("t", tokens(F.col("hit"))).withColumn("c", content(F.col("t")))
     share = lambda term: F.coalesce(F.try_element_at(F.col("weights"), term) / F.col("peak"), F.lit(UNKNOWN_WORD))
     total = F.aggregate("c", F.lit(0.0), lambda sum_, term: sum_ + share(term))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import ANSWER_KEYS, POLISH, SUMMARY_STOPWORDS
+from ..functions.rowwise import unnested
 from .clean import strip
 from .salience import tfidf, tokens
 
@@ -32,7 +33,7 @@ def summarize(docs: DataFrame, most: int = 3, id_col: str = "doc_id", pattern: s
     rows = docs.where("text is not null").select(id_col, "text", parts.alias("parts"))
     keep = F.filter(tokens(F.col("s")), lambda t: (F.length(t) > 1) & ~t.isin(*SUMMARY_STOPWORDS))
     said = rows.where(F.size("parts") > most).select(id_col, F.posexplode("parts").alias("pos", "s"))
-    words = said.select(id_col, "pos", F.explode(keep).alias("w")).groupBy(id_col, "pos", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = unnested(said, [id_col, "pos"], keep, "w").groupBy(id_col, "pos", "w").agg(F.count(F.lit(1)).alias("n"))
     words = words.withColumn("freq", F.sum("n").over(Window.partitionBy(id_col, "w")))
     scores = words.groupBy(id_col, "pos").agg(F.sum(F.col("n") * F.col("freq")).alias("score"))
     ranked = said.join(scores, [id_col, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0)))

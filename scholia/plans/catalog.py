@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, lexicon
+from ..functions.rowwise import unnested
 from ..functions.rule_table import NOTES, RULES
 from ..operators import clean, dataset, quota, rollup, rules, salience, score, sections, semantic, text_ai
 from ..sources import papers as sources
@@ -114,12 +115,12 @@ def norm_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, k.pos::INT AS pos, l[k.pos + 1] AS s FROM (SELECT doc_id, {s.sentences('text')} AS l FROM documents), LATERAL (SELECT unnest(range(len(l))) AS pos) k")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", F.posexplode(clean.sentences(F.col("text"))).alias("pos", "s"))
+    return unnested(documents(spark, d), ["doc_id"], clean.sentences(F.col("text")), "pos", "s")
 
 
 @query(f"SELECT doc_id, count(*) AS sentences, (count(*) FILTER ({s.sentence_like(True)})) AS good FROM (SELECT doc_id, unnest({s.sentences('text')}) AS s FROM documents) GROUP BY doc_id")
 def sentence_like_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents(spark, d).select("doc_id", F.explode(clean.sentences(F.col("text"))).alias("s"))
+    rows = unnested(documents(spark, d), ["doc_id"], clean.sentences(F.col("text")), "s")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if(clean.sentence_like(F.col("s"), terminal=True)).alias("good"))
 
 
@@ -216,7 +217,7 @@ _SAID = f"""said AS (SELECT doc_id, k.pos, l[k.pos + 1] AS s FROM (SELECT doc_id
 
 @query(f"{P}, {_SAID} SELECT doc_id, pos::INT AS pos, {_first_rule_sql('s', 'name')} AS rule, {_first_rule_sql('s', 'action')} AS action FROM said".replace("WITH papers", "WITH papers", 1).replace(") , said", "), said"))
 def first_rule(spark: SparkSession, d: str) -> DataFrame:
-    rows = papers(spark, d).select("doc_id", F.posexplode(clean.sentences(F.col("text"))).alias("pos", "s")).withColumn("r", rules.first_rule(F.col("s")))
+    rows = unnested(papers(spark, d), ["doc_id"], clean.sentences(F.col("text")), "pos", "s").withColumn("r", rules.first_rule(F.col("s")))
     return rows.select("doc_id", "pos", "r.rule", "r.action")
 
 
