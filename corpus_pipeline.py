@@ -11,8 +11,6 @@ from scholia.llm.scratch import Scratch
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the character models recognise; those that they reject go."""
-    if docs.where("lang is not null and text is not null").isEmpty():
-        return docs.limit(0)
     found = language_id.identify(docs, language_id.fit(docs))
     return found.where("lang_accepted").select(*docs.columns)
 
@@ -34,7 +32,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text: doc_id, source, lang, n_tokens, ids."""
-    out = bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary("word_bpe_49k.json"))
+    out = bpe.encode(docs, vocabulary("word_bpe_49k.json"), keep=["doc_id", "source", "lang"])
     return out.selectExpr("doc_id", "source", "lang", "cast(size(ids) as bigint) AS n_tokens", "ids")
 
 
