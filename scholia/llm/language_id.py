@@ -1,9 +1,9 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Fitting.  A bounded sample of labelled texts (``SAMPLE_TEXTS`` texts a language, those with the
-smallest hash of their id, and of each the words in its first ``SAMPLE_CHARS`` characters) is enough for
-character n-grams; the bound is on what the classifier is fitted to, every text is scored whole.
-Four of five sampled texts are counted, the fifth calibrates.
+Fitting.  A bounded sample of labelled rows (``SAMPLE_TEXTS`` a language, those with the smallest hash of
+their id and text, each read whole) is enough for character n-grams; the bound is on the rows that the
+classifier is fitted to, every text is scored, and scored whole.  Four of five sampled texts are counted, the
+fifth calibrates.
 
 Model.  Per language and order 1 to ``ORDER``, interpolated Kneser-Ney over the characters of
 space-delimited lower-case words (the space on either side belongs to the word).  All n-grams of all
@@ -25,16 +25,23 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, SAMPLE_TEXTS, SAMPLE_CHARS, QUANTILE, WAY = 4, 400, 2000, 0.95, 2 / 3
+from .packing import ranges
+from .scratch import quoted, small_batches
+
+ORDER, SAMPLE_TEXTS, QUANTILE, WAY = 4, 400, 0.95, 2 / 3
 #: Words whose scores a worker remembers, and the longest of them.
-REMEMBER, LONGEST = 1 << 17, 40
+REMEMBER, LONGEST = 1 << 16, 40
+#: A letter and the letters and combining marks after it.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,7 +51,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _tokens(text: str) -> list[str]:
     """Runs of letters and marks, lower-cased: digits, punctuation and spaces separate."""
-    return "".join(c if c.isalpha() else " " for c in text.lower()).split() if not text.isascii() else text.lower().translate(_ASCII).split()
+    return text.lower().translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower())
 
 
 _ASCII = {i: " " for i in range(128) if not chr(i).isalpha()}
@@ -86,7 +93,10 @@ def _grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
 
 
 class Model:
-    """Sorted hash arrays and their probabilities; a few MB, bounded by the sample."""
+    """Sorted hash arrays and their probabilities; a few MB, bounded by the sample.
+
+    Without texts there is no language, and ``identify`` finds none.
+    """
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
@@ -167,13 +177,14 @@ class Model:
         clean: list[list[float]] = [[] for _ in self.languages]
         junk: list[list[float]] = [[] for _ in self.languages]
         margins = []
+        scorer = Scorer(self)
         for seed, (lang, text) in enumerate(texts):
-            entropy = Scorer(self).entropies([text])[0]
+            entropy = scorer.entropies([text])[0]
             if entropy is not None and lang in self.languages:
                 k = self.languages.index(lang)
                 entropy, best = entropy[:-1], entropy[-1]
                 clean[k].append(float(best))
-                junk[k].append(float(Scorer(self).entropies([_shuffled(text, seed)])[0][-1]))
+                junk[k].append(float(scorer.entropies([_shuffled(text, seed)])[0][-1]))
                 others = np.delete(entropy, k)
                 margins.append(float(others.min() - entropy[k]) if len(others) else 1.0)
         for k, (own, shuffled) in enumerate(zip(clean, junk, strict=True)):
@@ -229,98 +240,100 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, np.ndarray] = {}
-
-    def entropies(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Cross-entropy per character under each language, and with each word under its best; None without a letter."""
-        counted = []
-        for text in texts:
-            seen: dict[str, int] = {}
-            for w in _tokens(text or ""):
-                seen[w] = seen.get(w, 0) + 1
-            counted.append(seen)
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        extra: dict[str, np.ndarray] = {}
-        new = list({w for seen in counted for w in seen if w not in self.known})
-        at = 0
+        self.known: dict[str, int] = {}  # the word's row of the table
+        self.table = np.zeros((0, len(model.languages) + 1))
+
+    def _learn(self, new: list[str]) -> None:
+        """Score words under each language and under the best, some 2**15 characters at a time."""
+        at, begin = 0, len(self.known)
+        if begin + len(new) > len(self.table):
+            room = np.zeros((max(begin + len(new), 2 * len(self.table)), self.table.shape[1]))
+            room[:begin] = self.table[:begin]
+            self.table = room
+        self.known.update(zip(new, range(begin, begin + len(new)), strict=True))
         while at < len(new):
             to, size = at, 0
             while to < len(new) and (to == at or size < 1 << 15):
                 size += len(new[to]) + 2
                 to += 1
             scores = self.model.word_scores(new[at:to])
-            for w, row in zip(new[at:to], np.column_stack([scores, scores.min(1)]), strict=True):
-                (self.known if len(w) <= LONGEST else extra)[w] = row
+            self.table[begin + at : begin + to] = np.column_stack([scores, scores.min(1)])
             at = to
-        out = []
+
+    def entropies(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Cross-entropy per character under each language, and with each word under its best; None without a letter or a language."""
+        if not self.model.languages:
+            return [None] * len(texts)
+        counted = [Counter(_tokens(text or "")) for text in texts]
+        if len(self.known) > REMEMBER:
+            self.known, self.table = {}, self.table[:0]
+        known = self.known
+        self._learn(list({w for seen in counted for w in seen if w not in known}))
+        out: list[np.ndarray | None] = []
         for seen in counted:
             if not seen:
                 out.append(None)
                 continue
             n = np.fromiter(seen.values(), np.float64, len(seen))
             size = sum((len(w) + 1) * c for w, c in seen.items())
-            rows = np.array([self.known[w] if w in self.known else extra[w] for w in seen])
-            out.append(n @ rows / size)
+            out.append(n @ self.table[np.fromiter(map(known.__getitem__, seen), np.int64, len(seen))] / size)
+        if any(len(w) > LONGEST for seen in counted for w in seen):
+            self.known, self.table = {}, self.table[:0]  # words that are too long aren't remembered
         return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", where: Column | None = None) -> Model:
     """A model of the labelled rows of ``docs`` (those that ``where`` allows).
 
-    Rows with a null label or no text are left out.  Raises ValueError without any labelled text.
+    Rows with a null label or no text are left out; equal texts of an id count once.  Without any
+    labelled text the model has no language.
     """
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.where(F.col(quoted(label_col)).isNotNull() & F.col(quoted(text_col)).isNotNull())
     rows = rows.where(where) if where is not None else rows
-    draw = F.xxhash64(F.col(id_col).cast("string"))
-    picked = rows.select(F.col(label_col).cast("string").alias("label"), draw.alias("draw"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
-    # A few labels share all rows: each task keeps SAMPLE_TEXTS draws a label before anything is shuffled.
-    lowest = _lowest(picked)
+    text = F.col(quoted(text_col)).cast("string")
+    draw = F.xxhash64(F.col(quoted(id_col)).cast("string"), text)
     texts: dict[str, list[str]] = {}
     spare: list[tuple[str, str]] = []
-    for row in lowest:
-        if row["rank"] % 5:
-            texts.setdefault(row["label"], []).append(row["text"])
-        else:
-            spare.append((row["label"], row["text"]))
-    for label, text in spare:
-        if label not in texts:
-            texts[label] = [text]
-    if not texts:
-        raise ValueError("no labelled text to learn from")
+    for label, sampled in _sample(rows.select(F.col(quoted(label_col)).cast("string").alias("label"), draw.alias("draw"), text.alias("text"))).items():
+        for rank, one in enumerate(sampled):
+            if rank % 5 or len(sampled) == 1:
+                texts.setdefault(label, []).append(one)
+            if rank % 5 == 0:
+                spare.append((label, one))
     model = Model(texts)
     model.calibrate(spare)
     return model
 
 
-def _lowest(picked: DataFrame) -> list[dict]:
-    """The SAMPLE_TEXTS rows a label with the smallest draws, with their rank; bounded by that number."""
+def _sample(rows: DataFrame) -> dict[str, list[str]]:
+    """Per label the texts of the SAMPLE_TEXTS smallest draws, in order of draw.
 
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[int, str]]] = {}
-        for batch in batches:
-            for label, draw, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = held.setdefault(label, [])
-                mine.append((draw, text))
-                if len(mine) >= 4 * SAMPLE_TEXTS:
-                    held[label] = sorted(mine)[:SAMPLE_TEXTS]
-        rows = [(label, d, t) for label, mine in held.items() for d, t in sorted(mine)[:SAMPLE_TEXTS]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["label", "draw", "text"])
-
-    from pyspark.sql import Window
-
-    local = picked.mapInArrow(keep, "label string, draw long, text string")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "text"))
-    ranked = local.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS)
-    return [r.asDict() for r in ranked.orderBy("label", "rank").collect()]
+    Labels are counted first (map-side, a row each and task); then rows whose draw lies below a share of
+    all draws that holds 1.5 times the sample on average are deduplicated and collected: no label's
+    rows meet in one task.  A label whose rows are mostly copies of each other may need a larger share.
+    """
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    found: dict[str, list[tuple[int, str]]] = {label: [] for label in counts}
+    share = {label: 1.5 * SAMPLE_TEXTS / n for label, n in counts.items()}
+    while share:
+        limits = F.create_map(*[F.lit(x) for label, s in share.items() for x in (label, min(2**63 - 1, int((2 * min(s, 1) - 1) * 2**63)))])
+        low = rows.where(F.col("draw") <= F.try_element_at(limits, F.col("label"))).groupBy("label", "draw").agg(F.min("text").alias("text"))
+        for label in share:
+            found[label] = []
+        for r in low.collect():
+            found[r["label"]].append((r["draw"], r["text"]))
+        share = {label: 4 * s for label, s in share.items() if s < 1 and len(found[label]) < SAMPLE_TEXTS}
+    return {label: [text for _, text in sorted(some)[:SAMPLE_TEXTS]] for label, some in sorted(found.items())}
 
 
 def identify(docs: DataFrame, model: Model, id_cols: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``id_cols`` (default: all columns) and lang_pred, score, lang_accepted for each row.
 
-    Texts that are null or have no letter get ``und``, score 0 and are rejected.  Ties go to the
-    first language by name.  Rows that repeat are scored each.  An empty table gives no rows.
+    Texts that are null or have no letter, and all texts if the model has no language, get ``und``,
+    score 0 and are rejected.  Ties go to the first language by name.  Rows that repeat are scored
+    each.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     kept = id_cols if id_cols is not None else docs.columns
     kept = [c for c in kept if c not in ("lang_pred", "score", "lang_accepted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
@@ -329,8 +342,8 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str] | None = None, te
         scorer = Scorer(shared.value)
         own = scorer.model
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at, to in ranges(whole.column(len(kept)), rows=512):
+                batch = whole.slice(at, to - at)
                 names, scores, accepted = [], [], []
                 for entropy in scorer.entropies(batch.column(len(kept)).to_pylist()):
                     if entropy is None:
@@ -348,6 +361,6 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str] | None = None, te
                 new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*kept, "lang_pred", "score", "lang_accepted"])
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("lang_accepted", "boolean")
-    chosen = docs.select(*kept, F.col(text_col).cast("string"))
+    chosen = docs.select(*map(quoted, kept), F.col(quoted(text_col)).cast("string"))
+    schema = docs.select(*map(quoted, kept)).schema.add("lang_pred", "string").add("score", "double").add("lang_accepted", "boolean")
     return chosen.toDF(*[f"c{k}" for k in range(len(chosen.columns))]).mapInArrow(run, schema)
