@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import quoted, small_batches
+
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,8 +36,9 @@ LEAST, RATIO = 16, 2.0
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hexadecimal.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Names: words of letters (camel case counts) with separators, and at most 4 digits after each.
-NAME = re.compile(r"[_/=+-]*([A-Z]?[a-z]{2,}|[A-Z]{2,})(\d{0,4}[_/=+-]+([A-Z]?[a-z]+|[A-Z]+|\d{1,4}))*\d{0,4}[_/=+-]*")
+#: Names: words of letters (a capital at most at their start, or all capitals) with at most 4 digits after each, and
+#: numbers of at most 8 digits, parted by separators.  Possessive throughout: each character can be matched in one way only.
+NAME = re.compile(r"[_/=+-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)\d{0,4}+(?:[_/=+-]++(?:[A-Z]?[a-z]++\d{0,4}+|[A-Z]++\d{0,4}+|\d{1,8}+))*+[_/=+-]*+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -57,7 +60,7 @@ _UUID_IN = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
 _HEX_IN = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])")
 _PIECE = re.compile(r"[A-Za-z0-9]+")
 _WORD_FIRST = re.compile(r"([A-Z]?[a-z]*|[A-Z]*)[_/=+-]+")
-_WORD_LAST = re.compile(r"[_/=+-]+([A-Z]?[a-z]*|[A-Z]*)$")
+_WORD_LAST = re.compile(r"(?<![_/=+-])[_/=+-]++([A-Z]?[a-z]*+|[A-Z]*+)$")
 
 
 class Efficiency:
@@ -171,9 +174,10 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             spans = pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=[id_col, "secrets"])
 
-    chosen = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    small_batches(docs.sparkSession)
+    chosen = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string").alias("_text"))
     span = T.StructType().add("kind", "string").add("start", "long").add("end", "long")
-    schema = docs.select(id_col).schema.add("secrets", T.ArrayType(span))
+    schema = docs.select(quoted(id_col)).schema.add("secrets", T.ArrayType(span))
     return chosen.mapInArrow(run, schema)
 
 
