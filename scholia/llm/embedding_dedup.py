@@ -1,9 +1,11 @@
 """Embedding near-dedup: sign hashes of random hyperplanes in several tables, exact cosine, components.
 
-Equal vectors are one node with a number of copies.  Each node gets a code of ``k`` signs in each of
-``T`` tables; k grows with the logarithm of the number of nodes so that buckets stay small, and T
-with it so that a pair whose cosine is exactly the threshold meets in some table with probability
-``FOUND`` at least (closer pairs more surely).  Nodes that meet are compared in double precision.
+Equal vectors are one node with a number of copies, named by a 64-bit hash of the vector.  Each node gets
+a code of ``k`` signs in each of ``T`` tables; k grows with the logarithm of the number of nodes so that
+buckets stay small, and T with it so that a pair whose cosine is exactly the threshold meets in some
+table with probability ``FOUND`` at least (closer pairs more surely).  Nodes that meet are compared in
+double precision.  Comparing is cheap beside sending a vector to one more table, so a bucket holds some
+hundred nodes.
 
 Vectors are rounded to integers below 2**20 and hyperplanes to integers below 2**14 before the signs
 are taken: all sums are exact in a double, so signs never depend on the order of summation, and a pair
@@ -22,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, quoted
 
 COSINE, FOUND, BLOCK, SEED = 0.9, 0.9999, 2048, 11
 #: Nodes a bucket holds by chance, on average; rows that one task compares, about.
-LOAD, ROWS = 16, 16384
+LOAD, ROWS = 256, 16384
 
 
 def shape(nodes: int, cosine: float = COSINE) -> tuple[int, int]:
@@ -48,24 +51,33 @@ def codes(unit: np.ndarray, k: int, tables: int) -> np.ndarray:
     return signs.reshape(len(unit), tables, k) @ (np.int64(1) << np.arange(k, dtype=np.int64))
 
 
-def _vectors(column: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def _vectors(column: list[bytes], kind: type) -> np.ndarray:
+    """Unit vectors in double precision."""
+    raw = np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
     with np.errstate(over="ignore"):
-        raw = raw / np.abs(raw).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+        raw /= np.abs(raw).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 
-def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Valid vectors as the bytes of doubles; null for those that link with nothing."""
-    for batch in batches:
-        out = []
-        for v in batch.column(1).to_pylist():
-            a = None if v is None or None in v else np.array(v, np.float64) + 0.0  # no -0.0
-            out.append(a.tobytes() if a is not None and a.size and np.isfinite(a).all() and a.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "vector"])
+def _pack(kind: type):
+    """Valid vectors as their bytes; null for those that link with nothing."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1] if len(lists) else np.zeros(1, np.int32)
+            values = lists.values.slice(ends[0], ends[-1] - ends[0])
+            ends = ends - ends[0]
+            plain = np.asarray(values.fill_null(float("nan"))).astype(kind) + kind(0)  # no -0.0
+            per = lambda flags: np.diff(np.r_[0, np.cumsum(flags)][ends])
+            good = np.asarray(lists.is_valid()) & (per(~np.isfinite(plain)) == 0) & (per(plain != 0) > 0)
+            data = [pa.py_buffer(np.packbits(good, bitorder="little").tobytes()), pa.py_buffer((ends * plain.itemsize).astype(np.int32)), pa.py_buffer(plain)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(lists), data)], names=["id", "vector"])
+
+    return run
 
 
-def _code_batches(k: int, tables: int):
+def _code_batches(k: int, tables: int, kind: type):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
@@ -76,7 +88,7 @@ def _code_batches(k: int, tables: int):
                 for i, v in enumerate(vectors):
                     by_size.setdefault(len(v), []).append(i)
                 for size, rows in by_size.items():
-                    found = codes(_vectors([vectors[i] for i in rows]), k, tables)
+                    found = codes(_vectors([vectors[i] for i in rows], kind), k, tables)
                     for i, c in zip(rows, found, strict=True):
                         out[i] = ((c * tables + np.arange(tables)) ^ (np.int64(size) << np.int64(48))).tolist()
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names, "codes"])
@@ -105,33 +117,25 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(cosine: float, k: int, tables: int):
-    def unit_of_work(table: int, side: np.ndarray, node: np.ndarray, copies: np.ndarray, unit: np.ndarray, counts: dict, edges: list) -> None:
+def _compare(cosine: float, k: int, tables: int, kind: type):
+    def unit_of_work(table: int, side: np.ndarray, node: np.ndarray, copies: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows that are counted here."""
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
-        pairs = []
+        pairs = [np.zeros((2, 0), np.int64)]
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
             i, j = np.nonzero(unit[rows] @ unit[right].T >= cosine)
             i, j = rows[i], right[j]
             near = node[i] != node[j] if side.any() else i < j
-            pairs.append((i[near], j[near]))
-        i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        if not len(i):
-            return
-        if table:
+            pairs.append(np.stack([i[near], j[near]]))
+        i, j = np.concatenate(pairs, axis=1)
+        if table and len(i):
             used = np.unique(np.r_[i, j])
             code = np.zeros((len(node), tables), np.int64)
             code[used] = codes(unit[used], k, tables)
-            for t in range(table):
-                new = code[i, t] != code[j, t]
-                i, j = i[new], j[new]
-                if not len(i):
-                    return
-        for a, b in ((i, j), (j, i)):
-            total = np.bincount(a, weights=copies[b], minlength=len(node))
-            for x in np.flatnonzero(total).tolist():
-                counts[int(node[x])] = counts.get(int(node[x]), 0) + int(total[x])
-        edges += [(int(node[a]), int(node[b])) for a, b in _forest(len(node), i, j)]
+            new = (code[i, :table] != code[j, :table]).all(1)
+            i, j = i[new], j[new]
+        return i, j
 
     def run(rows: pa.Table) -> pa.Table:
         work = rows.column("work").to_numpy()
@@ -139,16 +143,23 @@ def _compare(cosine: float, k: int, tables: int):
         work = work[order]
         table, side, node, copies = (rows.column(c).to_numpy()[order] for c in ("table", "side", "node", "copies"))
         vectors = rows.column("vector").to_pylist()
-        counts: dict[int, int] = {}
-        edges: list[tuple[int, int]] = []
+        linked, links, edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         begin = np.flatnonzero(np.r_[True, work[1:] != work[:-1]])
         for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(work)], strict=True):
             if e - b > 1:
-                unit = _vectors([vectors[x] for x in order[b:e]])
-                unit_of_work(int(table[b]), side[b:e], node[b:e], copies[b:e], unit, counts, edges)
-        x = [*counts, *[a for a, _ in edges]]
-        y = [*counts.values(), *[b for _, b in edges]]
-        return pa.table({"kind": pa.array([0] * len(counts) + [1] * len(edges), pa.int32()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+                unit = _vectors([vectors[x] for x in order[b:e]], kind)
+                own, many = node[b:e], copies[b:e]
+                i, j = unit_of_work(int(table[b]), side[b:e], own, many, unit)
+                total = np.bincount(np.r_[i, j], weights=many[np.r_[j, i]], minlength=e - b)
+                linked.append(own[total > 0])
+                links.append(total[total > 0].astype(np.int64))
+                edges += [(int(own[p]), int(own[q])) for p, q in _forest(e - b, i, j)]
+        x, inverse = np.unique(np.concatenate(linked), return_inverse=True)
+        y = np.zeros(len(x), np.int64)
+        np.add.at(y, inverse, np.concatenate(links))
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        kinds = np.r_[np.zeros(len(x), np.int32), np.ones(len(ends), np.int32)]
+        return pa.table({"kind": kinds, "x": np.r_[x, ends[:, 0]], "y": np.r_[y, ends[:, 1]]})
 
     return run
 
@@ -163,14 +174,16 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = scratch.keep(rows.mapInArrow(_pack, "id long, vector binary"), "vectors")
-    good = rows.where("id is not null and vector is not null")
-    nodes = good.groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    # A row with an id of its own kind: ids repeat only where vectors differ, so a node is named by id and vector.
-    nodes = scratch.keep(nodes.select(F.xxhash64("node", "vector").alias("node"), F.col("node").alias("first"), "copies", "vector"), "nodes")
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    kind = np.float32 if single else np.float64  # what was read in single precision is kept so
+    column = F.col(quoted(vector_col)).cast("array<float>" if single else "array<double>")
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), column.alias("vector")).mapInArrow(_pack(kind), "id long, vector binary")
+    # Rows that link with nothing have no node, so they never meet in a join.
+    rows = scratch.keep(rows.withColumn("node", F.when(F.col("id").isNotNull() & F.col("vector").isNotNull(), F.xxhash64("vector"))), "vectors")
+    good = rows.where("node is not null")
+    nodes = scratch.keep(good.groupBy("node", "vector").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
     k, tables = shape(nodes.count(), cosine)
-    coded = nodes.select("node", "vector", "copies").mapInArrow(_code_batches(k, tables), "node long, vector binary, copies long, codes array<long>")
+    coded = nodes.select("node", "vector", "copies").mapInArrow(_code_batches(k, tables, kind), "node long, vector binary, copies long, codes array<long>")
     coded = scratch.keep(coded, "codes")
     each = coded.select("node", "vector", "copies", F.posexplode("codes").alias("table", "code"))
     hot = coded.select(F.explode("codes").alias("code")).groupBy("code").count().where(F.col("count") > BLOCK)
@@ -183,13 +196,17 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     total = coded.count() * tables
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / ROWS))
     placed = placed.select("node", "vector", "copies", "table", "side", work.alias("work")).withColumn("part", F.pmod("work", F.lit(parts)))
-    met = scratch.keep(placed.groupBy("part").applyInArrow(_compare(cosine, k, tables), "kind int, x long, y long"), "met")
+    met = scratch.keep(placed.groupBy("part").applyInArrow(_compare(cosine, k, tables, kind), "kind int, x long, y long"), "met")
+    scratch.drop(coded, hot)
     counts = met.where("kind = 0").groupBy(F.col("x").alias("node")).agg(F.sum("y").alias("links"))
     labels = connected_components(met.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    about = nodes.join(counts, "node", "left").join(labels, "node", "left").select("node", "first", "copies", "vector", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
+    about = nodes.select("node", "first", "copies").join(counts, "node", "left").join(labels, "node", "left")
+    about = about.select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     about = scratch.keep(about, "about")
+    scratch.drop(met, nodes)
     least = about.groupBy("component").agg(F.min("first").alias("least"))
-    about = about.join(least, "component").select(F.col("vector").alias("_vector"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "least")
-    out = rows.withColumn("_key", F.when(F.col("id").isNotNull(), F.col("vector"))).join(about, F.col("_key") == F.col("_vector"), "left")
-    component = F.coalesce("least", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id").isNotNull() & F.col("id").eqNullSafe(component)).alias("kept"))
+    about = about.join(least, "component").select("node", "n_links", "least")
+    known = rows.where("node is not null").select("id", "node").join(about, "node").select("id", "n_links", F.col("least").alias("component"))
+    alone = rows.where("node is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    out = known.unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), (F.col("id").isNotNull() & F.col("id").eqNullSafe(F.col("component"))).alias("kept"))
