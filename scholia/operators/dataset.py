@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import NEGATIVE, POSITIVE, SECTION_OF
 from ..functions.rowwise import unnested
-from .clean import sentence_like, sentences
+from .clean import norm_text, sentence_like, sentences
 from .rules import first_rule
 
 SECTION_TASK, CORE_TASK, DENOISE_TASK = "section", "is_core", "denoise"
@@ -120,3 +120,25 @@ def metrics(pairs: DataFrame, by: list[str], positive: str = "是") -> DataFrame
     rows = rows.withColumn("p", rate(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("r", rate(F.col("tp"), F.col("tp") + F.col("fn")))
     f1 = rate(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))
     return rows.select(*by, "n", F.round(F.coalesce("right", F.lit(0)) / F.col("n"), 6).alias("accuracy"), F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+def split_rows(rows: DataFrame, share: float = 0.1) -> DataFrame:
+    """``rows`` with ``split`` by a hash of each row, about ``share`` to val; rows of one paper may part (``split_by_paper`` keeps them together)."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws("\x01", "instruction", "input", "output")), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("split", F.when(draw < F.lit(int(share * 16**8)), "val").otherwise("train"))
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """gold(paper, core, candidates) of a folder of JSON files; broken files are left out, white space is one blank."""
+    schema = "gold_core_sentences array<string>, candidates array<string>, candidate_sentences array<string>"
+    texts = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("paper"), F.from_json("value", schema).alias("g"))
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), norm_text), lambda s: s != "")
+    some = F.filter(clean(F.coalesce("g.candidates", "g.candidate_sentences")), lambda s: sentence_like(s))
+    return texts.where("g.gold_core_sentences is not null or g.candidates is not null or g.candidate_sentences is not null").select("paper", clean(F.col("g.gold_core_sentences")).alias("core"), some.alias("candidates"))
+
+
+def without_names(files: DataFrame, names: list[str] | DataFrame, name_col: str = "filename") -> DataFrame:
+    """``files`` but for some names (a short list, or a table with a column of that name)."""
+    if isinstance(names, DataFrame):
+        return files.join(names.select(name_col).distinct(), name_col, "left_anti")
+    return files.where(~F.col(name_col).isin(*names)) if names else files

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clean import original_name
@@ -84,3 +84,26 @@ def insert_or_ignore(existing: DataFrame, new: DataFrame, key: str, order: list[
 def insert_or_replace(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``new``, and those of ``existing`` whose key it doesn't have."""
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def record_stats(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """What a record keeps of its hits: id, match_count, keep_count, salience_avg (half to even, three places)."""
+    keeps = F.count_if(F.col("action") == "keep")
+    return hits.groupBy(id_col).agg(F.count(F.lit(1)).alias("match_count"), keeps.alias("keep_count"), F.bround(F.round(F.avg("salience"), 9), 3).alias("salience_avg"))
+
+
+def translated(labels: DataFrame, words: DataFrame, lang: str, label_col: str = "label") -> DataFrame:
+    """``labels`` with ``shown``: the label's translation into a language, else the label itself.
+
+    words(label, lang, text) is a table of labels of an interface, one text each; Spark broadcasts it if it is small.
+    """
+    own = words.where(F.col("lang") == lang).select(F.col("label").alias(label_col), F.col("text").alias("_shown"))
+    return labels.join(own, label_col, "left").withColumn("shown", F.coalesce("_shown", label_col)).drop("_shown")
+
+
+def upload_name(ts: Column, name: Column) -> Column:
+    """Time stamp, the name's letters, digits, dots and dashes before the last dot, and the extension in lower case."""
+    base = F.when(F.instr(name, ".") > 0, F.regexp_extract(name, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(name)
+    kept = F.regexp_replace(F.regexp_replace(base, r"[^A-Za-z0-9_.\x{4e00}-\x{9fff}-]+", "_"), r"^[._]+|[._]+$", "")
+    extension = F.when(F.instr(name, ".") > 0, F.concat(F.lit("."), F.lower(F.substring_index(name, ".", -1)))).otherwise(F.lit(""))
+    return F.concat(ts.cast("string"), F.lit("_"), F.coalesce(F.nullif(kept, F.lit("")), F.lit("file")), extension)

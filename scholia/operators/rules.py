@@ -193,3 +193,9 @@ def matches_union(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def top_per(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def full(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, text, items): each text as it is with all its hits, array<struct<rule, action, hit>>, in rule order, then position."""
+    each = F.transform(found_hits(F.col("text")), lambda r: F.transform(r["hits"], lambda h: F.struct(r["rule"].alias("rule"), r["action"].alias("action"), h.alias("hit"))))
+    return docs.select(id_col, "text", F.flatten(each).alias("items"))

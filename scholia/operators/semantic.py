@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .clean import strip
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -24,3 +26,17 @@ def semantic_hits(sentences: DataFrame, anchors: list[list[float]], threshold: f
     near = F.greatest(*[dot(F.col("embedding"), F.array(*[F.lit(x) for x in u])) for u in units]) if len(units) > 1 else dot(F.col("embedding"), F.array(*[F.lit(x) for x in units[0]]))
     rows = rows.withColumn("sim", F.when(F.col("norm") > 0, near / F.col("norm")))
     return rows.groupBy(by).agg(F.round(F.max("sim"), 6).alias("best"), F.least(F.lit(most), F.count_if(F.col("sim") >= threshold)).cast("long").alias("hits"))
+
+
+def anchor_sentences(text: Column, least: int = 8, most: int = 150) -> Column:
+    """Array of the first ``most`` sentences of ``least`` characters: split after every mark, with or without a blank, and at line ends.
+
+    The limit is part of the feature: later sentences are not compared with anchors.
+    """
+    parts = F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[。！？；!?;.])\s*|\n+")
+    return F.slice(F.filter(F.transform(parts, strip), lambda s: F.length(s) >= least), 1, most)
+
+
+def without_keywords(sentences: Column, words: list[str]) -> Column:
+    """Those sentences that contain none of some keywords, in either case."""
+    return F.filter(sentences, lambda s: ~F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(s), w))) if words else sentences

@@ -63,14 +63,15 @@ def normal_key(key: Column) -> Column:
 
 
 def parse_answer(raw: Column) -> Column:
-    """array<struct<key, value>> of an answer's JSON object: fences off, else the outermost braces, else {raw}.
+    """array<struct<key, value>> of an answer's JSON object: fences off, else the outermost braces, else those repaired, else {raw}.
 
     Values are strings (nested ones as JSON).  Of keys with one name the first stays.
     """
     bare = F.regexp_replace(F.regexp_replace(strip(raw), r"^```(?:json)?\s*", ""), r"\s*```\z", "")
     braces = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
     as_map = lambda c: F.from_json(c, T.MapType(T.StringType(), T.StringType()))
-    found = F.coalesce(as_map(bare), as_map(braces))
+    open_ = F.coalesce(F.nullif(braces, F.lit("")), F.regexp_extract(raw, r"(?s)(\{.*)", 1))  # the closing brace may be missing
+    found = F.coalesce(as_map(bare), as_map(braces), as_map(repaired(open_)))
     pairs = F.transform(F.map_entries(found), lambda e: F.struct(normal_key(e["key"]).alias("key"), e["value"].alias("value")))
     seen = lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == e["key"]), acc).otherwise(F.concat(acc, F.array(e)))
     kept = F.aggregate(pairs, F.expr("cast(array() as array<struct<key:string,value:string>>)"), seen)
@@ -90,3 +91,41 @@ def assemble_messages(turns: DataFrame, by: str = "conv_id") -> DataFrame:
     rows = turns.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))  # one conversation's own turns
     line = F.transform("t", lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit(": "), F.coalesce(x["text"], F.lit(""))))
     return rows.select(by, F.size("t").cast("long").alias("turns"), F.array_join(line, "\n").alias("messages"))
+
+
+def flat_value(value: Column) -> Column:
+    """An answer's value as text: a JSON list by full-width semicolons, an object as key and value pairs, else as it is."""
+    items = F.from_json(value, T.ArrayType(T.StringType()))
+    pairs = F.map_entries(F.from_json(value, T.MapType(T.StringType(), T.StringType())))
+    lines = F.transform(pairs, lambda e: F.concat(e["key"], F.lit("："), F.coalesce(e["value"], F.lit("None"))))
+    listed = F.transform(items, lambda x: F.coalesce(x, F.lit("None")))
+    return F.when(F.startswith(value, F.lit("[")) & items.isNotNull(), F.array_join(listed, "；")).when(F.startswith(value, F.lit("{")) & pairs.isNotNull(), F.array_join(lines, "；")).otherwise(value)
+
+
+def repaired(json: Column) -> Column:
+    """A JSON object with what reasoning models often get wrong put right: bare percentages, commas before a closing bracket, unknown escapes, missing closing brackets."""
+    out = F.regexp_replace(json, r"(:\s*)(-?\d+(?:\.\d+)?%)", '$1"$2"')
+    out = F.regexp_replace(out, r'(?<!\\)\\(?!["\\/bfnrtu])', r"\\\\")
+    count = lambda c: F.length(out) - F.length(F.replace(out, F.lit(c), F.lit("")))
+    missing = F.concat(F.repeat(F.lit("]"), F.greatest(F.lit(0), count("[") - count("]"))), F.repeat(F.lit("}"), F.greatest(F.lit(0), count("{") - count("}"))))
+    return F.regexp_replace(F.concat(F.regexp_replace(out, r"[\s,]+\z", ""), missing), r",\s*([}\]])", "$1")
+
+
+def chat_messages(instruction: Column, text: Column, system: str) -> Column:
+    """array<struct<role, content>> of a training row: the system's line, then the task with its text below, if there is one."""
+    given, task = F.trim(F.coalesce(text, F.lit(""))), F.trim(instruction)
+    said = F.when(given != "", F.concat_ws("\n\n", task, given)).otherwise(task)
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(turn("system", F.lit(system)), turn("user", said))
+
+
+def masked_labels(prompt_ids: Column, answer_ids: Column, end_id: int | None = None, most: int = 1024) -> Column:
+    """struct<input_ids, labels> from token ids: the prompt's labels are -100, both are cut at ``most`` (a limit of the feature)."""
+    answer = F.concat(answer_ids, F.array(F.lit(end_id))) if end_id is not None else answer_ids
+    ids, labels = F.concat(prompt_ids, answer), F.concat(F.transform(prompt_ids, lambda _: F.lit(-100)), answer)
+    return F.struct(F.slice(ids, 1, most).alias("input_ids"), F.slice(labels, 1, most).alias("labels"))
+
+
+def first_engine(available: dict[str, Column], order: list[str], fallback: str = "simple") -> Column:
+    """The first engine in order whose flag is true, else the fallback."""
+    return F.coalesce(*[F.when(available[e], F.lit(e)) for e in order if e in available], F.lit(fallback))

@@ -98,7 +98,7 @@ def strip_repeated_lines_aggr(spark: SparkSession, d: str) -> DataFrame:
     return clean.strip_repeated_lines(_lines(spark, d), aggressive=True)
 
 
-@query()
+@query(f"WITH {s.PAPERS}, {s.reflowed()} SELECT * FROM reflowed")
 def reflow_lines(spark: SparkSession, d: str) -> DataFrame:
     return clean.reflow_lines(papers(spark, d))
 
@@ -193,21 +193,29 @@ def matches_union(spark: SparkSession, d: str) -> DataFrame:
     return rules.matches_union(papers(spark, d))
 
 
-@query()
+_SNIPPET = rf"""{s.strip(r"regexp_replace(regexp_replace(regexp_replace(substring(text, snip_start + 1, snip_end - snip_start), '([A-Za-z])-\s*\n\s*([a-z])', '\1\2', 'g'), '\s*\n\s*', ' ', 'g'), '[ \t]{2,}', ' ', 'g')")}"""
+
+
+@query(f'WITH {s.PAPERS}, {s.PLACES}, {s.WINDOWS} SELECT doc_id, ord, rule, action, "start", "end", hit, {_SNIPPET} AS snippet, snip_start, snip_end FROM windows')
 def rule_matches(spark: SparkSession, d: str) -> DataFrame:
     return rules.rule_matches(papers(spark, d))
 
 
-@query()
+@query(f"WITH {s.PAPERS}, {s.PLACES}, {s.marked('keep', s.q('**【核心】'), s.q('**') + ' || chr(10)')} SELECT * FROM marked")
 def markup_extract(spark: SparkSession, d: str) -> DataFrame:
     return rules.markup(papers(spark, d), "extract")
 
 
-@query()
+@query(f"WITH {s.PAPERS}, {s.PLACES}, {s.marked('review', s.q('⚠️【可能冗余】'), s.q('⚠️'))} SELECT * FROM marked")
 def markup_review(spark: SparkSession, d: str) -> DataFrame:
     return rules.markup(papers(spark, d), "review")
 
 
+@query(PH + ", items AS (SELECT doc_id, list({'rule': rule, 'action': action, 'hit': hit} ORDER BY ord, n) AS items FROM each_hit GROUP BY doc_id) SELECT doc_id, text, to_json(coalesce(items, []))::VARCHAR AS items FROM papers LEFT JOIN items USING (doc_id)".replace(") , items", "), items"))
+def process_full(spark: SparkSession, d: str) -> DataFrame:
+    return rules.full(papers(spark, d)).withColumn("items", F.to_json("items"))
+
+
 def _first_rule_sql(text: str, field: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, {s.q(r.pattern)}, 'is') THEN {s.q(getattr(r, field))}" for r in RULES) + " END"
 
@@ -411,7 +419,12 @@ def quota_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def quota_admissions(spark: SparkSession, d: str) -> DataFrame:
-    return streams.admissions(quota.usage_rows(_events(spark, d)).where("key <> 'global'"))
+    return streams.admissions_in_turn(_events(spark, d))
+
+
+@query()
+def key_admissions(spark: SparkSession, d: str) -> DataFrame:
+    return streams.admissions(quota.usage_rows(_events(spark, d)))
 
 
 @query(f"WITH {_USE} SELECT key, count(*) AS kept FROM use WHERE ts >= (SELECT max(ts) FROM ev) - 86400 GROUP BY key")
@@ -547,6 +560,70 @@ def semantic_hits(spark: SparkSession, d: str) -> DataFrame:
     return semantic.semantic_hits(rows.selectExpr("label", "embedding", "vec_id % 4 = 0 AS literal"), anchors, 0.2, by="label")
 
 
+@query(f"""SELECT doc_id, len(l)::INT AS n, md5(array_to_string(l, chr(10))) AS h FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([。！？；!?;.])\\s*', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda x: {s.strip('x')}), lambda x: length(x) >= 8)[:150] AS l FROM documents)""")
+def anchor_sentences(spark: SparkSession, d: str) -> DataFrame:
+    rows = documents(spark, d).select("doc_id", semantic.anchor_sentences(F.col("text")).alias("l"))
+    return rows.select("doc_id", F.size("l").alias("n"), F.md5(F.array_join("l", "\n")).alias("h"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '；' || p_brand WHEN 1 THEN 'a：' || p_name || '；b：' || p_size ELSE p_name END AS value FROM part")
+def flat_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr("p_partkey", """CASE p_partkey % 3 WHEN 0 THEN '["' || p_name || '", "' || p_brand || '"]' WHEN 1 THEN '{"a": "' || p_name || '", "b": ' || p_size || '}' ELSE p_name END AS v""")
+    return rows.select("p_partkey", text_ai.flat_value(F.col("v")).alias("value"))
+
+
+@query("""SELECT p_partkey, unnest(CASE WHEN p_partkey % 3 = 2 THEN ['conclusion'] ELSE ['conclusion', 'score'] END) AS key, unnest(CASE p_partkey % 3 WHEN 0 THEN [p_name, p_size || '.5%'] WHEN 1 THEN [p_name, p_size::VARCHAR] ELSE [p_name || ' \\alpha'] END) AS value FROM part""")
+def json_repair(spark: SparkSession, d: str) -> DataFrame:
+    broken = """CASE p_partkey % 3 WHEN 0 THEN 'Well: {"结论": "' || p_name || '", "score": ' || p_size || '.5%}' WHEN 1 THEN '{"结论": "' || p_name || '", "score": ' || p_size || ',' ELSE concat('{"结论": "', p_name, ' ', chr(92), 'alpha",}') END AS raw"""
+    rows = table(spark, d, "part").selectExpr("p_partkey", broken)
+    return rows.select("p_partkey", F.inline(text_ai.parse_answer(F.col("raw"))))
+
+
+@query("SELECT p_partkey, role, content FROM (SELECT p_partkey, unnest(['system', 'user']) AS role, unnest(['You answer.', 'Name it.' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE chr(10) || chr(10) || p_name END]) AS content FROM part)")
+def chat_messages(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr("p_partkey", "' Name it. ' AS task", "CASE WHEN p_partkey % 4 = 0 THEN '  ' ELSE p_name END AS text")
+    return rows.select("p_partkey", F.inline(text_ai.chat_messages(F.col("task"), F.col("text"), "You answer.")))
+
+
+@query("WITH t AS (SELECT p_partkey, range(p_size) AS p, [p_size, 7, 2] AS a FROM part) SELECT p_partkey, array_to_string(list_concat(p, a)[:40], ' ') AS input_ids, array_to_string(list_concat(list_transform(p, lambda x: -100), a)[:40], ' ') AS labels FROM t")
+def masked_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr("p_partkey", "transform(sequence(1, p_size), x -> CAST(x - 1 AS INT)) AS p", "array(CAST(p_size AS INT), 7) AS a")
+    rows = rows.select("p_partkey", text_ai.masked_labels(F.col("p"), F.col("a"), end_id=2, most=40).alias("m"))
+    return rows.select("p_partkey", *[F.array_join(F.col(f"m.{n}").cast("array<string>"), " ").alias(n) for n in ("input_ids", "labels")])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'cloud' WHEN p_size % 3 = 0 THEN 'local' ELSE 'simple' END AS engine FROM part")
+def engine_choice(spark: SparkSession, d: str) -> DataFrame:
+    flags = {"local": F.col("p_size") % 3 == 0, "cloud": F.col("p_size") % 2 == 0}
+    return table(spark, d, "part").select("p_partkey", text_ai.first_engine(flags, ["cloud", "local"]).alias("engine"))
+
+
+_SHOWN = [("R", "en", "returned"), ("A", "en", "accepted"), ("A", "ja", "受理"), ("O", "ja", "未処理")]
+
+
+@query(f"SELECT l_returnflag AS label, coalesce(w.t, l_returnflag) AS shown, count(*) AS n FROM lineitem LEFT JOIN (VALUES {', '.join(f'({s.q(a)}, {s.q(t)})' for a, g, t in _SHOWN if g == 'en')}) w(a, t) ON a = l_returnflag GROUP BY ALL")
+def ui_labels(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return rollup.translated(labels, spark.createDataFrame(_SHOWN, "label string, lang string, text string"), "en")
+
+
+@query(f"{_SAL} SELECT doc_id, count(*) AS match_count, count(*) FILTER (action = 'keep') AS keep_count, round_even(round(avg(salience), 9), 3) AS salience_avg FROM sal GROUP BY doc_id")
+def record_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.record_stats(salience.salience(papers(spark, d)))
+
+
+@query("SELECT p_partkey, (1700000000 + p_partkey)::VARCHAR || '_' || replace(p_name, ' ', '_') || '.pdf' AS stored FROM part")
+def upload_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", rollup.upload_name(F.col("p_partkey") + 1700000000, F.concat("p_name", F.lit(".PDF"))).alias("stored"))
+
+
+@query(f"SELECT * FROM ({_FILES}) WHERE safe_name NOT IN (SELECT CAST(o_orderkey AS STRING) || '_' || o_orderpriority || CAST(o_custkey % 40 AS STRING) || '.pdf' FROM orders WHERE o_custkey % 2 = 0)")
+def excluded_files(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "orders").createOrReplaceTempView("orders")
+    files = spark.sql(_FILES)
+    return dataset.without_names(files, files.where("size % 2 = 0"), "safe_name")
+
+
 # Training rows and metrics.
 
 _LABEL = "CASE " + " ".join(f"WHEN rule = '{r}' THEN {s.q(x)}" for r, x in fixed.SECTION_OF.items()) + " END"
@@ -582,6 +659,11 @@ def train_val_split(spark: SparkSession, d: str) -> DataFrame:
     return dataset.split_by_paper(dataset.dedup_rows(_weak(spark, d)))
 
 
+@query(f"WITH {_WEAK} SELECT uniq.*, CASE WHEN ('0x' || substring(md5(instruction || chr(1) || input || chr(1) || output), 1, 8))::BIGINT < {int(0.1 * 16**8)} THEN 'val' ELSE 'train' END AS split FROM uniq")
+def row_split(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.split_rows(dataset.dedup_rows(_weak(spark, d)))
+
+
 @query(f"WITH {_WEAK} SELECT instruction, output, count(*) AS n FROM rows_ GROUP BY ALL")
 def label_distribution(spark: SparkSession, d: str) -> DataFrame:
     return dataset.label_distribution(_weak(spark, d))

@@ -115,3 +115,39 @@ SALIENCE = f"""rel AS (SELECT doc_id, term, w / max(w) OVER (PARTITION BY doc_id
  round(least(1.0::DOUBLE, length(hit) / 20.0::DOUBLE), 6) AS f_length FROM cont LEFT JOIN means USING (doc_id, ord, n)),
  sal AS (SELECT doc_id, ord, rule, action, n, hit, f_rule, f_tfidf, f_density, f_length,
  round_even(greatest(0.05::DOUBLE, least(0.95::DOUBLE, round(0.6::DOUBLE * f_rule + 0.22::DOUBLE * f_tfidf + 0.1::DOUBLE * f_density + 0.08::DOUBLE * f_length, 6))), 2) AS salience FROM feats)"""
+
+
+# Hits with their places: what lies between hits and the hits themselves add up to a hit's start.
+PLACES = "cut AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS ord, {q(r.name)} AS rule, {q(r.action)} AS action, text, string_split_regex(text, {q(r.pattern)}, 'i') AS gaps, regexp_extract_all(text, {q(r.pattern)}, 0, 'i') AS found FROM papers"
+    for i, r in enumerate(RULES)
+) + """), placed AS (SELECT doc_id, ord, rule, action, text, found[k + 1] AS hit, (list_sum(list_transform(gaps[:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:k], lambda x: length(x))), 0))::INT AS "start"
+ FROM cut, LATERAL (SELECT unnest(range(len(found))) AS k) WHERE len(found) > 0), spans AS (SELECT *, ("start" + length(hit))::INT AS "end" FROM placed)"""
+
+#: Windows of hits: the last sentence end in reach before them, and the first after them.
+WINDOWS = r"""ends AS (SELECT doc_id, k AS stop FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS k FROM papers)
+ WHERE substring(text, k, 1) IN ('。', '！', '？') OR substring(text, k, 1) IN ('.', '!', '?') AND (k = length(text) OR regexp_matches(substring(text, k + 1, 1), '^\s')) OR k > 1 AND substring(text, k - 1, 2) = chr(10) || chr(10)),
+ reach AS (SELECT *, row_number() OVER () AS hit_no, greatest(0, "start" - 320) AS lo, least(length(text), "end" + 320) AS hi FROM spans),
+ near AS (SELECT hit_no, max(stop) FILTER (stop <= "start" AND stop > lo) AS l, min(stop) FILTER (stop >= "end" AND stop <= hi) AS r FROM reach JOIN ends USING (doc_id) GROUP BY hit_no),
+ sided AS (SELECT reach.*, coalesce(l, lo)::INT AS snip_start, r, substring(text, "end" + 2, hi - "end" - 1) AS tail FROM reach LEFT JOIN near USING (hit_no)),
+ windows AS (SELECT *, coalesce(r, CASE WHEN hi < length(text) AND contains(tail, ' ') THEN "end" + 1 + length(tail) - instr(reverse(tail), ' ') ELSE hi END)::INT AS snip_end FROM sided)"""
+
+
+def marked(action: str, before: str, after: str) -> str:
+    """CTEs that end in ``marked`` (doc_id, marked): hits of an action between two marks, those that overlap as one."""
+    return f"""mine AS (SELECT DISTINCT doc_id, "start" AS s, "end" AS e FROM spans WHERE action = {q(action)}),
+ isles AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM mine),
+ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle FROM isles),
+ merged AS (SELECT doc_id, isle, min(s) AS s, max(e) AS e FROM numbered GROUP BY ALL), led AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS last FROM merged),
+ parts AS (SELECT doc_id, max(e) AS tail, string_agg(substring(text, last + 1, s - last) || {before} || substring(text, s + 1, e - s) || {after}, '' ORDER BY s) AS done FROM led JOIN papers USING (doc_id) GROUP BY doc_id),
+ marked AS (SELECT doc_id, coalesce(done || substring(text, tail + 1), text) AS marked FROM papers LEFT JOIN parts USING (doc_id))"""
+
+
+def reflowed() -> str:
+    """CTEs that end in ``reflowed`` (doc_id, text): a line goes on where neither the one before ends nor it begins something."""
+    han = "[\\x{4e00}-\\x{9fff}]"
+    return f"""whole AS (SELECT doc_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '([A-Za-z])-\\n[ \\t]*([a-z])', '\\1\\2', 'g') AS text FROM papers),
+ lines AS (SELECT doc_id, pos, {strip('a[pos + 1]')} AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM whole), LATERAL (SELECT unnest(range(len(a))) AS pos)),
+ pairs AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY pos), '') AS p FROM lines),
+ joints AS (SELECT doc_id, pos, s, CASE WHEN p = '' OR contains({q(clean.LINE_ENDS)}, right(p, 1)) OR regexp_matches(s, {q(clean.NEW_BLOCK.pattern)}) THEN chr(10) WHEN regexp_matches(right(p, 1), '{han}') AND regexp_matches(s, '^{han}') THEN '' ELSE ' ' END AS joint FROM pairs WHERE s <> ''),
+ reflowed AS (SELECT doc_id, coalesce(substring(string_agg(joint || s, '' ORDER BY pos), 2), '') AS text FROM whole LEFT JOIN joints USING (doc_id) GROUP BY doc_id)"""

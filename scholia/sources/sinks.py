@@ -35,3 +35,9 @@ def delete_records(rows: DataFrame, ids: list[str] | None = None) -> DataFrame:
 def write_texts(rows: DataFrame, path: str, text_col: str = "report") -> None:
     """Texts as files, a line separator of form feeds between those of one file."""
     rows.select(text_col).write.mode("overwrite").option("lineSep", "\f").text(path)
+
+
+def purge(rows: DataFrame, ids: list[str] | None = None) -> tuple[DataFrame, int]:
+    """What remains without some records (all if ``ids`` is None), and how many go."""
+    gone = rows if ids is None else rows.where(F.col("id").isin(*ids))
+    return delete_records(rows, ids), gone.count()

@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from scholia.operators import quota, rollup, text_ai
 from scholia.operators import dataset
+from scholia.sources import sinks
 from scholia.streaming import usage
 
 
@@ -81,3 +84,49 @@ def test_upserts(spark):
     assert sorted(map(tuple, rollup.insert_or_replace(old, new.where("k = 1"), "k").collect())) == [(1, "b")]
 
 
+
+
+def test_three_tiers_in_turn(spark):
+    """Against a plain walk over the events: a refused event uses up nothing."""
+    rng = random.Random(4)
+    events = [(k, rng.randint(0, 400), rng.choice(["a", "b", "c", "", None]), rng.choice(["x", "y"])) for k in range(500)]
+    caps, window, admitted, want = (12, 3, 8), 50, [], {}
+    for k, t, visitor, ip in sorted(events, key=lambda e: (e[1], e[0])):
+        recent = [e for e in admitted if e[0] >= t - window]
+        if len(recent) >= caps[0]:
+            want[k] = "global"
+        elif visitor and sum(e[1] == visitor for e in recent) >= caps[1]:
+            want[k] = "visitor"
+        elif sum(e[2] == ip for e in recent) >= caps[2]:
+            want[k] = "ip"
+        else:
+            want[k] = "ok"
+            admitted.append((t, visitor, ip))
+    rows = spark.createDataFrame(events, "event_id long, ts long, visitor string, ip string").repartition(5)
+    assert {r.event_id: r.reason for r in usage.admissions_in_turn(rows, caps, window).collect()} == want
+    assert set(want.values()) == {"ok", "global", "visitor", "ip"}
+    assert usage.admissions_in_turn(rows.limit(0)).count() == 0
+
+
+def test_values_and_repairs(spark):
+    rows = spark.createDataFrame([('["a", 1, null]',), ('{"k": "v", "n": 2}',), ("plain [x]",), (None,), ("[broken",)], "v string")
+    assert [r[0] for r in rows.select(text_ai.flat_value(F.col("v"))).collect()] == ["a；1；None", "k：v；n：2", "plain [x]", None, "[broken"]
+    broken = ['{"结论": "a", "x": 63.8%, }', '{"a": ["b", "c"', 'so {"t": "\\alpha \\n"}', '{"a": {"b": 1}', "no object"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(broken)], "k int, raw string")
+    got = {r.k: [(x.key, x.value) for x in r.a] for r in rows.select("k", text_ai.parse_answer(F.col("raw")).alias("a")).collect()}
+    assert got == {0: [("conclusion", "a"), ("x", "63.8%")], 1: [("a", '["b","c"]')], 2: [("t", "\\alpha \n")], 3: [("a", '{"b":1}')], 4: [("raw", "no object")]}
+
+
+def test_purge_counts(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    left, gone = sinks.purge(rows, ["a", "z"])
+    assert gone == 1 and [r.id for r in left.collect()] == ["b"]
+    left, gone = sinks.purge(rows)
+    assert gone == 2 and left.count() == 0
+
+
+def test_gold_folder(spark, tmp_path):
+    (tmp_path / "p1.json").write_text('{"gold_core_sentences": ["We  propose a method that is new."], "candidates": ["We propose a method that is new.", "short", "The dataset holds many images of cats."]}', "utf-8")
+    (tmp_path / "p2.json").write_text("{broken", "utf-8")
+    got = dataset.read_gold(spark, str(tmp_path)).collect()
+    assert [(r.paper, r.core, len(r.candidates)) for r in got] == [("p1.json", ["We propose a method that is new."], 2)]
