@@ -96,7 +96,7 @@ def scored(mode: str, subject: str, teacher_cap: int = 85, name: str = "scored")
  {name} AS (SELECT *, CASE WHEN conf_score >= 0.75 THEN '高' WHEN conf_score >= 0.45 THEN '中' ELSE '低' END AS conf_level, '{mode}' AS mode, '{subject}' AS subject FROM {name}_d)"""
 
 
-TOKENS = lambda text: rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')"
+TOKENS = lambda text: rf"regexp_extract_all(lower({text}), '[\x{{4e00}}-\x{{9fff}}]{{1,2}}|(?:[^\P{{L}}\x{{4e00}}-\x{{9fff}}]|\p{{N}})+')"
 CONTENT = lambda t: f"list_filter({t}, lambda t: length(t) > 1 AND NOT list_contains({words(fixed.STOPWORDS)}, t))"
 
 

@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: One SQL expression for both engines: a paper with or without each section, by p_partkey.
+#: One SQL expression for both engines: a paper with or without each section, by p_partkey, some in other languages.
 PAPER_TEXT = """
-CASE WHEN p_partkey % 7 = 0 THEN 'The ' || p_name || ' framework model near the river was quiet. Nobody came. An analysis of ' || p_name || ' performance!' || chr(10) || 'Short one.'
+CASE WHEN p_partkey % 13 = 3 THEN '摘要' || chr(10) || '针对 ' || p_name || ' 的问题，本文提出了一种新方法。随着技术的发展，' || p_brand || ' 得到了广泛关注。众所周知，它很重要。' || chr(10) || '关键词：' || p_name || '；' || p_brand || chr(10)
+|| '研究方法' || chr(10) || '损失函数定义为 $L_{' || CAST(p_size AS STRING) || '} = 0.' || CAST(p_size AS STRING) || '$，其中 x 表示输入。基于 PyTorch 框架实现，在 GPU 上训练，学习率为 0.' || CAST(p_size AS STRING) || '。定理 1 成立。首先介绍模型。' || chr(10)
+|| CASE WHEN p_partkey % 2 = 0 THEN '实验结果' || chr(10) || '如表 ' || CAST(p_size % 9 AS STRING) || ' 所示，准确率提高了 ' || CAST(p_size AS STRING) || '.5%，差异显著（p < 0.05）。所谓 ' || p_name || ' 是指一种零件。' || chr(10) ELSE '' END
+|| '结论' || chr(10) || '综上所述，' || p_name || ' 优于现有方法，准确率为 ' || CAST(p_size AS STRING) || '.5%。为后续研究提供参考，应用前景广阔。换句话说，效果很好。' || chr(10) || '致谢' || chr(10) || '感谢国家自然科学基金的资助。'
+WHEN p_partkey % 13 = 5 THEN '要旨' || chr(10) || '本研究では ' || p_name || ' の新しい手法を提案する。' || p_brand || ' のモデルは高い精度を示した。' || chr(10) || 'キーワード：' || p_name || chr(10) || '提案手法' || chr(10) || p_name || ' のアルゴリズムは損失関数を最小化し、学習率は 0.' || CAST(p_size AS STRING) || ' である。' || chr(10)
+|| CASE WHEN p_partkey % 2 = 0 THEN '評価実験' || chr(10) || '精度は ' || CAST(p_size AS STRING) || '.5% であり、遅延は ' || CAST(p_size AS STRING) || ' ms だった。データセットは公開されている。' || chr(10) ELSE '' END || 'おわりに' || chr(10) || p_name || ' の精度は ' || CAST(p_size AS STRING) || '.5% に達し、提案手法の有効性を確認した。'
+WHEN p_partkey % 13 = 7 THEN '초록' || chr(10) || '본 논문은 ' || p_name || ' 문제를 위한 새로운 방법을 제안한다. ' || p_brand || ' 모델을 사용하였다.' || chr(10) || '키워드: ' || p_name || chr(10) || '제안 방법' || chr(10) || p_name || ' 알고리즘은 손실 함수를 최소화하며 학습률은 0.' || CAST(p_size AS STRING) || ' 이다. 모델은 두 단계로 구성된다.' || chr(10)
+|| '실험 결과' || chr(10) || '정확도는 ' || CAST(p_size AS STRING) || '.5% 이고 지연은 ' || CAST(p_size AS STRING) || ' ms 였다. 데이터는 공개되어 있다.' || chr(10) || '결론' || chr(10) || p_name || ' 의 정확도는 ' || CAST(p_size AS STRING) || '.5% 에 도달하였고 유효성을 확인하였다.'
+WHEN p_partkey % 13 = 9 THEN 'Zusammenfassung' || chr(10) || 'Diese Arbeit stellt ein neuartiges Verfahren für ' || p_name || ' vor. Das Modell ' || p_brand || ' wird geprüft.' || chr(10) || 'Schlüsselwörter: ' || p_name || ', ' || p_brand || chr(10) || 'Methodik' || chr(10) || 'Der Algorithmus minimiert die loss function mit learning rate 0.' || CAST(p_size AS STRING) || '. Die Übertragung läuft über ' || p_name || '.' || chr(10)
+|| 'Ergebnisse' || chr(10) || 'Die Genauigkeit beträgt ' || CAST(p_size AS STRING) || '.5% bei ' || CAST(p_size AS STRING) || ' ms. Größere Datensätze folgen.' || chr(10) || 'Fazit' || chr(10) || 'Das Verfahren erreicht ' || CAST(p_size AS STRING) || '.5% auf ' || p_name || ' und ist damit robust.'
+WHEN p_partkey % 13 = 11 THEN 'Abstract' || chr(10) || 'The loss is denoted by $L_{1} = x^2$ and Eq. (' || CAST(p_size % 9 AS STRING) || ') holds. Theorem ' || CAST(p_size % 9 AS STRING) || ' is subject to ' || p_name || '. Table ' || CAST(p_size % 9 AS STRING) || ' lists results for ' || p_brand || '.' || chr(10)
+|| '2 Approach' || chr(10) || 'It is implemented in Java. Firstly, ' || p_name || ' is a kind of part. It provides a new perspective.' || chr(10) || '3 Results' || chr(10) || 'The confidence interval of ' || CAST(p_size AS STRING) || '.5% is narrow, the p-value small.' || chr(10) || 'Conclusion' || chr(10) || 'In summary, ' || p_name || ' gains ' || CAST(p_size AS STRING) || '.5%. We thank the reviewers of ' || p_brand || '.'
+WHEN p_partkey % 7 = 0 THEN 'The ' || p_name || ' framework model near the river was quiet. Nobody came. An analysis of ' || p_name || ' performance!' || chr(10) || 'Short one.'
 ELSE 'Abstract' || chr(10) || 'We propose a novel ' || lower(p_type) || ' scheme to address the ' || p_name || ' problem. In recent years, ' || p_brand || ' has attracted much attention.' || chr(10)
 || CASE WHEN p_partkey % 3 <> 0 THEN 'Keywords: ' || p_name || ', ' || p_brand || chr(10) ELSE '' END
 || CASE WHEN p_partkey % 4 <> 1 THEN '2 Method' || chr(10) || 'Our approach builds a ' || p_name || ' model. The loss function converges with learning rate 0.' || CAST(p_size AS STRING) || '. It consists of ' || CAST(p_size % 9 AS STRING) || ' layers.' || chr(10) ELSE '' END
