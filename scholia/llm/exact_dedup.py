@@ -14,10 +14,11 @@ everything after that reads 32-byte digests, not texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, quoted
+from .slots import parted
 
 #: Digests that may be broadcast, and counters of each sketch (the fixed bound of the broadcast).
 HEAVY, SLOTS = 256, 4096
@@ -29,6 +30,21 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER).cast("binary"), 256)
 
 
+def _winners(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (id, digest), and keep_id and group_size of the frequent digests (written) and of the others."""
+    rows = scratch.keep(docs.select(F.col(quoted(id_col)).alias("id"), text_digest(F.col(quoted(text_col))).alias("digest")), "digests")
+    heavy = (
+        rows.agg(F.expr(f"approx_top_k(digest, {HEAVY}, {SLOTS})").alias("top"))
+        .select(F.explode("top").alias("top"))
+        .where("top.count > 1")
+        .select(F.col("top.item").alias("digest"))
+    )
+    best = (F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    winners = scratch.keep(rows.join(F.broadcast(heavy), "digest", "left_semi").groupBy("digest").agg(*best), "winners")
+    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    return rows, winners, rest.groupBy("digest").agg(*best)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
@@ -37,25 +53,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that repeat an id are counted each; all of them are kept if that id wins.  Other columns
     are ignored, so their names cannot clash.  An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "exact")
-    rows = scratch.keep(docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest")), "digests")
-    heavy = (
-        rows.agg(F.expr(f"approx_top_k(digest, {HEAVY}, {SLOTS})").alias("top"))
-        .select(F.explode("top").alias("top"))
-        .where("top.count > 1")
-        .select(F.col("top.item").alias("digest"))
-    )
-    winners = scratch.keep(
-        rows.join(F.broadcast(heavy), "digest", "left_semi").groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
-        "winners",
-    )
-    tagged = rows.join(F.broadcast(winners), "digest", "left")
-    settled = tagged.where("group_size is not null")
-    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    own = rest.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    both = settled.select("id", "digest", "keep_id", "group_size").unionByName(
-        rest.join(own, "digest").select("id", "digest", "keep_id", "group_size")
-    )
+    rows, winners, own = _winners(docs, id_col, text_col, Scratch(docs.sparkSession, "exact"))
+    settled = rows.join(F.broadcast(winners), "digest")
+    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").join(own, "digest")
+    both = settled.unionByName(rest)
     return both.select(
         F.col("id").alias(id_col),
         "keep_id",
@@ -66,6 +67,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` does not keep; a kept id stays once per row that has it."""
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
+    """``docs`` with one row of each group of equal texts: that with the largest id.
+
+    Of rows that repeat id and text one stays, the first by a hash of its columns.  Copies of frequent
+    texts go map-side; of the others only rows whose digest may occur twice are shuffled.
+    """
+    _, winners, own = _winners(docs, id_col, text_col, Scratch(docs.sparkSession, "exact"))
+    shared = Scratch(docs.sparkSession, "shared").keep(own.where("group_size > 1").unionByName(winners).select("digest", "keep_id", F.lit(True).alias("shared")), "shared")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # by number: a column may have any name
+    rows = docs.withColumns({"_id": F.col(quoted(id_col)), "_digest": text_digest(F.col(quoted(text_col)))}).toDF(*names, "id", "digest")
+    rows = rows.join(F.broadcast(winners.select("digest", F.col("keep_id").alias("best"), F.lit(True).alias("heavy"))), "digest", "left")
+    rows = rows.where(F.col("heavy").isNull() | F.col("id").eqNullSafe(F.col("best")))
+    some, alone = parted(rows, "digest", shared)
+    some = some.join(shared, "digest", "left").where(F.col("shared").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
+    hashed = F.xxhash64(*[c for c, f in zip(names, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()])
+    first = F.row_number().over(Window.partitionBy("digest").orderBy(hashed))
+    some = some.withColumn("first", first).where("first = 1")
+    return alone.select(*names).unionByName(some.select(*names)).toDF(*docs.columns)
