@@ -44,6 +44,8 @@ from .components import connected_components
 from .packing import expand, squeeze
 from .scratch import Scratch, quoted
 from .shingles import scramble, shingle_sets
+from .slots import parted
+from .worker import batches_of
 
 #: Similar: 100 * intersection >= PERCENT * union, so difference <= (a + b) * (100 - PERCENT) / (100 + PERCENT).
 PERCENT, SIZE = 80, 5
@@ -55,8 +57,6 @@ FLUSH, SEEN = 1 << 19, 1 << 18
 KEYS, BUCKETS, SHORT = 1 << 20, 64, 40
 #: Nodes of a key that are paired by a join; nodes of a block of more; rows one task compares, about.
 HOT, BLOCK, ROWS = 32, 512, 16384
-#: Slots of the filter that keeps texts without a candidate pair from being shuffled (its size bound).
-SLOTS = 1 << 18
 #: Bits of the shortest sketch; nodes that each key's others are paired with at first.
 BITS, CENTERS = 256, 3
 #: Tells the texts of rows that repeat an id apart.
@@ -272,7 +272,7 @@ def _filtered(pairs: DataFrame, about: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) whose sizes and bit sketches allow the similarity."""
     p, q = (about.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
     sized = pairs.join(p, "a").join(q, "b").where(f"greatest(n_a, n_b) * {PERCENT} <= least(n_a, n_b) * 100")
-    return sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_filter_batches, "a long, b long")
+    return sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(batches_of("ngram", _filter_batches), "a long, b long")
 
 
 def _across(shared: DataFrame, labels: DataFrame, about: DataFrame, scratch: Scratch) -> DataFrame:
@@ -302,14 +302,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, about: DataFrame, scratch: Scra
     """Those of ``pairs`` (a, b: nodes) that are similar."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = scratch.keep(about.select("node", "id", "version").join(wanted, "node", "left_semi"), "wanted")
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
-    slots = first.select(slot).distinct()  # at most SLOTS rows, whatever the input
-    near = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi")
+    near, _ = parted(docs, "id", first)
     texts = near.withColumn("version", F.expr(VERSION)).join(first, ["id", "version"]).groupBy("id", "version", "node").agg(F.first("text").alias("text"))
     texts = scratch.keep(texts.select("node", "text"), "texts")
     met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     met = met.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    links = met.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long")
+    links = met.select("a", "b", "text_a", "text_b").mapInArrow(batches_of("ngram", _verify_batches), "a long, b long")
     links = scratch.keep(links, "verified")
     scratch.drop(texts, first)
     return links
@@ -326,12 +324,12 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "ngram")
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     versions = rows.withColumn("version", F.expr(VERSION))
-    sets = versions.mapInArrow(_describe_batches, "id long, version long, n long, node long, sketch binary")
+    sets = versions.mapInArrow(batches_of("ngram", _describe_batches), "id long, version long, n long, node long, sketch binary")
     sets = scratch.keep(sets, "sets")
     known = sets.where("id is not null and node is not null")
     shingles = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(BUCKETS, int(0.6 * shingles / KEYS))  # a shingle gives about 0.6 keys
-    packed = rows.where("id is not null").select("text").mapInArrow(_key_batches(buckets), "bucket int, keys binary, owners binary, nodes binary")
+    packed = rows.where("id is not null").select("text").mapInArrow(batches_of("ngram", _key_batches(buckets)), "bucket int, keys binary, owners binary, nodes binary")
     met = scratch.keep(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "kind int, x long, y long"), "met")
     shared = met.where("kind = 1").select(F.col("x").alias("name"), F.col("y").alias("node"))
     about = known.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "version", "n", "sketch")).alias("one"))
@@ -360,6 +358,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id (null ids stay)."""
-    name = quoted(id_col)
-    gone = ngram_groups(docs, id_col, text_col).where(f"{name} <> component_id").select(F.col(name).alias("_gone")).distinct()
-    return docs.join(gone, docs[name] == gone["_gone"], "left_anti")
+    gone = ngram_groups(docs, id_col, text_col).toDF("id", "n", "component").where("id <> component").select("id").distinct()
+    gone = Scratch(docs.sparkSession, "gone").keep(gone, "gone")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # by number: a column may have any name
+    some, alone = parted(docs.withColumn("_id", F.col(quoted(id_col)).cast("long")).toDF(*names, "id"), "id", gone)
+    return alone.unionByName(some.join(gone, "id", "left_anti").select(*names, "id")).select(*names).toDF(*docs.columns)
