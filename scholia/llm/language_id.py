@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .packing import ranges
 from .scratch import quoted, small_batches
+from .worker import batches_of
 
 ORDER, SAMPLE_TEXTS, QUANTILE, WAY = 4, 400, 0.95, 2 / 3
 #: Words whose scores a worker remembers, and the longest of them.
@@ -66,111 +67,117 @@ def _shuffled(text: str, seed: int) -> str:
     return " ".join("".join(next(drawn) for _ in w) for w in words)
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Per scored character: the word's number and hashes of its contexts' n-grams of each order.
-
-    A word w is scored as the characters of w and the space after it, given at most ORDER - 1 before,
-    the space before it included.  Shorter contexts at a word's start repeat the longest there is.
-    """
-    joined = "".join(f" {w} " for w in words)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(w) + 2 for w in words])
-    starts = np.cumsum(lengths) - lengths
-    within = np.arange(len(codes)) - np.repeat(starts, lengths)
-    scored = within > 0
-    owner = np.repeat(np.arange(len(words)), lengths)[scored]
-    at = np.flatnonzero(scored)
-    inside = within[scored]
-    orders = []
-    value = np.zeros(len(at), np.uint64)
+def _hashes(codes: np.ndarray, reach: np.ndarray) -> Iterator[np.ndarray]:
+    """For n = 1 to ORDER a hash of the n characters that end at each place; 0 where ``reach`` (characters before it) is less."""
+    value = np.zeros(len(codes), np.uint64)
     for n in range(1, ORDER + 1):
-        back = at - (n - 1)
-        reach = inside >= n - 1
-        value = np.where(reach, (value ^ (codes[np.maximum(back, 0)] + np.uint64(n) * np.uint64(0x100000001B3))) * _MIX, value)
-        value = np.where(reach, value ^ (value >> np.uint64(29)), value)
-        orders.append(np.where(reach, value, np.uint64(0)))
-    return owner, orders, inside
+        back = codes[np.maximum(np.arange(len(codes)) - (n - 1), 0)]
+        value = (value ^ (back + np.uint64(n) * np.uint64(0x100000001B3))) * _MIX
+        value ^= value >> np.uint64(29)
+        yield np.where(reach >= n - 1, value, np.uint64(0))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _gram_hashes(grams: list[str]) -> np.ndarray:
+    """The hash that ``_hashes`` gives to each n-gram."""
+    lengths = np.array([len(g) for g in grams], np.int64)
+    ends = np.cumsum(lengths) - 1
+    within = np.arange(int(lengths.sum())) - np.repeat(ends - lengths + 1, lengths)
+    every = np.stack([np.zeros(len(within), np.uint64), *_hashes(_codes("".join(grams)), within)])
+    return every[lengths, ends] if len(grams) else np.zeros(0, np.uint64)
 
 
 class Model:
-    """Sorted hash arrays and their probabilities; a few MB, bounded by the sample.
+    """A sorted array of hashes of n-grams and two rows of logarithms for each; a few MB, bounded by the sample.
 
+    ``known`` is the interpolated probability of an n-gram's last character after the others, all lower orders
+    included; ``skip`` the weight that falls to the lower order if a character was not seen after the n-gram.
     Without texts there is no language, and ``identify`` finds none.
     """
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
         n = len(self.languages)
-        words = {lang: _tokens(" ".join(t)) for lang, t in texts.items()}
-        counts: list[dict[str, dict[str, int]]] = []
-        self.characters = len({c for w in words.values() for x in w for c in x}) + 2
+        words = {lang: Counter(_tokens(" ".join(t))) for lang, t in texts.items()}
+        counts: list[list[Counter[str]]] = []
+        self.characters = len({c for own in words.values() for w in own for c in w}) + 2
         for lang in self.languages:
-            by: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
-            seen: dict[str, int] = {}
-            for w in words[lang]:
-                seen[w] = seen.get(w, 0) + 1
-            for w, c in seen.items():
+            by: list[Counter[str]] = [Counter() for _ in range(ORDER + 1)]
+            for w, c in words[lang].items():
                 s = f" {w} "
                 for end in range(2, len(s) + 1):
                     # The highest order that fits is counted as it is; lower orders by continuations.
                     g = s[max(0, end - ORDER) : end]
-                    by[len(g)][g] = by[len(g)].get(g, 0) + c
+                    by[len(g)][g] += c
             for order in range(ORDER, 1, -1):
-                for g in by[order]:
-                    by[order - 1][g[1:]] = by[order - 1].get(g[1:], 0) + 1
+                by[order - 1].update(g[1:] for g in by[order])
             counts.append(by)
-        grams = sorted({g for by in counts for order in by[1:] for g in order})
-        hashes = _gram_hashes(grams)
-        probability = np.zeros((len(grams), n))  # discounted share of the last character in its context
-        backoff = np.ones((len(grams), n))  # weight of the lower order after this context
+        every = {g for by in counts for order in by[1:] for g in order}
+        grams = sorted(every | {g[:-1] for g in every if len(g) > 1}, key=lambda g: (len(g), g))
         place = {g: i for i, g in enumerate(grams)}
-        contexts: list[str] = []
-        weights = []
+        share = np.zeros((len(grams), n))  # discounted share of the last character in its context
+        weight = np.ones((len(grams) + 1, n))  # of the lower order after a context; the last row is the empty one
         for k, by in enumerate(counts):
             for order in range(1, ORDER + 1):
-                total: dict[str, int] = {}
-                kinds: dict[str, int] = {}
-                ones = sum(c == 1 for c in by[order].values())
-                twos = sum(c == 2 for c in by[order].values())
+                ones, twos = (sum(c == x for c in by[order].values()) for x in (1, 2))
                 discount = ones / (ones + 2 * twos) if ones and twos else 0.75
+                total: Counter[str] = Counter()
                 for g, c in by[order].items():
-                    total[g[:-1]] = total.get(g[:-1], 0) + c
-                    kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+                    total[g[:-1]] += c
+                kinds = Counter(g[:-1] for g in by[order])
                 for g, c in by[order].items():
-                    probability[place[g], k] = max(c - discount, 0) / total[g[:-1]]
+                    share[place[g], k] = max(c - discount, 0) / total[g[:-1]]
                 for context, c in total.items():
-                    contexts.append(context)
-                    weights.append((k, discount * kinds[context] / c))
+                    weight[place.get(context, -1), k] = discount * kinds[context] / c
+        chance = share
+        lengths = np.array([len(g) for g in grams], np.int64)
+        rest, context = (np.array([place.get(g[cut], len(grams)) for g in grams], np.int64) for cut in (slice(1, None), slice(None, -1)))
+        for order in range(1, ORDER + 1):  # lower orders are whole before higher ones need them
+            rows = np.flatnonzero(lengths == order)
+            lower = np.vstack([chance, np.full((1, n), 1 / self.characters)])[rest[rows]]
+            chance[rows] += weight[context[rows]] * lower
+        hashes = _gram_hashes(grams)
         order = np.argsort(hashes)
-        self.hashes, self.probability = hashes[order], probability[order]
-        names = sorted(set(contexts))
-        spot = {c: i for i, c in enumerate(names)}
-        for c, (k, w) in zip(contexts, weights, strict=True):
-            if spot[c] >= len(backoff):
-                backoff = np.vstack([backoff, np.ones((len(names) - len(backoff), n))])
-            backoff[spot[c], k] = w
-        backoff = backoff[: len(names)]
-        context_hashes = _gram_hashes(names)
-        order = np.argsort(context_hashes)
-        self.context_hashes, self.backoff = context_hashes[order], backoff[order]
+        self.hashes, self.known, self.skip = hashes[order], np.log(chance[order]), np.log(weight[:-1][order])
+        self.unseen = np.log(weight[-1] / self.characters)
         self.limit, self.slope = np.full(n, np.inf), 10.0
 
-    def _rows(self, table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-        return at, table[at] == hashes
+    def _rows(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def character_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each character of each word and the space after it: the word's number, and the log probability under each language.
+
+        A character is scored given at most ORDER - 1 before it, the space before the word included.
+        """
+        lengths = np.array([len(w) + 2 for w in words])
+        starts = np.cumsum(lengths) - lengths
+        within = np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
+        hashes = list(_hashes(_codes("".join(f" {w} " for w in words)), within))
+        scores = np.zeros((len(within), len(self.languages)))
+        todo = np.flatnonzero(within > 0)
+        for n in range(ORDER, 0, -1):
+            fits = within[todo] >= n - 1
+            here = todo[fits]
+            row, known = self._rows(hashes[n - 1][here])
+            scores[here[known]] += self.known[row[known]]
+            left = here[~known]
+            if n > 1:
+                row, known = self._rows(hashes[n - 2][left - 1])
+                scores[left[known]] += self.skip[row[known]]
+            else:
+                scores[left] += self.unseen
+            todo = np.r_[left, todo[~fits]]
+        return np.repeat(np.arange(len(words)), lengths - 1), scores[within > 0]
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Negative natural log probability of each word under each language."""
-        owner, orders, inside = _grams(words)
-        contexts = _context_hashes(words)
-        p = np.full((len(owner), len(self.languages)), 1 / self.characters)
-        for n in range(ORDER):
-            reach = inside >= n
-            at, known = self._rows(self.context_hashes, contexts[n])
-            weight = np.where((known & reach)[:, None], self.backoff[at], 1.0)
-            at, known = self._rows(self.hashes, orders[n])
-            p = weight * p + np.where((known & reach)[:, None], self.probability[at], 0.0)
-        return np.add.reduceat(-np.log(p), np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), axis=0)
+        owner, scores = self.character_scores(words)
+        return -np.add.reduceat(scores, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), axis=0)
 
     def calibrate(self, texts: list[tuple[str, str]]) -> None:
         """Limits and slope from labelled texts that were not counted."""
@@ -199,53 +206,18 @@ class Model:
             self.slope = best
 
 
-def _gram_hashes(grams: list[str]) -> np.ndarray:
-    """The hash that ``_grams`` gives to each n-gram, from its last character backwards; 1 for ''."""
-    out = np.ones(len(grams), np.uint64)
-    by: dict[int, list[int]] = {}
-    for i, g in enumerate(grams):
-        by.setdefault(len(g), []).append(i)
-    for length, rows in by.items():
-        if length:
-            codes = np.frombuffer("".join(grams[i] for i in rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), length).astype(np.uint64)
-            value = np.zeros(len(rows), np.uint64)
-            for n in range(1, length + 1):
-                value = (value ^ (codes[:, length - n] + np.uint64(n) * np.uint64(0x100000001B3))) * _MIX
-                value ^= value >> np.uint64(29)
-            out[rows] = value
-    return out
-
-
-def _context_hashes(words: list[str]) -> list[np.ndarray]:
-    """For each scored character and order n + 1 the hash of the n characters before it."""
-    joined = "".join(f" {w} " for w in words)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(w) + 2 for w in words])
-    starts = np.cumsum(lengths) - lengths
-    within = np.arange(len(codes)) - np.repeat(starts, lengths)
-    at = np.flatnonzero(within > 0)
-    inside = within[at]
-    out = [np.ones(len(at), np.uint64)]
-    value = np.zeros(len(at), np.uint64)
-    for n in range(1, ORDER):
-        reach = inside >= n
-        value = np.where(reach, (value ^ (codes[np.maximum(at - n, 0)] + np.uint64(n) * np.uint64(0x100000001B3))) * _MIX, value)
-        value = np.where(reach, value ^ (value >> np.uint64(29)), value)
-        out.append(np.where(reach, value, np.uint64(0)))
-    return out
-
-
 class Scorer:
     """Scores texts, remembering words within fixed bounds."""
 
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, int] = {}  # the word's row of the table
-        self.table = np.zeros((0, len(model.languages) + 1))
+        self.table = np.zeros((0, len(model.languages) + 2))  # scores, the best of them, characters
+        self.filled = 0
 
     def _learn(self, new: list[str]) -> None:
         """Score words under each language and under the best, some 2**15 characters at a time."""
-        at, begin = 0, len(self.known)
+        at, begin = 0, self.filled
         if begin + len(new) > len(self.table):
             room = np.zeros((max(begin + len(new), 2 * len(self.table)), self.table.shape[1]))
             room[:begin] = self.table[:begin]
@@ -257,28 +229,32 @@ class Scorer:
                 size += len(new[to]) + 2
                 to += 1
             scores = self.model.word_scores(new[at:to])
-            self.table[begin + at : begin + to] = np.column_stack([scores, scores.min(1)])
+            lengths = np.array([len(w) + 1 for w in new[at:to]])
+            self.table[begin + at : begin + to] = np.column_stack([scores, scores.min(1), lengths])
             at = to
+        self.filled += len(new)
 
     def entropies(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Cross-entropy per character under each language, and with each word under its best; None without a letter or a language."""
         if not self.model.languages:
             return [None] * len(texts)
         counted = [Counter(_tokens(text or "")) for text in texts]
-        if len(self.known) > REMEMBER:
-            self.known, self.table = {}, self.table[:0]
+        if self.filled > REMEMBER:
+            self.known, self.table, self.filled = {}, self.table[:0], 0
         known = self.known
-        self._learn(list({w for seen in counted for w in seen if w not in known}))
+        new = list(set().union(*counted) - known.keys())
+        self._learn(new)
         out: list[np.ndarray | None] = []
         for seen in counted:
             if not seen:
                 out.append(None)
                 continue
             n = np.fromiter(seen.values(), np.float64, len(seen))
-            size = sum((len(w) + 1) * c for w, c in seen.items())
-            out.append(n @ self.table[np.fromiter(map(known.__getitem__, seen), np.int64, len(seen))] / size)
-        if any(len(w) > LONGEST for seen in counted for w in seen):
-            self.known, self.table = {}, self.table[:0]  # words that are too long aren't remembered
+            total = n @ self.table[np.fromiter(map(known.__getitem__, seen), np.int64, len(seen))]
+            out.append(total[:-1] / total[-1])
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
         return out
 
 
@@ -363,4 +339,4 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str] | None = None, te
 
     chosen = docs.select(*map(quoted, kept), F.col(quoted(text_col)).cast("string"))
     schema = docs.select(*map(quoted, kept)).schema.add("lang_pred", "string").add("score", "double").add("lang_accepted", "boolean")
-    return chosen.toDF(*[f"c{k}" for k in range(len(chosen.columns))]).mapInArrow(run, schema)
+    return chosen.toDF(*[f"c{k}" for k in range(len(chosen.columns))]).mapInArrow(batches_of("language_id", run), schema)
