@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch, quoted
+from .worker import batches_of
+from .worker import keep as kept_by_worker
 
 WINDOW, MASK, LEAST = 16, (1 << 9) - 1, 64
 #: Chunks that are encoded for all, and the most bytes of one; distinct digests a task holds before it sends them off.
@@ -286,9 +288,10 @@ _coders: dict[str, ChunkCoder] = {}
 
 
 def coder(path: str, shared: dict[bytes, bytes] | None = None) -> ChunkCoder:
-    """This worker's coder; it outlives tasks, with the shared chunks of the last."""
+    """This worker's coder; it outlives tasks of this operator, with the shared chunks of the last."""
     if path not in _coders:
         _coders[path] = ChunkCoder(path)
+        kept_by_worker("bpe", _coders.clear)
     if shared is not None:
         _coders[path].shared = shared
     return _coders[path]
@@ -348,7 +351,7 @@ def shared_chunks(docs: DataFrame, path: str, text_col: str = "text", most: int
     """
     scratch = Scratch(docs.sparkSession, "chunks")
     texts = docs.select(F.col(quoted(text_col)).cast("string").alias("text"))
-    counted = texts.mapInArrow(_count_batches, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = texts.mapInArrow(batches_of("bpe", _count_batches), "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1")
     counted = scratch.keep(counted.select("chunk", F.floor(F.log2("n") * 8).cast("int").alias("step")), "counted")
     level, total = None, 0
     for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # 8 rows for each power of two
@@ -384,8 +387,8 @@ def shared_chunks(docs: DataFrame, path: str, text_col: str = "text", most: int
             own.forget()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["chunk", "ids"])
 
-    found = texts.mapInArrow(fetch, "chunk binary, text binary").groupBy("chunk").agg(F.first("text").alias("text"))
-    return {bytes(r["chunk"]): bytes(r["ids"]) for r in found.mapInArrow(encode, "chunk binary, ids binary").collect()}
+    found = texts.mapInArrow(batches_of("bpe", fetch), "chunk binary, text binary").groupBy("chunk").agg(F.first("text").alias("text"))
+    return {bytes(r["chunk"]): bytes(r["ids"]) for r in found.mapInArrow(batches_of("bpe", encode), "chunk binary, ids binary").collect()}
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -421,7 +424,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
 
     chosen = docs.select(*map(quoted, kept))
     schema = chosen.schema.add(out, T.ArrayType(T.IntegerType()))
-    return _numbered(docs.select(*map(quoted, kept), F.col(quoted(text_col)).cast("string"))).mapInArrow(run, schema)
+    return _numbered(docs.select(*map(quoted, kept), F.col(quoted(text_col)).cast("string"))).mapInArrow(batches_of("bpe", run), schema)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -437,7 +440,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, out])
 
     schema = docs.select(*map(quoted, kept)).schema.add(out, "string")
-    return _numbered(docs.select(*map(quoted, kept), quoted(ids_col))).mapInArrow(run, schema)
+    return _numbered(docs.select(*map(quoted, kept), quoted(ids_col))).mapInArrow(batches_of("bpe", run), schema)
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -463,4 +466,4 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
             )
 
     chosen = docs.select(F.col(quoted(id_col)).cast("long").alias(id_col), F.col(quoted(text_col)).cast("string").alias("_encoded"))
-    return chosen.mapInArrow(run, f"{quoted(id_col)} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return chosen.mapInArrow(batches_of("bpe", run), f"{quoted(id_col)} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .packing import expand, squeeze
 from .scratch import Scratch
+from .worker import batches_of
 
 BLOCK, PART, TOP, CLASSES, TAILS, ROUNDS = 1 << 21, 1 << 17, 4096, 64, 32, 6
 #: Least training count of a clustered word, and rounds that move those outside of the TOP.
@@ -259,7 +260,7 @@ def _pairs(size: int, own: np.ndarray | None = None) -> Callable:
 
 def _collected(blocks: DataFrame, size: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the pairs of ``_pairs`` in order, and their counts; at most size squared."""
-    merged = blocks.mapInArrow(_pairs(size, own), "bucket int, codes binary, counts binary").groupBy("bucket").applyInArrow(_merge_bucket, "codes binary, counts binary").collect()
+    merged = blocks.mapInArrow(batches_of("class_lm", _pairs(size, own)), "bucket int, codes binary, counts binary").groupBy("bucket").applyInArrow(_merge_bucket, "codes binary, counts binary").collect()
     code = np.concatenate([expand(r["codes"], np.uint32) for r in merged] or [np.zeros(0, np.uint32)])
     n = np.concatenate([expand(r["counts"], np.int64) for r in merged] or [np.zeros(0, np.int64)]).astype(np.float64)
     order = np.argsort(code)  # buckets come in any order
@@ -433,7 +434,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "class-lm")
     held = held if held is not None else held_out(F.col(id_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    numbered = scratch.keep(rows.mapInArrow(_number, _SCHEMA), "numbered")
+    numbered = scratch.keep(rows.mapInArrow(batches_of("class_lm", _number), _SCHEMA), "numbered")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = numbered.select("block", "hashes", "counts").mapInArrow(_ask(buckets), "owner long, bucket int, hashes binary, counts binary")
     answers = scratch.keep(asked.groupBy("bucket").applyInArrow(_count_bucket, _ANSWER), "answers")
@@ -463,7 +464,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = np.bincount(own[before] * every + own[after], weights=n, minlength=every * every).reshape(every, every)
     del before, after, n
     for _ in range(SWEEPS if whole["clustered"] > len(top) else 0):
-        contexts = blocks.mapInArrow(_contexts(own, every), "owner long, bucket int, places binary, movers binary, contexts binary, counts binary")
+        contexts = blocks.mapInArrow(batches_of("class_lm", _contexts(own, every)), "owner long, bucket int, places binary, movers binary, contexts binary, counts binary")
         moved = contexts.groupBy("bucket").applyInArrow(_move_bucket(_gains(pairs, classes)), "owner long, bucket int, moved binary")
         old, blocks = blocks, scratch.keep(moved.groupBy("owner").cogroup(blocks.groupBy("block")).applyInArrow(_move_block, _BLOCK_SCHEMA), "moved")
         scratch.drop(old)
@@ -497,4 +498,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes), pa.array(sums[2]), pa.array(np.full(len(ids), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[0])]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return blocks.mapInArrow(score, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.mapInArrow(batches_of("class_lm", score), f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

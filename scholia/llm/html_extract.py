@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .packing import ranges
 from .scratch import quoted, small_batches
+from .worker import batches_of
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)|</(?=[^a-zA-Z])[^>]*(?:>|\Z)""",
@@ -270,4 +271,4 @@ def extract(pages: DataFrame, id_cols: list[str] | None = None, html_col: str =
 
     schema = pages.select(*map(quoted, kept)).schema.add("text", "string").add("n_chars", "long")
     chosen = pages.select(*map(quoted, kept), F.col(quoted(html_col)).cast("string"))
-    return chosen.toDF(*[f"c{k}" for k in range(len(chosen.columns))]).mapInArrow(run, schema)
+    return chosen.toDF(*[f"c{k}" for k in range(len(chosen.columns))]).mapInArrow(batches_of("main_text", run), schema)

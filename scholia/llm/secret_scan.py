@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import quoted, small_batches
+from .worker import batches_of, keep
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -153,6 +154,7 @@ _made: dict[tuple[str, str], Efficiency] = {}
 def _efficiency(path: str, pattern: str) -> Efficiency:
     if (path, pattern) not in _made:
         _made[path, pattern] = Efficiency(path, pattern)
+        keep("secrets", _made.clear)
     return _made[path, pattern]
 
 
@@ -178,7 +180,7 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     chosen = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string").alias("_text"))
     span = T.StructType().add("kind", "string").add("start", "long").add("end", "long")
     schema = docs.select(quoted(id_col)).schema.add("secrets", T.ArrayType(span))
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(batches_of("secrets", run), schema)
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "<secret>") -> str:
