@@ -1,8 +1,10 @@
 """Defined results for nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
+import base64
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,34 @@ def test_bpe_reuses_chunks():
     assert own.reused > 10 and own.encoded - before <= 2 and own.repaired > 0
 
 
+def test_bpe_in_linear_time(plain):
+    """Texts without white space, of which each cut goes through the one piece."""
+    noise = base64.b64encode(random.Random(1).randbytes(750_000)).decode()
+    for text in (noise, "x" * 10**6, "日本語" * 100_000, " ".join(["y" * 100_000] * 10), "a" * 500 + " " + "b" * 3000 + " c " * 40 + "d" * 700):
+        began = time.process_time()
+        got = next(bpe.encode_texts(VOCABULARY, pa.array([text])))
+        assert time.process_time() - began < 20
+        assert got == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_encodes_shared_chunks_once(spark, plain, monkeypatch):
+    rng = random.Random(2)
+    passage = " ".join(str(rng.random()) for _ in range(200))
+    texts = [f"{rng.random()} {passage} {rng.random()}" for _ in range(6)] + [None, "", passage * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "`doc.id` long, `a text` string")
+    shared = bpe.shared_chunks(docs, VOCABULARY, "a text")
+    assert len(shared) > 3
+    for chunk in bpe.chunks_of(passage.encode())[1:-1]:
+        assert np.frombuffer(shared[bpe.chunk_name(chunk)], np.int32).tolist() == [i for p in chunk.decode().split() for i in plain.encode(p, add_special_tokens=False).ids]
+    own = bpe.ChunkCoder(VOCABULARY, shared)
+    own.encode(texts[0].encode())
+    assert own.encoded <= 3 and own.reused >= len(shared) - 3
+    got = bpe.encode(docs, VOCABULARY, "a text", keep=["doc.id"])
+    assert got.columns == ["doc.id", "ids"]
+    assert {r["doc.id"]: list(r["ids"]) for r in got.collect()} == {k: plain.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts)}
+    assert bpe.shared_chunks(docs, VOCABULARY, "a text", most=1) == {}
+
+
 # 2
 
 
@@ -105,6 +135,17 @@ def test_secrets_joined_to_words():
     assert [secret_scan.token_spans(x, efficiency) for x in plain] == [[]] * len(plain)
 
 
+def test_secrets_in_linear_time():
+    public = pytest.importorskip("public_tokenizers")
+    efficiency = secret_scan.Efficiency(queries.vocabulary("byte_bpe_50k.tiktoken"), public.PATTERN)
+    noise = base64.b64encode(random.Random(1).randbytes(750_000)).decode()
+    for text in ("id-" + "1234-" * 200 + "x1x", "id-" + "1234-" * 200_000, noise, "=" * 10**6, "a-" * 500_000, "x" * 10**6, "password=" * 100_000):
+        began = time.process_time()
+        secret_scan.token_spans(text, efficiency), secret_scan.base_spans(text)
+        assert time.process_time() - began < 10
+    assert secret_scan.token_spans(noise, efficiency)
+
+
 # 3
 
 
@@ -161,33 +202,68 @@ def test_language(spark, odd, none):
     assert language_id.identify(none.select("doc_id", "text"), model).count() == 0
     rows = spark.createDataFrame([(0, "the cat"), (1, "la table")], "k int, text string")
     assert [r.lang_pred for r in language_id.identify(rows, model).orderBy("k").collect()] == ["en", "fr"]
-    with pytest.raises(ValueError):
-        language_id.fit(none)
+    for empty in (none, odd.withColumn("lang", F.lit(None).cast("string"))):
+        unlearned = language_id.fit(empty)
+        assert unlearned.languages == []
+        assert {(r.lang_pred, r.score, r.lang_accepted) for r in language_id.identify(rows, unlearned, text_col="text").collect()} == {("und", 0.0, False)}
+
+
+def test_language_reads_whole_sampled_texts(spark):
+    """What tells two languages apart comes after thousands of equal characters; copies count once; names are odd."""
+    same = "lorem ipsum " * 500
+    rows = [(k, same + " ".join([w] * 300), lang) for k in range(20) for w, lang in (("zwolf", "de"), ("quince", "es"))] + [(1, same, "de")] * 50
+    docs = spark.createDataFrame(rows, "`doc.id` long, `the text` string, `a``lang` string")
+    model = language_id.fit(docs, "doc.id", "the text", "a`lang")
+    probes = spark.createDataFrame([(0, "zwolf zwolf"), (1, "quince"), (2, "क्षत्रिय")], "`doc.id` long, `the text` string")
+    got = {r["doc.id"]: r.lang_pred for r in language_id.identify(probes, model, text_col="the text").collect()}
+    assert got[0] == "de" and got[1] == "es"
+    assert language_id._tokens("क्षत्रिय è e\u0301a 1a") == ["क्षत्रिय", "è", "e\u0301a", "a"]
 
 
 def test_kneser_ney_sums_to_one():
+    """The probabilities of all characters after a context: the known ones, the word's end, and the unknown one."""
     model = language_id.Model({"x": ["abc abd bcd bad"], "y": ["dab dab"]})
-    letters = "abcd"
-    for context in ("", "a", "ab", "ba"):
-        total = 0.0
-        for c in [*letters, ""]:
-            # The last character's probability is a difference of two words' scores, without their common ends.
-            total += math.exp(-_last(model, context, c))
-        assert total <= 1 + 1e-9
+    for context in ("", "a", "ab", "ba", "abc", "dd"):
+        total = sum(math.exp(-_last(model, context, c)) for c in [*"abcd", "", "?"])
+        assert total == pytest.approx(1, abs=1e-9)
 
 
 def _last(model, context, c):
-    owner, orders, inside = language_id._grams([context + c])
-    contexts = language_id._context_hashes([context + c])
-    at = len(context) if c else len(owner) - 1
-    p = 1 / model.characters
-    for n in range(language_id.ORDER):
-        if inside[at] >= n:
-            k, known = model._rows(model.context_hashes, contexts[n][at : at + 1])
-            p *= model.backoff[k[0], 0] if known[0] else 1.0
-            k, known = model._rows(model.hashes, orders[n][at : at + 1])
-            p += model.probability[k[0], 0] if known[0] else 0.0
-    return -math.log(p)
+    """Negative log probability of c ('': the word's end) after a word that begins with context."""
+    _, scores = model.character_scores([context + c])
+    return -scores[len(context) if c else -1, 0]
+
+
+def test_kneser_ney_equals_its_definition():
+    """Against discounted counts and continuations, interpolated down to equal shares of all characters."""
+    from collections import Counter
+
+    texts = {"x": ["banana band bandana nab"], "y": ["anna nab nan"]}
+    model = language_id.Model(texts)
+    for k, lang in enumerate(model.languages):
+        by = {n: Counter() for n in range(1, 5)}
+        for w in texts[lang][0].split():
+            for end in range(2, len(w) + 3):
+                g = f" {w} "[max(0, end - 4) : end]
+                by[len(g)][g] += 1
+        for n in (4, 3, 2):
+            by[n - 1].update(g[1:] for g in list(by[n]))
+
+        def p(c, context):
+            if len(context) > 3:
+                return p(c, context[-3:])
+            n = len(context) + 1
+            ones, twos = (sum(v == x for v in by[n].values()) for x in (1, 2))
+            d = ones / (ones + 2 * twos) if ones and twos else 0.75
+            own = {g: v for g, v in by[n].items() if g[:-1] == context}
+            lower = p(c, context[1:]) if context else 1 / model.characters
+            total = sum(own.values())
+            return (max(own.get(context + c, 0) - d, 0) + d * len(own) * lower) / total if total else lower
+
+        for word in ("band", "nan", "bob", "q"):
+            s = f" {word} "
+            _, scores = model.character_scores([word])
+            assert scores[:, k].tolist() == pytest.approx([math.log(p(s[i], s[:i])) for i in range(1, len(s))])
 
 
 # 5
@@ -210,6 +286,25 @@ def test_html(spark):
     assert html_extract.extract(rows.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
 
 
+def test_points_choose_the_container(spark, small):
+    """With article and main renamed to div the texts are the same: points find the container, not its tag."""
+    import re
+
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    assert pages and all(html_extract.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", x)) == html_extract.main_text(x) != "" for x in pages)
+    prose = "<p>Some prose, with commas, that is long enough to count.</p>" * 3
+    page = f"<body><article><p>A teaser.</p></article><div class=x>{prose}<a href=y><div>a linked block</div></a><ul><li><a href=a>one</a><li><a href=b>two</a></ul><p>See <a href=z>this</a>.</p></div></body>"
+    assert html_extract.main_text(page) == "\n".join(["Some prose, with commas, that is long enough to count."] * 3 + ["See this."])
+    assert html_extract.main_text("<p>a <span hidden>b <span>c</span> d</span> e</p>") == "a e"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50000 + "x", "<li><ul>" + "<center>" * 50000 + "<li>x</li>" * 50000, "</ " * 300000, "<script></script " * 50000, '<a "' * 200000, "<span hidden>" * 50000 + "x", "<" * 10**6], ids=range(7))
+def test_html_in_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 10
+
+
 # 6
 
 
@@ -263,6 +358,8 @@ def test_ngram_groups(spark, odd, none):
     assert ngram_join.ngram_groups(none).count() == 0
     kept = ngram_join.drop_near_copies(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {*want.values(), None}
+    named = odd.withColumnsRenamed({"doc_id": "doc.id", "text": "a`text"})
+    assert sorted(map(str, ngram_join.drop_near_copies(named, "doc.id", "a`text").select("`doc.id`").collect())) == sorted(str(r).replace("doc_id", "doc.id") for r in kept.select("doc_id").collect())
 
 
 def test_no_similar_pair_is_missed(spark):
@@ -285,6 +382,25 @@ def test_no_similar_pair_is_missed(spark):
     assert len(pairs) > 150 and got == want
 
 
+def test_hot_keys_are_compared_in_blocks(spark, monkeypatch):
+    """Texts that share a passage, some of them similar: by a join and by blocks the groups are the same."""
+    rng = random.Random(13)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for k in range(60):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([6, 14, 30, 90]))]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1] + [f"e{k}"])]
+    sets = {k: shingles(t) for k, t in enumerate(texts)}
+    want = components(sets, similar(sets))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot, block in ((32, 512), (2, 8), (2, 512)):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "CENTERS", 1)
+        assert {r.doc_id: r.component_id for r in ngram_join.ngram_groups(rows).collect()} == want
+    assert 1 < len(set(want.values())) < len(want)
+
+
 def test_similar_sets_share_a_key():
     """The pigeonhole bound, for sets at the threshold."""
     rng = np.random.default_rng(2)
@@ -302,7 +418,7 @@ def test_sketch_bounds_difference():
     rng = np.random.default_rng(4)
     every = rng.integers(0, 2**64, 400, dtype=np.uint64)
     a, b = np.unique(every[:300]), np.unique(every[40:])
-    (_, one), (_, two) = ngram_join.describe(a), ngram_join.describe(b)
+    one, two = (np.frombuffer(ngram_join.describe(x)[1], np.int64).tolist() for x in (a, b))
     two = [x ^ y for x, y in zip(two[: len(one)], two[len(one) :])] if len(two) > len(one) else two  # folded
     assert len(one) == len(two)
     assert sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(one, two)) <= len(np.setxor1d(a, b))
@@ -323,6 +439,15 @@ def test_mixing(spark, odd, none):
     assert {(r.target, r.copies) for r in mixing.plan_mix(empty).collect()} == {(0.0, 0)}
 
 
+def test_mixing_numbers_many_sources(spark):
+    """Sources sorted in ranges have the numbers that a plain sort gives them."""
+    names = [f"s{k}" for k in range(300)] + ["é", "Z", "z", "", None]
+    rows = spark.createDataFrame([(k, "w", s) for k, s in enumerate(names)], "doc_id long, text string, source string")
+    sizes = rows.groupBy("source").agg(F.count("text").alias("source_size")).repartition(7)
+    got = {r.source: r.place for r in mixing._numbered(sizes, Scratch(spark, "test")).collect()}
+    assert got == {s: k for k, s in enumerate(sorted(names, key=lambda s: (s is None, (s or "").encode())))}
+
+
 def test_mixing_stops_at_the_cap(spark):
     rows = spark.createDataFrame([(k, "w " * 10, "a" if k < 1 else "b" if k < 50 else None) for k in range(100)], "doc_id long, text string, source string")
     target = {r.source: r.target for r in mixing.plan_mix(rows).collect()}
@@ -345,7 +470,17 @@ def test_exact_groups(spark, odd, none):
         assert (r.keep_id, r.group_size, r.kept) == (keep, len(ids), r.doc_id == keep)
     assert exact_dedup.exact_groups(none).count() == 0
     kept = exact_dedup.drop_copies(odd)
-    assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in got)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, lower(r.text)) for r in kept.collect()) == sorted({(r.keep_id is None, r.keep_id or 0, next(t for t in groups if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256)) for r in got})
+
+
+def test_drop_copies_by_id_and_text(spark):
+    """An id that stays for one text doesn't stay for another; rows that repeat id and text are one."""
+    rows = [(5, "x", 1), (7, "X", 2), (5, "y", 3), (9, "z", 4), (9, "z", 5), (None, "w", 6), (None, "w", 7), (3, "w", 8), (1, "hot", 9), *[(10 + k, "hot", 10) for k in range(50)]]
+    docs = spark.createDataFrame(rows, "`doc.id` long, `the``text` string, digest int")
+    got = exact_dedup.drop_copies(docs, "doc.id", "the`text")
+    assert got.columns == docs.columns
+    assert sorted((r[0], r[1]) for r in got.collect()) == [(3, "w"), (5, "y"), (7, "X"), (9, "z"), (59, "hot")]
 
 
 def test_heavy_hitters(spark):
@@ -400,3 +535,15 @@ def test_components(spark):
     nodes = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == components(nodes, [(a, b) for a, b in pairs if a != b])
     assert connected_components(links.limit(0), Scratch(spark, "test")).count() == 0
+
+
+# Workers
+
+
+def test_workers_drop_what_other_operators_keep():
+    from scholia.llm import worker
+
+    held = {"a": 1}
+    worker.keep("first", held.clear)
+    assert list(worker.batches_of("first", iter)([1, 2])) == [1, 2] and held
+    assert list(worker.batches_of("second", iter)([3])) == [3] and not held
