@@ -159,6 +159,55 @@ def test_class_lm(spark, odd, none):
     assert all(r.base_score == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in nothing)
 
 
+def test_class_lm_equals_its_definition(spark, small):
+    """Scores of 50 documents by loops over words, given the classes that ``exchange`` finds in plain counts."""
+    from collections import Counter
+
+    texts = {r.doc_id: (r.text or "")[:1500] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(50).collect()}
+    rows = spark.createDataFrame([(k, t, k % 5 == 0) for k, t in texts.items()], "doc_id long, text string, out boolean")
+    tokens = {k: t.encode().lower().split() for k, t in texts.items()}
+    learned = [tokens[k] for k in texts if k % 5]
+    c = Counter(w for own in learned for w in own)
+    top = sorted((w for w in c if c[w] >= class_lm.LEAST), key=lambda w: (-c[w], class_lm.word_hash(w)))
+    place = {w: k for k, w in enumerate(top)}
+    assert 100 < len(top) < class_lm.TOP
+    pseudo = lambda w: place.get(w, class_lm.TOP + class_lm.tail_class(w))
+    pairs = Counter()
+    for own in learned:
+        line = [class_lm.END, *map(pseudo, own), class_lm.END]
+        pairs.update(zip(line, line[1:]))
+    before, after, n = (np.array(x) for x in zip(*[(a, b, float(v)) for (a, b), v in sorted(pairs.items())]))
+    classes = class_lm.class_count(len(top))
+    own = class_lm.exchange(before, after, n, classes=classes)
+    every = classes + class_lm.TAILS + 1
+    moves, left, right = Counter(), Counter(), Counter()
+    for (a, b), v in pairs.items():
+        moves[own[a], own[b]] += v
+        left[own[a]] += v
+        right[own[b]] += v
+    total = sum(pairs.values())
+    single_n, single_v = Counter(), Counter()
+    for w, v in c.items():
+        if v < class_lm.LEAST:
+            single_n[class_lm.tail_class(w)] += v
+            single_v[class_lm.tail_class(w)] += 1
+
+    def step(a, b):
+        share = (right[b] + 1) / (total + every)
+        return math.log10((moves[a, b] + class_lm.PRIOR * share) / (left[a] + class_lm.PRIOR))
+
+    def emit(w):
+        if c[w] >= class_lm.LEAST:
+            return math.log10(c[w] / right[own[place[w]]])
+        t = class_lm.tail_class(w)
+        return math.log10((c[w] - class_lm.DISCOUNT if c[w] else class_lm.DISCOUNT * single_v[t]) / single_n[t]) if single_n[t] else 0.0
+
+    for r in class_lm.score_texts(rows, held=F.col("out")).collect():
+        path = [own[class_lm.END], *[own[pseudo(w)] for w in tokens[r.doc_id]], own[class_lm.END]]
+        want = sum(step(a, b) for a, b in zip(path, path[1:])) + sum(emit(w) for w in tokens[r.doc_id])
+        assert r.score == pytest.approx(want)
+
+
 def test_exchange_finds_classes():
     """Texts of a word of one set and a word of another: the sets become classes."""
     rng = np.random.default_rng(0)
