@@ -54,11 +54,11 @@ def quota_check(events: DataFrame) -> DataFrame:
     return wide.select("event_id", reason.alias("reason"), left.cast("long").alias("remaining"))
 
 
-def retained(usage: DataFrame, now: int, window: int = DAY) -> DataFrame:
+def retained(usage: DataFrame, now: int | Column, window: int = DAY) -> DataFrame:
     return usage.where(F.col("ts") >= now - window)
 
 
-def window_status(usage: DataFrame, now: int, limit: int = PREMIUM_CAP, window: int = PREMIUM_WINDOW) -> DataFrame:
+def window_status(usage: DataFrame, now: int | Column, limit: int = PREMIUM_CAP, window: int = PREMIUM_WINDOW) -> DataFrame:
     """Per key: used, remaining, can_use, locked_until, next_recover, full_reset in an exclusive window."""
     live = usage.where(F.lit(now) - F.col("ts") < window).groupBy("key").agg(F.count(F.lit(1)).alias("used"), F.min("ts").alias("low"), F.max("ts").alias("high"))
     return live.select(
@@ -79,7 +79,7 @@ def cost(engine: Column, tokens_in: Column, tokens_out: Column) -> Column:
     return F.round(usd * F.lit(USD_CNY), 6)
 
 
-def usage_stats(usage: DataFrame, costs: DataFrame, waitlist: DataFrame, now: int, window: int = DAY) -> DataFrame:
+def usage_stats(usage: DataFrame, costs: DataFrame, waitlist: DataFrame, now: int | Column, window: int = DAY) -> DataFrame:
     """One row: analyses, visitors, tokens, calls, costs and new waiting addresses in the window."""
     since = now - window
     u = usage.where(F.col("ts") >= since).agg(F.count_if(F.col("key") == "global").alias("analyses"), F.count_distinct(F.when(F.startswith("key", F.lit("vid:")), F.col("key"))).alias("unique_visitors"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, lexicon
@@ -384,8 +384,9 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return rows.selectExpr("event_id", "user_id", "ts", "CASE WHEN user_id % 3 <> 0 THEN 'v' || CAST(user_id AS STRING) END AS visitor", "'ip' || CAST(user_id % 20 AS STRING) AS ip")
 
 
-def _last(spark: SparkSession, d: str) -> int:
-    return _events(spark, d).agg(F.max("ts")).first()[0]
+def _last(spark: SparkSession, d: str) -> Column:
+    """The time of the last event, as a scalar subquery of the plan."""
+    return _events(spark, d).agg(F.max("ts")).scalar()
 
 
 @query(f"WITH {_USE} SELECT * FROM use")
