@@ -202,11 +202,13 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     labels = connected_components(met.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
     about = nodes.select("node", "first", "copies").join(counts, "node", "left").join(labels, "node", "left")
     about = about.select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    about = scratch.keep(about, "about")
-    scratch.drop(met, nodes)
+    result = Scratch(spark, "embedding-groups")
+    about = result.keep(about, "about")
+    rows = result.keep(rows.select("id", "node"), "rows")
+    scratch.end()
     least = about.groupBy("component").agg(F.min("first").alias("least"))
     about = about.join(least, "component").select("node", "n_links", "least")
-    known = rows.where("node is not null").select("id", "node").join(about, "node").select("id", "n_links", F.col("least").alias("component"))
+    known = rows.where("node is not null").join(about, "node").select("id", "n_links", F.col("least").alias("component"))
     alone = rows.where("node is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     out = known.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), (F.col("id").isNotNull() & F.col("id").eqNullSafe(F.col("component"))).alias("kept"))

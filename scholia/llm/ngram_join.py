@@ -348,8 +348,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = scratch.keep(connected_components(stars.unionByName(more), scratch), "groups")
 
     joined = sets.select("id", "n", "node").join(labels, "node", "left").select("id", "n", "node", F.coalesce("component", "node").alias("component"))
-    joined = scratch.keep(joined, "joined")
-    scratch.drop(sets, about, across)
+    joined = Scratch(docs.sparkSession, "ngram-groups").keep(joined, "joined")
+    scratch.end()
     least = joined.where("component is not null and id is not null").groupBy("component").agg(F.min("id").alias("least"))
     out = joined.join(least, "component", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("least", "id")).cast("long")
