@@ -49,9 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again."""
+    """All stages, each written as Parquet and read again; what a stage has read is deleted."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    for number, (name, stage) in enumerate(STAGES):
+        read, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
+        if number:
+            scratch.drop(read)
     return docs
