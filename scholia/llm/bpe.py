@@ -465,5 +465,5 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    chosen = docs.select(F.col(quoted(id_col)).cast("long").alias(id_col), F.col(quoted(text_col)).cast("string").alias("_encoded"))
+    chosen = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return chosen.mapInArrow(batches_of("bpe", run), f"{quoted(id_col)} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import expand, squeeze
-from .scratch import Scratch
+from .scratch import Scratch, quoted
 from .worker import batches_of
 
 BLOCK, PART, TOP, CLASSES, TAILS, ROUNDS = 1 << 21, 1 << 17, 4096, 64, 32, 6
@@ -432,8 +432,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "class-lm")
-    held = held if held is not None else held_out(F.col(id_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
+    held = held if held is not None else held_out(F.col(quoted(id_col)))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), held.alias("held"), F.col(quoted(text_col)).cast("string").alias("text"))
     numbered = scratch.keep(rows.mapInArrow(batches_of("class_lm", _number), _SCHEMA), "numbered")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = numbered.select("block", "hashes", "counts").mapInArrow(_ask(buckets), "owner long, bucket int, hashes binary, counts binary")
@@ -498,4 +498,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes), pa.array(sums[2]), pa.array(np.full(len(ids), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[0])]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return blocks.mapInArrow(batches_of("class_lm", score), f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.mapInArrow(batches_of("class_lm", score), f"{quoted(id_col)} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

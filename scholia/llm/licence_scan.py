@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import LOWER, UPPER
 from .licence_texts import KNOWN
+from .scratch import quoted
 
 #: Lines that only say who holds the rights (`(?d)`: only \n ends a line).
 COPYRIGHT_LINE = r"^[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|:|by[ \t]|[0-9]{4}|<year>|\[year\])|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
@@ -96,7 +97,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of the empty form, which is no licence.  Null or repeated ids give a row each.  Other columns are
     ignored.  An empty table gives no rows.
     """
-    form = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("form"))
+    form = docs.select(F.col(quoted(id_col)).alias("id"), canonical(F.col(quoted(text_col))).alias("form"))
     # Both digest and length read the form; the barrier of a generator keeps it from being computed twice.
     form = form.select("id", F.explode(F.array("form")).alias("form"))
     hashed = form.select("id", F.sha2(F.col("form").cast("binary"), 256).alias("canon_sha256"), F.length("form").cast("long").alias("n_canon"))

@@ -177,7 +177,7 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=[id_col, "secrets"])
 
     small_batches(docs.sparkSession)
-    chosen = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string").alias("_text"))
+    chosen = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     span = T.StructType().add("kind", "string").add("start", "long").add("end", "long")
     schema = docs.select(quoted(id_col)).schema.add("secrets", T.ArrayType(span))
     return chosen.mapInArrow(batches_of("secrets", run), schema)

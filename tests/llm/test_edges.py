@@ -596,3 +596,22 @@ def test_workers_drop_what_other_operators_keep():
     worker.keep("first", held.clear)
     assert list(worker.batches_of("first", iter)([1, 2])) == [1, 2] and held
     assert list(worker.batches_of("second", iter)([3])) == [3] and not held
+
+
+# Names
+
+
+def test_odd_names(spark):
+    """Columns whose names have dots and backticks go through every operator that takes names."""
+    public = pytest.importorskip("public_tokenizers")
+    rows = spark.createDataFrame([(1, "one two three four five six"), (2, None), (2, "one two")], "`a.id` long, `the``text` string")
+    names = ("a.id", "the`text")
+    model = language_id.Model({"en": ["one two three"]})
+    made = [
+        bpe.round_trip_digests(rows, VOCABULARY, *names), secret_scan.find_secrets(rows, queries.vocabulary("byte_bpe_50k.tiktoken"), public.PATTERN, *names), class_lm.score_texts(rows, *names),
+        language_id.identify(rows, model, ["a.id"], names[1]), html_extract.extract(rows, ["a.id"], names[1]), licence_scan.licence_scan(rows, *names), ngram_join.ngram_groups(rows, *names),
+        exact_dedup.exact_groups(rows, *names),
+    ]
+    assert all(out.columns[0] == "a.id" and out.count() == 3 for out in made)
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "`a.id` long, `v``s` array<double>")
+    assert embedding_dedup.embedding_groups(vectors, "a.id", "v`s").count() == 2
