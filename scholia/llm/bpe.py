@@ -151,7 +151,7 @@ class ChunkCoder:
         self.pieces: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {}
-        self.shared = shared or {}
+        self.shared, self.most = shared or {}, PIECES
         self.chunks: dict[bytes, bytes] = {}
         self.held = 0
         self.reused = self.encoded = self.repaired = 0
@@ -168,16 +168,15 @@ class ChunkCoder:
     def learn(self, wanted: Iterable[bytes]) -> None:
         """Encode pieces that aren't remembered, many in one call."""
         pieces, older = self.pieces, self.older
+        new = set(wanted).difference(pieces)
+        back = [p for p in new if p in older]
+        pieces.update(zip(back, map(older.__getitem__, back), strict=True))
+        fresh = list(new.difference(back))
         runs: dict[bytes, str] = {}  # pieces of letters only
         ended: list[tuple[bytes, bytes, str]] = []  # letters and a mark at the end, encoded one by one
         together, alone = [], []
-        for p in wanted:
-            if p in pieces:
-                continue
-            if p in older:
-                pieces[p] = older[p]
-                continue
-            text = p.decode("utf-8", "replace")
+        # Pieces have no white space, so all can be decoded in one go.
+        for p, text in zip(fresh, b"\n".join(fresh).decode("utf-8", "replace").split("\n") if fresh else [], strict=True):
             if text.isalpha() and text.isascii():
                 runs[p] = text
             elif not _offsets_hold(text):
@@ -235,7 +234,7 @@ class ChunkCoder:
 
     def forget(self) -> None:
         """Keep to the bounds: what was used since the last time outlives what was not."""
-        if len(self.pieces) > PIECES:
+        if len(self.pieces) > self.most:
             for p in [p for p in self.pieces if len(p) > PIECE_BYTES]:
                 del self.pieces[p]
             self.older, self.pieces = self.pieces, {b"": b""}
@@ -249,7 +248,7 @@ class ChunkCoder:
         self.encoded += len(new)
         self.reused += len(names) - len(new)
         words = {n: c.split() for n, c in new.items()}
-        self.learn({p for own in words.values() for p in own})
+        self.learn(set().union(*words.values()))
         for n, own in words.items():
             self.chunks[n] = b"".join(map(self.pieces.__getitem__, own))
             self.held += len(self.chunks[n]) + 150
@@ -287,14 +286,16 @@ def _dealt(ids: list[int], ends: list[int]) -> list[bytes]:
 _coders: dict[str, ChunkCoder] = {}
 
 
-def coder(path: str, shared: dict[bytes, bytes] | None = None) -> ChunkCoder:
-    """This worker's coder; it outlives tasks of this operator, with the shared chunks of the last."""
+def coder(path: str, shared: dict[bytes, bytes] | None = None, most: int = PIECES) -> ChunkCoder:
+    """This worker's coder; it outlives tasks of this operator, with the shared chunks and the bound on pieces of the last."""
     if path not in _coders:
         _coders[path] = ChunkCoder(path)
         kept_by_worker("bpe", _coders.clear)
+    own = _coders[path]
+    own.most = most
     if shared is not None:
-        _coders[path].shared = shared
-    return _coders[path]
+        own.shared = shared
+    return own
 
 
 def _texts(column: pa.Array) -> Iterator[list[bytes]]:
@@ -310,8 +311,8 @@ def _texts(column: pa.Array) -> Iterator[list[bytes]]:
         yield some
 
 
-def _arrays(path: str, texts: pa.Array, shared: dict[bytes, bytes] | None = None) -> Iterator[np.ndarray]:
-    own = coder(path, shared)
+def _arrays(path: str, texts: pa.Array, shared: dict[bytes, bytes] | None = None, most: int = PIECES) -> Iterator[np.ndarray]:
+    own = coder(path, shared, most)
     for some in _texts(texts):
         for ids in own.encode_all(some):
             yield np.frombuffer(ids, np.int32)
@@ -413,7 +414,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
 
         for whole in batches:
             begin, waiting, size = 0, [], 0
-            for at, ids in enumerate(_arrays(path, whole.column(len(kept)), shared.value)):
+            # The worker holds ids to return as well, so it remembers less.
+            for at, ids in enumerate(_arrays(path, whole.column(len(kept)), shared.value, PIECES // 3)):
                 waiting.append(ids)
                 size += len(ids)
                 if size >= STEP // 4:
