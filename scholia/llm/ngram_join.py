@@ -56,7 +56,7 @@ FLUSH, SEEN = 1 << 19, 1 << 18
 #: Keys a bucket holds, about, and the least number of buckets; bits of a key beside its bucket.
 KEYS, BUCKETS, SHORT = 1 << 20, 64, 40
 #: Nodes of a key that are paired by a join; nodes of a block of more; rows one task compares, about.
-HOT, BLOCK, ROWS = 32, 512, 16384
+HOT, BLOCK, ROWS = 32, 512, 2048
 #: Bits of the shortest sketch; nodes that each key's others are paired with at first.
 BITS, CENTERS = 256, 3
 #: Tells the texts of rows that repeat an id apart.
