@@ -72,7 +72,6 @@ def factors(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def ranges(scored: DataFrame) -> DataFrame:
-    """Per rule and action: hits, and least, mean and highest salience."""
-    return scored.groupBy("rule", "action").agg(
-        F.count(F.lit(1)).alias("hits"), F.min("salience").alias("low"), F.round(F.avg("salience"), 6).alias("mean"), F.max("salience").alias("high")
-    )
+    """Per rule and action: hits, and least, mean and highest salience (the mean from hundredths, whose sum is exact)."""
+    mean = F.sum(F.round(F.col("salience") * 100).cast("long")) / (F.lit(100.0) * F.count(F.lit(1)))
+    return scored.groupBy("rule", "action").agg(F.count(F.lit(1)).alias("hits"), F.min("salience").alias("low"), F.round(mean, 6).alias("mean"), F.max("salience").alias("high"))

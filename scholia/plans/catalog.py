@@ -252,7 +252,7 @@ def salience_factors(spark: SparkSession, d: str) -> DataFrame:
     return salience.factors(salience.salience(papers(spark, d)))
 
 
-@query(_SAL + "SELECT rule, action, count(*) AS hits, min(salience) AS low, round(avg(salience), 6) AS mean, max(salience) AS high FROM sal GROUP BY ALL")
+@query(_SAL + "SELECT rule, action, count(*) AS hits, min(salience) AS low, round(sum(round(salience * 100)::BIGINT) / (100.0::DOUBLE * count(*)), 6) AS mean, max(salience) AS high FROM sal GROUP BY ALL")
 def salience_ranges(spark: SparkSession, d: str) -> DataFrame:
     return salience.ranges(salience.salience(papers(spark, d)))
 
