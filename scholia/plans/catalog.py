@@ -134,7 +134,9 @@ def original_name(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", clean.original_name(F.expr("CAST(p_partkey AS STRING) || '_' || p_name")).alias("name"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT doc_id, k.pos::INT AS pos, l[k.pos + 1] AS s, length(l[k.pos + 1]) + 2 AS need FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(len(l))) AS pos) k),
+ w(doc_id, pos, chunk, room) AS (SELECT doc_id, pos, 0, 2000 - need FROM p WHERE pos = 0 UNION ALL SELECT p.doc_id, p.pos, CASE WHEN need > room THEN chunk + 1 ELSE chunk END, CASE WHEN need > room THEN 2000 ELSE room END - need FROM w JOIN p ON p.doc_id = w.doc_id AND p.pos = w.pos + 1)
+ SELECT doc_id, chunk, string_agg(s, chr(10) || chr(10) ORDER BY pos) AS text FROM w JOIN p USING (doc_id, pos) GROUP BY doc_id, chunk""")
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return clean.chunk_paragraphs(docs)
