@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import WATERMARKS
-from ..functions.rowwise import fields, map_rows
+from ..functions.rowwise import fields, map_rows, unnested
 
 # Characters that count as ordinary text.
 GOOD_ASCII = r"""A-Za-z0-9.,;:!?()\[\]{}'"\-+/=%@#&*<>|_~$"""
@@ -38,22 +39,23 @@ def first_good(*candidates: Column) -> Column:
 
 
 def strip_repeated(text: str | None, aggressive: bool = False) -> str | None:
-    """Without lines that recur as page furniture does; unchanged if that took over 30 % of the lines."""
+    """Without lines that recur as page furniture does; unchanged if that took over 30 % of the lines.
+
+    Distinct lines are numbered, and a vector over them holds which ones go.
+    """
     if not text or "\n" not in text:
         return text
-    lines = text.split("\n")
-    bare = [x.strip() for x in lines]
-    often = Counter(x for x in bare if x)
+    lines = np.array(text.split("\n"), object)
+    number, distinct = pd.factorize(np.array([x.strip() for x in lines], object))
+    often, size = np.bincount(number), np.fromiter(map(len, distinct), np.int64, len(distinct))
     least, longest = (3, 140) if aggressive else (4, 60)
-
-    def recurs(x: str) -> bool:
-        n = often[x]
-        return n >= least and len(x) <= longest or aggressive and n >= 2 and any(w in x.lower() for w in WATERMARKS)
-
-    gone = {x for x in often if recurs(x)}
-    if sum(often[x] for x in gone) > 0.30 * sum(often.values()):
+    gone = (often >= least) & (size <= longest)
+    if aggressive:
+        gone |= (often >= 2) & np.array([any(w in x.lower() for w in WATERMARKS) for x in distinct])
+    gone &= size > 0
+    if often[gone].sum() > 0.30 * often[size > 0].sum():
         return text
-    return "\n".join(line for line, x in zip(lines, bare, strict=True) if x not in gone)
+    return "\n".join(lines[~gone[number]])
 
 
 def strip_repeated_lines(docs: DataFrame, aggressive: bool = False, text_col: str = "text") -> DataFrame:
@@ -163,26 +165,27 @@ def truncated(text: Column, limit: int) -> Column:
     return F.substring(text, 1, limit)
 
 
-def reading_order(tokens: list[tuple], page_width: float, least: float = 0.5) -> list[str]:
-    """Texts of recognised boxes (points, text, score) in reading order: columns, then lines, then left to right."""
-    found = []
-    for points, text, score in tokens:
-        score = 1.0 if score is None else score
-        if text and score >= least:
-            xs, ys = [p[0] for p in points], [p[1] for p in points]
-            found.append((min(xs), (min(xs) + max(xs)) / 2, min(ys), max(ys) - min(ys), text))
-    heights = sorted(h for *_, h, _ in found if h > 0)
-    band = heights[len(heights) // 2] / 2 if heights else 8.0
-    right = [center >= page_width / 2 for _, center, *_ in found]
-    two = bool(found) and sum(right) >= 0.25 * len(found) and len(found) - sum(right) >= 0.25 * len(found)
-    keys = [(two and r, round(y / band), x) for r, (x, _, y, _, _) in zip(right, found, strict=True)]
-    return [found[k][4] for k in sorted(range(len(found)), key=keys.__getitem__)]
-
-
-def ocr_reading_order(boxes: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, line int, text) from (id, width double, tokens array<struct<points, text, score>>)."""
-
-    def lines(width: float | None, tokens: list | None) -> list[tuple]:
-        return list(enumerate(reading_order([(t["points"], t["text"], t["score"]) for t in tokens or []], width or 0.0)))
-
-    return map_rows(boxes, [id_col], ["width", "tokens"], fields("line:int text:string"), lines)
+def ocr_reading_order(boxes: DataFrame, id_col: str = "page_id", least: float = 0.5) -> DataFrame:
+    """(id, line int, text) from (id, width double, tokens array<struct<points, text, score>>): columns, then lines, then left to right.
+
+    Boxes without text or below the least score are left out (no score counts as 1).  A page has two
+    columns if a quarter of its boxes at least have their middle in either half.  A line is half the
+    upper median of the boxes' heights, 8 without any height.  Ties keep the order of recognition.
+    """
+    side = lambda t, k, pick: pick(F.transform(t["points"], lambda p: p[k]))
+
+    def box(t: Column, at: Column) -> Column:
+        left, top = side(t, 0, F.array_min), side(t, 1, F.array_min)
+        middle, height = (left + side(t, 0, F.array_max)) / 2, side(t, 1, F.array_max) - top
+        return F.struct((middle >= F.coalesce("width", F.lit(0.0)) / 2).alias("right"), top.alias("top"), left.alias("left"), height.alias("height"), at.alias("at"), t["text"].alias("text"))
+
+    readable = F.filter(F.coalesce("tokens", F.array().cast(boxes.schema["tokens"].dataType)), lambda t: (F.coalesce(t["text"], F.lit("")) != "") & (F.coalesce(t["score"], F.lit(1.0)) >= least))
+    rows = boxes.select(id_col, F.transform(readable, box).alias("b"))
+    heights = F.array_sort(F.filter(F.transform("b", lambda x: x["height"]), lambda h: h > 0))
+    rows = rows.select(id_col, "b", heights.alias("h"), F.size(F.filter("b", lambda x: x["right"])).alias("r"))
+    band = F.coalesce(F.get("h", F.floor(F.size("h") / 2).cast("int")) / 2, F.lit(8.0))
+    two = (F.col("r") >= F.size("b") * 0.25) & (F.size("b") - F.col("r") >= F.size("b") * 0.25)
+    rows = rows.select(id_col, "b", band.alias("band"), two.alias("two"))
+    key = lambda x: F.struct((F.col("two") & x["right"]).alias("column"), F.bround(x["top"] / F.col("band")).alias("line"), x["left"].alias("left"), x["at"].alias("at"), x["text"].alias("text"))
+    ordered = unnested(rows, [id_col], F.array_sort(F.transform("b", key)), "line", "x")
+    return ordered.select(id_col, "line", "x.text")

@@ -142,7 +142,9 @@ def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return clean.chunk_paragraphs(docs)
 
 
-@query()
+@query("""WITH b AS (SELECT p_partkey % 50 AS page_id, p_name AS text, (p_size * 11 % 600)::DOUBLE AS x, (p_partkey * 7 % 800)::DOUBLE AS y, p_size / 50.0::DOUBLE AS score FROM part WHERE p_size / 50.0::DOUBLE >= 0.5::DOUBLE),
+ n AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n, count(*) FILTER (x + 40 >= 350) OVER (PARTITION BY page_id) AS r FROM b)
+ SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY r >= n * 0.25 AND n - r >= n * 0.25 AND x + 40 >= 350, round_even(y / 5, 0), x, y, text, score) - 1)::INT AS line, text FROM n""")
 def ocr_reading_order(spark: SparkSession, d: str) -> DataFrame:
     box = "array(array(x, y), array(x + 80D, y), array(x + 80D, y + 10D), array(x, y + 10D))"
     rows = table(spark, d, "part").selectExpr("p_partkey % 50 AS page_id", "p_name AS text", "CAST(p_size * 11 % 600 AS DOUBLE) AS x", "CAST(p_partkey * 7 % 800 AS DOUBLE) AS y", "CAST(p_size AS DOUBLE) / 50 AS score")

@@ -48,10 +48,13 @@ def test_sentences(spark):
     assert rows.select(clean.sentences(F.col("t")).alias("s")).first().s == ["One is here.", "Two is there!", "三。", "四；", "five 3.14 stays"]
 
 
-def test_reading_order():
-    box = lambda x, y: [(x, y), (x + 80, y), (x + 80, y + 10), (x, y + 10)]
-    two = [(box(400, 0), "r1", 0.9), (box(0, 20), "l2", 0.9), (box(0, 0), "l1", None), (box(400, 20), "r2", 0.9), (box(0, 40), "noise", 0.1)]
-    assert clean.reading_order(two, 600) == ["l1", "l2", "r1", "r2"]
-    one = [(box(10, 20), "b", 1.0), (box(10, 0), "a", 1.0)]
-    assert clean.reading_order(one, 1000) == ["a", "b"]
-    assert clean.reading_order([], 100) == []
+def test_reading_order(spark):
+    box = lambda x, y: [[float(x), float(y)], [x + 80.0, float(y)], [x + 80.0, y + 10.0], [float(x), y + 10.0]]
+    two = [(box(400, 0), "r1", 0.9), (box(0, 20), "l2", 0.9), (box(0, 0), "l1", None), (box(400, 20), "r2", 0.9), (box(0, 40), "noise", 0.1), (box(0, 41), "", 0.9), (box(0, 42), None, 0.9)]
+    one = [(box(10, 20), "b", 1.0), (box(10, 0), "a", 1.0), (box(10, 0), "a again", 1.0)]
+    flat = [([[0.0, 9.0], [5.0, 9.0]], "y", 1.0), ([[6.0, 7.0], [9.0, 7.0]], "x", 1.0)]
+    rows = spark.createDataFrame([(0, 600.0, two), (1, 1000.0, one), (2, 100.0, []), (3, None, None), (4, 1000.0, flat)], "page_id int, width double, tokens array<struct<points: array<array<double>>, text: string, score: double>>")
+    got = {}
+    for r in clean.ocr_reading_order(rows).orderBy("page_id", "line").collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    assert got == {0: ["l1", "l2", "r1", "r2"], 1: ["a", "a again", "b"], 4: ["y", "x"]}
