@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, embedding_dedup, exact_dedup, html_extract, language_id, licence_scan, mixing, ngram_join, secret_scan
+from . import bpe, class_lm, embedding_dedup, exact_dedup, html_extract, language_id, lexical_search, licence_scan, mixing, ngram_join, secret_scan, vector_codes, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 OP9_SQL = f"""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
@@ -110,8 +123,42 @@ links AS (SELECT a, b FROM near WHERE a < b), counts AS (SELECT a AS id, count(*
 SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM component LEFT JOIN counts USING (id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_class_lm, op4_language_id, op5_main_text, op6_license_scan, op7_ngram_join, op8_mixing, op9_exact_dedup, op10_embedding_dedup)}
+OP12_SQL = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}'), '{lexical_search.TERM}') AS w FROM documents),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}'), '{lexical_search.TERM}')) AS term FROM benchmark),
+whole AS (SELECT (count(*) FILTER (len(w) > 0))::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM words),
+lengths AS (SELECT doc_id, len(w)::BIGINT AS n, 50 + (50 * len(w)::BIGINT * docs) // terms AS m FROM words, whole WHERE len(w) > 0),
+counts AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM counts, whole GROUP BY term),
+scores AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+def op13_sql() -> str:
+    """The rounds one after the other, each a table of entries made from the one before."""
+    n, last = vector_codes.ENTRIES, vector_codes.ROUNDS
+    near = "SELECT p.vec_id, p.part, arg_min(b.entry, list_aggregate(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])), 'sum')::BIGINT * {n} + b.entry) AS entry, min(list_aggregate(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])), 'sum'))::BIGINT AS far FROM parts p JOIN book{r} b USING (part) GROUP BY ALL"
+    rounds = []
+    for r in range(last):
+        rounds.append(f"near{r} AS MATERIALIZED ({near.format(n=n, r=r)})")
+        rounds.append(f"means{r} AS (SELECT part, entry, list(mean ORDER BY pos) AS x FROM (SELECT q.part, entry, pos, floor(sum(v) / count(*)::DOUBLE)::BIGINT AS mean FROM (SELECT part, vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM parts) q JOIN near{r} USING (vec_id, part) GROUP BY ALL) GROUP BY ALL)")
+        rounds.append(f"book{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN means{r} m USING (part, entry))")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+parts AS MATERIALIZED (SELECT vec_id, part, x[len(x) // {vector_codes.PARTS} * part + 1 : len(x) // {vector_codes.PARTS} * (part + 1)] AS x FROM kept, range({vector_codes.PARTS}) AS t(part)),
+book0 AS (SELECT part, entry, x FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {n}) USING (vec_id)),
+{", ".join(rounds)},
+finally AS MATERIALIZED ({near.format(n=n, r=last)}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM finally GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{last})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_class_lm, op4_language_id, op5_main_text, op6_license_scan, op7_ngram_join, op8_mixing, op9_exact_dedup, op10_embedding_dedup, op11_vector_search, op12_lexical_search, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licence_scan.scan_sql(), "op7_ngram_join": OP7_SQL, "op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_embedding_dedup": OP10_SQL}
+    return {"op6_license_scan": licence_scan.scan_sql(), "op7_ngram_join": OP7_SQL, "op8_mixing": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_embedding_dedup": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_vector_codes": op13_sql()}
