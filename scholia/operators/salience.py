@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import CEILING, FLOOR, FULL_LENGTH, STOPWORDS, TOP_TERMS, UNKNOWN_WORD, WEIGHTS
 from ..functions.rowwise import unnested
 from .rules import exploded, found_hits
+from .segment import Lexicon, with_words
 
 #: Tokens: pairs of Han characters, or runs of other letters and digits, lower-cased.
 TOKEN = r"[\x{4e00}-\x{9fff}]{1,2}|[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+"
@@ -22,20 +23,26 @@ def content(found: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
-def content_tokens(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def split(rows: DataFrame, text_col: str, out: str, lexicon: Lexicon | None) -> DataFrame:
+    """``rows`` with the tokens of a text; with a lexicon Han text is read in words, else in pairs."""
+    return with_words(rows, text_col, out, lexicon) if lexicon else rows.withColumn(out, tokens(F.col(text_col)))
+
+
+def content_tokens(docs: DataFrame, id_col: str = "doc_id", lexicon: Lexicon | None = None) -> DataFrame:
     """Per document: n_tokens, n_content."""
-    rows = docs.select(id_col, tokens(F.col("text")).alias("t"))
+    rows = split(docs.select(id_col, "text"), "text", "t", lexicon)
     return rows.select(id_col, F.size("t").cast("long").alias("n_tokens"), F.size(content(F.col("t"))).cast("long").alias("n_content"))
 
 
-def tfidf(docs: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id") -> DataFrame:
+def tfidf(docs: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id", lexicon: Lexicon | None = None) -> DataFrame:
     """(id, term, w, rank): share in the document times ln((N + 1) / (df + 1)) + 1, the ``top`` heaviest.
 
     Terms are counted in two partial aggregations; document frequencies are joined by term.  Ties go
     by term.
     """
     n = docs.select(F.count(F.lit(1)).alias("n_docs"))
-    terms = unnested(docs, [id_col], content(tokens(F.col("text"))), "term").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    split_docs = split(docs.select(id_col, "text"), "text", "t", lexicon)
+    terms = unnested(split_docs, [id_col], content(F.col("t")), "term").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # n: a single row
     df = df.select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     total = F.sum("tf").over(Window.partitionBy(id_col))
@@ -44,15 +51,20 @@ def tfidf(docs: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id") -> Data
     return rows.withColumn("rank", rank).where(F.col("rank") <= top).select(id_col, "term", "w", "rank")
 
 
-def salience(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def salience(docs: DataFrame, id_col: str = "doc_id", lexicon: Lexicon | None = None) -> DataFrame:
     """One row per hit: id, ord, rule, action, n, hit, the four factors and salience.
 
     The rules run once.  A document's term weights are one map (of ``TOP_TERMS`` entries at most) that
-    meets its hits in one join by id; a hit's mean weight is taken inside its row.
+    meets its hits in one join by id; a hit's mean weight is taken inside its row.  With a lexicon Han
+    text is read in words, in documents and in hits.
     """
-    weights = tfidf(docs, id_col=id_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.max("w").alias("peak"))
-    found = docs.select(id_col, found_hits(F.col("text")).alias("hits")).join(weights, id_col, "left")
-    rows = exploded(found, id_col, "weights", "peak").withColumn("t", tokens(F.col("hit"))).withColumn("c", content(F.col("t")))
+    weights = tfidf(docs, id_col=id_col, lexicon=lexicon).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.max("w").alias("peak"))
+    found = docs.select(id_col, found_hits(F.col("text")).alias("hits"))
+    if lexicon:  # hits go to Python without the weights
+        rows = with_words(exploded(found, id_col), "hit", "t", lexicon).join(weights, id_col, "left")
+    else:
+        rows = exploded(found.join(weights, id_col, "left"), id_col, "weights", "peak").withColumn("t", tokens(F.col("hit")))
+    rows = rows.withColumn("c", content(F.col("t")))
     share = lambda term: F.coalesce(F.try_element_at(F.col("weights"), term) / F.col("peak"), F.lit(UNKNOWN_WORD))
     total = F.aggregate("c", F.lit(0.0), lambda sum_, term: sum_ + share(term))
     rows = rows.withColumn("mean", F.when(F.size("c") > 0, total / F.size("c")))

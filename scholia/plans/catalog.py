@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed, lexicon
 from ..functions.rowwise import unnested
 from ..functions.rule_table import NOTES, RULES
-from ..operators import clean, dataset, quota, rollup, rules, salience, score, sections, semantic, text_ai
+from ..operators import clean, dataset, quota, rollup, rules, salience, score, sections, segment, semantic, text_ai
 from ..sources import papers as sources
+from ..sources.scratch import Scratch
 from ..streaming import usage as streams
 from . import sqltext as s
 
@@ -261,6 +262,40 @@ def salience_ranges(spark: SparkSession, d: str) -> DataFrame:
     return salience.ranges(salience.salience(papers(spark, d)))
 
 
+# Words of Han text.
+
+
+def _han_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Composed once, as several passes read them."""
+    return Scratch(spark, "han-documents").keep(sources.han_documents(spark, d), "texts")
+
+
+@query(f"""WITH {s.HAN_DOCUMENTS}, {s.HAN_WORDS} SELECT word, n, round(cohesion, 6) AS cohesion, round(left_entropy, 6) AS left_entropy, round(right_entropy, 6) AS right_entropy FROM han_words""")
+def han_words(spark: SparkSession, d: str) -> DataFrame:
+    return segment.words(_han_documents(spark, d)).select("word", "n", *[F.round(c, 6).alias(c) for c in ("cohesion", "left_entropy", "right_entropy")])
+
+
+@query()
+def han_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Words of each document under the lexicon that all of them teach, and a digest of their order."""
+    docs = _han_documents(spark, d)
+    rows = segment.with_words(docs, "text", "tokens", segment.learn(docs))
+    return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " ").cast("binary"), 256).alias("tokens_sha256"))
+
+
+@query()
+def han_tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
+    docs = _han_documents(spark, d)
+    return salience.tfidf(docs, lexicon=segment.learn(docs))
+
+
+@query()
+def han_salience(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of all papers scored on words: those of Chinese papers are read with a lexicon learned from all papers."""
+    docs = papers(spark, d)
+    return salience.salience(docs, lexicon=segment.learn(docs))
+
+
 # Sections and scores.
 
 

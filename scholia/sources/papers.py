@@ -48,6 +48,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Characters that composed Han words are made of.
+HAN = "".join(chr(0x4E00 + 20 * k) for k in range(1024))
+#: What such a text is made from: words in letters, and ends of sentences.
+HAN_TOKENS = r"\p{L}+|[.!?;]"
+
+
+def han_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): the documents in Han characters without blanks.
+
+    A word becomes one to three characters by its digest, the same ones wherever it occurs; sentences keep
+    their ends, so words are known and the text doesn't show them.
+    """
+    digest = lambda w, at, size: F.conv(F.substring(F.md5(w.cast("binary")), at, size), 16, 10).cast("int")
+    alphabet = F.array(*[F.lit(c) for c in HAN])
+    char = lambda w, k: F.element_at(alphabet, digest(w, 3 + 3 * k, 3) % len(HAN) + 1)
+    size = lambda w: F.element_at(F.array(F.lit(1), F.lit(2), F.lit(2), F.lit(3)), digest(w, 1, 2) % 4 + 1)
+
+    def word(w: Column) -> Column:
+        rest = [F.when(size(w) > k, char(w, k)).otherwise(F.lit("")) for k in (1, 2)]
+        return F.when(w.isin(*".!?;"), F.lit("。")).otherwise(F.concat(char(w, 0), *rest))
+
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(HAN_TOKENS), F.lit(0))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(found, word), "").alias("text"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole UTF-8 files, one row each."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
