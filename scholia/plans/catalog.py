@@ -457,12 +457,25 @@ def quota_check(spark: SparkSession, d: str) -> DataFrame:
     return quota.quota_check(_events(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_EV}, line AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS n FROM ev),
+ walk(n, uses, event_id, ts, reason) AS (SELECT 0::BIGINT, []::STRUCT(t BIGINT, v VARCHAR, i VARCHAR)[], NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR
+ UNION ALL SELECT n, CASE WHEN reason = 'ok' THEN list_append(live, {{'t': ts, 'v': visitor, 'i': ip}}) ELSE live END, event_id, ts, reason
+ FROM (SELECT *, CASE WHEN len(live) >= {fixed.GLOBAL_CAP} THEN 'global' WHEN visitor IS NOT NULL AND len(list_filter(live, lambda u: u.v = visitor)) >= {fixed.VISITOR_CAP} THEN 'visitor' WHEN len(list_filter(live, lambda u: u.i = ip)) >= {fixed.IP_CAP} THEN 'ip' ELSE 'ok' END AS reason
+ FROM (SELECT l.n, l.event_id, l.ts, l.visitor, l.ip, list_filter(w.uses, lambda u: u.t >= l.ts - {fixed.DAY}) AS live FROM walk w JOIN line l ON l.n = w.n + 1)))
+ SELECT event_id, ts, reason FROM walk WHERE n > 0"""
+)
 def quota_admissions(spark: SparkSession, d: str) -> DataFrame:
     return streams.admissions_in_turn(_events(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_USE}, line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM use),
+ walk(key, n, stamps, event_id, ts, admitted) AS (SELECT DISTINCT key, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BOOLEAN FROM line
+ UNION ALL SELECT key, n, CASE WHEN len(live) < {fixed.VISITOR_CAP} THEN list_append(live, ts) ELSE live END, event_id, ts, len(live) < {fixed.VISITOR_CAP}
+ FROM (SELECT l.*, list_filter(w.stamps, lambda u: u >= l.ts - {fixed.DAY}) AS live FROM walk w JOIN line l ON l.key = w.key AND l.n = w.n + 1))
+ SELECT event_id, key, ts, admitted FROM walk WHERE n > 0"""
+)
 def key_admissions(spark: SparkSession, d: str) -> DataFrame:
     return streams.admissions(quota.usage_rows(_events(spark, d)))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DAY, GLOBAL_CAP, IP_CAP, VISITOR_CAP
+from . import admission
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -40,16 +40,13 @@ def admissions(events: DataFrame, cap: int = VISITOR_CAP, window: int = DAY) ->
     """(event_id, key, ts, admitted) for events(event_id, key, ts long), batch or stream.
 
     A key's state is the stamps of its admitted uses in the window, ``cap`` at most, and it is dropped
-    when the window has passed.  In a batch a key's events are sorted within its group.
+    when the window has passed.  A batch is decided where the cap may be reached (see ``admission``).
     """
-    schema = "event_id long, key string, ts long, admitted boolean"
     if not events.isStreaming:
-
-        def decide(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["ts", "event_id"])
-            return rows.assign(admitted=_admit([], rows["ts"].tolist(), cap, window)[0])[["event_id", "key", "ts", "admitted"]]
-
-        return events.select("event_id", "key", "ts").groupBy("key").applyInPandas(decide, schema)
+        one = events.select("event_id", "key", "ts", F.coalesce(F.concat(F.lit("="), "key"), F.lit("none")).alias("visitor"), F.lit("").alias("ip"))
+        out = admission.in_turn(one, (admission.NEVER, cap, admission.NEVER), window, ["key"])
+        return out.select("event_id", "key", "ts", (F.col("reason") == "ok").alias("admitted"))
+    schema = "event_id long, key string, ts long, admitted boolean"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         if state.hasTimedOut:
@@ -66,51 +63,9 @@ def admissions(events: DataFrame, cap: int = VISITOR_CAP, window: int = DAY) ->
     return grouped.applyInPandasWithState(step, schema, "stamps array<long>", "append", "ProcessingTimeTimeout")
 
 
-class Turnstile:
-    """Decisions in the order of time: the site's cap, then the visitor's, then the address'.
-
-    Only admitted uses count.  Those of the last window are remembered, the site's cap at most.
-    """
-
-    def __init__(self, caps: tuple[int, int, int], window: int):
-        self.caps, self.window = caps, window
-        self.uses: deque[tuple[int, str | None, str]] = deque()
-        self.counts: Counter[tuple[str, str | None]] = Counter()
-
-    def decide(self, ts: int, visitor: str | None, ip: str) -> str:
-        while self.uses and self.uses[0][0] < ts - self.window:
-            _, old_visitor, old_ip = self.uses.popleft()
-            for key in (("v", old_visitor), ("i", old_ip)):
-                self.counts[key] -= 1
-                if not self.counts[key]:
-                    del self.counts[key]
-        site, own, address = self.caps
-        if len(self.uses) >= site:
-            return "global"
-        if visitor and self.counts["v", visitor] >= own:
-            return "visitor"
-        if self.counts["i", ip] >= address:
-            return "ip"
-        self.uses.append((ts, visitor, ip))
-        self.counts.update((("v", visitor), ("i", ip)))
-        return "ok"
-
-
 def admissions_in_turn(events: DataFrame, caps: tuple[int, int, int] = (GLOBAL_CAP, VISITOR_CAP, IP_CAP), window: int = DAY) -> DataFrame:
     """(event_id, ts, reason) for events(event_id, ts long, visitor, ip): each decided given those admitted before it.
 
-    An event that one tier refuses uses up none of the others.  The site's cap makes each decision depend on
-    all before it, so decisions are taken one after the other in a single task, over rows that a
-    distributed sort has put in order and that pass through it in batches; it holds one window's
-    admitted uses.  An event without a visitor has no cap of its own; ties go by event id.
+    See ``admission``: the order of time holds where a cap may be reached, and nothing waits elsewhere.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gate = Turnstile(caps, window)
-        for rows in batches:
-            visitors = rows["visitor"].where(rows["visitor"].notna(), None)
-            reasons = [gate.decide(t, v, i) for t, v, i in zip(rows["ts"].tolist(), visitors, rows["ip"], strict=True)]
-            yield pd.DataFrame({"event_id": rows["event_id"], "ts": rows["ts"], "reason": reasons})
-
-    chosen = events.select("event_id", "ts", F.nullif("visitor", F.lit("")).alias("visitor"), F.coalesce("ip", F.lit("")).alias("ip"))
-    return chosen.orderBy("ts", "event_id").coalesce(1).mapInPandas(run, "event_id long, ts long, reason string")
+    return admission.in_turn(events, caps, window)

@@ -84,30 +84,6 @@ def test_upserts(spark):
     assert sorted(map(tuple, rollup.insert_or_replace(old, new.where("k = 1"), "k").collect())) == [(1, "b")]
 
 
-
-
-def test_three_tiers_in_turn(spark):
-    """Against a plain walk over the events: a refused event uses up nothing."""
-    rng = random.Random(4)
-    events = [(k, rng.randint(0, 400), rng.choice(["a", "b", "c", "", None]), rng.choice(["x", "y"])) for k in range(500)]
-    caps, window, admitted, want = (12, 3, 8), 50, [], {}
-    for k, t, visitor, ip in sorted(events, key=lambda e: (e[1], e[0])):
-        recent = [e for e in admitted if e[0] >= t - window]
-        if len(recent) >= caps[0]:
-            want[k] = "global"
-        elif visitor and sum(e[1] == visitor for e in recent) >= caps[1]:
-            want[k] = "visitor"
-        elif sum(e[2] == ip for e in recent) >= caps[2]:
-            want[k] = "ip"
-        else:
-            want[k] = "ok"
-            admitted.append((t, visitor, ip))
-    rows = spark.createDataFrame(events, "event_id long, ts long, visitor string, ip string").repartition(5)
-    assert {r.event_id: r.reason for r in usage.admissions_in_turn(rows, caps, window).collect()} == want
-    assert set(want.values()) == {"ok", "global", "visitor", "ip"}
-    assert usage.admissions_in_turn(rows.limit(0)).count() == 0
-
-
 def test_values_and_repairs(spark):
     rows = spark.createDataFrame([('["a", 1, null]',), ('{"k": "v", "n": 2}',), ("plain [x]",), (None,), ("[broken",)], "v string")
     assert [r[0] for r in rows.select(text_ai.flat_value(F.col("v"))).collect()] == ["a；1；None", "k：v；n：2", "plain [x]", None, "[broken"]
