@@ -1,10 +1,11 @@
 """Words of Han text: a lexicon learned from a corpus, and the most probable way to read a run of characters.
 
-A string of two to ``LONGEST`` characters is a word if it occurs ``LEAST`` times, holds together (each cut of it is
-by ``COHESION`` less likely than chance would have it, as a logarithm) and is used freely (the entropy of the
-characters on either side is ``FREEDOM`` at least).  Counts are of whole texts.  Strings are counted level by level: one of k characters
-only if both strings of k - 1 in it may occur ``LEAST`` times, by a bitmap of ``SLOTS`` slots, so that the mass of
-strings seen once is never shuffled.  The ``WORDS`` most frequent words make the lexicon; it is counted anew on the readings it gives.
+A string of two to ``LONGEST`` characters is a word if it occurs ``LEAST`` times, holds together and is used freely.
+It holds together if, for each cut, it is more frequent than its two sides let expect (by ``COHESION``, as a logarithm), and
+so do both strings in it that are one character shorter.  It is used freely if the entropy of the characters on either side is ``FREEDOM`` at
+least.  Counts are of whole texts, level by level: a string of k characters is counted only where a bitmap of
+``SLOTS`` slots has both strings of k - 1 in it, so that the mass of strings by chance is never shuffled.  The ``WORDS`` most
+frequent words make the lexicon; it is counted anew on the readings it gives.
 
 A string is a number: 16 bits a character, so counting, joining and looking up are done on longs,
 whole batches at a time.  Sorted arrays of those numbers stand in for a trie.
@@ -12,6 +13,7 @@ whole batches at a time.  Sorted arrays of those numbers stand in for a trie.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 
-LONGEST, LEAST, COHESION, FREEDOM, WORDS = 4, 5, 1.5, 0.5, 1 << 18
+LONGEST, LEAST, COHESION, FREEDOM, WORDS = 4, 5, 1.0, 0.5, 1 << 18
 #: Slots of the bitmap (a prime), characters that are handled at a time.
 SLOTS, PIECE = 4194301, 1 << 20
 FIRST, LAST = 0x4E00, 0x9FFF
@@ -223,35 +225,37 @@ def _bitmap(strings: DataFrame) -> np.ndarray:
     return out[:SLOTS]
 
 
-def _cuts(word: Column, size: Column) -> Column:
-    """The two strings of each cut of a string, with the cut's number."""
-    out = []
-    for k in range(1, LONGEST):
-        for part in (F.shiftrightunsigned(word, 16 * k), word.bitwiseAND(F.lit((1 << 16 * k) - 1))):
-            out.append(F.when(size > k, F.struct(F.lit(k).alias("cut"), part.alias("part"))))
-    return F.array_compact(F.array(*out))
+def _cuts(word: Column, level: int) -> Column:
+    """The two strings of each cut of a string of ``level`` characters, with the cut's number."""
+    sides = lambda k: (F.shiftrightunsigned(word, 16 * k), word.bitwiseAND(F.lit((1 << 16 * k) - 1)))
+    return F.array(*[F.struct(F.lit(k).alias("cut"), part.alias("part")) for k in range(1, level) for part in sides(k)])
 
 
-def strings(texts: DataFrame, scratch: Scratch, text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """(word, size, n): every Han character, and strings of 2 to ``LONGEST`` of them that occur ``least`` times at least."""
-    rows, frequent, out = texts.select(F.col(text_col).cast("string").alias("text")), None, None
-    for level in range(1, LONGEST + 1):
-        counted = rows.mapInArrow(_counts(level, frequent), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        found = scratch.keep(counted.where(F.col("n") >= least) if level > 1 else counted, f"strings-{level}")
-        frequent = _bitmap(found.where(F.col("n") >= least)) if level > 1 else None
-        found = found.select("word", F.lit(level).alias("size"), "n")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def cohesion(counted: DataFrame) -> DataFrame:
-    """(word, size, n, cohesion): the least logarithm, over cuts, of how far a string is more frequent than its two sides let expect."""
-    total = counted.where("size = 1").agg(F.sum("n").alias("total"))
-    each = counted.where("size > 1").select("word", "size", "n", F.explode(_cuts(F.col("word"), F.col("size"))).alias("c")).select("word", "size", "n", "c.cut", "c.part")
-    met = each.join(counted.select(F.col("word").alias("part"), F.log("n").alias("part_log")), "part")
-    per = met.groupBy("word", "size", "n", "cut").agg(F.sum("part_log").alias("parts"))
-    least = per.groupBy("word", "size", "n").agg(F.max("parts").alias("parts")).crossJoin(F.broadcast(total))  # a single row
-    return least.select("word", "size", "n", (F.log("n") + F.log("total") - F.col("parts")).alias("cohesion"))
+def strings(texts: DataFrame, scratch: Scratch, text_col: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(word, n) of every Han character, and (word, n, cohesion) of the longer strings that hold together."""
+    rows = texts.select(F.col(text_col).cast("string").alias("text"))
+    count = lambda level, flags: rows.mapInArrow(_counts(level, flags), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    single = scratch.keep(count(1, None), "characters")
+    total = single.agg(F.sum("n")).first()[0] or 0
+    known, flags, out = F.broadcast(single), None, None  # no more rows than there are Han characters
+    for level in range(2, LONGEST + 1):
+        counted = count(level, flags).where(F.col("n") >= least)
+        firm = scratch.keep(cohesion(counted, known, level, total).where(F.col("cohesion") >= COHESION), f"strings-{level}")
+        flags = _bitmap(firm)
+        known = (single if out is None else known).unionByName(firm.select("word", "n"))
+        out = firm if out is None else out.unionByName(firm)
+    return single, out
+
+
+def cohesion(counted: DataFrame, known: DataFrame, level: int, total: int) -> DataFrame:
+    """(word, n, cohesion) of strings of ``level`` characters: the least logarithm, over cuts, of how far a string is more frequent than its
+    sides let expect.  ``known`` has the shorter strings (word, n); a string with a side that isn't there is left out.
+    """
+    each = counted.select("word", "n", F.explode(_cuts(F.col("word"), level)).alias("c")).select("word", "n", "c.cut", "c.part")
+    met = each.join(known.select(F.col("word").alias("part"), F.log("n").alias("log")), "part")
+    per = met.groupBy("word", "n", "cut").agg(F.sum("log").alias("sides"), F.count(F.lit(1)).alias("found")).where("found = 2")
+    whole = per.groupBy("word", "n").agg(F.max("sides").alias("sides"), F.count(F.lit(1)).alias("cuts")).where(F.col("cuts") == level - 1)
+    return whole.select("word", "n", (F.log("n") + math.log(max(total, 1)) - F.col("sides")).alias("cohesion"))
 
 
 def freedom(texts: DataFrame, candidates: np.ndarray, text_col: str = "text") -> DataFrame:
@@ -271,11 +275,11 @@ def words(texts: DataFrame, text_col: str = "text", least: int = LEAST) -> DataF
 
 
 def _learned(texts: DataFrame, scratch: Scratch, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
-    counted = strings(texts, scratch, text_col, least)
-    firm = scratch.keep(cohesion(counted).where(F.col("cohesion") >= COHESION).orderBy(F.desc("n"), "word").limit(WORDS), "firm")
+    single, firm = strings(texts, scratch, text_col, least)
+    firm = scratch.keep(firm.orderBy(F.desc("n"), "word").limit(WORDS), "firm")
     candidates = np.sort(firm.select("word").toArrow().column(0).to_numpy())  # WORDS numbers at most
     free = freedom(texts, candidates, text_col).where((F.col("left_entropy") >= FREEDOM) & (F.col("right_entropy") >= FREEDOM))
-    return scratch.keep(firm.join(free, "word"), "words"), counted
+    return scratch.keep(firm.join(free, "word"), "words"), single
 
 
 def _lexicon(counted: DataFrame, known: dict[str, int]) -> Lexicon:
@@ -298,8 +302,8 @@ def learn(texts: DataFrame, text_col: str = "text", known: dict[str, int] | None
     """
     known = {w: n for w, n in (known or {}).items() if 0 < len(w) <= LONGEST and all(FIRST <= ord(c) <= LAST for c in w)}
     scratch = Scratch(texts.sparkSession, "han-lexicon")
-    found, counted = _learned(texts, scratch, text_col, least)
-    lexicon = _lexicon(found.select("word", "n").unionByName(counted.where("size = 1").select("word", "n")), known)
+    found, single = _learned(texts, scratch, text_col, least)
+    lexicon = _lexicon(found.select("word", "n").unionByName(single), known)
     rows = texts.select(F.col(text_col).cast("string").alias("text"))
     for _ in range(rounds):
         again = rows.mapInArrow(_word_counts(lexicon), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))

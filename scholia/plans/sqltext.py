@@ -154,10 +154,20 @@ def reflowed() -> str:
 
 
 def _han_word() -> str:
-    digit = lambda at, size: f"('0x' || substring(md5(w), {at}, {size}))::INT"
-    char = lambda k: f"substring({q(HAN)}, {digit(3 + 3 * k, 3)} % {len(HAN)} + 1, 1)"
-    size = f"[1, 2, 2, 3][{digit(1, 2)} % 4 + 1]"
-    return f"CASE WHEN w IN ('.', '!', '?', ';') THEN '。' ELSE {char(0)} || CASE WHEN {size} > 1 THEN {char(1)} ELSE '' END || CASE WHEN {size} > 2 THEN {char(2)} ELSE '' END END"
+    number = "('0x' || substring(md5(w), 1, 8))::BIGINT"
+    char = lambda k: f"substring({q(HAN)}, ({number} >> {2 + 10 * k}) % {len(HAN)} + 1, 1)"
+    return f"CASE WHEN w IN ('.', '!', '?', ';') THEN '。' ELSE {char(0)} || CASE WHEN {number} % 4 > 0 THEN {char(1)} ELSE '' END || CASE WHEN {number} % 4 = 3 THEN {char(2)} ELSE '' END END"
+
+
+def _han_levels() -> str:
+    """Strings of each length that hold together, from those one character shorter."""
+    out = "han_1 AS MATERIALIZED (SELECT g, n FROM han_n WHERE k = 1), han_s1 AS (SELECT * FROM han_1)"
+    for k in range(2, segment.LONGEST + 1):
+        inner = "TRUE" if k == 2 else f"substring(g, 1, {k - 1}) IN (SELECT g FROM han_{k - 1}) AND substring(g, 2) IN (SELECT g FROM han_{k - 1})"
+        out += f""", han_{k} AS MATERIALIZED (SELECT * FROM (SELECT h.g, h.n, min(ln(h.n) + ln((SELECT sum(n) FROM han_1)) - ln(x.n) - ln(y.n)) AS cohesion
+ FROM (SELECT * FROM han_n WHERE k = {k} AND {inner}) h, LATERAL (SELECT unnest(range(1, {k})) AS c) JOIN han_s{k - 1} x ON x.g = substring(h.g, 1, c) JOIN han_s{k - 1} y ON y.g = substring(h.g, c + 1) GROUP BY ALL) WHERE cohesion >= {segment.COHESION!r}::DOUBLE),
+ han_s{k} AS (SELECT g, n FROM han_s{k - 1} UNION ALL SELECT g, n FROM han_{k})"""
+    return out
 
 
 HAN_DOCUMENTS = f"han_documents AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(coalesce(text, '')), {q(HAN_TOKENS)}), lambda w: {_han_word()}), '') AS text FROM documents)"
@@ -167,7 +177,7 @@ HAN_WORDS = f"""han_runs AS (SELECT unnest(regexp_extract_all(text, '[\\x{{4e00}
  han_at AS (SELECT r, unnest(range(1, length(r) + 1)) AS i FROM han_runs),
  han_grams AS (SELECT substring(r, i, k) AS g, k, CASE WHEN i > 1 THEN substring(r, i - 1, 1) ELSE '' END AS a, substring(r, i + k, 1) AS b FROM han_at, (SELECT unnest(range(1, {segment.LONGEST + 1})) AS k) WHERE i + k <= length(r) + 1),
  han_n AS MATERIALIZED (SELECT g, k, count(*) AS n FROM han_grams GROUP BY ALL HAVING k = 1 OR count(*) >= {segment.LEAST}),
- han_cut AS (SELECT h.g, h.k, h.n, min(ln(h.n) + ln((SELECT sum(n) FROM han_n WHERE k = 1)) - ln(x.n) - ln(y.n)) AS cohesion FROM han_n h, LATERAL (SELECT unnest(range(1, h.k)) AS c) JOIN han_n x ON x.g = substring(h.g, 1, c) JOIN han_n y ON y.g = substring(h.g, c + 1) WHERE h.k > 1 GROUP BY ALL),
- han_firm AS MATERIALIZED (SELECT * FROM han_cut WHERE cohesion >= {segment.COHESION!r}::DOUBLE ORDER BY n DESC LIMIT {segment.WORDS}),
+ {_han_levels()},
+ han_firm AS MATERIALIZED (SELECT * FROM ({" UNION ALL ".join(f"SELECT g, n, cohesion FROM han_{k}" for k in range(2, segment.LONGEST + 1))}) ORDER BY n DESC LIMIT {segment.WORDS}),
  han_side AS (SELECT g, side, ln(sum(m)) - sum(m * ln(m)) / sum(m) AS h FROM (SELECT g, side, c, count(*) AS m FROM (SELECT g, 0 AS side, a AS c FROM han_grams SEMI JOIN han_firm USING (g) UNION ALL SELECT g, 1, b FROM han_grams SEMI JOIN han_firm USING (g)) GROUP BY ALL) GROUP BY ALL),
  han_words AS (SELECT f.g AS word, f.n, f.cohesion, l.h AS left_entropy, r.h AS right_entropy FROM han_firm f JOIN han_side l ON l.g = f.g AND l.side = 0 JOIN han_side r ON r.g = f.g AND r.side = 1 WHERE l.h >= {segment.FREEDOM!r}::DOUBLE AND r.h >= {segment.FREEDOM!r}::DOUBLE)"""

@@ -60,17 +60,18 @@ def han_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     A word becomes one to three characters by its digest, the same ones wherever it occurs; sentences keep
     their ends, so words are known and the text doesn't show them.
     """
-    digest = lambda w, at, size: F.conv(F.substring(F.md5(w.cast("binary")), at, size), 16, 10).cast("int")
     alphabet = F.array(*[F.lit(c) for c in HAN])
-    char = lambda w, k: F.element_at(alphabet, digest(w, 3 + 3 * k, 3) % len(HAN) + 1)
-    size = lambda w: F.element_at(F.array(F.lit(1), F.lit(2), F.lit(2), F.lit(3)), digest(w, 1, 2) % 4 + 1)
+    # 32 bits of the digest: two for the number of characters, ten for each of three; -1 ends a sentence.
+    number = lambda w: F.when(w.isin(*".!?;"), F.lit(-1)).otherwise(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
+    char = lambda x, k: F.element_at(alphabet, (F.shiftright(x, 2 + 10 * k) % len(HAN) + 1).cast("int"))
 
-    def word(w: Column) -> Column:
-        rest = [F.when(size(w) > k, char(w, k)).otherwise(F.lit("")) for k in (1, 2)]
-        return F.when(w.isin(*".!?;"), F.lit("。")).otherwise(F.concat(char(w, 0), *rest))
+    def word(x: Column) -> Column:
+        size = x % 4
+        two = F.concat(char(x, 0), char(x, 1))
+        return F.when(x < 0, F.lit("。")).when(size == 0, char(x, 0)).when(size < 3, two).otherwise(F.concat(two, char(x, 2)))
 
     found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(HAN_TOKENS), F.lit(0))
-    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(found, word), "").alias("text"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.transform(found, number), word), "").alias("text"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Bytes of the batches that Python workers get; Spark's own are 64 MB, which an executor holds several times.
+BATCH, BATCH_SETTING, SPARKS_OWN = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +34,11 @@ def delete(spark: SparkSession, name: str) -> None:
 
 
 class Scratch:
-    """Named tables of one run."""
+    """Named tables of one run.  A session that has Spark's size of Arrow batches gets smaller ones."""
 
     def __init__(self, spark: SparkSession, what: str):
+        if spark.conf.get(BATCH_SETTING) == SPARKS_OWN:
+            spark.conf.set(BATCH_SETTING, BATCH)
         self.spark, self.count = spark, 0
         self.root = f"{shared_dir(spark)}/scholia-{what}-{uuid.uuid4().hex}"
 

@@ -86,21 +86,23 @@ def test_words_and_their_figures(texts, known):
     runs = [r for t in known[0] for r in HAN.findall(t)]
     n = Counter(r[i : i + k] for r in runs for k in range(1, segment.LONGEST + 1) for i in range(len(r) - k + 1))
     total = sum(c for g, c in n.items() if len(g) == 1)
-    want = {}
-    for g, c in n.items():
-        if len(g) > 1 and c >= segment.LEAST:
-            firm = min(math.log(c * total / (n[g[:k]] * n[g[k:]])) for k in range(1, len(g)))
-            if firm >= segment.COHESION:
-                sides = [Counter(), Counter()]
-                for r in runs:
-                    at = r.find(g)
-                    while at >= 0:
-                        sides[0][r[at - 1 : at]] += 1
-                        sides[1][r[at + len(g) : at + len(g) + 1]] += 1
-                        at = r.find(g, at + 1)
-                free = [-sum(x / c * math.log(x / c) for x in s.values()) for s in sides]
-                if min(free) >= segment.FREEDOM:
-                    want[g] = (c, firm, *free)
+    want, firm = {}, {}
+    for g, c in sorted(n.items(), key=lambda x: len(x[0])):
+        if len(g) > 1 and c >= segment.LEAST and (len(g) == 2 or (g[1:] in firm and g[:-1] in firm)):
+            least = min(math.log(c * total / (n[g[:k]] * n[g[k:]])) for k in range(1, len(g)))
+            if least >= segment.COHESION:
+                firm[g] = least
+    for g in firm:
+        sides = [Counter(), Counter()]
+        for r in runs:
+            at = r.find(g)
+            while at >= 0:
+                sides[0][r[at - 1 : at]] += 1
+                sides[1][r[at + len(g) : at + len(g) + 1]] += 1
+                at = r.find(g, at + 1)
+        free = [-sum(x / n[g] * math.log(x / n[g]) for x in s.values()) for s in sides]
+        if min(free) >= segment.FREEDOM:
+            want[g] = (n[g], firm[g], *free)
     got = {r.word: (r.n, r.cohesion, r.left_entropy, r.right_entropy) for r in segment.words(texts).collect()}
     assert set(got) == set(want) and len(got) > 300
     assert all(got[g] == pytest.approx(want[g]) for g in want)
