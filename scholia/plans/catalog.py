@@ -13,6 +13,7 @@ from ..functions.rule_table import NOTES, RULES
 from ..operators import clean, dataset, quota, rollup, rules, salience, score, sections, segment, semantic, text_ai
 from ..sources import papers as sources
 from ..sources.scratch import Scratch
+from ..streaming import state as states
 from ..streaming import usage as streams
 from . import sqltext as s
 
@@ -419,7 +420,11 @@ _USE = f"""{_EV}, use AS (SELECT event_id, unnest(list_filter(['global', 'ip:' |
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").withColumn("ts", quota.epoch(F.col("ts")))
+    return _event_keys(table(spark, d, "events"))
+
+
+def _event_keys(events: DataFrame) -> DataFrame:
+    rows = events.withColumn("ts", quota.epoch(F.col("ts")))
     return rows.selectExpr("event_id", "user_id", "ts", "CASE WHEN user_id % 3 <> 0 THEN 'v' || CAST(user_id AS STRING) END AS visitor", "'ip' || CAST(user_id % 20 AS STRING) AS ip")
 
 
@@ -469,17 +474,32 @@ def quota_admissions(spark: SparkSession, d: str) -> DataFrame:
     return streams.admissions_in_turn(_events(spark, d))
 
 
-@query(
-    f"""WITH RECURSIVE {_USE}, line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM use),
+_KEY_ADMISSIONS = f"""WITH RECURSIVE {_USE}, line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM use),
  walk(key, n, stamps, event_id, ts, admitted) AS (SELECT DISTINCT key, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BOOLEAN FROM line
  UNION ALL SELECT key, n, CASE WHEN len(live) < {fixed.VISITOR_CAP} THEN list_append(live, ts) ELSE live END, event_id, ts, len(live) < {fixed.VISITOR_CAP}
  FROM (SELECT l.*, list_filter(w.stamps, lambda u: u >= l.ts - {fixed.DAY}) AS live FROM walk w JOIN line l ON l.key = w.key AND l.n = w.n + 1))
  SELECT event_id, key, ts, admitted FROM walk WHERE n > 0"""
-)
+
+
+@query(_KEY_ADMISSIONS)
 def key_admissions(spark: SparkSession, d: str) -> DataFrame:
     return streams.admissions(quota.usage_rows(_events(spark, d)))
 
 
+@query(f"SELECT * FROM ({_KEY_ADMISSIONS}) WHERE ts <= (SELECT max(epoch_us(ts) // 1000000) FROM events) - 3600")
+def stream_admissions(spark: SparkSession, d: str) -> DataFrame:
+    """The same decisions by a stream of the event files, as far as its watermark, an hour behind the last event, has come."""
+    scratch, before = Scratch(spark, "stream-admissions"), spark.conf.get(states.STORE[0])
+    events = _event_keys(spark.readStream.schema(streams.EVENTS).parquet(f"{d}/events.parquet*"))
+    spark.conf.set(*states.STORE)
+    try:
+        run = streams.admissions(quota.usage_rows(events)).writeStream.option("checkpointLocation", f"{scratch.root}/at").outputMode("append").trigger(availableNow=True).start(f"{scratch.root}/out")
+        run.awaitTermination()
+    finally:
+        spark.conf.set(states.STORE[0], before)
+    return spark.read.schema(states.OUTPUT).parquet(f"{scratch.root}/out")
+
+
 @query(f"WITH {_USE} SELECT key, count(*) AS kept FROM use WHERE ts >= (SELECT max(ts) FROM ev) - 86400 GROUP BY key")
 def usage_retention(spark: SparkSession, d: str) -> DataFrame:
     return quota.retained(quota.usage_rows(_events(spark, d)), _last(spark, d)).groupBy("key").agg(F.count(F.lit(1)).alias("kept"))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DAY, GLOBAL_CAP, IP_CAP, VISITOR_CAP
-from . import admission
+from . import admission, state
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -25,42 +22,16 @@ def windowed_counts(events: DataFrame, window: str = "1 day", slide: str = "1 ho
     return counted.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "user_id", "uses")
 
 
-def _admit(stamps: list[int], times: list[int], cap: int, window: int) -> tuple[list[bool], list[int]]:
-    """Decide on each time in turn; only admitted uses are recorded."""
-    out = []
-    for t in times:
-        stamps = [s for s in stamps if s >= t - window]
-        out.append(len(stamps) < cap)
-        if out[-1]:
-            stamps.append(t)
-    return out, stamps
-
-
 def admissions(events: DataFrame, cap: int = VISITOR_CAP, window: int = DAY) -> DataFrame:
-    """(event_id, key, ts, admitted) for events(event_id, key, ts long), batch or stream.
+    """(event_id, key, ts, admitted) for events(event_id, key, ts long), batch or stream: a refused use doesn't count.
 
-    A key's state is the stamps of its admitted uses in the window, ``cap`` at most, and it is dropped
-    when the window has passed.  A batch is decided where the cap may be reached (see ``admission``).
+    A batch is decided where the cap may be reached (see ``admission``), a stream as its watermark goes on (see ``state``).
     """
-    if not events.isStreaming:
-        one = events.select("event_id", "key", "ts", F.coalesce(F.concat(F.lit("="), "key"), F.lit("none")).alias("visitor"), F.lit("").alias("ip"))
-        out = admission.in_turn(one, (admission.NEVER, cap, admission.NEVER), window, ["key"])
-        return out.select("event_id", "key", "ts", (F.col("reason") == "ok").alias("admitted"))
-    schema = "event_id long, key string, ts long, admitted boolean"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stamps = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        admitted, stamps = _admit(stamps, rows["ts"].tolist(), cap, window)
-        state.update((stamps,))
-        state.setTimeoutDuration(window * 1000)
-        yield rows.assign(admitted=admitted)[["event_id", "key", "ts", "admitted"]]
-
-    grouped = events.select("event_id", "key", "ts").groupBy("key")
-    return grouped.applyInPandasWithState(step, schema, "stamps array<long>", "append", "ProcessingTimeTimeout")
+    if events.isStreaming:
+        return state.admissions(events, cap, window)
+    one = events.select("event_id", "key", "ts", F.coalesce(F.concat(F.lit("="), "key"), F.lit("none")).alias("visitor"), F.lit("").alias("ip"))
+    out = admission.in_turn(one, (admission.NEVER, cap, admission.NEVER), window, ["key"])
+    return out.select("event_id", "key", "ts", (F.col("reason") == "ok").alias("admitted"))
 
 
 def admissions_in_turn(events: DataFrame, caps: tuple[int, int, int] = (GLOBAL_CAP, VISITOR_CAP, IP_CAP), window: int = DAY) -> DataFrame:

@@ -40,11 +40,6 @@ def test_streams_agree_with_batch(spark, small, tmp_path):
     assert got == {(r.window.start, r.user_id): r["count"] for r in batch.collect()} and got
 
 
-def test_admission_state():
-    assert usage._admit([], [0, 1, 2], 2, 10) == ([True, True, False], [0, 1])
-    assert usage._admit([0, 1], [11], 2, 10) == ([True], [1, 11])
-
-
 def test_answers(spark):
     rows = spark.createDataFrame([(0, '```json\n{"结论": "a", "主要结论": "b", "x": [1]}\n```'), (1, "say {\"key\": \"v\"} ok"), (2, "plain"), (3, "")], "k int, raw string")
     got = {r.k: [(x.key, x.value) for x in r.a] for r in rows.select("k", text_ai.parse_answer(F.col("raw")).alias("a")).collect()}
