@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import automaton
 from ..functions import lexicon as lists
 from ..functions.fixed import NUMBER, NUMBER_STRICT, PROFILES, STRUCTURE_POINTS
 from .sections import with_sections
 
+#: Keywords that are looked for one by one, at most; more are found together by an automaton.
+MANY = 400
 DIMENSIONS = ["structure", "innovation", "data_support", "method"]
 FULL_AT = {"expr": 6, "conc": 3, "cross": 2}
 
@@ -41,7 +44,13 @@ def _measured(docs: DataFrame, grades: list[tuple[str, str]], words: dict, teach
     innovation = {m: words["innovation"][m] for m, _ in grades}
     method = {(m, s): [*words["method"][m], *[w for ws in words["rubrics"][s].values() for w in ws]] for m, s in grades}
     both = F.concat(F.lower(F.coalesce("abstract", F.lit(""))), F.lit(" "), F.lower("text"))
-    there = lambda text, lists_: F.filter(F.array(*[F.lit(w) for w in lists.distinct([w for ws in lists_ for w in ws])]), lambda w: F.contains(text, w))
+    asked = [lists.distinct([w for ws in lists_ for w in ws]) for lists_ in (innovation.values(), method.values())]
+    if sum(map(len, asked)) > MANY:  # one pass over the text, however many there are
+        rows = automaton.with_contained(rows.withColumn("_both", both), ["_both", "text"], "_there", asked)
+        there = [F.col("_there0"), F.col("_there1")]
+    else:
+        one_by_one = lambda text, own: F.filter(F.array(*[F.lit(w) for w in own]), lambda w: F.contains(text, w))
+        there = [one_by_one(both, asked[0]), one_by_one(F.lower("text"), asked[1])]
     conclusion = F.coalesce(F.nullif("conclusion", F.lit("")), F.col("text"))
     strict = sorted({PROFILES[m]["strict"] for m, _ in grades})
     rows = rows.select(
@@ -51,8 +60,8 @@ def _measured(docs: DataFrame, grades: list[tuple[str, str]], words: dict, teach
         (F.lit(5) - sum((F.col(n).isNotNull().cast("int") for n in STRUCTURE_POINTS), F.lit(0))).alias("missing"),
         F.col("keywords").isNull().alias("no_keywords"),
         # The abstract is part of the text, but may end in a keyword that the text's next character breaks.
-        there(both, innovation.values()).alias("new_words"),
-        there(F.lower("text"), method.values()).alias("words"),
+        there[0].alias("new_words"),
+        there[1].alias("words"),
         *[numbers(t, k).alias(f"{n}_{int(k)}") for k in strict for n, t in (("c", conclusion), ("e", F.col("text")))],
         *[extra[k].cast("int").alias(f"semantic_{k}") for k in extra],
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, lexicon
+from ..functions import automaton, fixed, lexicon
 from ..functions.rowwise import unnested
 from ..functions.rule_table import NOTES, RULES
 from ..operators import clean, dataset, quota, rollup, rules, salience, score, sections, segment, semantic, text_ai
@@ -350,6 +350,17 @@ def rubric_coverage(spark: SparkSession, d: str) -> DataFrame:
     return score.rubric_coverage(papers(spark, d))
 
 
+_KEYWORDS = "SELECT DISTINCT p_brand AS subject, split_part(p_type, ' ', 1) AS category, p_name AS word FROM part"
+
+
+@query(f"""{P}, k AS (SELECT subject, category, lower(word) AS word FROM ({_KEYWORDS})), hits AS (SELECT doc_id, word FROM papers JOIN (SELECT DISTINCT word FROM k) w ON contains(lower(text), word))
+ SELECT doc_id, subject, count(DISTINCT category)::INT AS covered, any_value(categories)::INT AS categories, count(DISTINCT word)::INT AS words FROM hits JOIN k USING (word) JOIN (SELECT subject, count(DISTINCT category) AS categories FROM k GROUP BY subject) USING (subject) GROUP BY doc_id, subject""")
+def lexicon_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Papers against a lexicon of all part names, by brand and kind."""
+    table(spark, d, "part").createOrReplaceTempView("part")
+    return automaton.counted(papers(spark, d), spark.sql(_KEYWORDS))
+
+
 # Roll-ups.
 
 _ALL = f"WITH {s.PAPERS}, {s.HITS}, {s.tfidf()}, {s.SALIENCE}, {s.SECTIONS}, {s.scored('teacher', 'cs')}"
