@@ -13,6 +13,7 @@ whole batches at a time.  Sorted arrays of those numbers stand in for a trie.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 
 LONGEST, LEAST, COHESION, FREEDOM, WORDS = 4, 5, 1.0, 0.5, 1 << 18
-#: Slots of the bitmap (a prime), characters that are handled at a time.
-SLOTS, PIECE = 4194301, 1 << 20
+#: Slots of the bitmap (a prime), characters that are handled at a time, strings whose counts a worker holds.
+SLOTS, PIECE, HELD = 4194301, 1 << 18, 1 << 20
 FIRST, LAST = 0x4E00, 0x9FFF
 #: Tokens before Han runs are read: those runs, and runs of other letters and digits.
 RUNS = r"[\x{4e00}-\x{9fff}]+|[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+"
@@ -107,18 +108,55 @@ def _numbers(units: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return value.view(np.int64), inside
 
 
+def _summed(each: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and how often each occurs; a number may come again after ``HELD`` others."""
+    held, times, rest, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        found, place = np.unique(np.concatenate([held, *rest]), return_inverse=True)
+        n = np.bincount(place[len(held) :], minlength=len(found))
+        n[place[: len(held)]] += times
+        return found, n
+
+    for numbers in each:
+        rest.append(numbers)
+        size += len(numbers)
+        if size >= HELD:
+            held, times = merged()
+            rest, size = [], 0
+            if len(held) >= HELD:
+                yield held, times
+                held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, times = merged()
+    if len(held):
+        yield held, times
+
+
+def _give_back() -> None:
+    """Free memory of this worker goes back to the system, which neither Arrow nor the C library does on its own."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        return
+
+
 def _counts(level: int, frequent: np.ndarray | None):
-    """Texts -> strings of ``level`` characters and how often, summed over each piece."""
+    """Texts -> strings of ``level`` characters and how often."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for units in _pieces(batches):
             value, inside = _numbers(units, level)
             if frequent is not None:
                 part, fine = _numbers(units, level - 1)
                 likely = fine & frequent[part % SLOTS]
                 inside &= likely[:-1] & likely[1:]
-            found, n = np.unique(value[inside], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["word", "n"])
+            yield value[inside]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, n in _summed(each(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["word", "n"])
+        _give_back()
 
     return run
 
@@ -134,19 +172,21 @@ def _found(words: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _sides(candidates: np.ndarray):
     """Texts -> candidate, side (0 left, 1 right), character beside it (0: none that is Han) and how often, for each piece."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for units in _pieces(batches):
             beside = np.where(_han(units), units, 0).astype(np.int64)
-            keys = [np.zeros(0, np.int64)]
             for level in range(2, LONGEST + 1):
                 value, inside = _numbers(units, level)
                 at = np.flatnonzero(inside)
                 place, hit = _found(candidates, value[at])
                 place, at = place[hit], at[hit]
-                keys += [place << 17 | beside[at - 1], place << 17 | 1 << 16 | beside[at + level]]
-            found, n = np.unique(np.concatenate(keys), return_counts=True)
-            columns = [candidates[found >> 17], (found >> 16 & 1).astype(np.int32), (found & 0xFFFF).astype(np.int32), n.astype(np.int64)]
+                yield np.r_[place << 17 | beside[at - 1], place << 17 | 1 << 16 | beside[at + level]]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, n in _summed(each(batches)):
+            columns = [candidates[found >> 17], (found >> 16 & 1).astype(np.int32), (found & 0xFFFF).astype(np.int32), n]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "side", "beside", "n"])
+        _give_back()
 
     return run
 
@@ -200,17 +240,18 @@ def read(units: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_counts(lexicon: Lexicon):
-    """Texts -> words of their readings and how often, summed over each piece."""
+    """Texts -> words of their readings and how often."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for units in _pieces(batches):
             starts, lengths = read(units, lexicon)
-            words = np.zeros(len(starts), np.int64)
             for level in range(1, LONGEST + 1):
-                own = lengths == level
-                words[own] = _numbers(units, level)[0][starts[own]]
-            found, n = np.unique(words, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["word", "n"])
+                yield _numbers(units, level)[0][starts[lengths == level]]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, n in _summed(each(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["word", "n"])
+        _give_back()
 
     return run
 

@@ -147,6 +147,7 @@ def test_pieces_keep_every_string(monkeypatch, known):
     runs = [(segment._counts(1, None), ["word"]), (segment._counts(3, np.ones(segment.SLOTS, bool)), ["word"]), (segment._sides(some), ["word", "side", "beside"])]
     whole = [totals(r, *names) for r, names in runs]
     monkeypatch.setattr(segment, "PIECE", 16)
+    monkeypatch.setattr(segment, "HELD", 50)
     assert [totals(r, *names) for r, names in runs] == whole and all(whole)
 
 
