@@ -13,6 +13,7 @@ from ..functions.rule_table import NOTES, RULES
 from ..operators import clean, dataset, quota, rollup, rules, salience, score, sections, segment, semantic, text_ai
 from ..sources import papers as sources
 from ..sources.scratch import Scratch
+from ..sources.versions import Versions
 from ..streaming import state as states
 from ..streaming import usage as streams
 from . import sqltext as s
@@ -424,6 +425,24 @@ def upsert_ignore(spark: SparkSession, d: str) -> DataFrame:
     return rollup.insert_or_ignore(old, new, "k", ["v"])
 
 
+_CUSTOMERS, _SUPPLIERS, _PARTS = "c_custkey AS k, c_custkey AS v", "s_suppkey * 2 AS k, s_suppkey + 100000 AS v", "p_partkey AS k, p_partkey + 200000 AS v"
+
+
+@query(f"""WITH a AS (SELECT {_CUSTOMERS} FROM customer), s AS (SELECT {_SUPPLIERS} FROM supplier), b AS (SELECT * FROM a WHERE k NOT IN (SELECT k FROM s) UNION ALL SELECT * FROM s),
+ c AS (SELECT * FROM b UNION ALL SELECT {_PARTS} FROM part WHERE p_partkey NOT IN (SELECT k FROM b))
+ SELECT 2 AS version, k, v FROM b UNION ALL SELECT 4, k, v FROM c WHERE k % 5 <> 0 OR k NOT IN (SELECT p_partkey FROM part)""")
+def versioned_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Inserts, replacements and deletions as commits of a table, read at two versions."""
+    rows = lambda name, columns: table(spark, d, name).selectExpr(*columns.split(", "))
+    first = rows("customer", _CUSTOMERS)
+    made = Versions(spark, f"{Scratch(spark, 'versions').root}/table").create(first.schema, "k", 16)
+    made.insert_or_ignore(first, ["v"])
+    made.insert_or_replace(rows("supplier", _SUPPLIERS))
+    made.insert_or_ignore(rows("part", _PARTS), ["v"])
+    made.delete(rows("part", _PARTS).where("k % 5 = 0"))
+    return made.read(2).select(F.lit(2).alias("version"), "k", "v").unionByName(made.read().select(F.lit(4).alias("version"), "k", "v"))
+
+
 # Quotas and costs.
 
 _EV = "ev AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS ts, CASE WHEN user_id % 3 <> 0 THEN 'v' || CAST(user_id AS STRING) END AS visitor, 'ip' || CAST(user_id % 20 AS STRING) AS ip FROM events)"
