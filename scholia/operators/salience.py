@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import CEILING, FLOOR, FULL_LENGTH, STOPWORDS, TOP_TERMS, UNKNOWN_WORD, WEIGHTS
 from ..functions.rowwise import unnested
+from ..sources.versions import Versions
 from .rules import exploded, found_hits
 from .segment import Lexicon, with_words
 
@@ -51,6 +52,43 @@ def tfidf(docs: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id", lexicon
     return rows.withColumn("rank", rank).where(F.col("rank") <= top).select(id_col, "term", "w", "rank")
 
 
+#: The row of a statistics table that counts documents.
+DOCUMENTS = ""
+
+
+def term_statistics(docs: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """(term, df): how many of the documents hold a term; the row of the term '' counts the documents."""
+    each = split(docs.select("text"), "text", "t", lexicon).select(F.explode(F.concat(F.array(F.lit(DOCUMENTS)), F.array_distinct(content(F.col("t"))))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def keep_statistics(docs: DataFrame, path: str, lexicon: Lexicon | None = None) -> int:
+    """Add a batch of new papers to the statistics table at ``path``, as one commit; returns the version made.
+
+    Counts add up, so the table equals one of all papers, in whatever batches they came.  An empty batch makes a version as well.
+    """
+    batch = term_statistics(docs, lexicon)
+    table = Versions(docs.sparkSession, path)
+    if not table.versions():
+        table.create(batch.schema, "term")
+    return table.add_up(batch)
+
+
+def tfidf_under(docs: DataFrame, statistics: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id", lexicon: Lexicon | None = None) -> DataFrame:
+    """``tfidf`` of papers under a statistics table, without a look at the corpus that it counts.
+
+    A term that the table doesn't have counts as held by no document: the highest weight there is.
+    """
+    n = statistics.where(F.col("term") == DOCUMENTS).agg(F.coalesce(F.max("df"), F.lit(0)).alias("n_docs")).scalar()
+    own = split(docs.select(id_col, "text"), "text", "t", lexicon).select(id_col, content(F.col("t")).alias("t"))
+    terms = unnested(own.withColumn("total", F.size("t")), [id_col, "total"], F.col("t"), "term").groupBy(id_col, "total", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = terms.join(statistics.where(F.col("term") != DOCUMENTS), "term", "left")
+    idf = F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    rows = rows.withColumn("w", F.round(F.col("tf") / F.col("total") * idf, 9))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("w"), "term"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select(id_col, "term", "w", "rank")
+
+
 def salience(docs: DataFrame, id_col: str = "doc_id", lexicon: Lexicon | None = None) -> DataFrame:
     """One row per hit: id, ord, rule, action, n, hit, the four factors and salience.
 

@@ -264,6 +264,18 @@ def salience_ranges(spark: SparkSession, d: str) -> DataFrame:
     return salience.ranges(salience.salience(papers(spark, d)))
 
 
+@query(f"""WITH t AS (SELECT doc_id, {s.CONTENT(s.TOKENS('text'))} AS t FROM documents), known AS (SELECT * FROM t WHERE doc_id % 10 <> 0), n AS (SELECT count(*) AS n FROM known),
+ df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM known) GROUP BY term), fresh AS (SELECT doc_id, len(t) AS total, unnest(t) AS term FROM t WHERE doc_id % 10 = 0),
+ w AS (SELECT doc_id, term, round(count(*) / any_value(total) * (ln(((SELECT n FROM n) + 1) / (coalesce(any_value(df), 0) + 1)) + 1), 9) AS w FROM fresh LEFT JOIN df USING (term) GROUP BY doc_id, term)
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term)::INT AS rank FROM w) WHERE rank <= {fixed.TOP_TERMS}""")
+def tfidf_under_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """New papers (a tenth) under statistics kept from the others in three batches."""
+    docs, path = documents(spark, d), f"{Scratch(spark, 'statistics').root}/terms"
+    for batch in range(3):
+        salience.keep_statistics(docs.where(f"doc_id % 10 <> 0 AND doc_id % 3 = {batch}"), path)
+    return salience.tfidf_under(docs.where("doc_id % 10 = 0"), Versions(spark, path).read())
+
+
 # Words of Han text.
 
 

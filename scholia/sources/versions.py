@@ -137,6 +137,16 @@ class Versions:
 
         return self._commit(change)
 
+    def add_up(self, rows: DataFrame) -> int:
+        """Add the amounts of rows (all columns but the key) to those that their keys have; new keys begin with theirs."""
+
+        def change(m: dict) -> tuple[DataFrame, list[int], bool]:
+            buckets = self._touched(m, rows)
+            amounts = [F.sum(f["name"]).alias(f["name"]) for f in m["schema"]["fields"] if f["name"] != m["key"]]
+            return self._rows(m, buckets).unionByName(rows).groupBy(m["key"]).agg(*amounts), buckets, True
+
+        return self._commit(change)
+
     def delete(self, keys: DataFrame) -> int:
         """Leave out rows whose key is in a table of keys."""
 

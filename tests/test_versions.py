@@ -1,7 +1,10 @@
 """Commits of a versioned table: upserts, two writers, a writer that dies, older versions."""
 
+import math
+
 import pytest
 
+from scholia.operators import salience
 from scholia.sources.versions import Conflict, Versions
 
 DDL = "k long, v string"
@@ -81,3 +84,20 @@ def test_a_writer_that_dies(made, rows, monkeypatch):
     assert made.vacuum(keep=2) == 1 and found(made.read(1)) == [(1, "a"), (2, "b")]
     made.vacuum()
     assert found(made.read()) == [(1, "c"), (2, "b")] and made.versions() == [2]
+
+
+def test_statistics_add_up(spark, tmp_path):
+    """Batches give what one count of all gives; weights don't need the corpus; unknown terms weigh most; no papers, no terms."""
+    texts = [(1, "alpha beta beta gamma"), (2, "beta delta 模型 模型"), (3, None), (4, ""), (5, "alpha omega")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    path = f"file://{tmp_path}/s"
+    for batch in ("doc_id < 3", "doc_id > 99", "doc_id >= 3"):
+        salience.keep_statistics(docs.where(batch), path)
+    table = Versions(spark, path)
+    assert found(table.read()) == found(salience.term_statistics(docs)) and table.versions() == [0, 1, 2, 3]
+    assert dict(map(tuple, table.read().collect())) == {"": 5, "alpha": 2, "beta": 2, "gamma": 1, "delta": 1, "模型": 1, "omega": 1}
+    fresh = spark.createDataFrame([(9, "alpha alpha newterm"), (10, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.term): (r.w, r["rank"]) for r in salience.tfidf_under(fresh, table.read()).collect()}
+    assert got == {(9, "alpha"): (pytest.approx(2 / 3 * (math.log(6 / 3) + 1)), 1), (9, "newterm"): (pytest.approx(1 / 3 * (math.log(6) + 1)), 2)}
+    same = salience.tfidf_under(docs, table.read())
+    assert found(same) == found(salience.tfidf(docs))
