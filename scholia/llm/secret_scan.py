@@ -4,10 +4,11 @@ Three patterns find assignments, access keys and long hexadecimal strings.  Beyo
 key characters is tested: text that a tiktoken vocabulary was made for takes few tokens, random
 strings take many.  A run is a secret (kind ``token``) if it has at least ``LEAST`` characters and a
 letter, its characters per token are at most ``RATIO``, and it is neither a known digest
-(a hexadecimal string of a usual digest's length) nor an identifier (a UUID, a number with a unit, a
+(a hexadecimal string of a usual digest's length, or one in base64 after its kind) nor an identifier (a UUID, a time stamp, a
 name of words and short numbers).  Of a run that passes as a whole, every stretch of tokens of at least
 ``LEAST`` characters and all that is between two separators is tested alike, so plain words joined to a
 random string don't hide it: stretches that overlap are one secret, up to the next separators and without the words before and after it that a separator parts from it.
+Time is linear in the length of a run.
 """
 
 from __future__ import annotations
@@ -37,9 +38,12 @@ LEAST, RATIO = 16, 2.0
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hexadecimal.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: A digest in base64 as web pages name it.
+INTEGRITY = re.compile(r"sha256-[A-Za-z0-9+/]{43}=|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86}==")
 #: Names: words of letters (a capital at most at their start, or all capitals) with at most 4 digits after each, and
-#: numbers of at most 8 digits, parted by separators.  Possessive throughout: each character can be matched in one way only.
-NAME = re.compile(r"[_/=+-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)\d{0,4}+(?:[_/=+-]++(?:[A-Z]?[a-z]++\d{0,4}+|[A-Z]++\d{0,4}+|\d{1,8}+))*+[_/=+-]*+")
+#: numbers of at most 8 digits or time stamps, parted by separators.  Possessive throughout: each character can be matched in one way only.
+_STAMP = r"\d{8}T\d{6}\d{0,6}+Z?"
+NAME = re.compile(rf"[_/=+-]*+(?:[A-Z]?[a-z]++\d{{0,4}}+|[A-Z]++\d{{0,4}}+|{_STAMP})(?:[_/=+-]++(?:[A-Z]?[a-z]++\d{{0,4}}+|[A-Z]++\d{{0,4}}+|{_STAMP}|\d{{1,8}}+))*+[_/=+-]*+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -61,7 +65,8 @@ _UUID_IN = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
 _HEX_IN = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])")
 _PIECE = re.compile(r"[A-Za-z0-9]+")
 _WORD_FIRST = re.compile(r"([A-Z]?[a-z]*|[A-Z]*)[_/=+-]+")
-_WORD_LAST = re.compile(r"(?<![_/=+-])[_/=+-]++([A-Z]?[a-z]*+|[A-Z]*+)$")
+_WORD = re.compile(r"[A-Z]?[a-z]*|[A-Z]*")
+_SEPARATORS, _LETTERS = frozenset("_/=+-"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
 class Efficiency:
@@ -85,20 +90,72 @@ class Efficiency:
 def is_secret(run: str, efficiency: Efficiency) -> bool:
     if len(run) < LEAST or not _LETTER.search(run) or UUID.fullmatch(run) or NAME.fullmatch(run):
         return False
-    if len(run) in DIGESTS and HEX.fullmatch(run.lower()):
+    if INTEGRITY.fullmatch(run) or len(run) in DIGESTS and HEX.fullmatch(run.lower()):
         return False
     return efficiency(run) <= RATIO
 
 
+class Stretches:
+    """Whether a stretch of a run is a secret by the tokens of the whole run, in a time that doesn't depend on its length."""
+
+    def __init__(self, run: str, stops: list[int]):
+        self.run, self.stops = run, stops
+
+    def dense(self, start: int, end: int) -> bool:
+        """Characters for each token that the stretch has a part of are ``RATIO`` at most, and it is long enough and no digest or UUID."""
+        if end - start < LEAST:
+            return False
+        if end - start <= max(DIGESTS):
+            text = self.run[start:end]
+            if UUID.fullmatch(text) or INTEGRITY.fullmatch(text) or end - start in DIGESTS and HEX.fullmatch(text.lower()):
+                return False
+        return end - start <= RATIO * (bisect_left(self.stops, end) - bisect_right(self.stops, start) + 1)
+
+    def without_first_words(self, start: int, end: int) -> int:
+        """Where the stretch begins once its first words are gone, one by one as long as the rest is a secret."""
+        letter = next((k for k in range(end - 1, start - 1, -1) if self.run[k] in _LETTERS), -1)
+        bad = -1  # as long as the rest begins no later, what is here makes it no name
+        while m := _WORD_FIRST.match(self.run, start, end):
+            at = m.end()
+            if at > bad:
+                name = NAME.match(self.run, at, end)
+                bad = name.end() if name else at
+                if bad == end and name:
+                    break
+            if letter < at or not self.dense(at, end):
+                break
+            start = at
+        return start
+
+    def without_last_words(self, start: int, end: int) -> int:
+        """Where it ends once its last words are gone, one by one as long as the rest is a secret."""
+        letter = next((k for k in range(start, end) if self.run[k] in _LETTERS), end)
+        name = NAME.match(self.run, start, end)
+        while True:
+            word = end
+            while word > start and self.run[word - 1] in _LETTERS:
+                word -= 1
+            at = word
+            while at > start and self.run[at - 1] in _SEPARATORS:
+                at -= 1
+            if at == word or not _WORD.fullmatch(self.run, word, end):
+                return end
+            if name and at <= name.end() or letter >= at or not self.dense(start, at):
+                return end
+            end = at
+
+
 def inner_spans(run: str, efficiency: Efficiency) -> list[tuple[int, int]]:
     """Stretches of tokens of a run that are secrets, without plain words at their ends."""
     taken = [m.span() for m in _UUID_IN.finditer(run)]
     taken += [m.span() for m in _HEX_IN.finditer(run) if m.end() - m.start() in DIGESTS]
-    taken.sort()  # none overlap
+    taken += [m.span() for m in INTEGRITY.finditer(run)]
+    taken.sort()
     taken_ends = [b for _, b in taken]
     stops = [0]
     for size in efficiency.sizes(run):
         stops.append(stops[-1] + size)
+    stretches = Stretches(run, stops)
     pieces = [m.span() for m in _PIECE.finditer(run)]
     starts, ends = [a for a, _ in pieces], [b for _, b in pieces]
     found = [(a, b) for a, b in pieces if is_secret(run[a:b], efficiency)]
@@ -124,10 +181,8 @@ def inner_spans(run: str, efficiency: Efficiency) -> list[tuple[int, int]]:
         first, last = bisect_right(ends, start), bisect_left(starts, end) - 1
         wide = min(start, starts[first]), max(end, ends[last])
         start, end = wide if is_secret(run[slice(*wide)], efficiency) else (start, end)
-        while (m := _WORD_FIRST.match(run, start, end)) and is_secret(run[m.end() : end], efficiency):
-            start = m.end()
-        while (m := _WORD_LAST.search(run[start:end])) and is_secret(run[start : start + m.start()], efficiency):
-            end = start + m.start()
+        start = stretches.without_first_words(start, end)
+        end = stretches.without_last_words(start, end)
         if out and start < out[-1][1]:
             out[-1] = out[-1][0], max(end, out[-1][1])
         else:
@@ -139,7 +194,7 @@ def token_spans(text: str, efficiency: Efficiency) -> list[tuple[int, int, int]]
     out = []
     for m in RUN.finditer(text):
         run = m.group()
-        if UUID.fullmatch(run) or NAME.fullmatch(run) or len(run) in DIGESTS and HEX.fullmatch(run.lower()):
+        if UUID.fullmatch(run) or NAME.fullmatch(run) or INTEGRITY.fullmatch(run) or len(run) in DIGESTS and HEX.fullmatch(run.lower()):
             continue
         if is_secret(run, efficiency):
             out.append((m.start(), 3, m.end()))
