@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,13 +104,59 @@ def flat_value(value: Column) -> Column:
     return F.when(F.startswith(value, F.lit("[")) & items.isNotNull(), F.array_join(listed, "；")).when(F.startswith(value, F.lit("{")) & pairs.isNotNull(), F.array_join(lines, "；")).otherwise(value)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: A string of JSON, to its end or the text's, or what lies between strings.  Possessive: each character is read once.
+_JSON_PART = r'(?s)"[^"\\]*+(?:\\(?:.)?[^"\\]*+)*+"?|[^"]++'
+#: The longest start of a string that holds no half of an escape.
+_WHOLE_ESCAPES = r'(?s)^("[^"\\]*+(?:(?:\\[^u]|\\u[0-9a-fA-F]{4})[^"\\]*+)*+).*$'
+
+
 def repaired(json: Column) -> Column:
-    """A JSON object with what reasoning models often get wrong put right: bare percentages, commas before a closing bracket, unknown escapes, missing closing brackets."""
-    out = F.regexp_replace(json, r"(:\s*)(-?\d+(?:\.\d+)?%)", '$1"$2"')
-    out = F.regexp_replace(out, r'(?<!\\)\\(?!["\\/bfnrtu])', r"\\\\")
-    count = lambda c: F.length(out) - F.length(F.replace(out, F.lit(c), F.lit("")))
-    missing = F.concat(F.repeat(F.lit("]"), F.greatest(F.lit(0), count("[") - count("]"))), F.repeat(F.lit("}"), F.greatest(F.lit(0), count("{") - count("}"))))
-    return F.regexp_replace(F.concat(F.regexp_replace(out, r"[\s,]+\z", ""), missing), r",\s*([}\]])", "$1")
+    """A JSON object with what models often get wrong put right: bare percentages, commas before a closing bracket, unknown
+    escapes, and an end anywhere: strings, literals, numbers, pairs, lists and objects are completed.
+
+    Brackets close in the order of their nesting, of which a stack over the brackets outside strings keeps
+    track; what stands in strings stays, but for unknown escapes.
+    """
+    without_blank = lambda parts: F.when(F.rlike(F.try_element_at(parts, F.lit(-1)), F.lit(r"^\s+\z")), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    is_string = lambda p: F.startswith(p, F.lit('"'))
+    closed = lambda p: F.rlike(p, F.lit(r'(?s)^"[^"\\]*+(?:\\.[^"\\]*+)*+"$'))
+    escapes = lambda p: F.regexp_replace(p, r'(?<!\\)((?:\\\\)*+)\\(?!["\\/bfnrtu])', r"$1\\\\")
+    whole = lambda p: F.when(closed(p), p).otherwise(F.concat(F.regexp_replace(p, _WHOLE_ESCAPES, "$1"), F.lit('"')))
+    percent = lambda p: F.regexp_replace(p, r"(:\s*)(-?\d+(?:\.\d+)?%)", '$1"$2"')
+    fixed_parts = lambda parts: F.transform(parts, lambda p: F.when(is_string(p), whole(escapes(p))).otherwise(F.regexp_replace(percent(p), r",(\s*[}\]])", "$1")))
+    outside = lambda parts: F.array_join(F.filter(parts, lambda p: ~is_string(p)), "")
+    opens = lambda b: b.isin("[", "{")
+    top = lambda stack: F.substring(stack, 1, 1)
+    pairs = lambda stack, b: ((b == "]") & (top(stack) == "[")) | ((b == "}") & (top(stack) == "{"))
+    push = lambda stack, b: F.when(opens(b), F.concat(b, stack)).when(pairs(stack, b), F.substring(stack, 2, 1 << 30)).otherwise(stack)
+    stack_of = lambda parts: F.aggregate(F.regexp_extract_all(outside(parts), F.lit(r"[\[\]{}]"), F.lit(0)), F.lit(""), push)
+    found = bound(F.regexp_extract_all(json, F.lit(_JSON_PART), F.lit(0)), without_blank)
+    made = bound(found, lambda parts: bound(fixed_parts(parts), lambda fixed: bound(stack_of(parts), lambda stack: _completed(fixed, stack))))
+    return F.coalesce(made, json)
+
+
+def _completed(fixed: Column, stack: Column) -> Column:
+    """The parts of an object as text, with what its end and its open brackets ask for; null without parts."""
+    is_string = lambda p: F.startswith(p, F.lit('"'))
+    last, before = F.try_element_at(fixed, F.lit(-1)), F.regexp_replace(F.coalesce(F.try_element_at(fixed, F.lit(-2)), F.lit("")), r"\s+\z", "")
+    bare = F.regexp_replace(last, r"[\s,]+\z", "")
+    literal = bare
+    for word in ("true", "false", "null"):
+        literal = F.regexp_replace(literal, rf"(?<![A-Za-z])(?:{'|'.join(word[:k] for k in range(len(word) - 1, 0, -1))})\z", word)
+    number = F.regexp_replace(literal, r"(?<=\d)(?:\.|\.?[eE][-+]?)\z", "")
+    number = F.regexp_replace(number, r"(?<![\w.])-\z", "")
+    tail = F.regexp_replace(number, r"[\s,]+\z", "")
+    valued = F.when(F.rlike(tail, F.lit(r":\s*\z")), F.concat(tail, F.lit("null"))).otherwise(tail)
+    is_key = F.endswith(before, F.lit("{")) | (F.endswith(before, F.lit(",")) & F.startswith(stack, F.lit("{")))
+    end = F.when(is_string(last) & is_key, F.concat(last, F.lit(":null"))).when(is_string(last), last).otherwise(valued)
+    whole_text = F.concat(F.array_join(F.slice(fixed, 1, F.greatest(F.lit(0), F.size(fixed) - 1)), ""), end)
+    closers = F.translate(stack, "[{", "]}")
+    return F.when(F.size(fixed) > 0, F.concat(whole_text, closers))
 
 
 def chat_messages(instruction: Column, text: Column, system: str) -> Column:
