@@ -675,6 +675,15 @@ def semantic_hits(spark: SparkSession, d: str) -> DataFrame:
     return semantic.semantic_hits(rows.selectExpr("label", "embedding", "vec_id % 4 = 0 AS literal"), anchors, 0.2, by="label")
 
 
+@query("""WITH a AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0), c AS (SELECT e.label, e.vec_id, max(list_cosine_similarity(e.embedding::DOUBLE[], a.v)) AS sim FROM embeddings e, a WHERE e.vec_id % 5 <> 0 AND e.vec_id % 4 <> 0 GROUP BY ALL)
+ SELECT label, round(max(sim), 6) AS best, least(4, count(*) FILTER (sim >= 0.3::DOUBLE))::BIGINT AS hits FROM c GROUP BY label""")
+def anchored_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth vector as an anchor of all others."""
+    rows = table(spark, d, "embeddings")
+    sentences = rows.where("vec_id % 5 <> 0").selectExpr("label", "embedding", "vec_id % 4 = 0 AS literal")
+    return semantic.anchored_hits(sentences, rows.where("vec_id % 5 = 0"), 0.3, by="label")
+
+
 @query(f"""SELECT doc_id, len(l)::INT AS n, md5(array_to_string(l, chr(10))) AS h FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([。！？；!?;.])\\s*', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda x: {s.strip('x')}), lambda x: length(x) >= 8)[:150] AS l FROM documents)""")
 def anchor_sentences(spark: SparkSession, d: str) -> DataFrame:
     rows = documents(spark, d).select("doc_id", semantic.anchor_sentences(F.col("text")).alias("l"))
