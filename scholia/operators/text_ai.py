@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import ANSWER_KEYS, POLISH, SUMMARY_STOPWORDS
-from ..functions.rowwise import unnested
+from ..functions.rowwise import STEP
 from .clean import strip
 from .salience import tfidf, tokens
 
@@ -29,20 +30,38 @@ def weak_words(text: Column) -> Column:
 def summarize(docs: DataFrame, most: int = 3, id_col: str = "doc_id", pattern: str = r"(?U)(?<=[。！？])\s*") -> DataFrame:
     """(id, summary): the ``most`` sentences whose words are commonest, in order; a shorter text unchanged.
 
-    Ties go to the earlier sentence.  The score of a sentence is the sum of its words' counts in the text.
+    Ties go to the earlier sentence.  The score of a sentence is the sum of its words' counts in the text.  No shuffle:
+    sentences and words are expressions, a batch of texts is counted at once.
     """
-    parts = F.split("text", pattern)
-    rows = docs.where("text is not null").select(id_col, "text", parts.alias("parts"))
-    keep = F.filter(tokens(F.col("s")), lambda t: (F.length(t) > 1) & ~t.isin(*SUMMARY_STOPWORDS))
-    said = rows.where(F.size("parts") > most).select(id_col, F.posexplode("parts").alias("pos", "s"))
-    words = unnested(said, [id_col, "pos"], keep, "w").groupBy(id_col, "pos", "w").agg(F.count(F.lit(1)).alias("n"))
-    words = words.withColumn("freq", F.sum("n").over(Window.partitionBy(id_col, "w")))
-    scores = words.groupBy(id_col, "pos").agg(F.sum(F.col("n") * F.col("freq")).alias("score"))
-    ranked = said.join(scores, [id_col, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "pos"))).where(F.col("r") <= most)
-    chosen = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("best"))  # at most ``most`` each
-    out = rows.join(chosen, id_col, "left")
-    return out.select(id_col, F.when(F.col("best").isNull(), F.col("text")).otherwise(F.array_join(F.transform("best", lambda x: x["s"]), "")).alias("summary"))
+    keep = lambda s: F.filter(tokens(s), lambda t: (F.length(t) > 1) & ~t.isin(*SUMMARY_STOPWORDS))
+    rows = docs.where("text is not null").select(id_col, "text", F.split("text", pattern).alias("parts"))
+    words = F.when(F.size("parts") > most, F.transform("parts", keep))  # not needed for a text that stays as it is
+    schema = T.StructType([*docs.select(id_col).schema.fields, T.StructField("summary", T.StringType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                batch = whole.slice(at, STEP)
+                best = _commonest(batch.column(3), most)
+                made = [text if i not in best else "".join(parts[k] for k in best[i]) for i, (text, parts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=schema.names)
+
+    return rows.select(id_col, "text", "parts", words.alias("words")).mapInArrow(run, schema)
+
+
+def _commonest(words: pa.ListArray, most: int) -> dict[int, list[int]]:
+    """For each row that isn't null (words by sentence): its ``most`` best sentences, in order."""
+    sizes = words.value_lengths().fill_null(0).to_numpy()
+    sentences = words.flatten()
+    inside = sentences.value_lengths().to_numpy()
+    codes = sentences.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(words)), sizes)
+    sentence = np.repeat(np.arange(len(inside)), inside)
+    _, place, count = np.unique(row[sentence] * max(1, len(codes.dictionary)) + codes.indices.to_numpy().astype(np.int64), return_inverse=True, return_counts=True)
+    score = np.bincount(sentence, count[place], len(inside))
+    order = np.lexsort((-score, row))  # a stable sort: of equal scores the earlier sentence
+    first = np.r_[0, np.cumsum(sizes)]
+    return {i: sorted((order[first[i] : first[i] + most] - first[i]).tolist()) for i in np.flatnonzero(sizes).tolist()}
 
 
 def keywords_topk(docs: DataFrame, most: int = 5, id_col: str = "doc_id") -> DataFrame:
