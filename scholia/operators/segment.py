@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 
 LONGEST, LEAST, COHESION, FREEDOM, WORDS = 4, 5, 1.0, 0.5, 1 << 18
-#: Slots of the bitmap (a prime), characters that are handled at a time, strings whose counts a worker holds.
+#: Slots of the bitmap (a prime), characters that are handled at a time, strings that are counted together.
 SLOTS, PIECE, HELD = 4194301, 1 << 18, 1 << 20
 FIRST, LAST = 0x4E00, 0x9FFF
 #: Tokens before Han runs are read: those runs, and runs of other letters and digits.
@@ -109,27 +109,16 @@ def _numbers(units: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(each: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers and how often each occurs; a number may come again after ``HELD`` others."""
-    held, times, rest, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        found, place = np.unique(np.concatenate([held, *rest]), return_inverse=True)
-        n = np.bincount(place[len(held) :], minlength=len(found))
-        n[place[: len(held)]] += times
-        return found, n
-
+    """Numbers and how often each occurs among about ``HELD`` that follow one another."""
+    held, size = [], 0
     for numbers in each:
-        rest.append(numbers)
+        held.append(numbers)
         size += len(numbers)
         if size >= HELD:
-            held, times = merged()
-            rest, size = [], 0
-            if len(held) >= HELD:
-                yield held, times
-                held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held, times = merged()
-    if len(held):
-        yield held, times
+            yield np.unique(np.concatenate(held), return_counts=True)
+            held, size = [], 0
+    if size:
+        yield np.unique(np.concatenate(held), return_counts=True)
 
 
 def _give_back() -> None:
