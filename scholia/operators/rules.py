@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DENSITY_WORDS
 from ..functions.rowwise import fields, map_rows, unnested
-from ..functions.rule_table import NOTES, RULES
+from ..functions.rule_table import NOTES, RULES, searched
 from .clean import clean_snippet
 
 #: Java flags under which patterns find what Python's re.IGNORECASE does: Unicode case and classes, \n ends lines.
@@ -28,7 +29,7 @@ def catalog(spark: SparkSession) -> DataFrame:
 def all_hits(text: Column) -> Column:
     """array<struct<ord, rule, action, prior, hits>>: what each rule finds, as expressions of one scan."""
     found = [
-        F.struct(F.lit(i).alias("ord"), F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"), F.lit(r.prior).alias("prior"), F.regexp_extract_all(text, F.lit(FLAGS + r.pattern), F.lit(0)).alias("hits"))
+        F.struct(F.lit(i).alias("ord"), F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"), F.lit(r.prior).alias("prior"), F.regexp_extract_all(text, F.lit(FLAGS + searched(r)), F.lit(0)).alias("hits"))
         for i, r in enumerate(RULES)
     ]
     return F.array(*found)
@@ -58,36 +59,44 @@ def match_stats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document: keep_count, review_count, fallback_count, total_matches, by array sizes alone."""
     hits = all_hits(F.coalesce(F.col("text"), F.lit("")))
     count = lambda action: F.aggregate(F.filter("hits", lambda r: r["action"] == action), F.lit(0).cast("long"), lambda a, r: a + F.size(r["hits"]))
-    rows = docs.select(id_col, fallback(F.col("text")).alias("fallback"), hits.alias("hits"))
-    rows = rows.select(id_col, count("keep").alias("keep_count"), count("review").alias("review_count"), F.size("fallback").alias("candidates"))
-    rows = rows.withColumn("fallback_count", F.when(F.col("keep_count") == 0, F.col("candidates")).otherwise(0).cast("long"))
-    return rows.withColumn("total_matches", F.expr("keep_count + review_count + fallback_count")).drop("candidates")
+    rows = docs.select(id_col, "text", hits.alias("hits"))
+    rows = rows.select(id_col, "text", count("keep").alias("keep_count"), count("review").alias("review_count"))
+    rows = rows.select(id_col, "keep_count", "review_count", F.when(F.col("keep_count") == 0, F.size(fallback(F.col("text")))).otherwise(0).cast("long").alias("fallback_count"))
+    return rows.withColumn("total_matches", F.expr("keep_count + review_count + fallback_count"))
 
 
 def first_rule(text: Column) -> Column:
     """struct(rule, action) of the first rule in order that finds something; here `.` also matches line ends."""
-    found = [F.when(F.rlike(text, F.lit("(?iUds)" + r.pattern)), F.struct(F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"))) for r in RULES]
+    found = [F.when(F.rlike(text, F.lit("(?iUds)" + searched(r))), F.struct(F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"))) for r in RULES]
     return F.coalesce(*found)
 
 
-def density(sentence: Column) -> Column:
-    """Number of distinct density keywords in a sentence."""
-    low = F.lower(sentence)
+def density(low: Column) -> Column:
+    """Number of distinct density keywords in a sentence in lower case."""
     return sum((F.contains(low, F.lit(w)).cast("int") for w in DENSITY_WORDS), F.lit(0))
 
 
 def fallback(text: Column, most: int = 3) -> Column:
     """array<struct<score, pos, sentence>>: the sentences with most density keywords, ties by position."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[。！？；.!?\n]"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+\z", ""))
-    scored = F.transform(parts, lambda s, i: F.struct((-density(s)).alias("score"), i.alias("pos"), s.alias("sentence")))
-    kept = F.filter(scored, lambda x: (F.length(x["sentence"]) >= 10) & (x["score"] < 0))
-    return F.slice(F.array_sort(kept), 1, most)
+    lowered = F.transform(parts, lambda s, i: F.struct(F.lower(s).alias("low"), i.alias("pos"), s.alias("sentence")))
+    long = F.filter(lowered, lambda x: F.length(x["sentence"]) >= 10)
+    scored = F.transform(long, lambda x: F.struct((-density(x["low"])).alias("score"), x["pos"].alias("pos"), x["sentence"].alias("sentence")))
+    return F.slice(F.array_sort(F.filter(scored, lambda x: x["score"] < 0)), 1, most)
+
+
+def kept(text: Column) -> Column:
+    """Whether any keep rule finds something; the first that does decides."""
+    return reduce(or_, (F.rlike(F.coalesce(text, F.lit("")), F.lit(FLAGS + searched(r))) for r in RULES if r.action == "keep"))
 
 
 def fallback_topk(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Candidates of documents without a keep hit: id, rank, start, end, snippet, salience, action."""
-    hits = F.exists(all_hits(F.coalesce(F.col("text"), F.lit(""))), lambda r: (r["action"] == "keep") & (F.size(r["hits"]) > 0))
-    rows = docs.where(~hits).select(id_col, "text", F.posexplode(fallback(F.col("text"))).alias("k", "c"))
+    """Candidates of documents without a keep hit: id, rank, start, end, snippet, salience, action.
+
+    The keep rules are a condition of the array and no filter, which would be pushed below what composes the
+    texts, and compose one anew for each rule.
+    """
+    rows = unnested(docs, [id_col, "text"], F.when(~kept(F.col("text")), fallback(F.col("text"))), "k", "c")
     start = F.instr(F.col("text"), F.col("c.sentence")) - 1
     return rows.select(
         id_col,
@@ -102,7 +111,7 @@ def fallback_topk(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 @cache
 def _compiled() -> list[tuple[str, str, re.Pattern]]:
-    return [(r.name, r.action, re.compile(r.pattern, re.I)) for r in RULES]
+    return [(r.name, r.action, re.compile(searched(r), re.I)) for r in RULES]
 
 
 #: What ends a sentence: a full-width mark, a mark before white space or the text's end, a blank line.

@@ -30,12 +30,12 @@ END"""
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` in a partition for each core, if a small input has fewer splits than that.
+    """``rows`` dealt evenly, in four partitions for each core at least; costly expressions follow.
 
-    Costly expressions follow; a large input has splits enough and isn't shuffled.
+    The number of splits doesn't tell how rows are dealt: a Parquet file's rows come with the split that has the
+    middle of their row group, so a million short rows may be in one split of many.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(max(4 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
