@@ -193,10 +193,13 @@ def markup(docs: DataFrame, mode: str, compat: bool = False, id_col: str = "doc_
 
 
 def matches_union(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rule hits and fallback candidates in one table."""
-    hits = rule_hits(docs, id_col).select(id_col, "rule", "action", F.col("hit").alias("snippet"), F.lit(False).alias("is_fallback"))
-    spare = fallback_topk(docs, id_col).select(id_col, F.lit("fallback_candidate").alias("rule"), "action", "snippet", F.lit(True).alias("is_fallback"))
-    return hits.unionByName(spare)
+    """Rule hits and fallback candidates in one table, from one scan."""
+    rows = docs.select(id_col, "text", found_hits(F.col("text")).alias("hits"))
+    row = lambda rule, action, snippet, spare: F.struct(rule.alias("rule"), action.alias("action"), snippet.alias("snippet"), F.lit(spare).alias("is_fallback"))
+    hits = F.flatten(F.transform("hits", lambda r: F.transform(r["hits"], lambda h: row(r["rule"], r["action"], h, False))))
+    spare = F.transform(fallback(F.col("text")), lambda c: row(F.lit("fallback_candidate"), F.lit("keep"), c["sentence"], True))
+    each = F.when(F.exists("hits", lambda r: r["action"] == "keep"), hits).otherwise(F.concat(hits, spare))
+    return unnested(rows, [id_col], each, "m").select(id_col, "m.*")
 
 
 def top_per(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:

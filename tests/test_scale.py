@@ -20,7 +20,7 @@ def composed(spark):
 
 
 def test_texts_are_composed_once(spark):
-    for rows, n in ((rules.fallback_topk(composed(spark)), 20),):
+    for rows, n in ((rules.fallback_topk(composed(spark)), 20), (rules.matches_union(composed(spark)).where("is_fallback"), 20)):
         assert plan(rows).count("sha1(") == 1
         assert rows.count() == n
 
