@@ -25,17 +25,24 @@ def usage_rows(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.explode(keys).alias("key"), "ts")
 
 
-def rolling_count(usage: DataFrame, window: int, inclusive: bool = True) -> DataFrame:
-    """``usage`` with ``used``: rows of the key in the window up to each row's second, its own included.
+def rolling_count(usage: DataFrame, window: int, inclusive: bool = True, own: bool = True) -> DataFrame:
+    """``usage`` with ``used``: rows of the key in the window up to each row's second, those of that second included if ``own``.
 
-    Rows go to the window-long slot of their time and to the next one, so a hot key is split by time
-    and no task holds more of it than two windows' rows.
+    A row is in the slot of its time, and once more, as an echo, in the next slot at the time from which it no longer
+    counts.  Of a slot's echoes those that are still to come count, with the rows so far: running sums, whose cost grows
+    with the rows and not with the rows in a window.  A hot key is split by time, and no task holds more of it than two windows' rows.
     """
-    reach = window if inclusive else window - 1
-    slot = F.floor(F.col("ts") / window)
-    rows = usage.withColumn("_home", slot).withColumn("_slot", F.explode(F.array(slot, slot + 1)))
-    span = Window.partitionBy("key", "_slot").orderBy("ts").rangeBetween(-reach, 0)
-    return rows.withColumn("used", F.count(F.lit(1)).over(span)).where("_home = _slot").drop("_home", "_slot")
+    span = window + 1 if inclusive else window
+    slot = F.floor(F.col("ts") / span)
+    echo = F.struct((slot + 1).alias("slot"), (F.col("ts") + span).alias("at"), F.lit(1).alias("echo"))
+    home = F.struct(slot.alias("slot"), F.col("ts").alias("at"), F.lit(0).alias("echo"))
+    rows = usage.withColumn("_w", F.explode(F.when(F.col("ts").isNull(), F.array(home)).otherwise(F.array(home, echo))))
+    whole = Window.partitionBy("key", "_w.slot")
+    sofar = whole.orderBy("_w.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = sofar if own else whole.orderBy("_w.at").rangeBetween(Window.unboundedPreceding, -1)
+    used = F.sum(1 - F.col("_w.echo")).over(before)
+    left = F.sum("_w.echo").over(whole) - F.sum("_w.echo").over(sofar)
+    return rows.withColumn("used", F.coalesce(used, F.lit(0)) + left).where("_w.echo = 0").drop("_w")
 
 
 def quota_check(events: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from scholia.functions.rule_table import FOLDED, RULES, searched
-from scholia.operators import rules
+from scholia.operators import quota, rules
 from scholia.sources import papers as sources
 
 
@@ -50,3 +50,24 @@ def test_papers_are_dealt_evenly(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sizes.sum() == 20000 and sizes.max() < 4 * 20000 / 16
+
+
+def uses(rng, n):
+    return [(k, rng.choice("abc"), rng.choice((rng.randrange(-300, 300), 100 * rng.randrange(-3, 4)))) for k in range(n)]
+
+
+def test_rolling_counts_of_every_kind(spark):
+    rows = uses(random.Random(5), 400)
+    table = spark.createDataFrame(rows, "event_id long, key string, ts long")
+    for inclusive in (True, False):
+        for own in (True, False):
+            low, high = 100 if inclusive else 99, 0 if own else 1
+            want = {e: sum(x == k and t - low <= u <= t - high for _, x, u in rows) for e, k, t in rows}
+            assert {r.event_id: r.used for r in quota.rolling_count(table, 100, inclusive, own).collect()} == want
+
+
+def test_rolling_counts_have_no_sliding_frame(spark):
+    """A frame with a lower bound costs its rows anew for each row."""
+    table = spark.createDataFrame(uses(random.Random(6), 5), "event_id long, key string, ts long")
+    frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+),", plan(quota.rolling_count(table, 100)))
+    assert frames and all("unboundedpreceding" in f for f in frames)
