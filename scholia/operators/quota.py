@@ -51,9 +51,7 @@ def quota_check(events: DataFrame) -> DataFrame:
     The site's cap comes first, then the visitor's, then the address'.  Uses count whether or not
     they would have been admitted (``scholia.streaming.usage`` admits one by one).
     """
-    used = rolling_count(usage_rows(events), DAY)
-    now = used.groupBy("key", "ts").agg(F.count(F.lit(1)).alias("same"))  # uses in the event's own second come after it
-    before = used.join(now, ["key", "ts"]).withColumn("n", F.col("used") - F.col("same"))
+    before = rolling_count(usage_rows(events), DAY, own=False).withColumnRenamed("used", "n")  # uses in the event's own second come after it
     kind = F.when(F.col("key") == "global", "g").when(F.startswith("key", F.lit("vid:")), "v").otherwise("i")
     wide = before.withColumn("kind", kind).groupBy("event_id").agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in "gvi"])
     reason = F.when(F.col("g") >= GLOBAL_CAP, "global").when(F.col("v") >= VISITOR_CAP, "visitor").when(F.col("i") >= IP_CAP, "ip").otherwise("ok")
