@@ -39,7 +39,8 @@ def tfidf(docs: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id", lexicon
     """(id, term, w, rank): share in the document times ln((N + 1) / (df + 1)) + 1, the ``top`` heaviest.
 
     Terms are counted in two partial aggregations; document frequencies are joined by term.  Ties go
-    by term.
+    by term.  Neither side is broadcast: Spark takes a text that is composed, and the terms of any text, to be as long as
+    a short column, so that its size check lets tables of any size through to the driver.
     """
     n = docs.select(F.count(F.lit(1)).alias("n_docs"))
     split_docs = split(docs.select(id_col, "text"), "text", "t", lexicon)
@@ -47,7 +48,7 @@ def tfidf(docs: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id", lexicon
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # n: a single row
     df = df.select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     total = F.sum("tf").over(Window.partitionBy(id_col))
-    rows = terms.join(df, "term").withColumn("w", F.round(F.col("tf") / total * F.col("idf"), 9))
+    rows = terms.join(df.hint("merge"), "term").withColumn("w", F.round(F.col("tf") / total * F.col("idf"), 9))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("w"), "term"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= top).select(id_col, "term", "w", "rank")
 
@@ -93,10 +94,10 @@ def salience(docs: DataFrame, id_col: str = "doc_id", lexicon: Lexicon | None =
     """One row per hit: id, ord, rule, action, n, hit, the four factors and salience.
 
     The rules run once.  A document's term weights are one map (of ``TOP_TERMS`` entries at most) that
-    meets its hits in one join by id; a hit's mean weight is taken inside its row.  With a lexicon Han
+    meets its hits in one join by id, never broadcast (see ``tfidf``); a hit's mean weight is taken inside its row.  With a lexicon Han
     text is read in words, in documents and in hits.
     """
-    weights = tfidf(docs, id_col=id_col, lexicon=lexicon).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.max("w").alias("peak"))
+    weights = tfidf(docs, id_col=id_col, lexicon=lexicon).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.max("w").alias("peak")).hint("merge")
     found = docs.select(id_col, found_hits(F.col("text")).alias("hits"))
     if lexicon:  # hits go to Python without the weights
         rows = with_words(exploded(found, id_col), "hit", "t", lexicon).join(weights, id_col, "left")

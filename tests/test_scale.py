@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from scholia.functions.rule_table import FOLDED, RULES, searched
-from scholia.operators import quota, rules
+from scholia.operators import quota, rollup, rules, salience
 from scholia.sources import papers as sources
 
 
@@ -71,3 +71,13 @@ def test_rolling_counts_have_no_sliding_frame(spark):
     table = spark.createDataFrame(uses(random.Random(6), 5), "event_id long, key string, ts long")
     frames = re.findall(r"specifiedwindowframe\(\w+, ([^,]+),", plan(quota.rolling_count(table, 100)))
     assert frames and all("unboundedpreceding" in f for f in frames)
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """Composed texts count as short columns, so Spark's own size check would broadcast their terms."""
+    docs = composed(spark)
+    hits = salience.salience(docs)
+    scored = docs.select("doc_id", F.lit(1).alias("text_length"), *[F.lit(1).alias(c) for c in ("total", "structure", "innovation", "data_support", "method")])
+    scored = scored.selectExpr("*", *[f"1 AS {c}" for c in ("missing", "innovation_hits", "n_conc", "n_expr", "n_cross", "covered", "categories", "method_hits")], "false AS no_keywords")
+    for rows in (hits, rollup.overview(scored, hits), rollup.report_text(scored, hits)):
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
