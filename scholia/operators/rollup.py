@@ -11,7 +11,7 @@ from .score import DIMENSIONS, first_suggestion, level
 
 def overview(scored: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document: total, level, strongest, weakest, keeps, salience in percent, two suggestions."""
-    keeps = hits.where("action = 'keep'").groupBy(id_col).agg(F.count(F.lit(1)).alias("keeps"), F.bround(F.round(F.avg("salience") * 100, 6)).cast("int").alias("salience_pct"))
+    keeps = hits.where("action = 'keep'").groupBy(id_col).agg(F.count(F.lit(1)).alias("keeps"), F.bround(F.round(F.avg("salience") * 100, 6)).cast("int").alias("salience_pct")).hint("merge")  # as large as the documents, which Spark's size check takes for small
     low = F.array_sort(F.array(*[F.struct(F.col(d).alias("score"), F.lit(i).alias("ord"), F.lit(d).alias("name"), first_suggestion(d).alias("tip")) for i, d in enumerate(DIMENSIONS)]))
     high = F.array_sort(F.array(*[F.struct((-F.col(d)).alias("score"), F.lit(i).alias("ord"), F.lit(d).alias("name")) for i, d in enumerate(DIMENSIONS)]))
     rows = scored.withColumn("low", low).withColumn("high", high).join(keeps, id_col, "left")
@@ -46,7 +46,7 @@ def history_summary(records: DataFrame) -> DataFrame:
 def report_text(scored: DataFrame, hits: DataFrame, id_col: str = "doc_id", title: str = "Analysis report", markdown: bool = True) -> DataFrame:
     """(id, report): score by dimension and keep hits by salience (ties by rule and position)."""
     key = F.struct((-F.col("salience")).alias("s"), "ord", "n", "rule", "hit")
-    keeps = hits.where("action = 'keep'").groupBy(id_col).agg(F.array_sort(F.collect_list(key)).alias("found"))  # a document's own hits
+    keeps = hits.where("action = 'keep'").groupBy(id_col).agg(F.array_sort(F.collect_list(key)).alias("found")).hint("merge")  # a document's own hits; all of them together are no table to broadcast
     bullet, head, sub = ("- ", "# ", "\n## ") if markdown else ("  · ", "", "\n")
     line = lambda x: F.concat(F.lit(bullet), F.lit("["), F.bround(F.round(-x["s"] * 100, 6)).cast("int").cast("string"), F.lit("%] "), x["rule"], F.lit(": "), F.regexp_replace(x["hit"], r"\s+\z", ""))
     parts = [F.lit(head + title), F.concat(F.lit(bullet + "length: "), F.col("text_length").cast("string")), F.concat(F.lit(sub + "Score "), F.col("total").cast("string"), F.lit("/100"))]
