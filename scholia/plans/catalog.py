@@ -531,14 +531,19 @@ def key_admissions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT * FROM ({_KEY_ADMISSIONS}) WHERE ts <= (SELECT max(epoch_us(ts) // 1000000) FROM events) - 3600")
 def stream_admissions(spark: SparkSession, d: str) -> DataFrame:
     """The same decisions by a stream of the event files, as far as its watermark, an hour behind the last event, has come."""
-    scratch, before = Scratch(spark, "stream-admissions"), spark.conf.get(states.STORE[0])
+    scratch = Scratch(spark, "stream-admissions")
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    conf = dict([states.STORE, ("spark.sql.shuffle.partitions", str(parts))])  # each partition has a state store, to be opened and committed in each round
+    before = {k: spark.conf.get(k) for k in conf}
     events = _event_keys(spark.readStream.schema(streams.EVENTS).parquet(f"{d}/events.parquet*"))
-    spark.conf.set(*states.STORE)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         run = streams.admissions(quota.usage_rows(events)).writeStream.option("checkpointLocation", f"{scratch.root}/at").outputMode("append").trigger(availableNow=True).start(f"{scratch.root}/out")
         run.awaitTermination()
     finally:
-        spark.conf.set(states.STORE[0], before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(states.OUTPUT).parquet(f"{scratch.root}/out")
 
 

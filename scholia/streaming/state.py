@@ -1,6 +1,7 @@
 """Admission by key as a stream: decisions in the order of event time, with state that stays small.
 
-A key's state is two lists: events that wait for the watermark, and the stamps of its admitted uses in the window,
+A key's state is two lists: events that wait for the watermark, packed as they come in batches (a hot key has too many for
+an element each), and the stamps of its admitted uses in the window,
 ``cap`` at most.  An event is decided by a timer at its time, i.e. once the watermark says that nothing before it will come; so a
 stream decides as a batch does, in whatever order files bring the events.  A last timer empties a key
 that has been quiet for a window.  Events later than the watermark are left out by Spark.
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,27 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 OUTPUT = "event_id long, key string, ts long, admitted boolean"
 
 
+#: Decisions that are given on at once.
+PIECE = 1 << 16
+
+
+def decided(ts: np.ndarray, stamps: list[int], cap: int, reach: int) -> tuple[np.ndarray, list[int]]:
+    """Which events, in the order of time, are admitted after uses at ``stamps``, and the uses that still count then.
+
+    At the cap all events are refused until the oldest use leaves, so the cost is that of the admitted ones.
+    """
+    admitted, at = np.zeros(len(ts), bool), 0
+    while at < len(ts):
+        stamps = [s for s in stamps if s >= ts[at] - reach]
+        if len(stamps) < cap:
+            admitted[at] = True
+            stamps.append(int(ts[at]))
+            at += 1
+        else:
+            at = int(np.searchsorted(ts, stamps[0] + reach, "right")) if stamps else len(ts)
+    return admitted, stamps
+
+
 class Admission(StatefulProcessor):
     """Decides a key's events in turn; ``reach`` seconds before an event its uses still count."""
 
@@ -29,37 +52,42 @@ class Admission(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, event_id long")
+        self.waiting = handle.getListState("waiting", "events binary")
         self.stamps = handle.getListState("stamps", "ts long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
-            self.waiting.appendList(list(zip(batch["ts"].tolist(), batch["event_id"].tolist(), strict=True)))
-            self.handle.registerTimer(int(batch["ts"].min()) * 1000)
+            events = np.stack([batch["ts"].to_numpy(np.int64), batch["event_id"].to_numpy(np.int64)])
+            self.waiting.appendValue((events.tobytes(),))
+            low = int(events[0].min())
+            first = low if first is None else min(first, low)
+        self.handle.registerTimer(first * 1000)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        pieces = [np.frombuffer(p, np.int64).reshape(2, -1) for (p,) in self.waiting.get()] if self.waiting.exists() else []
+        waiting = np.concatenate(pieces, axis=1) if pieces else np.empty((2, 0), np.int64)
+        waiting = waiting[:, np.lexsort((waiting[1], waiting[0]))]
         stamps = [s for (s,) in self.stamps.get()] if self.stamps.exists() else []
         now = timerValues.getCurrentWatermarkInMs()
-        due, out = [w for w in waiting if w[0] * 1000 <= now], []  # all that the watermark has passed, whichever timer this is
-        for ts, event in due:
-            stamps = [s for s in stamps if s >= ts - self.reach]
-            admitted = len(stamps) < self.cap
-            if admitted:
-                stamps.append(ts)
-            out.append((event, key[0], ts, admitted))
+        n = int(np.searchsorted(waiting[0], now // 1000, "right"))  # all that the watermark has passed, whichever timer this is
+        admitted, stamps = decided(waiting[0, :n], stamps, self.cap, self.reach)
         stamps = [s for s in stamps if (s + self.reach) * 1000 >= now]
-        for state, left in ((self.waiting, waiting[len(due) :]), (self.stamps, [(s,) for s in stamps])):
+        for state, left in ((self.waiting, [(waiting[:, n:].tobytes(),)] if n < waiting.shape[1] else []), (self.stamps, [(s,) for s in stamps])):
             if left:
                 state.put(left)
             elif state.exists():
                 state.clear()
-        if len(due) < len(waiting):
-            self.handle.registerTimer(waiting[len(due)][0] * 1000)
+        if n < waiting.shape[1]:
+            self.handle.registerTimer(int(waiting[0, n]) * 1000)
         elif stamps:
             self.handle.registerTimer((stamps[-1] + self.reach + 1) * 1000)
-        yield pd.DataFrame(out, columns=["event_id", "key", "ts", "admitted"]) if out else pd.DataFrame()
+        for at in range(0, n, PIECE):
+            ts, event = waiting[:, at : min(n, at + PIECE)]
+            yield pd.DataFrame({"event_id": event, "key": [key[0]] * len(ts), "ts": ts, "admitted": admitted[at : at + PIECE]})
+        if not n:
+            yield pd.DataFrame()
 
     def close(self) -> None:
         pass

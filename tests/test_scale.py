@@ -3,11 +3,14 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from scholia.functions.rule_table import FOLDED, RULES, searched
 from scholia.operators import quota, rollup, rules, salience
 from scholia.sources import papers as sources
+from scholia.streaming import state
 
 
 def plan(df):
@@ -81,3 +84,39 @@ def test_nothing_that_grows_is_broadcast(spark):
     scored = scored.selectExpr("*", *[f"1 AS {c}" for c in ("missing", "innovation_hits", "n_conc", "n_expr", "n_cross", "covered", "categories", "method_hits")], "false AS no_keywords")
     for rows in (hits, rollup.overview(scored, hits), rollup.report_text(scored, hits)):
         assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decisions_skip_refused_events():
+    rng = random.Random(8)
+    for cap in (0, 1, 3):
+        ts = sorted(rng.randrange(0, 60) for _ in range(80))
+        uses, want = [-5, -2][:cap], []
+        for t in ts:
+            uses = [u for u in uses if u >= t - 10]
+            want.append(len(uses) < cap)
+            uses += [t] if want[-1] else []
+        got, left = state.decided(np.array(ts), [-5, -2][:cap], cap, 10)
+        assert got.tolist() == want and left == uses
+
+
+def test_a_hot_key_waits_in_few_elements(spark):
+    """Its events are packed: an element of the state for each Arrow batch, not for each event."""
+
+    class States(dict):
+        def getListState(self, name, schema):
+            self[name] = self
+            self.values = getattr(self, "values_", [])
+            self.values_ = self.values
+            return self
+
+        def appendValue(self, value):
+            self.values_.append(value)
+
+        def registerTimer(self, at):
+            self.timers = [*getattr(self, "timers", []), at]
+
+    one, handle = state.Admission(5, 10), States()
+    one.init(handle)
+    batches = [pd.DataFrame({"ts": range(k, 1000), "event_id": range(k, 1000)}) for k in (7, 3)]
+    list(one.handleInputRows(("k",), iter(batches), None))
+    assert len(handle.values_) == 2 and handle.timers == [3000]
