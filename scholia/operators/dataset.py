@@ -20,8 +20,9 @@ def weak_labels(papers: DataFrame, per_paper: int = 60, denoise: bool = False, i
     A paper's sentences are taken once each, in order; the first ``per_paper`` with a rule count.
     """
     said = unnested(papers, [id_col], sentences(F.coalesce("text", F.lit(""))), "pos", "s").where(sentence_like(F.col("s"), terminal=True))
-    once = said.groupBy(id_col, "s").agg(F.min("pos").alias("pos")).withColumn("r", first_rule(F.col("s"))).where("r is not null")
-    kept = once.withColumn("k", F.row_number().over(Window.partitionBy(id_col).orderBy("pos"))).where(F.col("k") <= per_paper)
+    once = said.groupBy(id_col, "s").agg(F.min("pos").alias("pos"))
+    ruled = unnested(once, [id_col, "s", "pos"], F.array(first_rule(F.col("s"))), "r")  # a filter on the rule would be pushed down, and run the rules twice
+    kept = ruled.withColumn("k", F.row_number().over(Window.partitionBy(id_col).orderBy("pos"))).where(F.col("k") <= per_paper)
     rule = F.col("r.rule")
     section = F.coalesce(*[F.when(rule.isin(*[r for r, s in SECTION_OF.items() if s == label]), F.lit(label)) for label in LABELS])
     core = F.when(rule.isin(*POSITIVE), "是").when(rule.isin(*NEGATIVE), "否")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from scholia.functions.rule_table import FOLDED, RULES, searched
-from scholia.operators import quota, rollup, rules, salience
+from scholia.operators import dataset, quota, rollup, rules, salience, score
 from scholia.sources import papers as sources
 from scholia.streaming import state
 
@@ -120,3 +120,12 @@ def test_a_hot_key_waits_in_few_elements(spark):
     batches = [pd.DataFrame({"ts": range(k, 1000), "event_id": range(k, 1000)}) for k in (7, 3)]
     list(one.handleInputRows(("k",), iter(batches), None))
     assert len(handle.values_) == 2 and handle.timers == [3000]
+
+
+def test_papers_are_graded_once(spark):
+    scored = score.score_all(composed(spark), "teacher", "cs")
+    assert plan(score.suggestions(scored)).count("sha1(") == 1
+
+
+def test_weak_labels_run_the_rules_once(spark):
+    assert plan(dataset.weak_labels(composed(spark))).count(RULES[0].pattern[:40]) == 1
