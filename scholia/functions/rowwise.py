@@ -13,9 +13,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 STEP = 512
 
 
-def map_rows(df: DataFrame, keep: list[str], use: list[str], fields: T.StructType, fn: Callable[..., Iterable[tuple]]) -> DataFrame:
+def map_rows(df: DataFrame, keep: list[str], use: list[str], fields: T.StructType, fn: Callable[..., Iterable[tuple]], ahead: Callable[[list], list] | None = None) -> DataFrame:
     """For each row, ``fn(*use)`` gives any number of tuples of ``fields``; ``keep`` columns go along.
 
+    With ``ahead``, what it makes of some rows' first column at once is one more argument of ``fn``.
+
     No shuffle; a few hundred rows are held at a time.
     """
     kept = df.select(*keep).schema
@@ -27,7 +29,8 @@ def map_rows(df: DataFrame, keep: list[str], use: list[str], fields: T.StructTyp
             for at in range(0, whole.num_rows, STEP):
                 batch = whole.slice(at, STEP)
                 rows, source = [], []
-                for i, args in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(keep) :]), strict=True)):
+                given = [c.to_pylist() for c in batch.columns[len(keep) :]]
+                for i, args in enumerate(zip(*given, *([ahead(given[0])] if ahead else []), strict=True)):
                     for row in fn(*args):
                         rows.append(row)
                         source.append(i)

@@ -125,4 +125,37 @@ def searched(rule: Rule) -> str:
     return f"(?-i:(?={one(alone + first, BEYOND)})(?={'|'.join(places)}))(?:{rule.pattern})"
 
 
+#: How a rule's hits begin, in lower case and six characters at most: # a digit, _ white space, · any character. After a
+#: shorter one, anything may follow.
+OPENINGS = {
+    "problem_motivation": "aim at|aim to|aimed |aims a|aims t|in ord|motiva|suffer|the pr|to add|to dea|to ove|to sol|to tac|为了克服|为了应对|为了缓解|为了解决|为克服|为应对|为缓解|为解决|存在|旨在|本文主要关注|本文主要研究|本文关注|本文研究|研究目标|针对|难以",
+    "definition_notation": "denote|is def|we def|where|令|其中|定义|表示为|记为|设",
+    "method_extract": "based |is pro|method|our ap|our me|our sc|the pr|we ado|we bui|we des|we dev|we emp|we int|we pro|we uti|利用|基于|建立|引入|所提方法|提出|本文方法|构建|设计|通过|采用",
+    "system_architecture": "consis|is com|our fr|our pi|our sy|the ar|the fr|the ov|the pr|the wh|分为|包含|总体设计|整体架构|整体框架|整体流程|整体结构|由|系统架构|系统框架|系统结构|网络结构",
+    "algorithm_extract": "algori|conver|gradie|loss f|object|optimi|space |the al|time c|we opt|优化目标|优化算法|优化问题|伪代码|损失函数|收敛|时间复杂度|梯度下降|梯度更新|目标函数|空间复杂度|算法#|算法_|算法描述|算法步骤|算法流程|计算复杂度|迭代更新|迭代求解|迭代过程",
+    "innovation_extract": "for th|key co|key in|main c|novel|our co|the co|unlike|we pro|不同于|与|主要工作|主要贡献|创新点|区别于|我们提出|本文工作|核心创新|首次实现|首次引入|首次提出",
+    "experiment_setup": "ablati|baseli|benchm|evalua|experi|in our|in the|test s|testin|the da|traini|valida|we car|we con|we per|基准方法|基准模型|实验参数|实验平台|实验条件|实验环境|实验设置|实验配置|对比实验|数据集|样本数|样本量|样本集|测试集|消融实验|消融研究|训练集|评价指标|评估指标|验证集",
+    "experiment_result": "accura|achiev|experi|f1-sco|f1_sco|f1scor|precis|recall|result|rmse|the re|准确率|召回率|均方误差|实验结果显示|实验结果表明|实验结果证明|实验结果说明|实验表明|查全率|查准率|测试结果|精度|精确率|结果显示|结果表明|结果证明|结果说明|误差",
+    "performance_gain": "boost_|boostd|booste|boosts|decrea|gain_|gaind_|gaines|gains_|improv|increa|outper|reduce|sota|state-|superi|surpas|the be|优于|减少#|减少_|减少了#|减少了_|增加#|增加_|增加了#|增加了_|提升#|提升_|提升了#|提升了_|提高#|提高_|提高了#|提高了_|改善#|改善_|改善了#|改善了_|相比|缩短#|缩短_|缩短了#|缩短了_|节省#|节省_|节省了#|节省了_|超过|达到|降低#|降低_|降低了#|降低了_|领先",
+    "metric_indicator": "bandwi|bit er|energy|frame |latenc|memory|power |respon|runtim|signal|throug|信噪比|内存占用|功耗|吞吐率|吞吐量|响应时间|带宽|帧率|延迟|时延|能耗|误码率|资源利用率|运行时间",
+    "figure_table_ref": "fig#|fig.#|fig._|fig_|figure|table#|table.|table_|图#|图_|如图#|如图_|如表#|如表_|表#|表_|见图#|见图_|见表#|见表_",
+    "formula_extract": "$|\\begin|eq#|eq(#|eq.#|eq.(#|eq._|eq_|equati|公式#|公式(#|公式_|式(#|式_",
+    "theorem_proof": "assume|coroll|it fol|lemma#|lemma_|propos|subjec|the pr|theore|we ass|we pro|假设#|假设_|前提条件|命题#|命题_|定理#|定理_|引理#|引理_|推论#|推论_|满足|约束条件|证明:|证明：",
+    "implementation": "implem|is imp|run on|runs o|using |we imp|代码使用|代码基于|使用|在|基于",
+    "conclusion_extract": "in con|in sum|our st|our wo|overal|this p|to con|to sum|we con|可以得出|实验充分证明|实验证明|得出结论|总的来说|本文实现|本文提出|本文构建|本文研究|本文设计|本文采用|本研究|研究表明|结论|综上",
+    "limitation_future": "furthe|future|in fut|in the|leave|limita|remain|下一步|不足之处|仍存在|仍然存在|仍然面临|仍面临|尚存在|尚未|尚需|局限|有待完善|有待提高|有待改进|未来工作|未来方向|未来研究|进一步工作|进一步探索|进一步改进|进一步研究",
+    "generic_background": "in rec|it is |nowada|over t|recent|with t|众所周知|在|如今|当今时代|当今社会|近年来|长期以来|随着",
+    "importance_cliche": "an imp|has at|is of |play a|played|plays |widely|不可或缺|具有重大|具有重要|发挥|受到|得到了广泛关|得到了广泛应|得到了广泛的|得到了广泛研|得到广泛关注|得到广泛应用|得到广泛的关|得到广泛的应|得到广泛的研|得到广泛研究|扮演|至关重要|越来越",
+    "common_definition": "common|is a k|is a t|refer |referr|refers|一般指的是|一般是指|可以理解为|可以看作|所谓|是指|通常指的是|通常是指",
+    "redundant_transition": "finall|firstl|is org|on the|second|the re|the st|thirdl|一方面|其次|再次|另一方面|总而言之|最后|本文余下部分|本文其余部分|本文剩余部分|本文的组织如|本文的组织安|本文的结构如|本文的结构安|本文组织如下|本文组织安排|本文结构如下|本文结构安排|本章主要介绍|本章主要讨论|本章主要阐述|本章介绍|本章讨论|本章阐述|然后|首先",
+    "filler_hedge": "as des|as dis|as ill|as men|as not|as see|as sho|genera|in gen|it can|it cou|it is |it may|it sho|note t|notice|to som|we can|we cou|一般来说|不难发现|不难得到|不难看出|值得一提的是|值得指出的是|值得注意的是|在一定程度上|总体而言|显而易见|某种程度上|相对而言|需要指出的是|需要注意的是|需要说明的是",
+    "vague_prospect": "has br|has gr|has wi|is pro|open n|open u|opens |pave t|paves |provid|为|具有|应用前景|提供|有望",
+    "acknowledgment_funding": "acknow|funded|grant |this w|we tha|we wou|国家自然科学|感谢|本工作受|本工作得到|本文受|本文得到|本研究受|本研究得到|致_|致谢|衷心感谢|课题支持|课题资助",
+    "statistical_significance": "anova|chi-sq|confid|f_|f检验|hypoth|p-valu|p<.#|p<0.#|p<_|p=.#|p=0.#|p=_|p>.#|p>0.#|p>_|p_|pvalue|standa|statis|t-test|t_|t检验|假设检验|卡方检验|方差分析|显著差异|显著性差异|显著性检验|显著性水平|统计上显著|统计学上显著|统计学显著|统计显著|置信区间|置信水平",
+    "hyperparameter_setting": "adam|batch_|batchs|dropou|epoch|fine-t|finetu|hidden|hyper-|hyperp|learni|optimi|sgd|weight|优化器|参数初始化|学习率|学习速率|批大小|批尺寸|批量大小|权重衰减|正则化系数|训练轮数|轮次为|迭代次数|迭代轮数|隐藏层",
+    "comparison_baseline": "beat|compar|exceed|in com|outper|over b|over e|over t|surpas|than b|than e|than p|than t|与|优于|对比|相比之下|相比于",
+    "exaggeration": "comple|dramat|far be|far su|greatl|perfec|remark|unprec|前所未有|大大减少|大大地减少|大大地增强|大大地提升|大大地提高|大大地改善|大大地缩短|大大地降低|大大增强|大大提升|大大提高|大大改善|大大缩短|大大降低|完全优于|完全解决|完全超越|完美地契合|完美地实现|完美地解决|完美契合|完美实现|完美解决|彻底地改变|彻底地消除|彻底地解决|彻底改变|彻底消除|彻底解决|无可比拟|极其优异|极其出色|极其重要|极大地|极大程度上|遥遥领先",
+    "tautology_verbose": "in oth|more p|strict|that i|to put|严格地说|严格来说|也就是说|亦即|从某种意义上|从某种程度上|准确地说|准确说|换个角度看|换个角度说|换句话说|换言之",
+}
+
 KEEP = [r.name for r in RULES if r.action == "keep"]

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from functools import cache, reduce
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed import DENSITY_WORDS
-from ..functions.rowwise import fields, map_rows, unnested
+from ..functions.rowwise import STEP, fields, map_rows, unnested
+from ..functions.rule_scan import scan
 from ..functions.rule_table import NOTES, RULES, searched
 from .clean import clean_snippet
 
@@ -26,41 +31,83 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, name string, action string, prior double, description string, note string, pattern string")
 
 
-def all_hits(text: Column) -> Column:
-    """array<struct<ord, rule, action, prior, hits>>: what each rule finds, as expressions of one scan."""
-    found = [
-        F.struct(F.lit(i).alias("ord"), F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"), F.lit(r.prior).alias("prior"), F.regexp_extract_all(text, F.lit(FLAGS + searched(r)), F.lit(0)).alias("hits"))
-        for i, r in enumerate(RULES)
-    ]
-    return F.array(*found)
+#: What each rule finds in a text, of those that find something, by rule and place.
+HITS = T.ArrayType(T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("hits", T.ArrayType(T.StringType()))]))
+
+
+def of_rule(ord_: Column, field: str) -> Column:
+    """A field of the rule of a number."""
+    return F.element_at(F.array(*[F.lit(NOTES[r.name] if field == "note" else getattr(r, field)) for r in RULES]), ord_ + 1)
+
+
+def _scanned(docs: DataFrame, keep: list[str], made: list[T.StructField], make: Callable[[list[str]], list[pa.Array]]) -> DataFrame:
+    """``keep`` and the columns ``make`` gives for some texts; null texts count as empty.  No shuffle."""
+    schema = T.StructType([*docs.select(*keep).schema.fields, *made])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                batch = whole.slice(at, STEP)
+                new = make([t or "" for t in batch.column(len(keep)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=schema.names)
+
+    return docs.select(*keep, F.col("text").alias("_use")).mapInArrow(run, schema)
+
+
+def _lists(texts: list[str]) -> list[pa.Array]:
+    text, rule, start, end = scan(texts)
+    hits = pa.array([texts[i][a:b] for i, a, b in zip(text.tolist(), start.tolist(), end.tolist(), strict=True)], pa.string())
+    begin = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (rule[1:] != rule[:-1])][: len(text)])
+    own = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(text)], pa.int32()), hits)
+    each = pa.StructArray.from_arrays([pa.array(rule[begin], pa.int32()), own], names=["ord", "hits"])
+    return [pa.ListArray.from_arrays(pa.array(np.searchsorted(text[begin], np.arange(len(texts) + 1)), pa.int32()), each)]
+
+
+def with_hits(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``hits`` (``HITS``)."""
+    return _scanned(docs, list(keep), [T.StructField("hits", HITS)], _lists)
 
 
 def rule_hits(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per hit: id, ord, rule, action, prior, note, n (the hit's number within its rule), hit.
 
-    Null and empty texts have none.  No shuffle, no join: the rules are literals.
+    Null and empty texts have none.  No shuffle, no join: batches of texts are scanned for all rules at once.
     """
-    return exploded(docs.select(id_col, found_hits(F.col("text")).alias("hits")), id_col)
-
-
-def found_hits(text: Column) -> Column:
-    """``all_hits`` of the rules that find something."""
-    return F.filter(all_hits(F.coalesce(text, F.lit(""))), lambda r: F.size(r["hits"]) > 0)
+    return exploded(with_hits(docs, id_col), id_col)
 
 
 def exploded(rows: DataFrame, *along: str) -> DataFrame:
     """The hits of a column ``hits`` as rows, with the columns ``along``."""
-    notes = F.create_map(*[F.lit(x) for r in RULES for x in (r.name, NOTES[r.name])])
     each = unnested(rows, list(along), F.col("hits"), "r")
-    return each.select(*along, "r.ord", "r.rule", "r.action", "r.prior", F.element_at(notes, F.col("r.rule")).alias("note"), F.posexplode("r.hits").alias("n", "hit"))
+    named = [of_rule(F.col("r.ord"), field).alias(name) for name, field in (("rule", "name"), ("action", "action"), ("prior", "prior"), ("note", "note"))]
+    return each.select(*along, "r.ord", *named, F.posexplode("r.hits").alias("n", "hit"))
+
+
+def summary(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per rule and action: hits, documents with a hit, prior.  Texts give counts, hits are not made."""
+    rows = with_counts(docs, id_col)
+    per = unnested(rows, [id_col], F.col("counts"), "c").groupBy(id_col, "c.ord").agg(F.sum("c.n").alias("n"))
+    total = per.groupBy("ord").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("docs"))
+    return total.select(of_rule(F.col("ord"), "name").alias("rule"), of_rule(F.col("ord"), "action").alias("action"), "hits", "docs", of_rule(F.col("ord"), "prior").alias("prior"))
+
+
+def with_counts(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``counts``: array<struct<ord, n>>, how often each rule finds something, of those that do."""
+    kind = T.ArrayType(T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("n", T.LongType())]))
+
+    def make(texts: list[str]) -> list[pa.Array]:
+        text, rule, _, _ = scan(texts)
+        both, n = np.unique(text * len(RULES) + rule, return_counts=True)
+        each = pa.StructArray.from_arrays([pa.array(both % len(RULES), pa.int32()), pa.array(n, pa.int64())], names=["ord", "n"])
+        return [pa.ListArray.from_arrays(pa.array(np.searchsorted(both // len(RULES), np.arange(len(texts) + 1)), pa.int32()), each)]
+
+    return _scanned(docs, list(keep), [T.StructField("counts", kind)], make)
 
 
 def match_stats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document: keep_count, review_count, fallback_count, total_matches, by array sizes alone."""
-    hits = all_hits(F.coalesce(F.col("text"), F.lit("")))
-    count = lambda action: F.aggregate(F.filter("hits", lambda r: r["action"] == action), F.lit(0).cast("long"), lambda a, r: a + F.size(r["hits"]))
-    rows = docs.select(id_col, "text", hits.alias("hits"))
-    rows = rows.select(id_col, "text", count("keep").alias("keep_count"), count("review").alias("review_count"))
+    """Per document: keep_count, review_count, fallback_count, total_matches, from counts alone."""
+    count = lambda action: F.aggregate("counts", F.lit(0).cast("long"), lambda a, r: a + F.when(of_rule(r["ord"], "action") == action, r["n"]).otherwise(0))
+    rows = with_counts(docs, id_col, "text").select(id_col, "text", count("keep").alias("keep_count"), count("review").alias("review_count"))
     rows = rows.select(id_col, "keep_count", "review_count", F.when(F.col("keep_count") == 0, F.size(fallback(F.col("text")))).otherwise(0).cast("long").alias("fallback_count"))
     return rows.withColumn("total_matches", F.expr("keep_count + review_count + fallback_count"))
 
@@ -109,11 +156,6 @@ def fallback_topk(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-@cache
-def _compiled() -> list[tuple[str, str, re.Pattern]]:
-    return [(r.name, r.action, re.compile(searched(r), re.I)) for r in RULES]
-
-
 #: What ends a sentence: a full-width mark, a mark before white space or the text's end, a blank line.
 _END = re.compile(r"[。！？]|[.!?](?=\s|\Z)|(?<=\n)\n")
 
@@ -136,15 +178,22 @@ class Sentences:
         return left, ceiling if blank < 0 else blank
 
 
-def find_matches(text: str | None) -> list[tuple]:
-    """(ord, rule, action, start, end, hit, window, snip_start, snip_end) in rule order, then position."""
+def spans(texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+    """For each text (rule's number, start, end) of its hits in rule order, then position."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for i, *hit in zip(*(x.tolist() for x in scan([t or "" for t in texts])), strict=True):
+        out[i].append(tuple(hit))
+    return out
+
+
+def find_matches(text: str | None, found: list[tuple[int, int, int]] | None = None) -> list[tuple]:
+    """(ord, rule, action, start, end, hit, window, snip_start, snip_end) in rule order, then position; ``found``: the text's ``spans``."""
     text = text or ""
     sentences = Sentences(text)
     out = []
-    for i, (name, action, pattern) in enumerate(_compiled()):
-        for m in pattern.finditer(text):
-            left, right = sentences.window(*m.span())
-            out.append((i, name, action, *m.span(), m.group(), text[left:right], left, right))
+    for i, start, end in spans([text])[0] if found is None else found:
+        left, right = sentences.window(start, end)
+        out.append((i, RULES[i].name, RULES[i].action, start, end, text[start:end], text[left:right], left, right))
     return out
 
 
@@ -153,52 +202,51 @@ MATCH = "ord:int rule:string action:string start:int end:int hit:string window:s
 
 def rule_matches(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """All matches with code-point offsets and sentence snippets (offsets need Python: Spark's count UTF-16 units)."""
-    found = map_rows(docs, [id_col], ["text"], fields(MATCH), find_matches)
+    found = map_rows(docs, [id_col], ["text"], fields(MATCH), find_matches, spans)
     return found.withColumn("window", clean_snippet(F.col("window"))).withColumnRenamed("window", "snippet")
 
 
-def marked_up(text: str | None, mode: str, compat: bool = False) -> str | None:
+def marked_up(text: str | None, mode: str, compat: bool = False, found: list[tuple[int, int, int]] | None = None) -> str | None:
     """A text with keep hits emphasised (``extract``) or review hits flagged (``review``).
 
-    Overlapping hits are merged first; with ``compat`` they are marked one by one as they come.
+    Overlapping hits are merged first; with ``compat`` they are marked one by one as they come.  ``found``: the text's ``spans``.
     """
     if text is None:
         return None
     action, before, after = ("keep", "**【核心】", "**\n") if mode == "extract" else ("review", "⚠️【可能冗余】", "⚠️")
-    spans = sorted((m[3], m[4]) for m in find_matches(text) if m[2] == action)
+    own = [(s, e) for i, s, e in (spans([text])[0] if found is None else found) if RULES[i].action == action]
     if compat:
-        found = [(m[3], m[4]) for m in find_matches(text) if m[2] == action]
         if mode == "review":
-            for s, e in sorted(found, key=lambda x: x[0], reverse=True):
+            for s, e in sorted(own, key=lambda x: x[0], reverse=True):
                 text = text[:s] + before + text[s:e] + after + text[e:]
             return text
-        spans = sorted(found, key=lambda x: x[0])
+        chosen = sorted(own, key=lambda x: x[0])
     else:
         merged: list[list[int]] = []
-        for s, e in spans:
+        for s, e in sorted(own):
             if merged and s < merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], e)
             else:
                 merged.append([s, e])
-        spans = [tuple(x) for x in merged]
+        chosen = [tuple(x) for x in merged]
     out, last = [], 0
-    for s, e in spans:
+    for s, e in chosen:
         out += [text[last:s] if last < s else "", before, text[s:e], after]
         last = e
     return "".join([*out, text[last:]])
 
 
 def markup(docs: DataFrame, mode: str, compat: bool = False, id_col: str = "doc_id") -> DataFrame:
-    return map_rows(docs, [id_col], ["text"], fields("marked:string"), lambda t: [(marked_up(t, mode, compat),)])
+    return map_rows(docs, [id_col], ["text"], fields("marked:string"), lambda t, found: [(marked_up(t, mode, compat, found),)], spans)
 
 
 def matches_union(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rule hits and fallback candidates in one table, from one scan."""
-    rows = docs.select(id_col, "text", found_hits(F.col("text")).alias("hits"))
+    rows = with_hits(docs, id_col, "text")
     row = lambda rule, action, snippet, spare: F.struct(rule.alias("rule"), action.alias("action"), snippet.alias("snippet"), F.lit(spare).alias("is_fallback"))
-    hits = F.flatten(F.transform("hits", lambda r: F.transform(r["hits"], lambda h: row(r["rule"], r["action"], h, False))))
+    hits = F.flatten(F.transform("hits", lambda r: F.transform(r["hits"], lambda h: row(of_rule(r["ord"], "name"), of_rule(r["ord"], "action"), h, False))))
     spare = F.transform(fallback(F.col("text")), lambda c: row(F.lit("fallback_candidate"), F.lit("keep"), c["sentence"], True))
-    each = F.when(F.exists("hits", lambda r: r["action"] == "keep"), hits).otherwise(F.concat(hits, spare))
+    each = F.when(F.exists("hits", lambda r: of_rule(r["ord"], "action") == "keep"), hits).otherwise(F.concat(hits, spare))
     return unnested(rows, [id_col], each, "m").select(id_col, "m.*")
 
 
@@ -209,5 +257,5 @@ def top_per(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame
 
 def full(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, text, items): each text as it is with all its hits, array<struct<rule, action, hit>>, in rule order, then position."""
-    each = F.transform(found_hits(F.col("text")), lambda r: F.transform(r["hits"], lambda h: F.struct(r["rule"].alias("rule"), r["action"].alias("action"), h.alias("hit"))))
-    return docs.select(id_col, "text", F.flatten(each).alias("items"))
+    each = F.transform("hits", lambda r: F.transform(r["hits"], lambda h: F.struct(of_rule(r["ord"], "name").alias("rule"), of_rule(r["ord"], "action").alias("action"), h.alias("hit"))))
+    return with_hits(docs, id_col, "text").select(id_col, "text", F.flatten(each).alias("items"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import CEILING, FLOOR, FULL_LENGTH, STOPWORDS, TOP_TERMS, UNKNOWN_WORD, WEIGHTS
 from ..functions.rowwise import unnested
 from ..sources.versions import Versions
-from .rules import exploded, found_hits
+from .rules import exploded, with_hits
 from .segment import Lexicon, with_words
 
 #: Tokens: pairs of Han characters, or runs of other letters and digits, lower-cased.
@@ -98,7 +98,7 @@ def salience(docs: DataFrame, id_col: str = "doc_id", lexicon: Lexicon | None =
     text is read in words, in documents and in hits.
     """
     weights = tfidf(docs, id_col=id_col, lexicon=lexicon).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.max("w").alias("peak")).hint("merge")
-    found = docs.select(id_col, found_hits(F.col("text")).alias("hits"))
+    found = with_hits(docs, id_col)
     if lexicon:  # hits go to Python without the weights
         rows = with_words(exploded(found, id_col), "hit", "t", lexicon).join(weights, id_col, "left")
     else:

@@ -171,9 +171,7 @@ def rule_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PH + "SELECT rule, action, count(*) AS hits, count(DISTINCT doc_id) AS docs, avg(prior) AS prior FROM each_hit GROUP BY ALL")
 def rule_summary(spark: SparkSession, d: str) -> DataFrame:
-    hits = rules.rule_hits(papers(spark, d))
-    per = hits.groupBy("doc_id", "rule", "action", "prior").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("rule", "action").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("docs"), F.avg("prior").alias("prior"))
+    return rules.summary(papers(spark, d))
 
 
 _FALLBACK = f"""parts AS (SELECT doc_id, text, k.pos, {s.strip("l[k.pos + 1]")} AS sentence FROM (SELECT doc_id, text, string_split_regex(text, '[。！？；.!?\\n]') AS l FROM papers), LATERAL (SELECT unnest(range(len(l))) AS pos) k),

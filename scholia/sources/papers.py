@@ -29,13 +29,17 @@ ELSE 'Abstract' || chr(10) || 'We propose a novel ' || lower(p_type) || ' scheme
 END"""
 
 
+#: Rows of a partition of papers, so that the longest task doesn't grow with their table.
+DEALT = 1 << 14
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt evenly, in four partitions for each core at least; costly expressions follow.
+    """``rows`` dealt evenly, in four partitions for each core at least and of ``DEALT`` rows at most; costly expressions follow.
 
     The number of splits doesn't tell how rows are dealt: a Parquet file's rows come with the split that has the
     middle of their row group, so a million short rows may be in one split of many.
     """
-    return rows.repartition(max(4 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+    return rows.repartition(max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // DEALT)))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
