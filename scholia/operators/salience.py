@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed import CEILING, FLOOR, FULL_LENGTH, STOPWORDS, TOP_TERMS, UNKNOWN_WORD, WEIGHTS
-from ..functions.rowwise import unnested
+from ..functions.rowwise import STEP, unnested
+from ..sources.scratch import Scratch
 from ..sources.versions import Versions
-from .rules import exploded, with_hits
+from .rules import exploded, of_rule, with_hits
 from .segment import Lexicon, with_words
 
 #: Tokens: pairs of Han characters, or runs of other letters and digits, lower-cased.
 TOKEN = r"[\x{4e00}-\x{9fff}]{1,2}|[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+"
 
+#: ``TOKEN`` for Python's engine, to be searched in text in lower case; the ideographs left out are newer than the SQL engine's tables.
+WORD = re.compile("[\u4e00-\u9fff]{1,2}|[^\\W_\u4e00-\u9fff\U0002ebf0-\U0002ee5d]+")
+#: Only the tokens of more than one character; stop words among these; terms that are added up together.
+LONG_WORD = re.compile(WORD.pattern.replace("{1,2}", "{2}").removesuffix("+") + "{2,}")
+LONG_STOPWORDS = frozenset(w for w in STOPWORDS if len(w) > 1)
+ADDED = 1 << 17
+#: Terms that workers know with their document frequency, the most frequent ones.  Others are joined.
+KNOWN = 1 << 17
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -35,22 +52,112 @@ def content_tokens(docs: DataFrame, id_col: str = "doc_id", lexicon: Lexicon | N
     return rows.select(id_col, F.size("t").cast("long").alias("n_tokens"), F.size(content(F.col("t"))).cast("long").alias("n_content"))
 
 
-def tfidf(docs: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id", lexicon: Lexicon | None = None) -> DataFrame:
-    """(id, term, w, rank): share in the document times ln((N + 1) / (df + 1)) + 1, the ``top`` heaviest.
+def _weights(terms: Column, n: Column) -> Column:
+    """array<struct<w, term>> of array<struct<term, tf, total, df>>: share in the document times ln((n + 1) / (df + 1)) + 1."""
+    return F.transform(terms, lambda t: F.struct(F.round(t["tf"] / t["total"] * (F.log((n + 1) / (t["df"] + 1)) + 1), 9).alias("w"), t["term"].alias("term")))
+
+
+def _heaviest(weights: Column, top: int) -> Column:
+    """The ``top`` heaviest of array<struct<w, term>>, ties by term."""
+    order = F.array_sort(F.transform(weights, lambda x: F.struct((-x["w"]).alias("w"), x["term"].alias("term"))))
+    return F.transform(F.slice(order, 1, top), lambda x: F.struct((-x["w"]).alias("w"), x["term"].alias("term")))
 
-    Terms are counted in two partial aggregations; document frequencies are joined by term.  Ties go
-    by term.  Neither side is broadcast: Spark takes a text that is composed, and the terms of any text, to be as long as
-    a short column, so that its size check lets tables of any size through to the driver.
+
+def with_weights(docs: DataFrame, keep: list[str], id_col: str, top: int = TOP_TERMS, lexicon: Lexicon | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """``keep`` and ``weights``: array<struct<w, term>>, the ``top`` heaviest terms of a document, ties by term.
+
+    Terms are counted in the row.  Document frequencies are counted once into a table; workers are given the ``KNOWN`` most
+    frequent terms, which are most of all occurrences, so only others are shuffled, to the table and back to their document.  Where all terms
+    are known nothing is shuffled.  ``id_col`` must tell documents apart, if there are others.  ``corpus``: the same texts, without what
+    ``docs`` costs more.
     """
-    n = docs.select(F.count(F.lit(1)).alias("n_docs"))
-    split_docs = split(docs.select(id_col, "text"), "text", "t", lexicon)
-    terms = unnested(split_docs, [id_col], content(F.col("t")), "term").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # n: a single row
-    df = df.select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    total = F.sum("tf").over(Window.partitionBy(id_col))
-    rows = terms.join(df.hint("merge"), "term").withColumn("w", F.round(F.col("tf") / total * F.col("idf"), 9))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("w"), "term"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select(id_col, "term", "w", "rank")
+    scratch = Scratch(docs.sparkSession, "term-weights")
+    statistics = scratch.keep(term_statistics(docs if corpus is None else corpus, lexicon), "statistics")
+    n = statistics.where(F.col("term") == DOCUMENTS).agg(F.coalesce(F.max("df"), F.lit(0)).alias("n")).first().n
+    terms = statistics.where(F.col("term") != DOCUMENTS)
+    best = terms.orderBy(F.desc("df")).limit(KNOWN + 1).toArrow()
+    whole = best.num_rows <= KNOWN
+    known = dict(zip(*(best.slice(0, KNOWN).column(c).to_pylist() for c in ("term", "df")), strict=True))
+    log = {df: float(np.log((n + 1) / (df + 1)) + 1) for df in set(known.values())}
+
+    def kept(counts: Counter, total: int) -> list[tuple[str, int, int]]:
+        """The known terms that may be among the heaviest: all that are as heavy as the last of these, within what rounding may change."""
+        found = [(t, k, known[t]) for t, k in counts.items() if t in known]
+        if len(found) <= top:
+            return found
+        weight = np.array([k / total * log[df] for _, k, df in found])
+        least = np.partition(weight, -top)[-top] - 1e-8 if top else np.inf
+        return [found[i] for i in np.flatnonzero(weight >= least).tolist()]
+
+    kind = lambda *names: T.ArrayType(T.StructType([T.StructField("term", T.StringType()), *[T.StructField(k, T.LongType()) for k in names]]))
+    made = [T.StructField("total", T.LongType()), T.StructField("known", kind("tf", "df")), T.StructField("others", kind("tf"))]
+
+    def make(lists: Iterable[list[str]]) -> list[pa.Array]:
+        totals, own, others = [], [], []
+        for words in lists:
+            counts = Counter(words)
+            totals.append(len(words))
+            own.append(kept(counts, len(words)))
+            others.append([] if whole else [(t, k) for t, k in counts.items() if t not in known])
+        return [pa.array(totals, pa.int64()), _table(own, ("tf", "df")), _table(others, ("tf",))]
+
+    rows = _counted(docs, keep, lexicon, made, make)
+    if not whole:  # read twice
+        rows = scratch.keep(rows, "counted")
+    of_known = F.transform("known", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), F.col("total").alias("total"), t["df"].alias("df")))
+    weights = _weights(of_known, F.lit(n))
+    if whole:
+        return rows.select(*keep, _heaviest(weights, top).alias("weights"))
+    rare = unnested(rows, [id_col, "total"], F.col("others"), "t").select(id_col, "total", "t.term", "t.tf")
+    met = rare.join(terms.hint("merge"), "term").groupBy(id_col).agg(F.collect_list(F.struct("term", "tf", "total", "df")).alias("others"))
+    joined = rows.select(*keep, weights.alias("known")).join(met.hint("merge"), id_col, "left")
+    both = F.concat("known", F.coalesce(_weights(F.col("others"), F.lit(n)), F.expr("cast(array() as array<struct<w:double,term:string>>)")))
+    return joined.select(*keep, _heaviest(both, top).alias("weights"))
+
+
+def _table(lists: list[list[tuple]], names: tuple[str, ...]) -> pa.Array:
+    """array<struct<term, ...>> of rows of tuples."""
+    flat = [x for own in lists for x in own]
+    columns = list(zip(*flat, strict=True)) or [()] * (1 + len(names))
+    each = pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["term", *names])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), each)
+
+
+def _words(text: str) -> list[str]:
+    """Content tokens of a text in lower case, as ``content(tokens(text))``."""
+    found = LONG_WORD.findall(text)
+    return [t for t in found if t not in LONG_STOPWORDS] if LONG_STOPWORDS else found
+
+
+def _lists(use: list, plain: bool) -> list[list[str]]:
+    return [_words(x) for x in use] if plain else use
+
+
+def _used(docs: DataFrame, keep: list[str], lexicon: Lexicon | None) -> DataFrame:
+    """``keep`` and what Python counts: texts in lower case, or with a lexicon their content tokens."""
+    if lexicon:
+        return split(docs.select(*keep, F.col("text").alias("_text")), "_text", "_use", lexicon).select(*keep, content(F.col("_use")).alias("_use"))
+    return docs.select(*keep, F.lower(F.coalesce("text", F.lit(""))).alias("_use"))
+
+
+def _counted(docs: DataFrame, keep: list[str], lexicon: Lexicon | None, made: list[T.StructField], make: Callable[[list[list[str]]], list[pa.Array]]) -> DataFrame:
+    """``keep`` and what ``make`` gives for the content tokens of some documents."""
+    schema = T.StructType([*docs.select(*keep).schema.fields, *made])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                batch = whole.slice(at, STEP)
+                new = make(_lists(batch.column(len(keep)).to_pylist(), not lexicon))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=schema.names)
+
+    return _used(docs, keep, lexicon).mapInArrow(run, schema)
+
+
+def tfidf(docs: DataFrame, top: int = TOP_TERMS, id_col: str = "doc_id", lexicon: Lexicon | None = None) -> DataFrame:
+    """(id, term, w, rank): share in the document times ln((N + 1) / (df + 1)) + 1, the ``top`` heaviest (see ``with_weights``)."""
+    rows = unnested(with_weights(docs, [id_col], id_col, top, lexicon), [id_col], F.col("weights"), "k", "x")
+    return rows.select(id_col, "x.term", "x.w", (F.col("k") + 1).alias("rank"))
 
 
 #: The row of a statistics table that counts documents.
@@ -59,8 +166,24 @@ DOCUMENTS = ""
 
 def term_statistics(docs: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """(term, df): how many of the documents hold a term; the row of the term '' counts the documents."""
-    each = split(docs.select("text"), "text", "t", lexicon).select(F.explode(F.concat(F.array(F.lit(DOCUMENTS)), F.array_distinct(content(F.col("t"))))).alias("term"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def run(batches: Iterable[list[list[str]]]) -> Iterator[list[pa.Array]]:
+        counts: Counter = Counter()  # added up before they are shuffled
+        for lists in batches:
+            for words in lists:
+                counts.update({DOCUMENTS, *words})
+            if len(counts) >= ADDED:
+                yield [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())]
+                counts = Counter()
+        yield [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())]
+
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("df", T.LongType())])
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(_lists(b.column(0).slice(at, STEP).to_pylist(), not lexicon) for b in batches for at in range(0, b.num_rows, STEP)):
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return _used(docs, [], lexicon).mapInArrow(each, schema).groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def keep_statistics(docs: DataFrame, path: str, lexicon: Lexicon | None = None) -> int:
@@ -93,28 +216,57 @@ def tfidf_under(docs: DataFrame, statistics: DataFrame, top: int = TOP_TERMS, id
 def salience(docs: DataFrame, id_col: str = "doc_id", lexicon: Lexicon | None = None) -> DataFrame:
     """One row per hit: id, ord, rule, action, n, hit, the four factors and salience.
 
-    The rules run once.  A document's term weights are one map (of ``TOP_TERMS`` entries at most) that
-    meets its hits in one join by id, never broadcast (see ``tfidf``); a hit's mean weight is taken inside its row.  With a lexicon Han
-    text is read in words, in documents and in hits.
+    The rules run once.  A document's term weights (``TOP_TERMS`` at most) come into the row of its hits; a hit's mean weight
+    is taken there, so that weights don't go along with each hit.  With a lexicon Han text is read in words, in documents and in hits.
     """
-    weights = tfidf(docs, id_col=id_col, lexicon=lexicon).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"), F.max("w").alias("peak")).hint("merge")
-    found = with_hits(docs, id_col)
     if lexicon:  # hits go to Python without the weights
-        rows = with_words(exploded(found, id_col), "hit", "t", lexicon).join(weights, id_col, "left")
+        weighed = with_weights(docs, [id_col], id_col, lexicon=lexicon)
+        weights = weighed.where(F.size("weights") > 0).select(id_col, F.map_from_entries(F.transform("weights", lambda x: F.struct(x["term"], x["w"]))).alias("weights"), F.element_at("weights", 1)["w"].alias("peak"))
+        rows = with_words(exploded(with_hits(docs, id_col), id_col), "hit", "t", lexicon).join(weights.hint("merge"), id_col, "left")
+        rows = rows.withColumn("c", content(F.col("t")))
+        share = lambda term: F.coalesce(F.try_element_at(F.col("weights"), term) / F.col("peak"), F.lit(UNKNOWN_WORD))
+        total = F.aggregate("c", F.lit(0.0), lambda sum_, term: sum_ + share(term))
+        rows = rows.withColumn("mean", F.when(F.size("c") > 0, total / F.size("c"))).withColumn("n_t", F.size("t")).withColumn("n_c", F.size("c"))
     else:
-        rows = exploded(found.join(weights, id_col, "left"), id_col, "weights", "peak").withColumn("t", tokens(F.col("hit")))
-    rows = rows.withColumn("c", content(F.col("t")))
-    share = lambda term: F.coalesce(F.try_element_at(F.col("weights"), term) / F.col("peak"), F.lit(UNKNOWN_WORD))
-    total = F.aggregate("c", F.lit(0.0), lambda sum_, term: sum_ + share(term))
-    rows = rows.withColumn("mean", F.when(F.size("c") > 0, total / F.size("c")))
+        rows = _measured(with_weights(with_hits(docs, id_col, "text"), [id_col, "hits"], id_col, corpus=docs), id_col)
     rows = rows.withColumn("f_rule", F.col("prior")).withColumn("f_tfidf", F.round(F.least(F.lit(1.0), F.coalesce("mean", F.lit(0.0))), 6))
-    rows = rows.withColumn("f_density", F.round(F.size("c") / F.greatest(F.lit(1), F.size("t")), 6))
+    rows = rows.withColumn("f_density", F.round(F.col("n_c") / F.greatest(F.lit(1), F.col("n_t")), 6))
     rows = rows.withColumn("f_length", F.round(F.least(F.lit(1.0), F.length("hit") / F.lit(FULL_LENGTH)), 6))
     raw = sum((F.lit(w) * F.col(f"f_{k}") for k, w in WEIGHTS.items()), F.lit(0.0))
     score = F.bround(F.greatest(F.lit(FLOOR), F.least(F.lit(CEILING), F.round(raw, 6))), 2)
     return rows.select(id_col, "ord", "rule", "action", "n", "hit", "f_rule", "f_tfidf", "f_density", "f_length", score.alias("salience"))
 
 
+def _measured(weighed: DataFrame, id_col: str) -> DataFrame:
+    """A row per hit: id, ord, rule, action, prior, n, hit, mean weight of its content tokens (null without), n_t tokens, n_c content tokens."""
+    added = [T.StructField(n, t) for n, t in (("ord", T.IntegerType()), ("n", T.IntegerType()), ("hit", T.StringType()), ("mean", T.DoubleType()), ("n_t", T.IntegerType()), ("n_c", T.IntegerType()))]
+    schema = T.StructType([*weighed.select(id_col).schema.fields, *added])
+    arrow = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                batch = whole.slice(at, STEP)
+                source, out = [], []
+                for i, (hits, low, terms, weights) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                    share = {t: w / weights[0] for t, w in zip(terms, weights, strict=True)}
+                    for own, lows in zip(hits, low, strict=True):
+                        for n, (hit, text) in enumerate(zip(own["hits"], lows, strict=True)):
+                            found = WORD.findall(text)
+                            words = [t for t in found if len(t) > 1 and t not in LONG_STOPWORDS]
+                            total = 0.0
+                            for t in words:
+                                total += share.get(t, UNKNOWN_WORD)
+                            source.append(i)
+                            out.append((own["ord"], n, hit, total / len(words) if words else None, len(found), len(words)))
+                columns = list(zip(*out, strict=True)) or [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, arrow, strict=True)]], names=schema.names)
+
+    low = F.transform("hits", lambda r: F.transform(r["hits"], lambda h: F.lower(h)))
+    rows = weighed.select(id_col, "hits", low.alias("low"), F.transform("weights", lambda x: x["term"]).alias("terms"), F.transform("weights", lambda x: x["w"]).alias("weights")).mapInArrow(run, schema)
+    return rows.select("*", *[of_rule(F.col("ord"), field).alias(name) for name, field in (("rule", "name"), ("action", "action"), ("prior", "prior"))])
+
+
 def factors(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The factors as rows: id, ord, n, key, value, weight, contribution."""
     each = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"f_{k}").alias("value"), F.lit(w).alias("weight")) for k, w in WEIGHTS.items()])
