@@ -17,6 +17,7 @@ import ctypes
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,53 @@ class Lexicon:
     def __len__(self) -> int:
         return len(self.words)
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.words)
+
+    def log(self, value: np.ndarray) -> np.ndarray:
+        """Logarithms of strings; minus infinity for those that are no words."""
+        place = self.places.of(value)
+        return np.where(place < 0, -np.inf, self.logs[place]) if len(self.logs) else np.full(len(value), -np.inf)
+
+
+class Places:
+    """Where each of some distinct numbers stands among them: a hash table with a quarter of its slots taken at most.
+
+    A number that finds its slot taken goes to the next; look-ups walk on together, only those that met another number.
+    """
+
+    def __init__(self, words: np.ndarray):
+        bits = max(4, int(4 * len(words)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.place, self.word = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.int64)
+        left = np.arange(len(words), dtype=np.int32)
+        slot = self._slot(words)
+        while len(left):
+            free = self.place[slot] < 0
+            self.place[slot[free]] = left[free]  # of several numbers one stays
+            out = self.place[slot] != left
+            left, slot = left[out], slot[out] + 1 & self.mask
+        taken = self.place >= 0
+        self.word[taken] = words[self.place[taken]]
+
+    def _slot(self, value: np.ndarray) -> np.ndarray:
+        return (value.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def of(self, value: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 if it is not there."""
+        slot = self._slot(value)
+        place = self.place[slot]
+        on = np.flatnonzero((self.word[slot] != value) & (place >= 0))
+        walk = slot[on]
+        while len(on):
+            walk = walk + 1 & self.mask
+            now = self.place[walk]
+            place[on] = now
+            going = (self.word[walk] != value[on]) & (now >= 0)
+            on, walk = on[going], walk[going]
+        return place
+
 
 def packed(word: str) -> int:
     """A string of at most four Han characters as one number (signed, 64 bits)."""
@@ -142,33 +190,33 @@ def _counts(level: int, frequent: np.ndarray | None):
                 inside &= likely[:-1] & likely[1:]
             yield value[inside]
 
+    def characters(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = np.zeros(1 << 16, np.int64)
+        for units in _pieces(batches):
+            n += np.bincount(units[_han(units)], minlength=1 << 16)
+        found = np.flatnonzero(n)
+        yield found, n[found]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, n in _summed(each(batches)):
+        for found, n in characters(batches) if level == 1 else _summed(each(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["word", "n"])
         _give_back()
 
     return run
 
 
-def _found(words: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``value`` in the sorted ``words``, and whether it is there."""
-    place = np.searchsorted(words, value)
-    hit = place < len(words)
-    hit[hit] = words[place[hit]] == value[hit]
-    return place, hit
-
-
 def _sides(candidates: np.ndarray):
     """Texts -> candidate, side (0 left, 1 right), character beside it (0: none that is Han) and how often, for each piece."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        places = Places(candidates)
         for units in _pieces(batches):
             beside = np.where(_han(units), units, 0).astype(np.int64)
             for level in range(2, LONGEST + 1):
                 value, inside = _numbers(units, level)
                 at = np.flatnonzero(inside)
-                place, hit = _found(candidates, value[at])
-                place, at = place[hit], at[hit]
+                place = places.of(value[at]).astype(np.int64)
+                place, at = place[place >= 0], at[place >= 0]
                 yield np.r_[place << 17 | beside[at - 1], place << 17 | 1 << 16 | beside[at + level]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,43 +237,48 @@ def read(units: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     fine = np.r_[False, _han(units), False]
     edges = np.flatnonzero(fine[1:] != fine[:-1])
     begin, size = edges[::2], edges[1::2] - edges[::2]
-    logs = []
-    for level in range(1, LONGEST + 1):
-        value, inside = _numbers(units, level)
-        log = np.full(len(units) + 1, -np.inf)
-        if level == 1:
-            log[:-1][inside] = lexicon.unknown
-        at = np.flatnonzero(inside)
-        place, hit = _found(lexicon.words, value[at])
-        log[at[hit]] = lexicon.logs[place[hit]]
-        logs.append(log)
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
-    alive = np.searchsorted(-size, -np.arange(1, size.max(initial=0) + 1), side="right")
-    best, back = np.zeros(len(units) + 1), np.zeros(len(units) + 1, np.int8)
-    for step, n in enumerate(alive.tolist(), 1):
-        end = begin[:n] + step
-        score, taken = np.full(n, -np.inf), np.zeros(n, np.int8)
-        for level in range(min(LONGEST, step), 0, -1):
-            # The first character's place holds the score of the run before it, if the two touch; it starts at zero.
-            before = np.zeros(n) if level == step else best[end - level]
-            now = before + logs[level - 1][end - level]
-            better = now > score
-            score, taken = np.where(better, now, score), np.where(better, np.int8(level), taken)
-        best[end], back[end] = score, taken
-    starts, lengths, at, first = [], [], begin + size, begin
-    while len(at):
-        step = back[at].astype(np.int64)
-        at = at - step
-        starts.append(at)
-        lengths.append(step)
-        going = at > first
-        at, first = at[going], first[going]
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts, lengths = np.concatenate(starts), np.concatenate(lengths)
-    order = np.argsort(starts, kind="stable")
-    return starts[order], lengths[order]
+    # Characters lie step by step: the first of all runs, the second of those that have one, and so on.  A longer run comes first, so
+    # what belongs to the runs that are still going is the beginning of each step.
+    alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+    first = np.cumsum(alive) - alive
+    step = np.repeat(np.arange(len(alive)), alive)
+    at = begin[np.arange(len(step)) - first[step]] + step
+    value, logs = np.zeros(len(at), np.uint64), []
+    for level in range(1, LONGEST + 1):  # of the string that ends at a character; those that begin before its run are no words
+        value |= units[np.maximum(at - level + 1, 0)].astype(np.uint64) << np.uint64(16 * (level - 1))
+        log = np.full(len(at), -np.inf)
+        whole = int(first[level - 1]) if level <= len(first) else len(at)
+        log[whole:] = lexicon.log(value[whole:].view(np.int64))
+        logs.append(log)
+    logs[0] = np.where(logs[0] == -np.inf, lexicon.unknown, logs[0])
+    best = np.empty(len(at))
+    starts_at, counts = first.tolist(), alive.tolist()
+    for number, (a, n) in enumerate(zip(starts_at, counts, strict=True)):
+        score = best[a : a + n]
+        score[:] = logs[number][a : a + n] if number < LONGEST else -np.inf  # the whole run so far as one word
+        for level in range(1, min(LONGEST, number) + 1):
+            before = starts_at[number - level]
+            np.maximum(score, best[before : before + n] + logs[level - 1][a : a + n], out=score)
+    back = np.zeros(len(units), np.int8)
+    taken = np.zeros(len(at), np.int8)
+    rank = np.arange(len(at)) - first[step]
+    for level in range(1, LONGEST + 1):  # the longest of those that are as good
+        before = np.where(step >= level, best[first[np.maximum(step - level, 0)] + rank], 0.0)
+        taken[before + logs[level - 1] == best] = level
+    back[at] = taken
+    marked, now, low = np.zeros(len(units), np.int8), begin + size - 1, begin
+    while len(now):
+        length = back[now]
+        now = now - length
+        marked[now + 1] = length
+        going = now >= low
+        now, low = now[going], low[going]
+    starts = np.flatnonzero(marked)
+    return starts, marked[starts].astype(np.int64)
 
 
 def _word_counts(lexicon: Lexicon):
@@ -354,20 +407,46 @@ def with_words(rows: DataFrame, text_col: str, out: str, lexicon: Lexicon) -> Da
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(place)
-            flat, sizes = lists.flatten().to_pylist(), lists.value_lengths().to_numpy()
-            han = [FIRST <= ord(t[0]) <= LAST for t in flat]
-            text = "\n".join(t for t, h in zip(flat, han, strict=True) if h)
-            starts, lengths = read(np.frombuffer(text.encode("utf-16-le"), np.uint16), lexicon)
-            begin = np.cumsum([0, *(len(t) + 1 for t, h in zip(flat, han, strict=True) if h)])
-            per_run = np.split(np.arange(len(starts)), np.searchsorted(starts, begin[1:-1])) if len(begin) > 1 else []
-            pieces, number = [text[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], 0
-            made: list[list[str]] = []
-            for t, h in zip(flat, han, strict=True):
-                made.append([pieces[i] for i in per_run[number].tolist()] if h else [t])
-                number += h
-            ends = np.cumsum(sizes)
-            tokens = [[w for own in made[e - n : e] for w in own] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            columns = [pa.array(tokens, pa.list_(pa.string())) if k == place else c for k, c in enumerate(batch.columns)]
+            tokens, ends = _in_words(lists.flatten().cast(pa.string()), lexicon)
+            sizes = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            cut = pa.ListArray.from_arrays(pa.array(ends[sizes], pa.int32()), tokens)
+            columns = [cut if k == place else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return runs.mapInArrow(run, schema)
+
+
+def _in_words(runs: pa.Array, lexicon: Lexicon) -> tuple[pa.Array, np.ndarray]:
+    """Tokens of runs that follow one another, and how many are before each run and in all.
+
+    Words are cut out of the runs' own bytes, of which a Han character takes three, by more offsets.
+    """
+    if not len(runs):
+        return runs, np.zeros(1, np.int64)
+    _, places, data = runs.buffers()
+    bounds = np.frombuffer(places, np.int32)[runs.offset : runs.offset + len(runs) + 1].astype(np.int64)
+    if bounds[-1] == bounds[0]:
+        return runs, np.arange(len(runs) + 1)
+    raw = np.frombuffer(data, np.uint8)[: bounds[-1]]
+    lead = lambda at, k: raw[at + k].astype(np.uint16)
+    begin, size = bounds[:-1], np.diff(bounds)
+    wide = np.flatnonzero(size >= 3)
+    three = wide[raw[begin[wide]] >> 4 == 0xE]  # a run is Han if its first character is
+    unit = (lead(begin[three], 0) & 0xF) << 12 | (lead(begin[three], 1) & 0x3F) << 6 | lead(begin[three], 2) & 0x3F
+    han = three[_han(unit)]
+    n = size[han] // 3
+    # The units of all Han runs with one between them that is none.
+    place = np.r_[0, np.cumsum(n + 1)]
+    inside = np.repeat(np.arange(len(han)), n)
+    among = np.arange(len(inside)) - np.repeat(np.cumsum(n) - n, n)
+    at = begin[han][inside] + 3 * among
+    units = np.zeros(place[-1], np.uint16)
+    units[place[inside] + among] = (lead(at, 0) & 0xF) << 12 | (lead(at, 1) & 0x3F) << 6 | lead(at, 2) & 0x3F
+    starts, _ = read(units, lexicon)
+    run = np.searchsorted(place, starts, "right") - 1
+    cuts = begin[han][run] + 3 * (starts - place[run])
+    other = np.ones(len(runs), bool)
+    other[han] = False
+    offsets = np.sort(np.r_[begin[other], cuts])
+    out = pa.StringArray.from_buffers(len(offsets), pa.py_buffer(np.r_[offsets, bounds[-1]].astype(np.int32).tobytes()), data)
+    return out, np.r_[np.searchsorted(offsets, bounds[:-1]), len(offsets)]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +59,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Characters that composed Han words are made of.
 HAN = "".join(chr(0x4E00 + 20 * k) for k in range(1024))
-#: What such a text is made from: words in letters, and ends of sentences.
-HAN_TOKENS = r"\p{L}+|[.!?;]"
+#: What such a text is made from: words in letters, and ends of sentences; and what lies between.
+HAN_TOKENS, HAN_BLANKS = r"\p{L}+|[.!?;]", r"[^\p{L}.!?;]+"
 
 
 def han_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +79,40 @@ def han_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         two = F.concat(char(x, 0), char(x, 1))
         return F.when(x < 0, F.lit("。")).when(size == 0, char(x, 0)).when(size < 3, two).otherwise(F.concat(two, char(x, 2)))
 
-    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(HAN_TOKENS), F.lit(0))
-    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.transform(found, number), word), "").alias("text"))
+    said = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), HAN_BLANKS, " ")
+    return documents(spark, sf_dir).select("doc_id", said.alias("text")).mapInArrow(_composed, "doc_id long, text string")
+
+
+class _Composed(dict):
+    """What words and ends of sentences between blanks become; the first 2^18 are remembered, frequent words among them."""
+
+    def __missing__(self, said: str) -> str:
+        word = said.rstrip(".!?;")
+        if any(end in word for end in ".!?;"):
+            out = "".join(self[w] for w in re.findall("[.!?;]|[^.!?;]+", said))
+        elif word == said:
+            out = _han_word(said) if said else ""
+        else:
+            out = (self[word] if word else "") + "。" * (len(said) - len(word))
+        if len(self) < 1 << 18:
+            self[said] = out
+        return out
+
+
+def _han_word(word: str) -> str:
+    """32 bits of the digest: two for the number of characters, ten for each of three."""
+    x = int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4], "big")
+    a, size = HAN[x >> 2 & 1023], x & 3
+    if not size:
+        return a
+    return a + HAN[x >> 12 & 1023] if size < 3 else a + HAN[x >> 12 & 1023] + HAN[x >> 22]
+
+
+def _composed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Composed()
+    for batch in batches:
+        texts = ["".join(map(known.__getitem__, t.split(" "))) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

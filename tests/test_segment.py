@@ -205,3 +205,44 @@ def test_weights_and_salience_of_words(spark, small):
         own, peak = content(tokens), max(weights[r.doc_id].values(), default=1)
         mean = sum(weights[r.doc_id][t] / peak if t in weights[r.doc_id] else fixed.UNKNOWN_WORD for t in own) / len(own) if own else 0
         assert r.f_tfidf == pytest.approx(min(1, mean), abs=1e-6) and r.f_density == pytest.approx(len(own) / max(1, len(tokens)), abs=1e-6)
+
+
+def test_readings_at_many_lengths_and_ties():
+    rng = random.Random(12)
+    vocabulary = list({"".join(rng.choices("一二三四五", k=rng.randint(1, 4))) for _ in range(60)})
+    words = np.array(sorted(map(segment.packed, vocabulary)), np.int64)
+    lexicon = segment.Lexicon(words, np.round(np.log(np.array([rng.random() for _ in vocabulary])), 1), -3.0)
+    runs = ["".join(rng.choices("一二三四五六", k=rng.randint(1, 40))) for _ in range(200)]
+    starts, lengths = segment.read(np.frombuffer("\n".join(runs).encode("utf-16-le"), np.uint16), lexicon)
+    text = "\n".join(runs)
+    assert [text[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist())] == [w for r in runs for w in plain_read(r, lexicon)]
+
+
+def test_words_are_looked_up_in_a_table():
+    rng = np.random.default_rng(4)
+    words = np.unique(rng.integers(-(1 << 63), 1 << 62, 5000))
+    places = segment.Places(words)
+    asked = np.r_[words[::3], rng.integers(-(1 << 63), 1 << 62, 3000), 0, -1]
+    known = {w: k for k, w in enumerate(words.tolist())}
+    assert places.of(asked).tolist() == [known.get(w, -1) for w in asked.tolist()]
+    assert segment.Places(words[:0]).of(asked).max() == -1
+    assert segment.Lexicon(words[:0], np.zeros(0), -1.0).log(asked).max() == -np.inf
+
+
+def test_words_are_cut_from_the_bytes_of_their_runs():
+    lexicon = segment.Lexicon(np.array(sorted(map(segment.packed, ["一二", "三", "四五六"])), np.int64), np.full(3, -1.0), -9.0)
+    flat = pa.array(["skipped", "ab", "一二三", "ñandú", "四五六一二", "한국", "𠀀x", "三"]).slice(1)
+    tokens, ends = segment._in_words(flat, lexicon)
+    assert tokens.to_pylist() == ["ab", "一二", "三", "ñandú", "四五六", "一二", "한국", "𠀀x", "三"]
+    assert ends.tolist() == [0, 1, 3, 4, 6, 7, 8, 9]
+    assert segment._in_words(flat.slice(0, 0), lexicon)[1].tolist() == [0]
+
+
+def test_composed_texts_by_words_between_blanks():
+    composed = sources._Composed()
+    for said in ("", "word", "a.b", "end.", "..", "!a;b?", "x.y."):
+        plain = ""
+        for w in re.findall(r"[a-z]+|[.!?;]", said):
+            x = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            plain += "。" if w in ".!?;" else "".join(sources.HAN[(x >> 2 + 10 * k) % 1024] for k in range((1, 2, 2, 3)[x % 4]))
+        assert composed[said] == composed[said] == plain
