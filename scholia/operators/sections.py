@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +64,26 @@ STOPS = {
 }
 LIMITS = {"abstract": 600, "method": 500, "experiment": 500, "conclusion": 600}
 KEYWORDS = r"(?:关键词|关键字|Keywords?|Index\s*Terms?|キーワード|키워드|주제어|색인어|Schl(?:ü|ue)sselw(?:ö|oe)rter|Stichw(?:ö|oe)rter|Schlagw(?:ö|oe)rter)\s*[：:—–\-]\s*([^\n]{5,300})"
+#: For each heading, in the same order, what its hits hold without case, one of them at least: a look for these costs far less than the pattern.
+#: Of letters with blanks between them it is one.
+HOLDS = {
+    "abstract": ["摘", "旨|概|抄|アブストラクト", "초|요|개", "zusammenfassung|kurzfassung|abstrakt", "abstract", "abstract", "项目概述|研究背景|背景与意义", "#"],
+    "method": [
+        "方",
+        "实|试|样品制备|材料制备|制备",
+        "提案|手|システム構成|問題設定|準備",
+        "제안|연구|방|접근법|시스템|문제",
+        "methodik|methode|vorgeschlagene|ansatz|systemmodell|problemstellung|vorgehensweise",
+        "method|approach|algorithm",
+        "material|experimental|sample|synthesis",
+        "system|signal|channel|network|problem|proposed|preliminaries|design",
+        "技术方案|系统设计|实现方案|系统模型|问题建模|算法设计",
+        "#",
+    ],
+    "experiment": ["实|仿|结", "実|評|結", "실|평|결", "experiment|evaluierung|auswertung|ergebnisse", "experiment|simulation|result", "测试结果|验证实验|效果评估", "#"],
+    "conclusion": ["结|总|小", "結|おわりに|まとめ", "결|맺음말|요약", "fazit|schluss|zusammenfassung", "conclusion|summary", "总结与展望|项目总结|预期成果", "#"],
+    "keywords": ["关键|keyword|index|キーワード|키워드|주제어|색인어|schl|stichw"],
+}
 BODY = r"([\s\S]{30,})"
 NAMES = ["abstract", "keywords", "method", "experiment", "conclusion"]
 
@@ -73,24 +96,38 @@ def heading(kind: str, words: str) -> str:
     return rf"(?:^|\n)[ \t]*{NUMBER}{words}{after}{BODY}"
 
 
-def section(text: Column, name: str) -> Column:
-    """One section, or null: the first pattern that matches decides, even if nothing remains of its body."""
+def folded(text: Column) -> Column:
+    """A text in which letters that match i and s without case are these (the engine's lower case leaves some, and parts the dotted I)."""
+    return F.translate(F.lower(text), "ıſ\u0307", "is")
+
+
+def section(text: Column, low: Column, name: str) -> Column:
+    """One section, or null: the first pattern that matches decides, even if nothing remains of its body.  ``low``: the text ``folded``."""
+    may = [reduce(or_, (F.contains(low, F.lit(w)) for w in held.split("|"))) for held in HOLDS[name]]
     if name == "keywords":
-        found = strip(F.regexp_extract(text, "(?iUd)" + KEYWORDS, 1))
+        found = F.when(may[0], strip(F.regexp_extract(text, "(?iUd)" + KEYWORDS, 1)))
         return F.when(found != "", found)
     # Each body has 30 characters at least, so '' means that a pattern did not match.
-    bodies = [F.nullif(F.regexp_extract(text, "(?iUdm)" + heading(*h), 1), F.lit("")) for h in HEADINGS[name]]
+    bodies = [F.when(m, F.nullif(F.regexp_extract(text, "(?iUdm)" + heading(*h), 1), F.lit(""))) for m, h in zip(may, HEADINGS[name], strict=True)]
     cut = F.regexp_replace(strip(F.coalesce(*bodies)), rf"(?Uds)\n[ \t]*(?:{STOPS[name]}).*", "")
     kept = F.substring(strip(cut), 1, LIMITS[name])
     return F.when(kept != "", kept)
 
 
+def _with_folded(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_low``; a generator keeps it from being made again for each look."""
+    return docs.withColumn("_low", F.explode(F.array(folded(F.col("text")))))
+
+
 def extract_sections(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id and a column per section (null where there is none)."""
-    return docs.select(id_col, *[section(F.col("text"), n).alias(n) for n in NAMES])
+    return _with_folded(docs.select(id_col, "text")).select(id_col, *[section(F.col("text"), F.col("_low"), n).alias(n) for n in NAMES])
 
 
-def with_sections(docs: DataFrame) -> DataFrame:
-    """``docs`` with the sections; a generator keeps them from being computed again by each use."""
-    found = F.struct(*[section(F.col("text"), n).alias(n) for n in NAMES])
-    return docs.withColumn("_s", F.explode(F.array(found))).select(*docs.columns, "_s.*")
+def with_sections(docs: DataFrame, **more: Column) -> DataFrame:
+    """``docs`` with the sections and ``more``, made from these; a generator keeps each from being computed again by each use."""
+    found = F.struct(*[section(F.col("text"), F.col("_low"), n).alias(n) for n in NAMES])
+    rows = _with_folded(docs).withColumn("_s", F.explode(F.array(found))).select(*docs.columns, "_s.*")
+    if not more:
+        return rows
+    return rows.withColumn("_m", F.explode(F.array(F.struct(*[c.alias(n) for n, c in more.items()])))).select(*rows.columns, "_m.*")
