@@ -41,17 +41,18 @@ def _measured(docs: DataFrame, grades: list[tuple[str, str]], words: dict, teach
     only the short list of keywords.
     """
     extra = {k: F.col(semantic[k]) if semantic and k in semantic else F.lit(0) for k in ("innovation", "method")}
-    rows = with_sections(docs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))))
+    # Lower-cased once: inside a lambda it would be done for each keyword.
+    low = F.lower("text")
+    rows = with_sections(docs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))), _lower=low, _both=F.concat(F.lower(F.coalesce("abstract", F.lit(""))), F.lit(" "), low))
     innovation = {m: words["innovation"][m] for m, _ in grades}
     method = {(m, s): [*words["method"][m], *[w for ws in words["rubrics"][s].values() for w in ws]] for m, s in grades}
-    both = F.concat(F.lower(F.coalesce("abstract", F.lit(""))), F.lit(" "), F.lower("text"))
     asked = [lists.distinct([w for ws in lists_ for w in ws]) for lists_ in (innovation.values(), method.values())]
     if sum(map(len, asked)) > MANY:  # one pass over the text, however many there are
-        rows = automaton.with_contained(rows.withColumn("_both", both), ["_both", "text"], "_there", asked)
+        rows = automaton.with_contained(rows, ["_both", "text"], "_there", asked)
         there = [F.col("_there0"), F.col("_there1")]
     else:
         one_by_one = lambda text, own: F.filter(F.array(*[F.lit(w) for w in own]), lambda w: F.contains(text, w))
-        there = [one_by_one(both, asked[0]), one_by_one(F.lower("text"), asked[1])]
+        there = [one_by_one(F.col("_both"), asked[0]), one_by_one(F.col("_lower"), asked[1])]
     conclusion = F.coalesce(F.nullif("conclusion", F.lit("")), F.col("text"))
     strict = sorted({PROFILES[m]["strict"] for m, _ in grades})
     rows = rows.select(

@@ -1,4 +1,8 @@
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from scholia.operators import rollup, salience, score, sections
 
@@ -88,3 +92,24 @@ def test_lexicon_from_a_file(spark, tmp_path):
     words = lexicon.load(f"file://{path}", spark)
     assert words["innovation"]["teacher"] == ["zebra"] and words["rubrics"] == lexicon.RUBRICS
     assert score.score_all(docs(spark, a="a Zebra ran"), lexicon=words).first().innovation_hits == 1
+
+
+def test_looks_for_headings_lose_no_section(spark):
+    """Where a pattern finds something, one of the letters or words that it is guarded by is there."""
+    assert all(len(sections.HOLDS[n]) == len(sections.HEADINGS.get(n, [0])) for n in sections.NAMES)
+    rng, pieces = random.Random(9), []
+    for own in sections.HEADINGS.values():
+        for _, words in own:
+            pieces += [x for x in re.split(r"[()|?:\[\]+*\\{}]|s[*+]", words) if x]
+    changed = [str, str.upper, str.lower, lambda h: h.replace("i", "İ"), lambda h: h.replace("i", "ı"), lambda h: h.replace("s", "ſ"), " ".join, lambda h: h + " " + rng.choice(pieces)]
+    texts = [rng.choice(["", "1 ", "## ", "IV. "]) + rng.choice(changed)(h) + rng.choice(["\n", ": \n", "：", " — "]) + "body of text that has more than thirty characters" for h in pieces * 4]
+    docs_ = spark.createDataFrame([(x,) for x in texts], "text string").withColumn("low", sections.folded(F.col("text")))
+    for name, own in sections.HEADINGS.items():
+        for heading, held in zip(own, sections.HOLDS[name], strict=True):
+            guard = F.exists(F.array(*[F.lit(w) for w in held.split("|")]), lambda w: F.contains("low", w))
+            assert docs_.where(F.rlike("text", F.lit("(?iUdm)" + sections.heading(*heading))) & ~guard).count() == 0, heading
+
+
+def test_texts_are_lower_cased_once(spark):
+    plan = score.score_all(docs(spark, **PAPERS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(lower(" not in plan.lower()
