@@ -12,25 +12,33 @@ all events of that time in one component.
 
 Small components are decided together, a task for about ``ROWS`` events.  Larger ones go in rounds: their events
 are put in order by ranges of about ``ROUND`` events, and each round hands on, by component, the admitted uses of the last window.
+
+Where keys are decided each on its own (``by_key``), only the first ``cap`` events of a second can be admitted, and at the cap nothing
+is until the oldest use leaves.  So a key's walk needs how many events its seconds have, and not the events.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.terms import places
 from ..operators.graph import components
 from ..sources.scratch import Scratch
+from .state import decided
 
 #: Slots of a window; events of a task; events of a round.
 FINE, ROWS, ROUND = 8, 1 << 16, 1 << 20
 NEVER = (1 << 62) - 1
+#: Seconds of a key that are one row.
+STRETCH = 3600
 
 
 class Turnstile:
@@ -170,3 +178,45 @@ def _rounds(rows: DataFrame, rounds: int, caps: tuple[int, int, int], window: in
         after = scratch.keep((own if state is None else own.unionByName(state)).groupBy("component").applyInArrow(decide, schema), "uses")
         state = after.where("use")
         yield result.keep(after.where("not use").select(*keep, "reason"), "turn")
+
+
+def by_key(events: DataFrame, cap: int, window: int) -> DataFrame:
+    """(event_id, key, ts, admitted) for events(event_id, key, ts long), each key in order of time and then of id.
+
+    A null key is a key; rows without a time are left out.  The seconds of a key come to one task, an hour of them a row; of events it
+    sees their number alone.
+    """
+    rows = events.where("ts is not null").select("event_id", "key", "ts", F.coalesce(F.concat(F.lit("="), "key"), F.lit("none")).alias("own"))
+    seconds = rows.groupBy("own", "ts").agg(F.least(F.count(F.lit(1)), F.lit(max(0, cap))).alias("n"))
+    hours = seconds.groupBy("own", F.floor(F.col("ts") / STRETCH).alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "n"))).alias("seconds"))
+    walked = hours.repartition("own").sortWithinPartitions("own", "hour").select("own", F.col("seconds.ts").alias("ts"), F.col("seconds.n").alias("n"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stamps = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            ts, n = (batch.column(k).flatten().to_numpy() for k in (1, 2))
+            code = np.repeat(coded.indices.to_numpy(), batch.column(1).value_lengths().to_numpy())  # of seconds
+            key, at = np.repeat(code, n), np.repeat(ts, n)  # of events
+            late = np.flatnonzero(places(key) >= cap)
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            end = np.r_[begin[1:], len(key)]
+            # Without so many in a window none is refused; a batch's first and last key may go on in others.
+            one_by_one = {0, len(begin) - 1, *(np.searchsorted(begin, late[at[late] - at[late - cap] <= window], "right") - 1).tolist()}
+            admitted = np.ones(len(key), np.int64)
+            for k in sorted(one_by_one):
+                own = coded.dictionary[int(key[begin[k]])].as_py()
+                admitted[begin[k] : end[k]], left = decided(at[begin[k] : end[k]], stamps if own == now else [], cap, window)
+                if k == len(begin) - 1:
+                    now, stamps = own, left
+            taken = np.add.reduceat(admitted, np.r_[0, np.cumsum(n)[:-1]])
+            some = taken > 0
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[some])), pa.array(ts[some]), pa.array(taken[some])], names=["own", "ts", "taken"])
+
+    taken = walked.where(F.lit(cap > 0)).mapInArrow(run, "own string, ts long, taken long")
+    taken = Scratch(events.sparkSession, "admission-result").keep(taken, "taken")
+    turn = F.row_number().over(Window.partitionBy("own", "ts").orderBy(F.asc_nulls_last("event_id")))
+    joined = rows.withColumn("turn", turn).join(taken, ["own", "ts"], "left")
+    return joined.select("event_id", "key", "ts", F.coalesce(F.col("turn") <= F.col("taken"), F.lit(False)).alias("admitted"))

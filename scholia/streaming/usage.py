@@ -25,13 +25,11 @@ def windowed_counts(events: DataFrame, window: str = "1 day", slide: str = "1 ho
 def admissions(events: DataFrame, cap: int = VISITOR_CAP, window: int = DAY) -> DataFrame:
     """(event_id, key, ts, admitted) for events(event_id, key, ts long), batch or stream: a refused use doesn't count.
 
-    A batch is decided where the cap may be reached (see ``admission``), a stream as its watermark goes on (see ``state``).
+    A batch is decided from the numbers of events in seconds (see ``admission.by_key``), a stream as its watermark goes on (see ``state``).
     """
     if events.isStreaming:
         return state.admissions(events, cap, window)
-    one = events.select("event_id", "key", "ts", F.coalesce(F.concat(F.lit("="), "key"), F.lit("none")).alias("visitor"), F.lit("").alias("ip"))
-    out = admission.in_turn(one, (admission.NEVER, cap, admission.NEVER), window, ["key"])
-    return out.select("event_id", "key", "ts", (F.col("reason") == "ok").alias("admitted"))
+    return admission.by_key(events, cap, window)
 
 
 def admissions_in_turn(events: DataFrame, caps: tuple[int, int, int] = (GLOBAL_CAP, VISITOR_CAP, IP_CAP), window: int = DAY) -> DataFrame:
