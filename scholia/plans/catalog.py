@@ -531,8 +531,8 @@ def stream_admissions(spark: SparkSession, d: str) -> DataFrame:
     """The same decisions by a stream of the event files, as far as its watermark, an hour behind the last event, has come."""
     scratch = Scratch(spark, "stream-admissions")
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    conf = dict([states.STORE, ("spark.sql.shuffle.partitions", str(parts))])  # each partition has a state store, to be opened and committed in each round
-    before = {k: spark.conf.get(k) for k in conf}
+    conf = dict([states.STORE, states.UNCOUNTED, ("spark.sql.shuffle.partitions", str(parts))])  # each partition has a state store, to be opened and committed in each round
+    before = {k: spark.conf.get(k, None) for k in conf}
     events = _event_keys(spark.readStream.schema(streams.EVENTS).parquet(f"{d}/events.parquet*"))
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -541,7 +541,7 @@ def stream_admissions(spark: SparkSession, d: str) -> DataFrame:
         run.awaitTermination()
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(states.OUTPUT).parquet(f"{scratch.root}/out")
 
 
