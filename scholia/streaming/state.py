@@ -28,8 +28,8 @@ UNCOUNTED = ("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "f
 OUTPUT = "event_id long, key string, ts long, admitted boolean"
 #: Groups of keys; a stream that goes on from a checkpoint must have as many as before.
 GROUPS = 1 << 10
-#: Events of an element of the state that is put anew; decisions that are given on at once.
-ELEMENT, PIECE = 1 << 18, 1 << 16
+#: Events that are decided at once, in turn of time; events of an element of the state that is put anew; decisions that are given on at once.
+SLICE, ELEMENT, PIECE = 1 << 20, 1 << 18, 1 << 16
 #: What waits, and the same as it is packed.
 WAITING, ENCODED = (pa.schema([("event_id", pa.int64()), ("nameless", pa.bool_()), ("key", key), ("ts", pa.int64())]) for key in (pa.string(), pa.dictionary(pa.int32(), pa.string())))
 
@@ -100,31 +100,33 @@ class Admission(StatefulProcessor):
             yield pd.DataFrame()
             return
         self.done.add(key)
-        now = timerValues.getCurrentWatermarkInMs()
+        last = timerValues.getCurrentWatermarkInMs() // 1000
         uses, waiting = (unpacked(state.get() if state.exists() else []) for state in (self.stamps, self.waiting))
-        rows = pa.concat_tables([uses, waiting]).unify_dictionaries().combine_chunks()
-        used = np.arange(len(rows)) < len(uses)
-        due = used | (rows["ts"].to_numpy() <= now // 1000)
-        rows, left, used = rows.filter(pa.array(due)), rows.filter(pa.array(~due)), used[due]
-        order, admitted = self.decide(rows, used)
-        rows, used, ts = rows.take(pa.array(order)), used[order], rows["ts"].to_numpy()[order]
-        kept = admitted & ((ts + self.reach) * 1000 >= now)
-        for state, table in ((self.waiting, left), (self.stamps, rows.filter(pa.array(kept)))):
+        at = waiting["ts"].to_numpy()
+        ends = np.unique([*np.sort(at[at <= last])[SLICE::SLICE], last])
+        turn, some = np.searchsorted(ends, at), False
+        for k, end in enumerate(ends.tolist()):
+            rows = pa.concat_tables([uses, waiting.filter(pa.array(turn == k))]).unify_dictionaries().combine_chunks()
+            order, admitted = self.decide(rows, np.arange(len(rows)) < len(uses))
+            ts, new = rows["ts"].to_numpy()[order], np.flatnonzero(order >= len(uses))
+            rows = rows.take(pa.array(order))
+            uses = rows.filter(pa.array(admitted & (ts + self.reach >= end)))
+            for first in range(0, len(new), PIECE):
+                piece, some = new[first : first + PIECE], True
+                own = plain(rows.take(pa.array(piece)))
+                event = pd.arrays.IntegerArray(own["event_id"].to_numpy(), own["nameless"].to_numpy())
+                yield pd.DataFrame({"event_id": event, "key": own["key"].to_pandas(), "ts": ts[piece], "admitted": admitted[piece]})
+        left = waiting.filter(pa.array(turn == len(ends)))
+        for state, table in ((self.waiting, left), (self.stamps, uses)):
             if len(table):
-                state.put([packed(plain(table.slice(at, ELEMENT))) for at in range(0, len(table), ELEMENT)])
+                state.put([packed(plain(table.slice(first, ELEMENT))) for first in range(0, len(table), ELEMENT)])
             elif state.exists():
                 state.clear()
         if len(left):
             self.handle.registerTimer(pc.min(left["ts"]).as_py() * 1000)
-        elif kept.any():
-            self.handle.registerTimer((int(ts[kept].max()) + self.reach + 1) * 1000)
-        new = np.flatnonzero(~used)
-        for at in range(0, len(new), PIECE):
-            piece = new[at : at + PIECE]
-            own = plain(rows.take(pa.array(piece)))
-            event = pd.arrays.IntegerArray(own["event_id"].to_numpy(), own["nameless"].to_numpy())
-            yield pd.DataFrame({"event_id": event, "key": own["key"].to_pandas(), "ts": ts[piece], "admitted": admitted[piece]})
-        if not len(new):
+        elif len(uses):
+            self.handle.registerTimer((pc.max(uses["ts"]).as_py() + self.reach + 1) * 1000)
+        if not some:
             yield pd.DataFrame()
 
     def decide(self, rows: pa.Table, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
